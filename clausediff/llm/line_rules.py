@@ -8,11 +8,13 @@ rejected. All work is inside one row: nothing is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]"
 #: Phrases of notices and menus that mark a line as boilerplate.
 BOILERPLATE = (
     "accept all cookies|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|"
@@ -21,30 +23,30 @@ BOILERPLATE = (
 )
 #: A document is kept if at least this share of its word characters stays.
 KEEP_SHARE = 0.5
-#: A line may consist of symbols, or of capitals among its letters, up to these shares.
-SYMBOL_SHARE, CAPITAL_SHARE = 0.1, 0.7
+#: A line may consist of symbols up to this share.
+SYMBOL_SHARE = 0.08
+#: Notices are looked for in lines of at most this length.
+NOTICE_LENGTH = 200
 
 
 def _chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, SPACE, "")).cast("long")
+    bare = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), " \n\t\r\x0b\x0c", text)
+    return F.length(bare).cast("long")
 
 
 def _n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return F.regexp_count(text, F.lit(SYMBOL)).cast("long")
 
 
 def line_passes(line: Column) -> Column:
-    """True for a line that no rule fails. line: trimmed, with a word."""
-    letters = F.length(F.regexp_replace(line, r"\P{L}+", ""))
-    capitals = F.length(F.regexp_replace(line, r"\P{Lu}+", ""))
-    bars = F.length(line) - F.length(F.translate(line, "|»›·", ""))
-    return ~(
-        (_n_symbols(line) > SYMBOL_SHARE * _chars(line))
-        | ((letters >= 12) & (capitals > CAPITAL_SHARE * letters))
-        | ((bars >= 2) & (bars * 40 > F.length(line)))
-        | (~line.rlike(r"[.!?…:;。！？]") & (F.length(line) < 30) & (bars >= 1))
-        | F.lower(line).rlike(BOILERPLATE)
-    )
+    """True for a line that no rule fails. line: has a word. Cheap tests come first."""
+    n = F.length(line)
+    symbols, bars = F.regexp_count(line, F.lit(SYMBOL)), F.regexp_count(line, F.lit("[|»›·]"))
+    shouted = (n >= 12) & (F.upper(line) == line) & (F.lower(line) != line)
+    listed = (bars >= 2) & (bars * 40 > n)
+    notice = (n <= NOTICE_LENGTH) & F.lower(line).rlike(BOILERPLATE)
+    stub = (n < 30) & (bars >= 1) & ~line.rlike(r"[.!?…:;。！？]")
+    return ~(shouted | (symbols > SYMBOL_SHARE * n) | listed | stub | notice)
 
 
 def line_cleaned(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
@@ -79,8 +81,7 @@ def line_cleaned(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
     d = d.withColumn("lines", lines)
     d = d.withColumn("once", F.array_distinct("lines"))
     d = d.withColumn("n_dup_lines", (F.size("lines") - F.size("once")).cast("long")).drop("lines")
-    strip = lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
-    d = d.withColumn("cleaned", F.array_join(F.filter("once", lambda x: line_passes(strip(x))), "\n")).drop("once")
+    d = d.withColumn("cleaned", F.array_join(F.filter("once", line_passes), "\n")).drop("once")
     d = d.withColumn("word_chars", _chars(F.col("text"))).withColumn("n_symbols", _n_symbols(F.col("text")))
     d = d.withColumn("kept_chars", _chars(F.col("cleaned")))
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))

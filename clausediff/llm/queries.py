@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clausediff.llm import mixing, url_filter
 
@@ -37,7 +38,24 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "pages"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausediff.llm.quality import KEEP_SCORE, scored, trained
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = scored(docs, trained(docs, _table(spark, sf_dir, "labels")))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausediff.llm.packing import packed
+
+    return packed(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_quality": op4_quality,
+    "op6_packing": op6_packing,
     "op1_ngram_join": op1_ngram_join,
     "op3_line_rules": op3_line_rules,
     "op7_mixing": op7_mixing,

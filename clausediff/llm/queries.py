@@ -53,7 +53,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausediff.llm.warc import archived
+
+    return archived(_table(spark, sf_dir, "pages"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausediff.llm.html_main import extracted
+
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op2_warc": op2_warc,
+    "op9_html": op9_html,
     "op4_quality": op4_quality,
     "op6_packing": op6_packing,
     "op1_ngram_join": op1_ngram_join,

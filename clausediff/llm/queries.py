@@ -65,7 +65,15 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(_table(spark, sf_dir, "pages"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausediff.llm.ann import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0))
+
+
 QUERIES = {
+    "op10_nearest": op10_nearest,
     "op2_warc": op2_warc,
     "op9_html": op9_html,
     "op4_quality": op4_quality,

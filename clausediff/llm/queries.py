@@ -72,7 +72,15 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausediff.llm.suffix_dedup import without_repeats
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op10_nearest": op10_nearest,
     "op2_warc": op2_warc,
     "op9_html": op9_html,

@@ -55,16 +55,17 @@ def numbering_labels(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
         n = F.sum(F.when(F.col("ilvl") == i, 1).otherwise(0)).over(inside)
         start = F.coalesce(F.col("spec")[i]["start"], F.lit(1))
         p = p.withColumn(f"_c{i}", F.when(listed & (F.col("ilvl") >= i) & (n > 0), start - 1 + n))
-    at = F.col("spec")[F.col("ilvl")]
-    label = F.coalesce(at["lvl_text"], F.concat(F.lit("%"), F.col("ilvl") + 1))
-    path = []
-    for i in range(LEVELS):
-        text = format_counter(F.col(f"_c{i}"), F.coalesce(F.col("spec")[i]["num_fmt"], F.lit("decimal")))
-        path.append(F.when(F.col(f"_c{i}").isNotNull(), text))
-        label = F.when(F.col(f"_c{i}").isNotNull(), F.replace(label, F.lit(f"%{i + 1}"), text)).otherwise(label)
+    counters = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_c{i}").cast("long").alias("n"), F.col("spec")[i]["num_fmt"].alias("f")) for i in range(LEVELS)])
+    texts = F.transform(
+        F.filter(counters, lambda x: x["n"].isNotNull()),
+        lambda x: F.struct(F.concat(F.lit("%"), x["i"] + 1).alias("mark"), format_counter(x["n"], F.coalesce(x["f"], F.lit("decimal"))).alias("text")),
+    )
+    p = p.withColumn("_texts", texts)
+    start = F.coalesce(F.col("spec")[F.col("ilvl")]["lvl_text"], F.concat(F.lit("%"), F.col("ilvl") + 1))
+    label = F.aggregate("_texts", start, lambda acc, x: F.replace(acc, x["mark"], x["text"]))
     p = p.withColumn("numbering_label", F.when(listed, normalize_ws(label)))
-    p = p.withColumn("numbering_path", F.when(listed, F.array_compact(F.array(*path))).otherwise(F.array().cast("array<string>")))
-    return p.drop("spec", *[f"_{k}{i}" for k in "rc" for i in range(LEVELS)])
+    p = p.withColumn("numbering_path", F.when(listed, F.transform("_texts", lambda x: x["text"])).otherwise(F.array().cast("array<string>")))
+    return p.drop("spec", "_texts", *[f"_{k}{i}" for k in "rc" for i in range(LEVELS)])
 
 
 def display_text(paragraphs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ c1 as (select *, regexp_extract(head, '^(?:Điều|ĐIỀU|dieu|DIEU)\s+((?:\d+[
    regexp_extract(head, '^(?:Điều|ĐIỀU|dieu|DIEU)\s+(?:\d+[A-Za-z]?|[IVXLCDM]+)[.:]?\s*(.*)$', 1) as rest,
    row_number() over (partition by doc_id, version order by grp) as chunk_idx from c0),
 c2 as (select *, case when trim(rest) = '' then 'Điều ' || article_number else rest end as tt from c1),
-chunks as (select doc_id::varchar as doc_id, version, chunk_idx::int as chunk_idx, doc_id || '_' || version || '_' || lpad(chunk_idx::varchar, greatest(4, length(chunk_idx::varchar)), '0') as chunk_id,
+chunks as (select doc_id::varchar as doc_id, version, chunk_idx::int as chunk_idx, doc_id || '_' || version || '_' || lpad(chunk_idx::varchar, greatest(4, length(chunk_idx::varchar))::int, '0') as chunk_id,
    case when regexp_matches(regexp_replace(trim(tt), '[:\s]+$', ''), '(?i)giải thích từ ngữ|định nghĩa|diễn giải') then 'definition' else 'article' end as chunk_type,
    chuong_so, '0' as muc_so, 'article_' || article_number as clause_id, article_number,
    case when regexp_replace(trim(tt), '[:\s]+$', '') = '' then regexp_replace(head, '[:\s]+$', '') else regexp_replace(trim(tt), '[:\s]+$', '') end as article_title,

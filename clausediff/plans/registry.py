@@ -166,7 +166,7 @@ def status_from_texts(spark, sf_dir):
     return r.select("pair_id", "clause_id", X.status_from_texts(X.normalize_ws(F.col("v1_text")), X.normalize_ws(F.col("v2_text"))).alias("status"))
 
 
-@query("select doc_id, case when doc_id % 4 = 0 then '-' else array_to_string(list_transform(range(1, doc_id % 4 + 1), x -> x::varchar), ', ') end as refs from documents")
+@query("select doc_id, case when doc_id % 4 = 0 then '-' else array_to_string(list_transform(range(1, doc_id % 4 + 1), lambda x: x::varchar), ', ') end as refs from documents")
 def line_refs(spark, sf_dir):
     n = (F.col("doc_id") % 4).cast("int")
     rows = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
@@ -197,10 +197,10 @@ def _plain_lines(spark, sf_dir):
     return lines.text_lines(_texts(spark, sf_dir))
 
 
-_L = "with l as (select doc_id::varchar as doc_id, (i - 1)::int as line_no, trim(s) as s from (select doc_id, unnest(a) as s, generate_subscripts(a, 1) as i from (select doc_id, string_split(text, chr(10)) as a from documents)) where trim(s) <> ''), p as (select *, not regexp_matches(s, '[.;,:]$') and not regexp_matches(s, '[\\d²³¹]') as possible, list_filter(string_split(regexp_replace(s, '\\s+', ' ', 'g'), ' '), w -> w <> '') as words from l)"
+_L = "with l as (select doc_id::varchar as doc_id, (i - 1)::int as line_no, trim(s) as s from (select doc_id, unnest(a) as s, generate_subscripts(a, 1) as i from (select doc_id, string_split(text, chr(10)) as a from documents)) where trim(s) <> ''), p as (select *, not regexp_matches(s, '[.;,:]$') and not regexp_matches(s, '[\\d²³¹]') as possible, list_filter(string_split(regexp_replace(s, '\\s+', ' ', 'g'), ' '), lambda w: w <> '') as words from l)"
 _UPPER = r"possible and len(words) between 2 and 14 and length(regexp_replace(s, '\PL', '', 'g')) > 0 and length(regexp_replace(s, '[^\p{Lu}]', '', 'g')) >= 0.8 * length(regexp_replace(s, '[^\p{L}]', '', 'g'))"
-_TITLE = r"""possible and not regexp_matches(s, '["''()\-•*]') and len(ws) between 2 and 14 and len(list_filter(ws, w -> regexp_matches(w, '^\p{Lu}'))) >= greatest(2, len(ws) - 1)"""
-_TW = r", t as (select *, list_filter(list_transform(words, w -> regexp_replace(w, '[^\p{L}\p{N}_À-ỹĐđ-]', '', 'g')), w -> w <> '') as ws from p)"
+_TITLE = r"""possible and not regexp_matches(s, '["''()\-•*]') and len(ws) between 2 and 14 and len(list_filter(ws, lambda w: regexp_matches(w, '^\p{Lu}'))) >= greatest(2, len(ws) - 1)"""
+_TW = r", t as (select *, list_filter(list_transform(words, lambda w: regexp_replace(w, '[^\p{L}\p{N}_À-ỹĐđ-]', '', 'g')), lambda w: w <> '') as ws from p)"
 
 
 @query(_L + f"\nselect doc_id, line_no, {_UPPER} as is_heading from p")
@@ -251,7 +251,7 @@ f as (select *, case when num_id = 1 then c0::varchar else repeat('M', (c0 // 10
   case when num_id = 1 then c2::varchar else chr((96 + c2)::int) end as f2 from c),
 n as (select *, case when c0 > 0 then f0 else '%1' end as s0, case when c1 > 0 then c1::varchar else '%2' end as s1, case when num_id = 1 then '.' else '' end as dot from f),
 labels as (select doc_id, idx, case ilvl when 0 then s0 || dot when 1 then s0 || '.' || s1 || dot else s0 || '.' || s1 || '.' || f2 || dot end as numbering_label,
-  array_to_string(list_filter([case when c0 > 0 then f0 end, case when ilvl >= 1 and c1 > 0 then c1::varchar end, case when ilvl = 2 then f2 end], x -> x is not null), '/') as path from n)"""
+  array_to_string(list_filter([case when c0 > 0 then f0 end, case when ilvl >= 1 and c1 > 0 then c1::varchar end, case when ilvl = 2 then f2 end], lambda x: x is not null), '/') as path from n)"""
 
 
 @query(_NUMBERED_SQL + "\nselect p.doc_id::varchar as doc_id, p.idx, numbering_label, coalesce(path, '') as path from p left join labels using (doc_id, idx)")
@@ -383,7 +383,7 @@ def chunk_quality(spark, sf_dir):
     return index.chunk_quality(_documents(spark, sf_dir), odd.unionByName(c.where("chunk_idx = 1")))
 
 
-@query(_V1 + "select chunk_id, array_to_string(list_filter([case when chunk_idx % 5 = 0 then 'muc_so' end, case when chunk_idx % 7 = 0 then 'article_title' end], x -> x is not null), ',') as missing from ix where chunk_idx % 5 = 0 or chunk_idx % 7 = 0")
+@query(_V1 + "select chunk_id, array_to_string(list_filter([case when chunk_idx % 5 = 0 then 'muc_so' end, case when chunk_idx % 7 = 0 then 'article_title' end], lambda x: x is not null), ',') as missing from ix where chunk_idx % 5 = 0 or chunk_idx % 7 = 0")
 def missing_metadata(spark, sf_dir):
     c = _index(spark, sf_dir).withColumn("muc_so", F.when(F.col("chunk_idx") % 5 != 0, F.col("muc_so"))).withColumn("article_title", F.when(F.col("chunk_idx") % 7 != 0, F.col("article_title")))
     return index.missing_metadata(c).select("chunk_id", F.array_join("missing", ",").alias("missing"))
@@ -401,7 +401,7 @@ def _vectors(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
 
 
-_DIST = "list_sum(list_transform(list_zip(q.embedding, x.embedding), z -> (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))"
+_DIST = "list_sum(list_transform(list_zip(q.embedding, x.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))"
 
 
 def _search_sql(k: int, where: str = "true") -> str:

@@ -123,9 +123,9 @@ def trained(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = TR
         return pd.DataFrame({"place": used, "w": w[used]})
 
     mean = rows.groupBy("shard").applyInPandas(train, "place long, w double")
-    pairs = mean.groupBy("place").agg(F.sum("w").alias("w")).toPandas()  # at most 2 ** bits + 1 rows
+    pairs = mean.groupBy("place").agg(F.sum("w").alias("w")).toArrow()  # at most 2 ** bits + 1 rows
     out = np.zeros((1 << bits) + 1)
-    out[pairs.place.to_numpy(np.int64)] = pairs.w.to_numpy(float) / max(1, SHARDS)
+    out[pairs["place"].to_numpy().astype(np.int64)] = pairs["w"].to_numpy().astype(float) / max(1, SHARDS)
     return out
 
 

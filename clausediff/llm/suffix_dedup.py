@@ -125,7 +125,7 @@ def _hot_grams(docs: DataFrame, names: int) -> np.ndarray:
                 yield _batch(["g", "n"], g[n >= names], n[n >= names].astype(np.int64))
 
     top = docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(HOT_MOST)
-    return np.sort(top.toPandas().g.to_numpy(np.int64).view(np.uint64))
+    return np.sort(top.toArrow()["g"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _keys(gram: np.ndarray, block: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +140,9 @@ def _filter(names: DataFrame) -> np.ndarray:
     """A bit for each name (hashes in column block), set in parallel; of fixed size."""
     bit = F.shiftrightunsigned("block", 64 - FILTER_BITS)
     words = names.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(block, {64 - FILTER_BITS}) & 63 as int))").alias("b"))
-    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[words.w.to_numpy(np.int64)] = words.b.to_numpy(np.int64).view(np.uint64)
+    out[words["w"].to_numpy().astype(np.int64)] = words["b"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 

@@ -235,12 +235,13 @@ def _numbered(spark, sf_dir):
     return p, p.select("doc_id", "version").distinct().crossJoin(F.broadcast(spec))  # six rows of numbering levels
 
 
-@query()
+@query("select doc_id::varchar as doc_id, (i - 1)::int as idx, case when (i - 1) % 5 < 3 then 1 end as num_id, case when (i - 1) % 5 < 3 then 0 end as ilvl from (select doc_id, unnest(a) as s, generate_subscripts(a, 1) as i from (select doc_id, string_split(text, chr(10)) as a from documents)) where trim(s) <> ''")
 def style_numbering(spark, sf_dir):
     p, _ = _numbered(spark, sf_dir)
     bare = p.withColumn("num_id", F.lit(None).cast("int")).withColumn("ilvl", F.lit(None).cast("int"))
     chain = spark.createDataFrame([("Heading1", None, 1, 0), ("Heading2", "Heading1", None, 1), ("Heading3", "Heading2", None, None), ("Body", "Loop", None, None), ("Loop", "Body", None, None)], "style_id string, based_on string, num_id int, ilvl int")
-    return numbering.style_numbering(bare, p.select("doc_id", "version").distinct().crossJoin(F.broadcast(chain)))  # five styles
+    styles = p.select("doc_id", "version").distinct().crossJoin(F.broadcast(chain))  # five styles
+    return numbering.style_numbering(bare, styles).select("doc_id", "idx", "num_id", "ilvl")
 
 
 _NUMBERED_SQL = r"""with l as (select doc_id, (i - 1)::int as idx, trim(s) as text from (select doc_id, unnest(a) as s, generate_subscripts(a, 1) as i from (select doc_id, string_split(text, chr(10)) as a from documents)) where trim(s) <> ''),

@@ -9,6 +9,7 @@ then find their place by their rank among the pieces of the same length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -32,9 +33,26 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words that the quick way below can take: ASCII without apostrophes, and precomposed Latin-1 letters.
+_PLAIN = re.compile(r"[!-&(-~À-ÖØ-Þß-öø-ÿ]+")
+_PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1
+    characters stand for themselves, the others follow from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class WordIds(dict):
     """Word (bytes without ASCII white space) -> its ids as packed uint32. The tokenizer never
-    joins text across ASCII white space, so a text's ids are those of its words in order."""
+    joins text across ASCII white space, so a text's ids are those of its words in order.
+
+    A word is taken apart as the tokenizer's rules do where those are plain (letters, single
+    digits, other runs, lower-cased), and its parts are remembered too, since most words are
+    new only by their capital or punctuation; any other word goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,16 +60,35 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBER:
+        self.letters = _byte_letters()
+        self.parts: dict[str, bytes] = {}
+        # only the vocabulary that these rules belong to takes the quick way
+        words = ("Thé", "x9!?", "ÀB12,", "a-b_c", "éàßÿ")
+        self.quick = True
+        self.quick = all(self._quickly(w) == self._wholly(w) for w in words)
+
+    def _wholly(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= REMEMBER:
+                self.parts.clear()
+            text = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            found = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+        return found
+
+    def _quickly(self, word: str) -> bytes:
+        return b"".join([self._part(p) for p in _PART.findall(word.lower())])
+
+    def __missing__(self, key: bytes) -> bytes:
+        word = key.decode("utf-8", "replace")
+        value = self._quickly(word) if self.quick and _PLAIN.fullmatch(word) and "<|" not in word else self._wholly(word)
+        if len(self) >= REMEMBER:
             self.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+        self[key] = value
+        return value
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = 2048) -> DataFrame:
@@ -65,22 +102,13 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = 2048) -> D
         for batch in batches:
             out = [[], [], [], [], []]
             texts = batch.column(1).cast(pa.large_binary())
-            at = 0
-            while at < len(texts):  # some rows at a time, for the memory's sake
-                rows, held = [], 0
-                while at + len(rows) < len(texts) and held < 4_000_000:
-                    text = texts[at + len(rows)].as_py() or b""
-                    held += len(text)
-                    rows.append(text.split())
-                ids.learn(set().union(*rows))
-                for i, words in enumerate(rows, at):
-                    packed = b"".join([ids[w] for w in words]) + end
-                    n = len(packed) // 4
-                    for start in range(0, n, size):
-                        part = packed[start * 4 : (start + size) * 4]
-                        for column, x in zip(out, (i, start, len(part) // 4, zlib.crc32(part), n), strict=True):
-                            column.append(x)
-                at += len(rows)
+            for i, text in enumerate(texts):
+                packed = b"".join([ids[w] for w in (text.as_py() or b"").split()]) + end
+                n = len(packed) // 4
+                for start in range(0, n, size):
+                    part = packed[start * 4 : (start + size) * 4]
+                    for column, x in zip(out, (i, start, len(part) // 4, zlib.crc32(part), n), strict=True):
+                        column.append(x)
             rest = [pa.array(c, pa.int64()) for c in out[1:]]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *rest], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

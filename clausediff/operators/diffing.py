@@ -78,7 +78,7 @@ def differs(before: Column, after: Column) -> Column:
 
 def with_diffs(pairs: DataFrame, max_items: int = 2) -> DataFrame:
     """pairs (pair_id, seq, v1_text, v2_text, …) with diff_blocks and raw_evidence; empty
-    where the texts agree. Only rows that differ go through Python, dealt out evenly."""
+    where the texts agree, whose texts aren't sent to Python."""
     schema = T.StructType([T.StructField("diff_blocks", T.ArrayType(DIFF_BLOCK)), T.StructField("raw_evidence", T.ArrayType(EVIDENCE))])
 
     @F.pandas_udf(schema)
@@ -86,13 +86,9 @@ def with_diffs(pairs: DataFrame, max_items: int = 2) -> DataFrame:
         texts = list(zip(before, after, strict=True))
         return pd.DataFrame({"diff_blocks": [line_blocks(a, b) for a, b in texts], "raw_evidence": [evidence_items(a, b, max_items) for a, b in texts]})
 
-    marked = pairs.withColumn("_d", differs(F.col("v1_text"), F.col("v2_text")))
-    changed = marked.where("_d").drop("_d").repartition("pair_id", "seq").withColumn("_x", both("v1_text", "v2_text"))
-    changed = changed.select("*", "_x.*").drop("_x")
-    same = marked.where("not _d").drop("_d")
-    for f in schema.fields:
-        same = same.withColumn(f.name, F.array().cast(f.dataType))
-    return changed.unionByName(same)
+    d = differs(F.col("v1_text"), F.col("v2_text"))
+    out = pairs.withColumn("_x", both(F.when(d, F.col("v1_text")), F.when(d, F.col("v2_text"))))  # nulls give empty lists
+    return out.select("*", "_x.*").drop("_x")
 
 
 def diff_blocks(pairs: DataFrame) -> DataFrame:

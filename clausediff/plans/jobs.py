@@ -22,7 +22,9 @@ def pair_chunks(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def matched_rows(chunks: DataFrame, encoder=None, k: int = 3, threshold: float = matching.THRESHOLD) -> DataFrame:
-    """compared_articles() of chunks with pair_id; vectors are made once for each chunk."""
+    """compared_articles() of chunks with pair_id; vectors are made once for each chunk. The
+    chunks are read several times, so they are kept (and recomputed if an executor is lost)."""
+    chunks = chunks.select("pair_id", "version", "chunk_id", "chunk_idx", "article_number", "article_title", "text").persist()
     articles = index.build_articles(chunks, ("pair_id", "version"))
     left, right = (articles.where(F.col("version") == v).drop("version") for v in ("v1", "v2"))
     v1 = vectors.embed(left, "full_text", encoder).select("pair_id", F.col("article_number").alias("left_no"), "embedding")

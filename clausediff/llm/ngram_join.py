@@ -8,6 +8,8 @@ reaches a threshold. The join is exact for the sets of 64-bit shingle hashes:
   A set's prefix for `l` matches is its first `n - ceil(t n) + l` shingles: two sets that
   link share at least `l` of their prefixes for `l`, and at least min(l, m) when the one
   has the prefix for l and the other that for m.
+* The number of shared prefix tokens also bounds the overlap; pairs that it rules out are
+  not compared.
 * Each document takes the `l` of least estimated cost: the postings that its prefix meets,
   plus the candidates that are left when `l` of them must agree.
 * Candidates inside one component need no check for the components. So each document is
@@ -19,17 +21,19 @@ The global order is counted over all documents; it changes only the cost, never
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausediff.llm.common import components, shingle_sets, small_or_not, stored, text_pieces
 
 #: Frequent shingles that get a place at the end of the order; 3 MB when broadcast.
 FREQUENT_MOST = 1 << 18
+#: Leaders that a document is checked against at a turn, and turns at most. They only save work.
+LEADERS, TURNS = 6, 8
 #: Longest prefix extension (and number of matches asked for).
 MATCHES = 4
 
@@ -65,9 +69,10 @@ def frequent_shingles(docs: DataFrame, k: int = 5, most: int = FREQUENT_MOST) ->
                 )
 
     counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.where("n >= 3").orderBy(F.desc("n"), "token").limit(most).toPandas()
-    top = top.sort_values("token", key=lambda s: s.to_numpy().view(np.uint64))
-    return top.token.to_numpy().view(np.uint64).copy(), top.n.to_numpy().astype(np.int64)
+    top = counted.where("n >= 3").orderBy(F.desc("n"), "token").limit(most).toArrow()
+    tokens = top["token"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], top["n"].to_numpy().astype(np.int64)[order]
 
 
 def _needed(n: Column, num: int, den: int) -> Column:
@@ -151,7 +156,9 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int
     postings = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     postings = postings.distinct() if member.count() < some.count() else postings
     shared = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = stored(postings.join(shared, "token"), "shared")
+    postings = postings.select("token", "doc_id", (F.col("n") * (1 << 31) + F.col("pos")).alias("at"))
+    shared = postings.join(shared, "token").withColumn("n", F.shiftright("at", 31)).withColumn("pos", F.col("at").bitwiseAND((1 << 31) - 1))
+    shared = stored(shared.drop("at"), "shared")
 
     # the prefix of least estimated cost: postings met, and candidates left, each of which costs the set's length
     base = F.col("n") - _needed(F.col("n"), num, den)
@@ -162,20 +169,29 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int
     chosen = chosen.select("doc_id", F.least(best, F.greatest(_needed(F.col("n"), num, den), F.lit(1))).alias("l"))
     used = stored(shared.join(chosen, "doc_id").where(F.col("pos") < base + F.col("l")), "used")
 
-    edges = []
+    # leaders of a token's documents of about one size, other ones and other sizes at each turn
     comp = None
-    for leader in (F.min, F.max):
-        token = used if comp is None else _with(used, comp)
-        lead = token.groupBy("token").agg(
-            leader(F.struct("n", "doc_id")).alias("lead"), *([] if comp is None else [F.min("comp").alias("lo"), F.max("comp").alias("hi")])
+    for turn in range(TURNS):
+        token = used.withColumn("comp", F.col("doc_id")) if comp is None else _with(used, comp)
+        token = token.withColumn("sizes", F.floor(F.log("n") / math.log(den / num) + turn * 0.618))
+        lead = token.groupBy("token", "sizes").agg(
+            F.min_by(F.struct("n", "doc_id", "l", "comp"), F.xxhash64("doc_id", F.lit(turn))).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
         )
-        if comp is not None:
-            lead = lead.where("lo <> hi")
-        met = token.join(lead, "token").where("doc_id <> lead.doc_id").groupBy("doc_id", F.col("lead.doc_id").alias("leader"))
-        best = met.agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.max(F.struct("c", "leader")).alias("best"))
-        pairs = stored(best.select(F.col("doc_id").alias("a"), F.col("best.leader").alias("b")), "star")
-        edges.append(stored(verified(docs, pairs, num, den, k), "edges"))
-        comp = _components(edges)
+        met = token.join(lead.where("lo <> hi"), ["token", "sizes"]).where("comp <> lead.comp")
+        met = met.groupBy("doc_id", F.col("lead.doc_id").alias("leader")).agg(
+            F.count("*").alias("c"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("lead.n").alias("n_b"), F.first("lead.l").alias("l_b")
+        )
+        best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("c"), "leader"))
+        met = met.where(_may_link("n", "l", "n_b", "l_b", num, den)).withColumn("best", best).where(F.col("best") <= LEADERS)
+        pairs = stored(met.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), "star")
+        edges = stored(verified(docs, pairs, num, den, k), "edges")
+        tried, found = pairs.count(), edges.count()
+        if found:
+            comp = _joined(comp, edges)
+        if found * 40 < tried or not tried:  # few more would follow; the next step takes them all
+            break
+    if comp is None:
+        comp = components(edges)
 
     token = _with(used, comp)
     size = token.groupBy("token", "comp").agg(F.count("*").alias("c"))
@@ -183,14 +199,13 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int
     token = stored(token.join(most, "token").select("token", "doc_id", "n", "l", "comp", (F.col("comp") == F.col("most.comp")).alias("major")), "open")
     a = token.where("not major").select("token", *[F.col(c).alias(c + "_a") for c in ("doc_id", "n", "l", "comp")])
     b = token.select("token", "major", *[F.col(c).alias(c + "_b") for c in ("doc_id", "n", "l", "comp")])
-    close = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-    met = a.join(b, "token").where((F.col("comp_a") != F.col("comp_b")) & (F.col("major") | (F.col("doc_id_a") < F.col("doc_id_b"))) & close)
+    met = a.join(b, "token").where((F.col("comp_a") != F.col("comp_b")) & (F.col("major") | (F.col("doc_id_a") < F.col("doc_id_b"))) & _close("n_a", "n_b", num, den))
     pairs = met.groupBy(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).agg(
-        F.count("*").alias("c"), F.min(F.least("l_a", "l_b")).alias("asked")
+        F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("n_a", "l_a", "n_b", "l_b")]
     )
-    pairs = stored(pairs.where("c >= asked").select("a", "b"), "candidates")
-    edges.append(stored(verified(docs, pairs, num, den, k), "edges"))
-    comp = _components(edges)
+    pairs = pairs.where((F.col("c") >= F.least("l_a", "l_b")) & _may_link("n_a", "l_a", "n_b", "l_b", num, den))
+    pairs = stored(pairs.select("a", "b"), "candidates")
+    comp = _joined(comp, verified(docs, pairs, num, den, k))
     named = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(
@@ -198,8 +213,23 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int
     )
 
 
-def _components(edges: list[DataFrame]) -> DataFrame:
-    return stored(components(reduce(DataFrame.unionByName, edges)), "components")
+def _may_link(n_a: str, l_a: str, n_b: str, l_b: str, num: int, den: int) -> Column:
+    """Whether two sets of which c prefix tokens agree can still link: of the one whose prefix
+    ends first, no token before that end can agree with a token behind the other's prefix, so
+    the overlap is at most c and what lies behind that prefix."""
+    rest = F.greatest(*[_needed(F.col(n), num, den) - F.col(l) for n, l in ((n_a, l_a), (n_b, l_b))])
+    return _close(n_a, n_b, num, den) & ((F.col("c") + rest) * (num + den) >= (F.col(n_a) + F.col(n_b)) * num)
+
+
+def _close(n_a: str, n_b: str, num: int, den: int) -> Column:
+    return (F.col(n_a) * den >= F.col(n_b) * num) & (F.col(n_b) * den >= F.col(n_a) * num)
+
+
+def _joined(comp: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """Components of the links so far and the new ones."""
+    if comp is not None:
+        edges = edges.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(edges)
 
 
 def _with(used: DataFrame, comp: DataFrame) -> DataFrame:

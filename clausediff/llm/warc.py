@@ -278,7 +278,8 @@ def archived(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
     total = manifest.agg(F.sum("records")).first()[0] or 0
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, min(parts, total // 1000), total // RANGE_ROWS)
-    sample = pages.select("url", "page_id").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(BOUNDARY_SAMPLE).collect()
+    some = F.pmod(F.xxhash64("page_id", "url"), F.lit(max(1, total // BOUNDARY_SAMPLE))) == 0
+    sample = pages.select("url", "page_id").where(some).distinct().limit(8 * BOUNDARY_SAMPLE).collect()
     keys = sorted({sort_key(r.url, f"{_stamp(r.page_id):%Y%m%d%H%M%S}", r.page_id) for r in sample})
     ranges = min(ranges, len(keys) or 1)
     return merged_index(manifest, sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}))

@@ -32,6 +32,8 @@ from clausediff.llm.common import components, shingle_sets, small_or_not, stored
 
 #: Frequent shingles that get a place at the end of the order; 3 MB when broadcast.
 FREQUENT_MOST = 1 << 18
+#: They are told by coming up twice within so many bytes of text.
+FREQUENT_BYTES = 10 << 20
 #: Leaders that a document is checked against at a turn, and turns at most. They only save work.
 LEADERS, TURNS = 6, 8
 #: Longest prefix extension (and number of matches asked for).
@@ -55,18 +57,25 @@ def shingle_rows(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def frequent_shingles(docs: DataFrame, k: int = 5, most: int = FREQUENT_MOST) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found in several documents of one batch somewhere, with those counts summed
+    """Shingles found in several documents of one stretch of text somewhere, with those counts summed
     over all documents: the `most` most frequent ones, sorted by hash."""
 
+    def several(held):
+        tokens, n = np.unique(np.concatenate(held), return_counts=True)
+        keep = n >= 2
+        return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["token", "n"])
+
     def run(batches):
         for batch in batches:
-            held = [s for _, data, offs in text_pieces(batch.column(0)) for s in shingle_sets(data, offs, k)]
+            held, size = [], 0
+            for _, data, offs in text_pieces(batch.column(0)):
+                held += shingle_sets(data, offs, k)
+                size += len(data)
+                if size >= FREQUENT_BYTES:
+                    yield several(held)
+                    held, size = [], 0
             if held:
-                tokens, n = np.unique(np.concatenate(held), return_counts=True)
-                keep = n >= 2
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["token", "n"]
-                )
+                yield several(held)
 
     counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.where("n >= 3").orderBy(F.desc("n"), "token").limit(most).toArrow()

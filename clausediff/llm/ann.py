@@ -9,7 +9,12 @@ original vectors. Buckets of many members or queries are split into blocks of bo
 none is cut.
 
 Largest inner products are nearest neighbours once each vector gets one more component that
-brings all to the same length; queries get a zero there.
+brings all to the same length; queries get a zero there. Members do so in ranges of their
+norm, each scaled by its own longest, or a single long vector would leave all others with
+little but that component. Queries hash alike for all ranges, so the ranges share buckets.
+
+A query that has found fewer rows than it asks for and there are is searched exactly: it
+meets all members, again in blocks.
 """
 
 from __future__ import annotations
@@ -26,14 +31,16 @@ from clausediff.llm.common import mix, small_or_not, stored
 TABLES, HASHES, WIDTH, PROBES, SEED = 5, 6, 2.0, 64, 11
 #: Most members, and queries, of one block.
 BLOCK = 20_000
+#: Norm ranges in each doubling of the norm.
+RANGES = 4
 
 
-def usable(df: DataFrame) -> DataFrame:
-    """Rows with an id and a vector of the most common length, of finite numbers, not all zero."""
+def usable(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Rows with an id and a vector of length n (else the most common), of finite numbers, not all zero."""
     d = df.where("vec_id is not null").select("vec_id", "embedding")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     d = d.where(fine & F.exists("embedding", lambda x: x != 0))
-    n = d.agg(F.mode(F.size("embedding"))).first()[0]
+    n = d.agg(F.mode(F.size("embedding"))).first()[0] if n is None else n
     return d.where(F.size("embedding") == F.lit(n))
 
 
@@ -83,7 +90,14 @@ def _packed(x: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in np.ascontiguousarray(x)], pa.binary())
 
 
-def _hashed(df: DataFrame, length: float, queries: bool) -> DataFrame:
+def longest_norms(df: DataFrame) -> np.ndarray:
+    """The longest norm of each norm range that has rows, in order; a double's exponent bounds their number."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, e: a + e.cast("double") * e))
+    ranges = df.select(norm.alias("norm")).groupBy(F.ceil(F.log2("norm") * RANGES).alias("range"))
+    return np.sort(np.array([r[0] for r in ranges.agg(F.max("norm")).select("max(norm)").collect()], np.float64))
+
+
+def _hashed(df: DataFrame, lengths: np.ndarray, queries: bool) -> DataFrame:
     """bucket, vec_id, vec for each table (and probe)."""
 
     def run(batches):
@@ -97,7 +111,8 @@ def _hashed(df: DataFrame, length: float, queries: bool) -> DataFrame:
                 if queries:
                     y = np.hstack([x / norm[:, None], np.zeros((len(x), 1))])
                 else:
-                    y = np.hstack([x / length, np.sqrt(np.maximum(0, 1 - (norm / length) ** 2))[:, None]])
+                    length = lengths[np.minimum(np.searchsorted(lengths, norm * (1 - 1e-9)), len(lengths) - 1)]
+                    y = np.hstack([x / length[:, None], np.sqrt(np.maximum(0, 1 - (norm / length) ** 2))[:, None]])
                 rows, names = [], []
                 for t in range(TABLES):
                     place = (y @ planes[t] + shifts[t]) / WIDTH
@@ -131,27 +146,25 @@ def _best(q, v, s, k):
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries the k rows of vectors with the
     largest inner product that the probes find, its own id left out, ties to the smaller id.
+    Where they find fewer than k, the query is searched exactly, so only a table that has
+    fewer rows gives fewer.
 
-    Both have vec_id and embedding. Vectors that are null, zero, of another length or hold
-    null or non-finite components take no part. Of equal vectors only the k + 1 smallest ids
+    Both have vec_id and embedding. Vectors that are null, zero, of another length than most
+    of vectors or hold null or non-finite components take no part. Of equal vectors only the k + 1 smallest ids
     can be among the k nearest of any query, so more aren't indexed. Repeated rows count once."""
     x = stored(usable(vectors), "vectors")
-    q = usable(queries).dropDuplicates(["vec_id"])
-    longest = x.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, e: a + e.cast("double") * e)))).first()[0] or 1.0
+    first = x.select(F.size("embedding")).first()
+    q = usable(queries, first[0] if first else 0).dropDuplicates(["vec_id"])
+    lengths = longest_norms(x)
     alike = Window.partitionBy("embedding").orderBy("vec_id")
     x = x.dropDuplicates(["vec_id"]).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k + 1).drop("_n")
-    members = stored(_hashed(x, longest, False), "members")
-    probes = stored(_hashed(q, longest, True), "probes")
+    members = stored(_hashed(x, lengths, False), "members")
+    probes = stored(_hashed(q, lengths, True), "probes")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("m")).join(probes.groupBy("bucket").agg(F.count("*").alias("p")), "bucket")
     sizes = stored(sizes.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("ms"), F.ceil(F.col("p") / BLOCK).cast("int").alias("ps")).where("ms > 1 or ps > 1"), "sizes")
-    sizes = small_or_not(sizes)
     one = lambda c: F.coalesce(c, F.lit(1))
     part = lambda c: F.pmod(F.xxhash64("vec_id"), one(F.col(c))).cast("int")
     all_of = lambda c: F.explode(F.sequence(F.lit(0), one(F.col(c)) - 1))
-    left = probes.join(sizes, "bucket", "left").select("bucket", part("ps").alias("pb"), all_of("ms").alias("mb"), F.lit(0).alias("kind"), "vec_id", "vec")
-    right = members.join(sizes, "bucket", "left").select("bucket", all_of("ps").alias("pb"), part("ms").alias("mb"), F.lit(1).alias("kind"), "vec_id", "vec")
-    key = ["bucket", "pb", "mb"]
-    met = left.unionByName(right).repartition(*key).sortWithinPartitions(*key, "kind")
 
     def run(batches):
         now, qs, xs, found, held = None, [], [], [], 0
@@ -163,7 +176,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 for b in range(0, len(mi), 8192):
                     s = vecs[a : a + 512] @ mv[b : b + 8192].T
                     s[ids[a : a + 512, None] == mi[None, b : b + 8192]] = -np.inf
-                    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 1e-9 * longest * longest if s.shape[1] > k else np.full(len(s), -np.finfo(float).max)
+                    slack = 1e-9 * np.sqrt((vecs[a : a + 512] ** 2).sum(axis=1) * (mv[b : b + 8192] ** 2).sum(axis=1).max())
+                    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - slack if s.shape[1] > k else np.full(len(s), -np.finfo(float).max)
                     i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))
                     yield ids[a + i], mi[b + j], (vecs[a + i] * mv[b + j]).sum(axis=1)
 
@@ -204,6 +218,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         if found:
             yield batch_of(_best(*(np.concatenate(c) for c in zip(*found, strict=True)), k))
 
-    scored = met.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
+    def met(probes, members, sizes):
+        """query_id, vec_id, score of the queries and members that share a bucket: each task's k nearest of a query."""
+        left = probes.join(sizes, "bucket", "left").select("bucket", part("ps").alias("pb"), all_of("ms").alias("mb"), F.lit(0).alias("kind"), "vec_id", "vec")
+        right = members.join(sizes, "bucket", "left").select("bucket", all_of("ps").alias("pb"), part("ms").alias("mb"), F.lit(1).alias("kind"), "vec_id", "vec")
+        key = ["bucket", "pb", "mb"]
+        both = left.unionByName(right).repartition(*key).sortWithinPartitions(*key, "kind")
+        return both.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
+
+    scored = stored(met(probes, members, small_or_not(sizes)), "scored")
+    found = scored.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("found"))
+    few = stored(probes.select("vec_id").distinct().join(found, "vec_id", "left").where(F.coalesce("found", F.lit(0)) < k), "few")
+    if few.count():
+        n = members.count() // TABLES
+        own = members.select("vec_id", F.lit(1).alias("own")).join(small_or_not(few.select("vec_id")), "vec_id", "left_semi").distinct()
+        there = F.least(F.lit(k), F.lit(n) - F.coalesce("own", F.lit(0)))
+        few = stored(few.join(own, "vec_id", "left").where(F.coalesce("found", F.lit(0)) < there).select("vec_id"), "few")
+    if m := few.count():
+        one_each = lambda df: df.dropDuplicates(["vec_id"]).withColumn("bucket", F.lit(0).cast("long"))
+        sizes = vectors.sparkSession.range(1).select(F.col("id").alias("bucket"), F.lit(-(-n // BLOCK)).alias("ms"), F.lit(-(-m // BLOCK)).alias("ps"))
+        exact = met(one_each(probes.join(small_or_not(few), "vec_id", "left_semi")), one_each(members), F.broadcast(sizes))  # sizes is one row
+        scored = stored(scored.unionByName(exact).distinct(), "scored")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

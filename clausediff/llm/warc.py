@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausediff.llm.common import shared_dir, small_or_not, stored
+from clausediff.llm.common import BROADCAST_ROWS, shared_dir, small_or_not, stored
 
 #: Payloads shorter than this are always stored.
 REVISIT_BYTES = 1000
@@ -34,6 +34,8 @@ RUN_ROWS, BLOCK_ROWS, RANGE_ROWS = 50_000, 1024, 200_000
 BOUNDARY_SAMPLE = 4096
 #: Capture time of page 0 where the pages have none; page n follows n seconds later.
 FIRST_CAPTURE = 1_704_067_200
+#: Most revisit decisions that are broadcast: a row of them, with its digest, is about six times an id.
+AGAIN_ROWS = BROADCAST_ROWS // 6
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = pa.schema(
     [("sort_key", pa.binary()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
@@ -81,10 +83,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 def write_archives(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) as archives; returns the manifest: archive, records, bytes."""
     p = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    p = p.withColumn("digest", F.sha1("payload"))
-    narrow = stored(p.select("page_id", "digest", F.octet_length("payload").cast("long").alias("n")).where(F.col("n") >= min_bytes), "payloads")
+    p = p.withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
+    narrow = stored(p.select("page_id", "digest", "n").where(F.col("n") >= min_bytes), "payloads")
     same = narrow.groupBy("digest", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null")
-    again = stored(narrow.join(same, ["digest", "n"]).where("page_id <> first").select("page_id", F.col("first").alias("refers_to")).distinct(), "revisits")
+    again = stored(narrow.join(same, ["digest", "n"]).where("page_id <> first").select("page_id", "digest", "n", F.col("first").alias("refers_to")).distinct(), "revisits")
     folder = shared_dir(pages.sparkSession, "warc")
 
     def write(batches):
@@ -114,7 +116,7 @@ def write_archives(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFram
             ["archive", "records", "bytes"],
         )
 
-    rows = p.join(small_or_not(again), "page_id", "left").select("page_id", "url", "payload", "digest", "refers_to")
+    rows = p.join(small_or_not(again, AGAIN_ROWS), ["page_id", "digest", "n"], "left").select("page_id", "url", "payload", "digest", "refers_to")
     return stored(rows.mapInArrow(write, "archive string, records long, bytes long"), "manifest")
 
 

@@ -1,5 +1,7 @@
 """What the first round's review found cut short, each case against brute force or by hand."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -48,3 +50,16 @@ def test_nearest_other_length(spark):
     table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], VECTORS)
     asked = spark.createDataFrame([(50, [1.0, 2.0]), (51, [2.0, 1.0]), (3, [float(v) for v in x[4]])], VECTORS)
     assert {(r.query_id, r.vec_id) for r in nearest(table, asked).collect()} == {(3, i) for i in range(12) if i != 3}
+
+
+def test_warc_one_id_two_payloads(spark):
+    from clausediff.llm.warc import archived
+
+    a, b = "a" * 1200, "b" * 1200
+    rows = [(1, b), (1, a), (2, a)]
+    pages = lambda rows: spark.createDataFrame([(i, "http://x.com/", t) for i, t in rows], "page_id long, url string, html string")
+    digest = {hashlib.sha1(t.encode()).hexdigest(): t[0] for t in (a, b)}
+    got = lambda rows: sorted((r.page_id, digest[r.payload_digest], r.record_type, r.refers_to or 0) for r in archived(pages(rows)).collect())
+    assert got(rows) == [(1, "a", "revisit", 2), (1, "b", "response", 0), (2, "a", "response", 0)]
+    # each payload has a later copy of its own, and a repeated row a record of its own
+    assert got([*rows, (1, b), (3, b)]) == [(1, "a", "revisit", 2), *[(1, "b", "revisit", 3)] * 2, (2, "a", "response", 0), (3, "b", "response", 0)]

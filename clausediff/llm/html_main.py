@@ -83,6 +83,8 @@ class _Page:
         if at < len(html):
             self.text(html[at:])
         self.close_block()
+        if "html" not in self.tag and "body" not in self.tag:
+            self.tag[0] = "body"  # both tags may be left out
 
     def text(self, raw: str) -> None:
         if self.gone[self.open[-1]]:
@@ -198,7 +200,7 @@ def main_text(html: str | None) -> str:
             keep[e] = True
         elif p >= 0 and keep[p]:
             keep[e] = not (page.tag[e] in LISTS and size[e] and dense(e) > 0.5)
-        elif p == page.parent[best] and p > 0:
+        elif p == page.parent[best] and (p > 0 or page.tag[0] == "body" and p == 0):
             tag = page.tag[e]
             keep[e] = given[e] and final[e] >= least or tag in HEADINGS and dense(e) < 0.3 or tag == "p" and size[e] > 80 and dense(e) < 0.25
     return "\n".join(text for e, text, _ in page.blocks if keep[e])

@@ -63,3 +63,15 @@ def test_warc_one_id_two_payloads(spark):
     assert got(rows) == [(1, "a", "revisit", 2), (1, "b", "response", 0), (2, "a", "response", 0)]
     # each payload has a later copy of its own, and a repeated row a record of its own
     assert got([*rows, (1, b), (3, b)]) == [(1, "a", "revisit", 2), *[(1, "b", "revisit", 3)] * 2, (2, "a", "response", 0), (3, "b", "response", 0)]
+
+
+def test_html_without_body():
+    from clausediff.llm.html_main import main_text
+
+    half = lambda w: ", ".join([" ".join([w] * 12)] * 6)
+    page = f"<div><p>{half('one')}</p></div><div><p>{half('two')}</p></div>"
+    menu = "<div><a href=x>Home of the site, and more</a> <a href=y>All the news, by day</a></div>"
+    assert main_text(page) == f"{half('one')}\n{half('two')}"
+    for p in (page, page + menu, menu + page, f"<h1>Head</h1>{page}", f"<p>{half('a')}", "only text", "<p>short"):
+        assert main_text(p) == main_text(f"<body>{p}</body>") == main_text(f"<html><body>{p}</body></html>")
+    assert "Home" not in main_text(menu + page)

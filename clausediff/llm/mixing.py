@@ -62,15 +62,16 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     return by.select("source", "source_size", "source_rows", "before", target.alias("target"))
 
 
-def mixed(docs: DataFrame, seed: str = "mix-1", **targets) -> DataFrame:
+def mixed(docs: DataFrame, seed: str = "mix-1", carry: tuple[str, ...] = (), **targets) -> DataFrame:
     """docs with size, source_size, target, copies (how often the mix takes the document, at
-    most twice) and taken (words that it takes) for each row of docs (doc_id, text, source).
+    most twice) and taken (words that it takes) for each row of docs (doc_id, text, source),
+    beside doc_id, source and the row's own columns that `carry` names.
 
     Null texts have size 0, a null source is a source of its own, and a source without words
     gives no copies. Repeated rows count as documents of their own. Reruns agree: the random
     offset of a source is a hash of the seed and its name. An empty table gives no rows.
     """
-    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry)
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
     placed = stored(with_running(d, order, {"row": F.lit(1)}, "sized"), "placed")
     by = stored(source_targets(placed, **targets), "targets").withColumnRenamed("source", "s")
@@ -81,7 +82,7 @@ def mixed(docs: DataFrame, seed: str = "mix-1", **targets) -> DataFrame:
     k = (F.col("row") - F.col("before")).cast("double")
     copies = F.floor((k + 1) * F.col("e") + F.col("u")) - F.floor(k * F.col("e") + F.col("u"))
     out = out.withColumn("e", e).withColumn("u", u).withColumn("copies", copies)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)
 
 
 ORACLE = r"""

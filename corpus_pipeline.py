@@ -18,11 +18,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored(docs, trained(docs, labels)).where(F.col("score") >= KEEP_SCORE).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of each row's own; stored, so that it stays."""
+    from clausediff.llm.common import stored
+
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each id that repeats: the longest text. Rows with a null id all stay."""
+    from clausediff.llm.common import small_or_not, stored
+
+    twice = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if not twice.count():
+        return docs
+    rows = _numbered(docs)
+    same = rows.join(small_or_not(twice), "doc_id", "left_semi").select("doc_id", "_row", (-F.coalesce(F.length("text"), F.lit(-1))).alias("n"), F.xxhash64("text").alias("h"))
+    same = stored(same, "same")
+    first = same.groupBy("doc_id").agg(F.min(F.struct("n", "h", "_row")).alias("first")).select("first._row")
+    others = stored(same.select("_row").join(first, "_row", "left_anti"), "others")
+    return rows.join(small_or_not(others), "_row", "left_anti").select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group the document with the smallest id stays."""
+    """N-gram Jaccard join: of each group the document with the smallest id stays.
+
+    Rows of one doc_id are one document, of which the row with the longest text is taken. Rows
+    with a null doc_id can't be told apart by it: all of them stay."""
     from clausediff.llm.common import small_or_not, stored
     from clausediff.llm.ngram_join import ngram_jaccard_components
 
+    docs = _one_row_each(docs)
     found = ngram_jaccard_components(docs).where("component_id <> doc_id")
     gone = stored(found.select("doc_id").distinct(), "gone")
     return docs.join(small_or_not(gone), "doc_id", "left_anti").select(*docs.columns)
@@ -41,12 +67,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: each document as often as its source's target asks for."""
+    """Mixing: each row as often as its source's target asks for, whether its doc_id is null,
+    repeated or its own."""
     from clausediff.llm.common import stored
     from clausediff.llm.mixing import mixed
 
-    counts = stored(mixed(docs).where("copies > 0").select("doc_id", "copies"), "copies").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    out = docs.join(counts, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rows = _numbered(docs)
+    counts = stored(mixed(rows, carry=("_row",)).where("copies > 0").select("_row", "copies"), "copies")
+    out = rows.join(counts, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(*docs.columns)
 
 

@@ -1,6 +1,9 @@
 """What the first round's review found cut short, each case against brute force or by hand."""
 
 import hashlib
+import math
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -75,3 +78,91 @@ def test_html_without_body():
     for p in (page, page + menu, menu + page, f"<h1>Head</h1>{page}", f"<p>{half('a')}", "only text", "<p>short"):
         assert main_text(p) == main_text(f"<body>{p}</body>") == main_text(f"<html><body>{p}</body></html>")
     assert "Home" not in main_text(menu + page)
+
+
+ROWS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_mixing_rows(spark):
+    import corpus_pipeline
+    from clausediff.llm.mixing import mixed
+
+    # ids that are null, shared and single, each with texts of its own length
+    ids = [None, None, None, 7, 7, 7, *range(20, 34)]
+    docs = spark.createDataFrame([(d, f"t{i} " + "w " * (i * i), "en", f"s{i % 2}", None) for i, d in enumerate(ids)], ROWS)
+    out = Counter(r.text.split()[0] for r in corpus_pipeline.mixing(spark, docs, "").collect())
+    wanted = {f"t{i}": 0 for i in range(len(ids))}
+    for r in mixed(docs).collect():
+        wanted[next(f"t{i}" for i in range(len(ids)) if i * i + 1 == r.size)] = r.copies
+    assert out == {t: n for t, n in wanted.items() if n} and {"t2", "t5"} & set(out)
+
+
+def test_pipeline_repeated_ids(spark):
+    import corpus_pipeline
+
+    t = lambda i, n=30: " ".join(f"{i}x{j}" for j in range(n))
+    rows = [(1, t(1)), (1, t(1)), (2, t(2)), (2, t(2, 31)), (3, t(3)), (3, t(4, 40)), (4, t(3)), (5, ""), (5, ""), (5, None), (None, t(9)), (None, t(9)), (6, t(1))]
+    docs = spark.createDataFrame([(i, x, "en", "s", None) for i, x in rows], ROWS)
+    out = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    # 6 is a copy of 1; 4 was one of the shorter row of 3 alone, so it stays
+    assert out == Counter([(1, t(1)), (2, t(2, 31)), (3, t(4, 40)), (4, t(3)), (5, ""), (None, t(9)), (None, t(9))])
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from clausediff.llm.mixing import mixed
+    from clausediff.llm.packing import WordIds, default_tokenizer
+    from test_operators import WORD, brute_repeats
+
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 900, n))
+    rows = [(i, words(int(rng.integers(20, 90))), "en", f"s{i % 3}" if i % 7 else None, None) for i in range(60)]
+    shared = words(40)
+    rows += [(100 + i, rows[i][1] + (" tail" if i % 2 else ""), "en", "s1", None) for i in range(12)]
+    rows += [(200 + i, f"{words(15 + i)} {shared} {words(9)}", "en", "s2", None) for i in range(8)]
+    rows += [rows[3], rows[3], (300, words(61) + " " + shared, "en", "s0", None), (300, words(20), "en", "s0", None)]
+    rows += [(None, words(101), "en", "s0", None), (None, words(103), "en", "s0", None)]
+    spark.createDataFrame(rows, ROWS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = [tuple(r) for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()]
+    assert len(kept) > 60 and sum(r[0] is None for r in kept) > 0
+
+    best = {}
+    for r in kept:
+        if r[0] is not None and len(r[1]) > len(best.get(r[0], r[:1] + ("",))[1]):
+            best[r[0]] = r
+    one, left = sorted(best.values()), []
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (r[1].split() for r in one)]
+    up = list(range(len(one)))
+    for i in range(len(one)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = up[i], up[j]
+                up = [min(x, y) if u in (x, y) else u for u in up]
+    left = [r for i, r in enumerate(one) if up[i] == i]
+    assert len(left) < len(one)
+    whole, seen = [], set()
+    for d, t, *rest in left:
+        gone = [False] * len(t)
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                gone[s : s + 100] = [True] * 100
+            seen.add(t[s : s + 100])
+        whole.append((d, "".join(c for c, g in zip(t, gone, strict=True) if not g), *rest))
+    assert sum(n for _, n, *_ in brute_repeats([r[:2] for r in left]).values()) == sum(len(r[1]) for r in left) - sum(len(r[1]) for r in whole) > 0
+    whole = [r for r in whole if r[1]] + [r for r in kept if r[0] is None]
+    # sources' targets are checked against brute force in test_operators
+    share = {r.source: (r.target, r.source_size) for r in mixed(spark.createDataFrame(whole, ROWS)).collect()}
+    wanted, ids = Counter(), WordIds(default_tokenizer())
+    for source, (target, size) in share.items():
+        name = "mix-1" + ("" if source is None else "=" + source)
+        u, e = int(hashlib.md5(name.encode()).hexdigest()[:8], 16) / 4294967296.0, target / size
+        of = sorted((r for r in whole if r[3] == source), key=lambda r: (len(WORD.findall(r[1])), -1 if r[0] is None else r[0]))
+        for k, r in enumerate(of):
+            tokens = np.array([*ids.tokenizer.encode(r[1], add_special_tokens=False).ids, 1], "<u4")
+            if n := math.floor((k + 1) * e + u) - math.floor(k * e + u):
+                wanted[r[0], len(tokens), zlib.crc32(tokens.tobytes())] += n
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.doc_tokens, r.ids_crc32) for r in out) == wanted and all(r.start == 0 and r.offset + r.length <= 2048 for r in out)
+    assert len({(r.sequence_id, r.offset) for r in out}) == len(out)

@@ -1,8 +1,9 @@
-"""Packing documents into fixed-length sequences: shortest-pack-first over the length histogram.
+"""Packing documents into fixed-length sequences: longest-pack-first over the length histogram.
 
 Documents are tokenized and cut at whole sequences. The pieces' lengths form a histogram of
 at most `size` bins; the lengths are placed longest first, each into the open packs with the
-least room that still holds it, a whole count of packs at a time. The result is a list of
+least room that still holds it (best fit), a whole count of packs at a time. This is not
+shortest-pack-first, which takes the most room; README has the padding of both. The result is a list of
 packing patterns with counts, whose size depends on `size` alone, not on the corpus. Pieces
 then find their place by their rank among the pieces of the same length.
 """

@@ -16,7 +16,12 @@ reaches a threshold. The join is exact for the sets of 64-bit shingle hashes:
   checked against the leader of its prefix tokens first, which joins large groups of near
   copies in linear work; then all pairs that still lie in different components are checked.
 
-The global order is counted over all documents; it changes only the cost, never the result.
+What comes out are components, each document with its own, not the links: pairs inside one
+component are mostly never compared, so neither the links nor their number are known.
+
+The global order is counted over all documents, but only from shingles that come up twice
+within one stretch of text (FREQUENT_BYTES, or a batch if that is shorter). A shingle met
+once in every stretch stays among the rare ones. That changes only the cost, never the result.
 """
 
 from __future__ import annotations

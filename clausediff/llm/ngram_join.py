@@ -12,9 +12,16 @@ reaches a threshold. The join is exact for the sets of 64-bit shingle hashes:
   not compared.
 * Each document takes the `l` of least estimated cost: the postings that its prefix meets,
   plus the candidates that are left when `l` of them must agree.
-* Candidates inside one component need no check for the components. So each document is
-  checked against the leader of its prefix tokens first, which joins large groups of near
-  copies in linear work; then all pairs that still lie in different components are checked.
+* Prefix tokens of many documents tell little apart: near copies of one text share nearly all
+  of them, also where no two of the copies link. Documents that meet on such hot tokens gather
+  around centers, and inside a center's cell sets are replaced by their differences from the
+  center, in which all that the copies have in common cancels out. With `D` the size of a
+  difference, two sets link if and only if `D_a + D_b - 2 c <= (1 - t) / (1 + t) (n_a + n_b)`,
+  c being the shared tokens of their differences. So documents that are near the center link
+  with it at once, and any pair with one that isn't must share c >= 1 tokens: prefixes of the
+  differences, rarest tokens of the cell first, find it.
+* Pairs of different cells, or of none, are found by the prefixes of their sets, if they lie in
+  different components by then.
 
 What comes out are components, each document with its own, not the links: pairs inside one
 component are mostly never compared, so neither the links nor their number are known.
@@ -33,14 +40,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausediff.llm.common import components, shingle_sets, small_or_not, stored, text_pieces
+from clausediff.llm.common import components, most_frequent, shingle_sets, small_or_not, stored, text_pieces
 
-#: Frequent shingles that get a place at the end of the order; 3 MB when broadcast.
+#: Frequent shingles that get a place at the end of the order; 4 MB when broadcast.
 FREQUENT_MOST = 1 << 18
 #: They are told by coming up twice within so many bytes of text.
 FREQUENT_BYTES = 10 << 20
-#: Leaders that a document is checked against at a turn, and turns at most. They only save work.
-LEADERS, TURNS = 6, 8
+#: Prefix tokens of so many documents are hot: their documents are compared by cells.
+HOT = 8
+#: Sets of centers are broadcast up to so many bytes, and joined by a shuffle beyond.
+CENTER_BYTES = 16 << 20
 #: Longest prefix extension (and number of matches asked for).
 MATCHES = 4
 
@@ -63,7 +72,7 @@ def shingle_rows(docs: DataFrame, k: int = 5) -> DataFrame:
 
 def frequent_shingles(docs: DataFrame, k: int = 5, most: int = FREQUENT_MOST) -> tuple[np.ndarray, np.ndarray]:
     """Shingles found in several documents of one stretch of text somewhere, with those counts summed
-    over all documents: the `most` most frequent ones, sorted by hash."""
+    over all documents: the most frequent ones, `most` at most, sorted by hash."""
 
     def several(held):
         tokens, n = np.unique(np.concatenate(held), return_counts=True)
@@ -83,7 +92,7 @@ def frequent_shingles(docs: DataFrame, k: int = 5, most: int = FREQUENT_MOST) ->
                 yield several(held)
 
     counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.where("n >= 3").orderBy(F.desc("n"), "token").limit(most).toArrow()
+    top = most_frequent(stored(counted.where("n >= 3"), "frequent"), most)
     tokens = top["token"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], top["n"].to_numpy().astype(np.int64)[order]
@@ -149,26 +158,119 @@ def verified(docs: DataFrame, pairs: DataFrame, num: int, den: int, k: int) -> D
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def centers(used: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, z: the center for each document with hot tokens. used: token, doc_id, n, df, pos, l.
+
+    A token's most central document leads it, which is the one with the largest share of hot
+    tokens in its prefix (each edit of a copy takes some away); ones of other sizes have other
+    leaders, in ranges that overlap. A document takes the leader of most of its tokens, or that
+    leader's own. Any choice gives the same links; a good one saves work."""
+    hot = used.where(F.col("df") >= HOT).select("token", "doc_id", "n", F.col("n") - _needed(F.col("n"), num, den) + F.col("l"))
+    hot = hot.toDF("token", "doc_id", "n", "length")
+    share = hot.groupBy("doc_id", "length").agg(F.count("*").alias("hots")).select("doc_id", F.floor(F.col("hots") * 1024 / F.col("length")).alias("share"))
+    size = F.log("n") / (2 * math.log(den / num))
+    hot = hot.join(share, "doc_id").withColumn("size", F.explode(F.array(F.floor(size) * 2, F.floor(size + 0.5) * 2 + 1)))
+    lead = hot.groupBy("token", "size").agg(F.max(F.struct("share", F.xxhash64("doc_id").alias("h"), "doc_id")).alias("lead"))
+    met = hot.join(lead, ["token", "size"]).groupBy("doc_id", "lead").agg(F.count("*").alias("c"))
+    mine = stored(met.groupBy("doc_id").agg(F.max(F.struct("c", "lead")).alias("m")).select("doc_id", F.col("m.lead.doc_id").alias("z")), "leaders")
+    theirs = mine.select(F.col("doc_id").alias("z"), F.col("z").alias("y"))
+    mine = mine.join(theirs, "z", "left").select("doc_id", F.coalesce("y", "z").alias("z"))
+    return stored(mine.where("doc_id <> z"), "assigned")
+
+
+def differences(docs: DataFrame, assigned: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """doc_id, z, n, d (size of the difference from z's set), delta (its tokens), w and linked
+    (whether the two link): two documents of one z link if and only if w_a + w_b <= 2 (num +
+    den) c, c being the number of tokens that their deltas share. Documents with less in common
+    with z than of their own are left out."""
+    zs = docs.join(small_or_not(stored(assigned.select(F.col("z").alias("doc_id")).distinct(), "zs")), "doc_id", "left_semi")
+    sets = stored(shingle_rows(zs, k).select(F.col("doc_id").alias("z"), F.col("shingles").alias("center")), "centers")
+    size = sets.agg(F.sum(F.octet_length("center"))).first()[0] or 0
+    sets = F.broadcast(sets) if size <= CENTER_BYTES else sets
+    rows = docs.join(small_or_not(assigned), "doc_id").join(sets, "z").select("doc_id", "text", "z", "center")
+
+    def run(batches):
+        for batch in batches:
+            for at, data, offs in text_pieces(batch.column(1)):
+                part = batch.slice(at, len(offs) - 1)
+                n, n_z, deltas = [], [], []
+                for s, c in zip(shingle_sets(data, offs, k), part.column(3), strict=True):
+                    c = np.frombuffer(c.as_buffer(), np.uint64)
+                    n.append(len(s))
+                    n_z.append(len(c))
+                    deltas.append(np.setxor1d(s, c, assume_unique=True).view(np.int64))
+                n, n_z, d = np.array(n, np.int64), np.array(n_z, np.int64), np.array([*map(len, deltas)], np.int64)
+                w = (den + num) * d - (den - num) * n
+                keep = np.flatnonzero(d <= n)
+                tokens = np.concatenate([np.zeros(0, np.int64), *(deltas[i] for i in keep)])
+                ends = np.concatenate([[0], np.cumsum(d[keep])]).astype(np.int32)
+                part = part.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.array(n[keep]), pa.array(d[keep]), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens)),
+                     pa.array(w[keep]), pa.array((w <= (den - num) * n_z)[keep])],
+                    ["doc_id", "z", "n", "d", "delta", "w", "linked"],
+                )
+
+    return stored(rows.mapInArrow(run, "doc_id long, z long, n long, d long, delta array<long>, w long, linked boolean"), "deltas")
+
+
+def cell_links(deltas: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: links inside cells, all but those between two documents that link with the center."""
+    unit = 2 * (den + num)
+    least = deltas.groupBy("z").agg(F.min("w").alias("lo"), F.min(F.when(~F.col("linked"), F.col("w"))).alias("lo_out")).where("lo_out is not null")
+    need = F.ceil((F.col("w") + F.when(F.col("linked"), F.col("lo_out")).otherwise(F.col("lo"))) / unit)
+    d = deltas.join(least, "z").withColumn("p", F.col("d") - need + 1).where("p > 0")
+    tokens = stored(d.select("z", "doc_id", "d", "w", "linked", "p", F.explode("delta").alias("token")), "cell_tokens")
+    several = tokens.groupBy("z", "token").agg(F.count("*").alias("df"), F.min("linked").alias("all_linked")).where("df > 1")
+    shared = tokens.join(several, ["z", "token"])
+    own = F.col("d") - F.count("*").over(Window.partitionBy("doc_id"))  # tokens that no other has come first
+    pos = own + F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token")) - 1
+    shared = stored(shared.withColumn("pos", pos).where("pos < p and not all_linked").select("z", "token", "doc_id", "linked", "w", (F.col("d") - F.col("pos")).alias("rest")), "cell_prefixes")
+    side = lambda df, x: df.select("z", "token", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "linked", "w", "rest")])
+    met = side(shared.where("not linked"), "a").join(side(shared, "b"), ["z", "token"])
+    met = met.where((F.col("linked_b") | (F.col("doc_id_a") < F.col("doc_id_b"))) & (F.least("rest_a", "rest_b") * unit >= F.col("w_a") + F.col("w_b")))
+    pairs = met.groupBy("doc_id_a", "doc_id_b").agg(F.first("w_a").alias("w_a"), F.first("w_b").alias("w_b"))
+    sets = lambda x: deltas.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("delta").alias(f"delta_{x}"))
+    both = stored(pairs, "cell_pairs").join(sets("a"), "doc_id_a").join(sets("b"), "doc_id_b")
+    both = both.where(F.size(F.array_intersect("delta_a", "delta_b")) * unit >= F.col("w_a") + F.col("w_b"))
+    return both.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+
+
+def _one_each(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """docs with one row for each doc_id: the longest text, of those the one with the smallest
+    hash. None if no doc_id repeats; rows: a stored table with docs' ids."""
+    twice = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    twice = stored(twice.select("doc_id"), "twice")
+    if not twice.count():
+        return None
+    twice = small_or_not(twice)
+    first = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.struct(-F.length(F.coalesce("text", F.lit(""))), F.xxhash64("text"))).alias("text"))
+    return stored(docs.join(twice, "doc_id", "left_anti").unionByName(first), "one_each")
+
+
 def ngram_jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text; more columns are ignored).
 
     Two documents link when their sets' similarity is num/den or more; component_id is the
     smallest doc_id reachable by links, its own included. Texts that are null, empty or
     without words have an empty set and link with nothing. Repeated rows (same doc_id) give
-    repeated results; a null doc_id is returned with a null component_id.
+    repeated results; where their texts differ, n_shingles is each row's own and the longest
+    text is the one that links. A null doc_id is returned with a null component_id.
     """
     docs = docs.select("doc_id", "text")
-    rows = stored(prefix_rows(docs, num, den, k, frequent_shingles(docs, k)), "prefixes")
+    frequent = frequent_shingles(docs, k)
+    rows = counted = stored(prefix_rows(docs, num, den, k, frequent), "prefixes")
+    if (one := _one_each(docs, rows)) is not None:
+        docs, rows = one, stored(prefix_rows(one, num, den, k, frequent), "prefixes")
     some = rows.where("n_shingles > 0 and doc_id is not null")
     key = ["f1", "f2", "n_shingles"]
-    classes = some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = some.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "classes")
-    member = stored(some.select("doc_id", *key).join(classes, key).select("doc_id", "rep").distinct(), "members")
+    member = stored(some.select("doc_id", *key).join(classes, key).select("doc_id", "rep"), "members")
 
     lone = small_or_not(member.where("doc_id <> rep").select("doc_id"))
     reps = some.join(lone, "doc_id", "left_anti")
     postings = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    postings = postings.distinct() if member.count() < some.count() else postings
     shared = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     postings = postings.select("token", "doc_id", (F.col("n") * (1 << 31) + F.col("pos")).alias("at"))
     shared = postings.join(shared, "token").withColumn("n", F.shiftright("at", 31)).withColumn("pos", F.col("at").bitwiseAND((1 << 31) - 1))
@@ -183,46 +285,34 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int
     chosen = chosen.select("doc_id", F.least(best, F.greatest(_needed(F.col("n"), num, den), F.lit(1))).alias("l"))
     used = stored(shared.join(chosen, "doc_id").where(F.col("pos") < base + F.col("l")), "used")
 
-    # leaders of a token's documents of about one size, other ones and other sizes at each turn
-    comp = None
-    for turn in range(TURNS):
-        token = used.withColumn("comp", F.col("doc_id")) if comp is None else _with(used, comp)
-        token = token.withColumn("sizes", F.floor(F.log("n") / math.log(den / num) + turn * 0.618))
-        lead = token.groupBy("token", "sizes").agg(
-            F.min_by(F.struct("n", "doc_id", "l", "comp"), F.xxhash64("doc_id", F.lit(turn))).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-        )
-        met = token.join(lead.where("lo <> hi"), ["token", "sizes"]).where("comp <> lead.comp")
-        met = met.groupBy("doc_id", F.col("lead.doc_id").alias("leader")).agg(
-            F.count("*").alias("c"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("lead.n").alias("n_b"), F.first("lead.l").alias("l_b")
-        )
-        best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("c"), "leader"))
-        met = met.where(_may_link("n", "l", "n_b", "l_b", num, den)).withColumn("best", best).where(F.col("best") <= LEADERS)
-        pairs = stored(met.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), "star")
-        edges = stored(verified(docs, pairs, num, den, k), "edges")
-        tried, found = pairs.count(), edges.count()
-        if found:
-            comp = _joined(comp, edges)
-        if found * 40 < tried or not tried:  # few more would follow; the next step takes them all
-            break
-    if comp is None:
-        comp = components(edges)
-
-    token = _with(used, comp)
-    size = token.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    most = size.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    token = stored(token.join(most, "token").select("token", "doc_id", "n", "l", "comp", (F.col("comp") == F.col("most.comp")).alias("major")), "open")
-    a = token.where("not major").select("token", *[F.col(c).alias(c + "_a") for c in ("doc_id", "n", "l", "comp")])
-    b = token.select("token", "major", *[F.col(c).alias(c + "_b") for c in ("doc_id", "n", "l", "comp")])
-    met = a.join(b, "token").where((F.col("comp_a") != F.col("comp_b")) & (F.col("major") | (F.col("doc_id_a") < F.col("doc_id_b"))) & _close("n_a", "n_b", num, den))
+    deltas = differences(docs, centers(used, num, den), num, den, k)
+    edges = deltas.where("linked").select(F.col("doc_id").alias("a"), F.col("z").alias("b"))
+    edges = stored(edges.unionByName(cell_links(deltas, num, den)), "cell_links")
+    comp = components(edges)
+    cells = deltas.select("doc_id", "z").unionByName(deltas.select(F.col("z").alias("doc_id"), "z"))
+    cells = cells.groupBy("doc_id").agg(F.max_by("z", F.col("doc_id") != F.col("z")).alias("z"))
+
+    token = used.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(cells, "doc_id", "left")
+    token = token.select("token", "doc_id", "n", "l", F.coalesce("component", "doc_id").alias("comp"), F.coalesce("z", "doc_id").alias("cell"))
+    size = token.groupBy("token", "cell").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    most = size.groupBy("token").agg(F.max(F.struct("c", "cell")).alias("most"), F.count("*").alias("cells"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    most = most.where("cells > 1 and lo <> hi").select("token", F.col("most.cell").alias("major"))
+    token = stored(token.join(most, "token").withColumn("major", F.col("cell") == F.col("major")), "open")
+    names = ("doc_id", "n", "l", "comp", "cell")
+    a = token.where("not major").select("token", *[F.col(c).alias(c + "_a") for c in names])
+    b = token.select("token", "major", *[F.col(c).alias(c + "_b") for c in names])
+    apart = (F.col("comp_a") != F.col("comp_b")) & (F.col("cell_a") != F.col("cell_b"))
+    met = a.join(b, "token").where(apart & (F.col("major") | (F.col("doc_id_a") < F.col("doc_id_b"))) & _close("n_a", "n_b", num, den))
     pairs = met.groupBy(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).agg(
         F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("n_a", "l_a", "n_b", "l_b")]
     )
     pairs = pairs.where((F.col("c") >= F.least("l_a", "l_b")) & _may_link("n_a", "l_a", "n_b", "l_b", num, den))
     pairs = stored(pairs.select("a", "b"), "candidates")
-    comp = _joined(comp, verified(docs, pairs, num, den, k))
+    more = verified(docs, pairs, num, den, k)
+    comp = components(more.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     named = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    return rows.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(
+    return counted.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
@@ -237,16 +327,3 @@ def _may_link(n_a: str, l_a: str, n_b: str, l_b: str, num: int, den: int) -> Col
 
 def _close(n_a: str, n_b: str, num: int, den: int) -> Column:
     return (F.col(n_a) * den >= F.col(n_b) * num) & (F.col(n_b) * den >= F.col(n_a) * num)
-
-
-def _joined(comp: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """Components of the links so far and the new ones."""
-    if comp is not None:
-        edges = edges.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return components(edges)
-
-
-def _with(used: DataFrame, comp: DataFrame) -> DataFrame:
-    return used.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn(
-        "comp", F.coalesce("component", "doc_id")
-    )

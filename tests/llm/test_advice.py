@@ -80,6 +80,59 @@ def test_html_without_body():
     assert "Home" not in main_text(menu + page)
 
 
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    up = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if up[i] != up[j] and a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = min(up[i], up[j]), max(up[i], up[j])
+                up = [x if u == y else u for u in up]
+    return up
+
+
+@pytest.mark.parametrize("center", [True, False])
+def test_ngram_join_around_the_threshold(spark, center):
+    from clausediff.llm.ngram_join import ngram_jaccard_components
+
+    # copies of one text with 1 to 9 edits each, so most pairs lie just under 0.8 and some just over;
+    # without center the text itself is missing, and some copies are copied in turn
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(150)]
+
+    def copy(of, edits):
+        w = list(of)
+        for at in rng.choice(len(w), edits, replace=False):
+            w[at] = f"e{rng.integers(1 << 30)}"
+        return w
+
+    rows = [copy(base, int(rng.integers(1, 10))) for _ in range(260)] + ([base] if center else [])
+    for of in [copy(base, 6) for _ in range(4)]:
+        rows += [of] + [copy(of, int(rng.integers(1, 4))) for _ in range(12)]
+    rows += [base[: 150 - i] for i in range(1, 40)] + [base + [f"x{j}" for j in range(i)] for i in range(1, 40)] if center else []
+    rows += [copy([f"p{i}" for i in range(30)], int(rng.integers(0, 3))) for _ in range(40)]
+    order = rng.permutation(len(rows))
+    texts = [" ".join(rows[i]) for i in order]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    wanted = brute_components(texts)
+    assert {r.doc_id: r.component_id for r in ngram_jaccard_components(docs).collect()} == dict(enumerate(wanted))
+    assert len(set(wanted)) > 50 and max(map(wanted.count, wanted)) > 20
+
+
+def test_ngram_join_repeated_ids(spark):
+    from clausediff.llm.ngram_join import ngram_jaccard_components
+
+    t = lambda i, n=30: " ".join(f"{i}x{j}" for j in range(n))
+    rows = [(1, t(1)), (1, t(2, 40)), (2, t(1)), (3, t(2, 41)), (3, t(2, 41)), (4, None), (4, t(5)), (None, t(5)), (5, t(5)), (6, t(1))]
+    rows = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' as z", "'b' as component_id", "1 as n")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_jaccard_components(rows).collect())
+    # the longer text of 1 is like 3's; 2 and 6 are like its shorter one alone
+    assert got == [(0, 26, None), (1, 26, 1), (1, 36, 1), (2, 26, 2), (3, 37, 1), (3, 37, 1), (4, 0, 4), (4, 26, 4), (5, 26, 4), (6, 26, 2)]
+
+
 ROWS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -160,7 +160,10 @@ def test_packing(spark, texts):
 
     ids = WordIds(default_tokenizer())
     assert ids.quick
-    odd = ["it's", "<|endoftext|>", "x<|startoftext|>", "İstanbul", "a\u0301b", "ÿß", "日本", "9½", "«x»", "É!?9"]
+    few = WordIds(default_tokenizer(), 40)  # forgets most of what it learns
+    for t in [t for t in texts if t] * 2:
+        assert few.of(t.encode()).tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids
+    odd = ["it's", "<|endoftext|>", "x<|startoftext|>", "İstanbul", "a\u0301b", "ÿß", "日本", "9½", "«x»", "É!?9", "×÷", "Ã", "x\x00y", "a\u00a0b", "don't2", "<|", "THÉÂTRE-9<x|>", "\u2028", "É\u0301"]
     more = [*texts, " ".join(odd)]
     got = packed(docs(spark, more)).collect()
     whole = [np.array([*ids.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for t in more]
@@ -179,6 +182,14 @@ def test_packing(spark, texts):
         plan = patterns(h, 64)
         assert all(n > 0 and sum(p) <= 64 for n, p in plan)
         assert {k: sum(n * p.count(k) for n, p in plan) for k in h} == h
+        rooms = []  # one piece after the other into the pack with the most room
+        for length in sorted((k for k, n in h.items() for _ in range(n)), reverse=True):
+            i = max(range(len(rooms)), key=rooms.__getitem__, default=None)
+            if i is None or rooms[i] < length:
+                rooms.append(64)
+                i = len(rooms) - 1
+            rooms[i] -= length
+        assert sorted(rooms) == sorted(64 - sum(p) for n, p in plan for _ in range(n))
 
 
 def test_mixing(spark, texts):

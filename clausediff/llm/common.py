@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: An id list of at most this many rows (about 16 MB) may be broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Rows with texts that a Python worker takes at a time.
+TEXT_ROWS = 1000
 
 _own_dirs: dict[str, str] = {}
 
@@ -29,15 +32,29 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts the lineage, and
-    survives the loss of an executor."""
+    survives the loss of an executor. texts: Python workers of this job get whole texts, so
+    they get fewer rows at a time."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    with text_batches(spark) if texts else nullcontext():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def text_batches(spark: SparkSession):
+    """Jobs that start inside send at most TEXT_ROWS rows at a time to Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(TEXT_ROWS, int(before)) if int(before) > 0 else TEXT_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcast if it is known to have at most `limit` narrow rows; df must be
     cheap to count (a stored table). Else Spark's shuffled joins are left to do the work."""

@@ -27,7 +27,7 @@ What comes out are components, each document with its own, not the links: pairs
 component are mostly never compared, so neither the links nor their number are known.
 
 The global order is counted over all documents, but only from shingles that come up twice
-within one stretch of text (FREQUENT_BYTES, or a batch if that is shorter). A shingle met
+within one stretch of text (FREQUENT_BYTES, or a task if that is shorter). A shingle met
 once in every stretch stays among the rare ones. That changes only the cost, never the result.
 """
 
@@ -80,19 +80,19 @@ def frequent_shingles(docs: DataFrame, k: int = 5, most: int = FREQUENT_MOST) ->
         return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["token", "n"])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            held, size = [], 0
             for _, data, offs in text_pieces(batch.column(0)):
                 held += shingle_sets(data, offs, k)
                 size += len(data)
                 if size >= FREQUENT_BYTES:
                     yield several(held)
                     held, size = [], 0
-            if held:
-                yield several(held)
+        if held:
+            yield several(held)
 
     counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = most_frequent(stored(counted.where("n >= 3"), "frequent"), most)
+    top = most_frequent(stored(counted.where("n >= 3"), "frequent", texts=True), most)
     tokens = top["token"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], top["n"].to_numpy().astype(np.int64)[order]
@@ -142,7 +142,7 @@ def verified(docs: DataFrame, pairs: DataFrame, num: int, den: int, k: int) -> D
     """Those of pairs (a, b; distinct, stored) whose whole shingle sets link."""
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     wanted = docs.select("doc_id", "text").join(small_or_not(ids), "doc_id", "left_semi")
-    sets = stored(shingle_rows(wanted, k).select("doc_id", "shingles"), "sets")
+    sets = stored(shingle_rows(wanted, k).select("doc_id", "shingles"), "sets", texts=True)
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
 
@@ -184,7 +184,7 @@ def differences(docs: DataFrame, assigned: DataFrame, num: int, den: int, k: int
     den) c, c being the number of tokens that their deltas share. Documents with less in common
     with z than of their own are left out."""
     zs = docs.join(small_or_not(stored(assigned.select(F.col("z").alias("doc_id")).distinct(), "zs")), "doc_id", "left_semi")
-    sets = stored(shingle_rows(zs, k).select(F.col("doc_id").alias("z"), F.col("shingles").alias("center")), "centers")
+    sets = stored(shingle_rows(zs, k).select(F.col("doc_id").alias("z"), F.col("shingles").alias("center")), "centers", texts=True)
     size = sets.agg(F.sum(F.octet_length("center"))).first()[0] or 0
     sets = F.broadcast(sets) if size <= CENTER_BYTES else sets
     rows = docs.join(small_or_not(assigned), "doc_id").join(sets, "z").select("doc_id", "text", "z", "center")
@@ -211,7 +211,7 @@ def differences(docs: DataFrame, assigned: DataFrame, num: int, den: int, k: int
                     ["doc_id", "z", "n", "d", "delta", "w", "linked"],
                 )
 
-    return stored(rows.mapInArrow(run, "doc_id long, z long, n long, d long, delta array<long>, w long, linked boolean"), "deltas")
+    return stored(rows.mapInArrow(run, "doc_id long, z long, n long, d long, delta array<long>, w long, linked boolean"), "deltas", texts=True)
 
 
 def cell_links(deltas: DataFrame, num: int, den: int) -> DataFrame:
@@ -259,9 +259,9 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int
     """
     docs = docs.select("doc_id", "text")
     frequent = frequent_shingles(docs, k)
-    rows = counted = stored(prefix_rows(docs, num, den, k, frequent), "prefixes")
+    rows = counted = stored(prefix_rows(docs, num, den, k, frequent), "prefixes", texts=True)
     if (one := _one_each(docs, rows)) is not None:
-        docs, rows = one, stored(prefix_rows(one, num, den, k, frequent), "prefixes")
+        docs, rows = one, stored(prefix_rows(one, num, den, k, frequent), "prefixes", texts=True)
     some = rows.where("n_shingles > 0 and doc_id is not null")
     key = ["f1", "f2", "n_shingles"]
     classes = some.groupBy(*key).agg(F.min("doc_id").alias("rep"))

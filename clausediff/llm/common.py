@@ -138,7 +138,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def text_pieces(column: pa.Array, most: int = 1 << 20):
+def text_pieces(column: pa.Array, most: int = 1 << 18):
     """Yields (first row, bytes, offsets) for runs of rows of about `most` bytes at most; a
     longer text comes alone. Nulls count as empty. No text is cut."""
     if isinstance(column, pa.ChunkedArray):

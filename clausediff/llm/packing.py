@@ -217,7 +217,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = 2048) -> D
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out = [[], [], [], [], []]
-            for at, data, offs in text_pieces(batch.column(1)):
+            for at, data, offs in text_pieces(batch.column(1), 1 << 19):
                 all_ids, edges = ids.piece(data, offs)
                 raw, edges = all_ids.tobytes(), (edges * 4).tolist()
                 for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True), at):

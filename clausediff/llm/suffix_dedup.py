@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausediff.llm import common
-from clausediff.llm.common import mix, small_or_not, stored, text_pieces
+from clausediff.llm.common import mix, most_frequent, small_or_not, stored, text_pieces
 
 LENGTH, GRAM = 100, 32
-#: Grams with so many names in one batch are dealt out by their suffixes; at most HOT_MOST are listed (0.5 MB).
-HOT_NAMES, HOT_MOST = 24, 1 << 16
+#: Grams with so many names in one stretch of text, or so many added up over all stretches (of those
+#: with four or more), are dealt out by their suffixes; at most HOT_MOST are listed (0.5 MB).
+HOT_NAMES, HOT_TOTAL, HOT_MOST = 24, 20_000, 1 << 16
+#: Positions that a worker groups at a time, and rows that it takes from a sorted stream.
+STRETCH, ROWS = 500_000, 100_000
 #: Bits of the filter that tells which names may be needed again (8 MB); what passes is joined exactly.
 FILTER_BITS = 26
 _HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -114,18 +117,31 @@ def _joined(parts):
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
+def _stretches(batches, of: int):
+    """The first `of` arrays of _positions over a stretch of batches at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for p in _positions(batch):
+            held.append(p[:of])
+            size += len(p[0])
+            if size >= STRETCH:
+                yield _joined(held)
+                held, size = [], 0
+    if size:
+        yield _joined(held)
+
+
 def _hot_grams(docs: DataFrame, names: int) -> np.ndarray:
     def run(batches):
-        for batch in batches:
-            parts = [p[1:3] for p in _positions(batch)]
-            if parts:
-                gram, block = _joined(parts)
-                order, new = _firsts(gram, block, of=2)
-                g, n = np.unique(gram[order][new], return_counts=True)
-                yield _batch(["g", "n"], g[n >= names], n[n >= names].astype(np.int64))
+        for _, gram, block in _stretches(batches, 3):
+            order, new = _firsts(gram, block, of=2)
+            g, n = np.unique(gram[order][new], return_counts=True)
+            keep = n >= min(4, names)
+            yield _batch(["g", "n"], g[keep], n[keep].astype(np.int64))
 
-    top = docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(HOT_MOST)
-    return np.sort(top.toArrow()["g"].to_numpy().astype(np.int64).view(np.uint64))
+    counted = docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    hot = most_frequent(stored(counted.where((F.col("most") >= names) | (F.col("n") >= HOT_TOTAL)), "hot", texts=True), HOT_MOST)
+    return np.sort(hot["g"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _keys(gram: np.ndarray, block: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,80 +178,97 @@ def repeat_runs(docs: DataFrame, hot_names: int = HOT_NAMES) -> DataFrame:
     hot = sc.broadcast(_hot_grams(docs, hot_names))
 
     def name(batches):
-        for batch in batches:
-            parts = [p[:5] for p in _positions(batch)]
-            if parts:
-                doc, gram, block, lo, hi = _joined(parts)
-                key, is_hot = _keys(gram, block, hot.value)
-                x = lo * 256 + (hi - lo)
-                order, new = _firsts(key, block, doc, x, of=2)
-                first = order[new]
-                count = np.diff(np.append(np.flatnonzero(new), len(order)))
-                code = np.minimum(count, 2) * 2 + is_hot[first]
-                yield _batch(["key", "block", "doc_id", "x", "code"], key[first], block[first], doc[first], x[first], code.astype(np.int8))
+        for doc, gram, block, lo, hi in _stretches(batches, 5):
+            key, is_hot = _keys(gram, block, hot.value)
+            x = lo * 256 + (hi - lo)
+            order, new = _firsts(key, block, doc, x, of=2)
+            first = order[new]
+            count = np.diff(np.append(np.flatnonzero(new), len(order)))
+            code = np.minimum(count, 2) * 2 + is_hot[first]
+            yield _batch(["key", "block", "doc_id", "x", "code"], key[first], block[first], doc[first], x[first], code.astype(np.int8))
 
     def sort(batches):
-        """Rows in the order of key and block: the names that matter, with their first position."""
-        held = None
+        """Rows in the order of key and block: the names that matter, with their first position.
+        What is held between batches is one name, the last one."""
+        held, before = [], None  # before: the last key of which a name was passed on
 
-        def close(rows):
+        def close(rows, last):
+            nonlocal before
             key, block, doc, x, code = rows
             order, new = _firsts(key, block, doc, x, of=2)
-            first = order[new]
             at = np.flatnonzero(new)
-            count = np.add.reduceat((code // 2)[order], at) if len(at) else at
+            first = order[at]
+            count = np.add.reduceat((code // 2)[order].astype(np.int64), at)
             k = key[first]
             lead = np.ones(len(k), bool)
             lead[1:] = k[1:] != k[:-1]
             names = np.diff(np.append(np.flatnonzero(lead), len(k)))
-            several = np.repeat(names > 1, names) | (code[first] % 2 > 0)
+            several = np.repeat(names > 1, names) | (code[first] % 2 > 0) | (k == before if before is not None else False)
+            if not last:  # the last name may go on: it waits as one row
+                wait = first[-1:]
+                rest = [c[wait] for c in rows[:4]] + [(np.minimum(count[-1:], 2) * 2 + code[wait] % 2).astype(np.int8)]
+                before = k[-2] if len(k) > 1 else before
+                first, count, several = first[:-1], count[:-1], several[:-1]
+            else:
+                rest = None
             keep = (count > 1) | several
             f = first[keep]
-            return _batch(["key", "block", "first_doc", "first_x", "twice", "several"], key[f], block[f], doc[f], x[f], count[keep] > 1, several[keep])
+            return _batch(["key", "block", "first_doc", "first_x", "twice", "several"], key[f], block[f], doc[f], x[f], count[keep] > 1, several[keep]), rest
 
+        size = 0
         for batch in batches:
-            rows = [c.to_numpy() for c in batch.columns]
-            if held is not None:
-                rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            if cut:
-                yield close([c[:cut] for c in rows])
-            held = [c[cut:] for c in rows]
-        if held is not None and len(held[0]):
-            yield close(held)
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size >= ROWS:
+                out, rest = close(_joined(held), False)
+                held, size = [rest], 1
+                yield out
+        if size:
+            yield close(_joined(held), True)[0]
 
     named = docs.mapInArrow(name, "key long, block long, doc_id long, x long, code byte")
-    named = named.repartition("key").sortWithinPartitions("key")
-    named = stored(named.mapInArrow(sort, "key long, block long, first_doc long, first_x long, twice boolean, several boolean"), "names")
+    named = named.repartition("key").sortWithinPartitions("key", "block")
+    named = stored(named.mapInArrow(sort, "key long, block long, first_doc long, first_x long, twice boolean, several boolean"), "names", texts=True)
     twice = named.where("twice").select("key", "block", "first_doc", "first_x")
     maybe = sc.broadcast(_filter(twice.select("block")))
     open_ = sc.broadcast(_filter(named.where("several").select("block")))
 
     def members(batches):
-        for batch in batches:
-            parts = [p[:5] for p in _positions(batch)]
-            if parts:
-                doc, gram, block, lo, hi = _joined(parts)
-                keep = _passes(maybe.value, block)
-                doc, gram, block, x = doc[keep], gram[keep], block[keep], (lo * 256 + (hi - lo))[keep]
-                key, _ = _keys(gram, block, hot.value)
-                order, new = _firsts(key, block, doc, x, of=2)  # an earlier one in the batch settles it
-                settled = ~new
-                if len(order):
-                    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-                    settled &= (doc[order] != doc[head]) | (x[order] >> 8 != x[head] >> 8)
-                yield _batch(["key", "block", "doc_id", "x", "settled"], key[order], block[order], doc[order], x[order], settled)
-
-    seen = stored(docs.mapInArrow(members, "key long, block long, doc_id long, x long, settled boolean"), "members")
+        for doc, gram, block, lo, hi in _stretches(batches, 5):
+            keep = _passes(maybe.value, block)
+            doc, gram, block, x = doc[keep], gram[keep], block[keep], (lo * 256 + (hi - lo))[keep]
+            key, _ = _keys(gram, block, hot.value)
+            order, new = _firsts(key, block, doc, x, of=2)  # an earlier one in the stretch settles it
+            settled = ~new
+            if len(order):
+                head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+                settled &= (doc[order] != doc[head]) | (x[order] >> 8 != x[head] >> 8)
+            yield _batch(["key", "block", "doc_id", "x", "settled"], key[order], block[order], doc[order], x[order], settled)
+
+    seen = stored(docs.mapInArrow(members, "key long, block long, doc_id long, x long, settled boolean"), "members", texts=True)
     later = F.struct("doc_id", F.shiftright("x", 8)) > F.struct("first_doc", F.shiftright("first_x", 8))
     whole = seen.where("settled").select("doc_id", "x").unionByName(
         seen.where("not settled").join(twice, ["key", "block"]).where(later).select("doc_id", "x")
     )
 
+    def ends_of(parts):
+        doc, gram, block, lo, hi, text, own = _joined(parts)
+        order, new = _firsts(gram, block, doc, lo, of=2)
+        f = order[new]
+        cold = np.array([own[i] is None for i in f], bool)
+        c, w = f[cold], f[~cold]
+        yield _batch(["key", "doc_id", "x", "bytes", "done"], gram[c], doc[c], lo[c] * 256 + (hi - lo)[c], pa.array(text[c], pa.binary()), np.zeros(len(c), bool))
+        if len(w):
+            n = (hi - lo)[w] + 1
+            h = mix(np.concatenate(list(own[w])))
+            d, s = np.repeat(doc[w], n), np.concatenate([np.arange(a, a + m) for a, m in zip(lo[w], n, strict=True)])
+            o, first = _firsts(h, d, s, of=1)
+            yield _batch(["key", "doc_id", "x", "bytes", "done"], h[o], d[o], s[o] * 256, pa.nulls(len(o), pa.binary()), ~first)
+
     def remaining(batches):
         """Blocks of grams with several names, one of a name; of hot grams their suffixes, one of a name."""
+        parts, size = [], 0
         for batch in batches:
-            parts = []
             for doc, gram, block, lo, hi, data, here in _positions(batch):
                 keep = np.flatnonzero(_passes(open_.value, block))
                 if len(keep):
@@ -246,27 +279,18 @@ def repeat_runs(docs: DataFrame, hot_names: int = HOT_NAMES) -> DataFrame:
                     own = np.empty(len(keep), object)
                     own[:] = s
                     parts.append((doc[keep], gram[keep], block[keep], lo[keep], hi[keep], text, own))
-            if not parts:
-                continue
-            doc, gram, block, lo, hi, text, own = _joined(parts)
-            order, new = _firsts(gram, block, doc, lo, of=2)
-            f = order[new]
-            cold = np.array([own[i] is None for i in f], bool)
-            c, w = f[cold], f[~cold]
-            yield _batch(["key", "doc_id", "x", "bytes", "done"], gram[c], doc[c], lo[c] * 256 + (hi - lo)[c], pa.array(text[c], pa.binary()), np.zeros(len(c), bool))
-            if len(w):
-                n = (hi - lo)[w] + 1
-                h = mix(np.concatenate(list(own[w])))
-                d, s = np.repeat(doc[w], n), np.concatenate([np.arange(a, a + m) for a, m in zip(lo[w], n, strict=True)])
-                o, first = _firsts(h, d, s, of=1)
-                yield _batch(["key", "doc_id", "x", "bytes", "done"], h[o], d[o], s[o] * 256, pa.nulls(len(o), pa.binary()), ~first)
+                    size += len(keep)
+            if size >= STRETCH // 4:
+                yield from ends_of(parts)
+                parts, size = [], 0
+        if parts:
+            yield from ends_of(parts)
 
     left = docs.mapInArrow(remaining, "key long, doc_id long, x long, bytes binary, done boolean")
-    left = stored(left, "remaining")
+    left = stored(left, "remaining", texts=True)
 
     def merge(batches):
         """Rows in the order of their key: neighbours with equal prefixes."""
-        held = None
 
         def close(key, doc, x, text):
             own = np.array([t is None for t in text], bool)
@@ -300,16 +324,19 @@ def repeat_runs(docs: DataFrame, hot_names: int = HOT_NAMES) -> DataFrame:
             last = np.append(at[1:], len(d)) - 1
             return _batch(["doc_id", "x"], d[at], s[at] * 256 + (s[last] - s[at] if len(d) else s[at]))
 
+        held, size, wanted = [], 0, ROWS // 10
         for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(3)] + [np.array(batch.column(3).to_pylist(), object)]
-            if held is not None:
-                rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            if cut:
-                yield close(*(c[:cut] for c in rows))
-            held = [c[cut:] for c in rows]
-        if held is not None and len(held[0]):
-            yield close(*held)
+            held.append([batch.column(i).to_numpy() for i in range(3)] + [np.array(batch.column(3).to_pylist(), object)])
+            size += batch.num_rows
+            if size >= wanted:
+                rows = _joined(held)
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))
+                if cut:
+                    yield close(*(c[:cut] for c in rows))
+                held, size = [[c[cut:] for c in rows]], size - cut
+                wanted = max(ROWS // 10, 2 * size)
+        if size:
+            yield close(*_joined(held))
 
     met = left.where("not done").select("key", "doc_id", "x", "bytes").repartition("key").sortWithinPartitions("key")
     ends = met.mapInArrow(merge, _RUN).unionByName(left.where("done").select("doc_id", "x"))
@@ -343,6 +370,10 @@ def without_repeats(docs: DataFrame, hot_names: int = HOT_NAMES) -> DataFrame:
     size = runs.agg(F.sum(F.octet_length("runs"))).first()[0] or 0
     if size <= 64 << 20:
         runs = small_or_not(runs)
+    own = "runs"
+    while own.lower() in (c.lower() for c in docs.columns):
+        own += "_"
+    runs = runs.withColumnRenamed("runs", own)
     kept = [f for f in docs.schema.fields if f.name not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")]
     names = [f.name for f in kept]
     at = names.index("text")
@@ -374,6 +405,6 @@ def without_repeats(docs: DataFrame, hot_names: int = HOT_NAMES) -> DataFrame:
             )
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*names).join(runs, "doc_id", "left").select(*names, "runs").mapInArrow(
+    return docs.select(*names).join(runs, "doc_id", "left").select(*names, own).mapInArrow(
         run, columns + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: An id list of at most this many rows (about 16 MB) may be broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Rows with texts that a Python worker takes at a time.
-TEXT_ROWS = 1000
+TEXT_ROWS = 500
 
 _own_dirs: dict[str, str] = {}
 

@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents that score under 0.3 go."""
+    """Quality classifier: documents that score under 0.3 go. Null and empty texts have the
+    model's bias for a score; repeated rows share their fate; an own column `score` stays as it is."""
+    from clausediff.llm.common import stored
     from clausediff.llm.quality import KEEP_SCORE, scored, trained
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return scored(docs, trained(docs, labels)).where(F.col("score") >= KEEP_SCORE).select(*docs.columns)
+    own = "_own_score" if "score" in docs.columns else "score"
+    given = docs.withColumnRenamed("score", own) if own != "score" else docs
+    kept = scored(given, trained(docs, labels)).where(F.col("score") >= KEEP_SCORE)
+    return stored(kept.select(*[F.col(own if c == "score" else c).alias(c) for c in docs.columns]), "kept", texts=True)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -56,14 +61,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix dedup: bytes of 100-byte strings that also start earlier are cut out; a
-    document of which nothing is left goes."""
+    document of which nothing is left goes. Null and empty texts stay; rows of one doc_id don't
+    cut each other, and a row with a null doc_id is left alone."""
+    from clausediff.llm.common import stored
     from clausediff.llm.suffix_dedup import without_repeats
 
     out = without_repeats(docs)
     text = F.col("kept_text")
     out = out.where(F.col("text").isNull() | (F.length("text") == 0) | (F.length(text) > 0))
     out = out.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(text))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return stored(out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns), "cut", texts=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +86,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: every token of every document placed in a sequence of 2048."""
+    """Packing: every token of every document placed in a sequence of 2048. A null or empty text
+    is its end token alone, and each of several equal rows is packed."""
     from clausediff.llm.packing import packed
 
     return packed(docs)

@@ -154,7 +154,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     can be among the k nearest of any query, so more aren't indexed. Repeated rows count once."""
     x = stored(usable(vectors), "vectors")
     first = x.select(F.size("embedding")).first()
-    q = usable(queries, first[0] if first else 0).dropDuplicates(["vec_id"])
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = usable(queries, first[0] if first else 0).dropDuplicates(["vec_id"]).repartition(tasks, "vec_id")  # a query has many probes
     lengths = longest_norms(x)
     alike = Window.partitionBy("embedding").orderBy("vec_id")
     x = x.dropDuplicates(["vec_id"]).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k + 1).drop("_n")

@@ -40,7 +40,17 @@ def stored(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     path = shared_dir(spark, name)
     with text_batches(spark) if texts else nullcontext():
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing will read any more."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
@@ -86,18 +96,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     e = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
     )
-    before = None
+    before, old = None, []
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
+        discard(*old)  # what the tables of this round were made from
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.distinct(), name)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old = [e, large]
         e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
 
 

@@ -1,7 +1,8 @@
 """Line-first cleaning with built-in functions only.
 
-Every line is judged on its own: punctuation (symbols, shouting, no sentence mark),
-navigation (separated link lists) and boilerplate phrases. Lines that fail are removed,
+Every line is judged on its own: punctuation (too many symbols, a line in capitals),
+navigation (link lists with separators, short bits with a separator and no sentence mark) and
+boilerplate phrases that make up a share of the line. Lines that fail are removed,
 lines that repeat an earlier one too, and a document that loses too much of its text is
 rejected. All work is inside one row: nothing is shuffled.
 """
@@ -15,18 +16,21 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
-#: Phrases of notices and menus that mark a line as boilerplate.
+#: Phrases of notices and menus, in the languages of the documents.
 BOILERPLATE = (
     "accept all cookies|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|"
     "enable javascript|javascript is disabled|sign up for our newsletter|subscribe to our newsletter|"
-    "click here to|share on facebook|log in to|lorem ipsum"
+    "click here to|share on facebook|log in to|lorem ipsum|"
+    "accepter les cookies|politique de confidentialité|tous droits réservés|mentions légales|cliquez ici|"
+    "cookies akzeptieren|datenschutzerklärung|alle rechte vorbehalten|newsletter abonnieren|klicken sie hier|"
+    "aceptar cookies|política de privacidad|todos los derechos reservados|aviso legal|haga clic aquí"
 )
 #: A document is kept if at least this share of its word characters stays.
 KEEP_SHARE = 0.5
 #: A line may consist of symbols up to this share.
 SYMBOL_SHARE = 0.08
-#: Notices are looked for in lines of at most this length.
-NOTICE_LENGTH = 200
+#: A line is boilerplate if such phrases make up this share of it.
+NOTICE_SHARE = 0.08
 
 
 def _chars(text: Column) -> Column:
@@ -44,7 +48,8 @@ def line_passes(line: Column) -> Column:
     symbols, bars = F.regexp_count(line, F.lit(SYMBOL)), F.regexp_count(line, F.lit("[|»›·]"))
     shouted = (n >= 12) & (F.upper(line) == line) & (F.lower(line) != line)
     listed = (bars >= 2) & (bars * 40 > n)
-    notice = (n <= NOTICE_LENGTH) & F.lower(line).rlike(BOILERPLATE)
+    low = F.lower(line)
+    notice = F.when(low.rlike(BOILERPLATE), n - F.length(F.regexp_replace(low, BOILERPLATE, "")) >= NOTICE_SHARE * n).otherwise(False)
     stub = (n < 30) & (bars >= 1) & ~line.rlike(r"[.!?…:;。！？]")
     return ~(shouted | (symbols > SYMBOL_SHARE * n) | listed | stub | notice)
 
@@ -56,7 +61,8 @@ def line_cleaned(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
 
     Words are runs of characters other than U+0009-U+000D and U+0020. Null and empty texts
     have zeros, fail the base rules and are not kept. Windows of five words are compared by
-    a 64-bit hash. Each row stands for itself; repeated rows give repeated results."""
+    a 64-bit hash. Each row stands for itself; repeated rows give repeated results, an empty table
+    gives none, and other columns of docs are left out."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("words", F.array_remove(F.split("text", SPACE), ""))
     d = d.withColumn("n_words", F.size("words").cast("long"))
@@ -86,4 +92,6 @@ def line_cleaned(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
     d = d.withColumn("kept_chars", _chars(F.col("cleaned")))
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     kept = ~F.col("base_failed") & (F.col("kept_chars") >= keep_share * F.col("word_chars"))
-    return d.withColumn("kept", kept).drop("text")
+    d = d.withColumn("kept", kept).drop("text")
+    # one row out of one: a filter on the result stays above it, and doesn't repeat the work of each step
+    return d.select(F.inline(F.array(F.struct(*d.columns))))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausediff.llm.common import components, most_frequent, shingle_sets, small_or_not, stored, text_pieces
+from clausediff.llm.common import components, discard, most_frequent, shingle_sets, small_or_not, stored, text_pieces
 
 #: Frequent shingles that get a place at the end of the order; 4 MB when broadcast.
 FREQUENT_MOST = 1 << 18
@@ -92,7 +92,9 @@ def frequent_shingles(docs: DataFrame, k: int = 5, most: int = FREQUENT_MOST) ->
             yield several(held)
 
     counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = most_frequent(stored(counted.where("n >= 3"), "frequent", texts=True), most)
+    counted = stored(counted.where("n >= 3"), "frequent", texts=True)
+    top = most_frequent(counted, most)
+    discard(counted)
     tokens = top["token"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], top["n"].to_numpy().astype(np.int64)[order]
@@ -139,7 +141,7 @@ def prefix_rows(docs: DataFrame, num: int, den: int, k: int, frequent) -> DataFr
 
 
 def verified(docs: DataFrame, pairs: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """Those of pairs (a, b; distinct, stored) whose whole shingle sets link."""
+    """Those of pairs (a, b; distinct, stored) whose whole shingle sets link; stored."""
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     wanted = docs.select("doc_id", "text").join(small_or_not(ids), "doc_id", "left_semi")
     sets = stored(shingle_rows(wanted, k).select("doc_id", "shingles"), "sets", texts=True)
@@ -155,7 +157,9 @@ def verified(docs: DataFrame, pairs: DataFrame, num: int, den: int, k: int) -> D
                 keep.append(den * same >= num * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    links = stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    discard(ids, sets)
+    return links
 
 
 def centers(used: DataFrame, num: int, den: int) -> DataFrame:
@@ -184,7 +188,7 @@ def differences(docs: DataFrame, assigned: DataFrame, num: int, den: int, k: int
     den) c, c being the number of tokens that their deltas share. Documents with less in common
     with z than of their own are left out."""
     zs = docs.join(small_or_not(stored(assigned.select(F.col("z").alias("doc_id")).distinct(), "zs")), "doc_id", "left_semi")
-    sets = stored(shingle_rows(zs, k).select(F.col("doc_id").alias("z"), F.col("shingles").alias("center")), "centers", texts=True)
+    centers_sets = sets = stored(shingle_rows(zs, k).select(F.col("doc_id").alias("z"), F.col("shingles").alias("center")), "centers", texts=True)
     size = sets.agg(F.sum(F.octet_length("center"))).first()[0] or 0
     sets = F.broadcast(sets) if size <= CENTER_BYTES else sets
     rows = docs.join(small_or_not(assigned), "doc_id").join(sets, "z").select("doc_id", "text", "z", "center")
@@ -211,11 +215,13 @@ def differences(docs: DataFrame, assigned: DataFrame, num: int, den: int, k: int
                     ["doc_id", "z", "n", "d", "delta", "w", "linked"],
                 )
 
-    return stored(rows.mapInArrow(run, "doc_id long, z long, n long, d long, delta array<long>, w long, linked boolean"), "deltas", texts=True)
+    found = stored(rows.mapInArrow(run, "doc_id long, z long, n long, d long, delta array<long>, w long, linked boolean"), "deltas", texts=True)
+    discard(centers_sets)
+    return found
 
 
 def cell_links(deltas: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: links inside cells, all but those between two documents that link with the center."""
+    """a, b: links inside cells, all but those between two documents that link with the center; stored."""
     unit = 2 * (den + num)
     least = deltas.groupBy("z").agg(F.min("w").alias("lo"), F.min(F.when(~F.col("linked"), F.col("w"))).alias("lo_out")).where("lo_out is not null")
     need = F.ceil((F.col("w") + F.when(F.col("linked"), F.col("lo_out")).otherwise(F.col("lo"))) / unit)
@@ -231,9 +237,12 @@ def cell_links(deltas: DataFrame, num: int, den: int) -> DataFrame:
     met = met.where((F.col("linked_b") | (F.col("doc_id_a") < F.col("doc_id_b"))) & (F.least("rest_a", "rest_b") * unit >= F.col("w_a") + F.col("w_b")))
     pairs = met.groupBy("doc_id_a", "doc_id_b").agg(F.first("w_a").alias("w_a"), F.first("w_b").alias("w_b"))
     sets = lambda x: deltas.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("delta").alias(f"delta_{x}"))
-    both = stored(pairs, "cell_pairs").join(sets("a"), "doc_id_a").join(sets("b"), "doc_id_b")
+    pairs = stored(pairs, "cell_pairs")
+    both = pairs.join(sets("a"), "doc_id_a").join(sets("b"), "doc_id_b")
     both = both.where(F.size(F.array_intersect("delta_a", "delta_b")) * unit >= F.col("w_a") + F.col("w_b"))
-    return both.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+    links = stored(both.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")), "cell_found")
+    discard(tokens, shared, pairs)
+    return links
 
 
 def _one_each(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
@@ -284,6 +293,7 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int
     chosen = shared.groupBy("doc_id", "n").agg(*[m.alias(f"m{l}") for l, m in enumerate(met, 1)])
     chosen = chosen.select("doc_id", F.least(best, F.greatest(_needed(F.col("n"), num, den), F.lit(1))).alias("l"))
     used = stored(shared.join(chosen, "doc_id").where(F.col("pos") < base + F.col("l")), "used")
+    discard(shared)
 
     deltas = differences(docs, centers(used, num, den), num, den, k)
     edges = deltas.where("linked").select(F.col("doc_id").alias("a"), F.col("z").alias("b"))
@@ -310,6 +320,7 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int
     pairs = stored(pairs.select("a", "b"), "candidates")
     more = verified(docs, pairs, num, den, k)
     comp = components(more.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    discard(classes, used, deltas, edges, token, pairs, more)
     named = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return counted.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(

@@ -9,6 +9,8 @@ fitted on a bounded sample of labelled rows, in shards whose weights are average
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,7 +92,10 @@ def trained(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = TR
     `most` at the most. Nulls are left out; without labels all weights are 0 (score 0.5)."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = stored(chosen.where(fold != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "labelled")
+    chosen = stored(chosen.where(fold != 0), "labels")
+    if (n := chosen.count()) > most:  # first by hash, so that little more than `most` rows are sorted
+        share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < math.ceil((most / n * 1.1 + 100 / n) * (1 << 30))
+        chosen = stored(chosen.where(share).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(most), "labelled")
     sample = docs.select("doc_id", "text").join(small_or_not(chosen), "doc_id")
 
     def grouped(batches):
@@ -120,17 +125,19 @@ def trained(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = TR
         import pandas as pd
 
         used = np.flatnonzero(w)
-        return pd.DataFrame({"place": used, "w": w[used]})
+        return pd.DataFrame({"place": np.append(used, -1), "w": np.append(w[used], 1.0)})  # place -1 counts the shards with rows
 
     mean = rows.groupBy("shard").applyInPandas(train, "place long, w double")
     pairs = mean.groupBy("place").agg(F.sum("w").alias("w")).toArrow()  # at most 2 ** bits + 1 rows
+    place, w = pairs["place"].to_numpy().astype(np.int64), pairs["w"].to_numpy().astype(float)
     out = np.zeros((1 << bits) + 1)
-    out[pairs["place"].to_numpy().astype(np.int64)] = pairs["w"].to_numpy().astype(float) / max(1, SHARDS)
+    out[place[place >= 0]] = w[place >= 0] / max(1.0, w[place < 0].sum())
     return out
 
 
 def scored(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
-    """docs with score (0 to 1), from the text alone. Null and empty texts get the bias's score."""
+    """docs with score (0 to 1), from the text alone, in place of a column of that name. Null and
+    empty texts get the bias's score; rows repeat as they come, and an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     at = docs.columns.index("text")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "score")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausediff.llm import common
-from clausediff.llm.common import mix, most_frequent, small_or_not, stored, text_pieces
+from clausediff.llm.common import discard, mix, most_frequent, small_or_not, stored, text_pieces
 
 LENGTH, GRAM = 100, 32
 #: Grams with so many names in one stretch of text, or so many added up over all stretches (of those
@@ -355,7 +355,9 @@ def repeat_runs(docs: DataFrame, hot_names: int = HOT_NAMES) -> DataFrame:
             yield _batch(["doc_id", "runs"], batch.column(0), pa.array(out, pa.binary()))
 
     runs = whole.unionByName(ends).groupBy("doc_id").agg(F.collect_list("x").alias("xs"))
-    return stored(runs.mapInArrow(pack, "doc_id long, runs binary"), "runs")
+    runs = stored(runs.mapInArrow(pack, "doc_id long, runs binary"), "runs")
+    discard(named, seen, left)
+    return runs
 
 
 def without_repeats(docs: DataFrame, hot_names: int = HOT_NAMES) -> DataFrame:

@@ -30,6 +30,8 @@ from clausediff.llm.common import BROADCAST_ROWS, shared_dir, small_or_not, stor
 REVISIT_BYTES = 1000
 FILE_BYTES = 64 << 20
 RUN_ROWS, BLOCK_ROWS, RANGE_ROWS = 50_000, 1024, 200_000
+#: Tasks that read archives back; beyond so many archives a task reads several.
+MOST_READERS = 100_000
 #: Keys that place the range boundaries; only the balance depends on them.
 BOUNDARY_SAMPLE = 4096
 #: Capture time of page 0 where the pages have none; page n follows n seconds later.
@@ -238,7 +240,8 @@ def merged_index(manifest: DataFrame, boundaries: list[bytes]) -> DataFrame:
         if rows:
             yield blocks(rows)
 
-    found = manifest.select("archive").repartition("archive").mapInArrow(runs, "range_id long, run long, seq long, block binary")
+    files = min(max(1, manifest.count()), MOST_READERS)  # a number, or the few rows would be put together into one task
+    found = manifest.select("archive").repartition(files, "archive").mapInArrow(runs, "range_id long, run long, seq long, block binary")
     dealt = found.repartition(len(boundaries) + 1, "range_id").sortWithinPartitions("range_id", "run", "seq")
 
     def merge(batches):

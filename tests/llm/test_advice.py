@@ -219,3 +219,140 @@ def test_pipeline_brute_force(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.doc_tokens, r.ids_crc32) for r in out) == wanted and all(r.start == 0 and r.offset + r.length <= 2048 for r in out)
     assert len({(r.sequence_id, r.offset) for r in out}) == len(out)
+
+
+CLASH = ("runs", "copies", "_copy", "size", "score", "names", "x", "n", "key", "z", "kept")
+
+
+def clashing(spark, rows):
+    """doc_id, text, source and columns that operators use names of."""
+    return spark.createDataFrame([(*r, *["own"] * len(CLASH)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASH))
+
+
+def test_suffix_dedup_edges(spark):
+    from clausediff.llm.suffix_dedup import without_repeats
+    from test_operators import brute_repeats
+
+    t = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, t, "a"), (2, "x" + t, "a"), (3, None, "b"), (4, "", None), (5, t[:99], "a"), (6, t * 40, "a")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in without_repeats(clashing(spark, rows)).collect()}
+    assert got == brute_repeats([r[:2] for r in rows])
+    twice = without_repeats(clashing(spark, rows[:2] * 2)).collect()
+    assert sorted((r.doc_id, r.n_removed > 0, r.runs) for r in twice) == [(1, False, "own")] * 2 + [(2, True, "own")] * 2
+    assert without_repeats(clashing(spark, rows).limit(0)).count() == 0
+
+
+def test_line_rules_filter(spark):
+    from clausediff.llm.line_rules import line_cleaned
+
+    good = "A plain line of words that says something, and then a little more of it."
+    notice = "Tous droits réservés, 2024, par la maison qui a fait ce site"
+    rows = [(1, good, None), (2, notice, None), (3, " ".join(f"word{i}" for i in range(40)) + ". " + notice, None), (4, None, None), (5, "", None), (6, f"{good}\n{notice}", None)]
+    out = line_cleaned(clashing(spark, rows))
+    assert {r.doc_id for r in out.where("kept").collect()} == {1, 3, 6}
+    assert {r.doc_id: r.cleaned for r in out.where("kept").collect()}[6] == good
+    assert line_cleaned(clashing(spark, rows).limit(0)).where("kept").count() == 0
+
+
+def test_quality_recomputed(spark):
+    from clausediff.llm import quality
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 50, 30)) + (" &&& !!!" * (i % 2)) for i in range(40)]
+    docs = clashing(spark, [(i, t, None) for i, t in enumerate(texts)] + [(None, None, None)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    weights = quality.trained(docs, labels)
+    got = {r.doc_id: r.score for r in quality.scored(docs, weights).collect()}
+    for i, t in enumerate(texts):
+        place, _ = quality.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        z = weights[-1] + sum(weights[p] for p in place.tolist()) * quality.SCALE / len(place)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)))
+    assert got[None] == pytest.approx(1 / (1 + math.exp(-weights[-1])))
+    # follow-the-regularised-leader, coordinate by coordinate
+    rows = [(np.array([0, 2]), np.array([1.0, 0.5]), 1), (np.array([1, 2]), np.array([2.0, 1.0]), 0)] * 3
+    z, n = [0.0] * 5, [0.0] * 5
+    a, b, l1, l2 = quality.ALPHA, quality.BETA, quality.L1, quality.L2
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+    for idx, x, y in rows * 2:
+        w = [weight(i) for i in idx]
+        p = 1 / (1 + math.exp(-sum(u * v for u, v in zip(w, x, strict=True))))
+        for i, v, u in zip(idx, x, w, strict=True):
+            g = (p - y) * v
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / a * u
+            n[i] += g * g
+    assert quality.ftrl(rows, 2, 2).tolist() == pytest.approx([weight(i) for i in range(5)])
+    assert not quality.trained(docs, labels.limit(0)).any() and quality.scored(docs.limit(0), weights).count() == 0
+
+
+def test_warc_reads_in_parallel(spark):
+    from clausediff.llm import warc
+
+    pages = spark.createDataFrame([(i, f"http://x{i % 7}.com/", "p" * (900 + i % 300)) for i in range(300)], "page_id long, url string, html string").repartition(6)
+    manifest = warc.write_archives(pages)
+    assert manifest.count() == 6 and warc.merged_index(manifest, []).count() == 300
+    got = {r.page_id: r for r in warc.archived(pages).collect()}
+    last = {}
+    for i in range(300):
+        if 900 + i % 300 >= 1000:
+            last["p" * (900 + i % 300)] = i
+    for i in range(300):
+        first = last.get("p" * (900 + i % 300), i)
+        assert (got[i].record_type, got[i].refers_to) == (("response", None) if first == i else ("revisit", first))
+
+
+def test_html_in_spark(spark):
+    from clausediff.llm.html_main import extracted
+
+    p = "<p>" + "Words of an article, with commas, that go on. " * 5 + "</p>"
+    deep = "<div>" * 3000 + p + "</div>" * 3000
+    rows = [(1, "u", None), (2, "u", ""), (3, "u", f"<body>{p}</body>"), (3, "u", f"<body>{p}</body>"), (4, None, f"<body>{deep}</body>"), (None, "u", "<p>x")]
+    got = extracted(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'own' as text", "1 as n_chars")).collect()
+    text = " ".join(("Words of an article, with commas, that go on. " * 5).split())
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "x", 1), (1, "", 0), (2, "", 0), *[(3, text, len(text))] * 2, (4, text, len(text))]
+    assert extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_url_filter_random_aliases(spark):
+    from clausediff.llm.url_filter import judged
+
+    rng = np.random.default_rng(3)
+    hosts = ["a.net", "example.org", "b.com", "c.example.org"]
+    urls = [f"http://{hosts[i % 4]}/{['es', 'en', 'de', 'fr', 'x'][i % 5]}/{i}" for i in range(120)]
+    edges = [(urls[a], urls[b]) for a, b in rng.integers(0, 120, (70, 2))]
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "com", "/de/"), ("allow", "com", "/fr/")]
+    decide = {}
+    for u in urls:
+        host, path = u[7:].split("/", 1)
+        fits = [(len(h + p), v) for v, h, p in rules if (host == h or host.endswith("." + h)) and f"/{path}".startswith(p)]
+        decide[u] = max(fits)[1] if fits else None
+    group = {u: {u} for u in urls}
+    for a, b in edges:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for u in group[b]:
+                group[u] = group[a]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in judged(pages, spark.createDataFrame(edges, "a string, b string"), rules).collect()}
+    for i, u in enumerate(urls):
+        votes = {decide[x] for x in group[u]} - {None}
+        assert got[i] == (decide[u] or ("allow" if "allow" in votes or not votes else "block"))
+    assert judged(pages.limit(0)).count() == 0
+
+
+def test_mixing_reruns(spark):
+    from clausediff.llm.mixing import mixed
+
+    rows = [(i, "w " * (i * 7 % 50), f"s{i % 3}" if i % 5 else None) for i in range(200)]
+    once, again = (sorted(tuple(r) for r in mixed(clashing(spark, rows).repartition(n)).fillna("-", ["source"]).collect()) for n in (3, 5))
+    assert once == again and len(once) == 200
+
+
+def test_pipeline_clashes(spark):
+    import corpus_pipeline
+
+    rows = [(i % 9 if i % 4 else None, f"t{i} " + "w " * (i * i), f"s{i % 2}") for i in range(18)]
+    docs = clashing(spark, rows).selectExpr("doc_id", "text", "'en' as lang", "source", "cast(1 as long) as n_chars", *CLASH)
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages, corpus_pipeline.mixing):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() > 0 and out.where("runs <> 'own' or copies <> 'own'").count() == 0
+        assert stage(spark, docs.limit(0), "").count() == 0

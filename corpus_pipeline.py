@@ -76,12 +76,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each row as often as its source's target asks for, whether its doc_id is null,
     repeated or its own."""
-    from clausediff.llm.common import stored
+    from clausediff.llm.common import small_or_not, stored
     from clausediff.llm.mixing import mixed
 
     rows = _numbered(docs)
-    counts = stored(mixed(rows, carry=("_row",)).where("copies > 0").select("_row", "copies"), "copies")
-    out = rows.join(counts, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    counts = mixed(rows.select("doc_id", "text", "source", "_row"), carry=("_row",)).where("copies > 0")
+    counts = stored(counts.select("_row", F.col("copies").alias("_copies")), "copies")
+    out = rows.join(small_or_not(counts), "_row").withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return out.select(*docs.columns)
 
 

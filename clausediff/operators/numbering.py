@@ -9,23 +9,20 @@ from clausediff.functions.text import format_counter, heading_level, normalize_t
 
 KEY = ["doc_id", "version"]
 LEVELS = 9
-#: Longest chain of styles that is followed; a chain with a cycle ends where it would close.
-STYLE_DEPTH = 16
 
 
 def resolve_styles(styles: DataFrame) -> DataFrame:
     """doc_id, version, style_id, num_id, ilvl: each style's own numbering or the nearest
-    one up its basedOn chain (level 0 where that has none)."""
+    one up its basedOn chain (level 0 where that has none). Chains of any length are followed; one
+    with a cycle ends where it would close."""
     own = styles.select(*KEY, "style_id", "based_on", "num_id", F.coalesce("ilvl", F.lit(0)).alias("ilvl")).dropDuplicates([*KEY, "style_id"])
     up = own.select(*KEY, F.col("style_id").alias("at"), F.col("based_on").alias("next"), F.col("num_id").alias("n"), F.col("ilvl").alias("l"))
     found = own.where("num_id is not null").select(*KEY, "style_id", "num_id", "ilvl")
     walk = own.where("num_id is null and based_on is not null").select(*KEY, "style_id", F.col("based_on").alias("at"), F.array("style_id").alias("seen"))
-    for _ in range(STYLE_DEPTH):
+    while not walk.isEmpty():
         step = walk.where(~F.array_contains("seen", F.col("at"))).join(up, [*KEY, "at"])
         found = found.unionByName(step.where("n is not null").select(*KEY, "style_id", F.col("n").alias("num_id"), F.col("l").alias("ilvl")))
         walk = step.where("n is null and next is not null").select(*KEY, "style_id", F.col("next").alias("at"), F.array_append("seen", F.col("at")).alias("seen"))
-        if walk.isEmpty():
-            break
     return found
 
 

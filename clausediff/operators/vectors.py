@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,8 @@ from clausediff.operators.index import where_all
 DIMENSIONS = 256
 #: Queries that are broadcast at a time.
 QUERY_BLOCK = 1024
+#: Most rows of one side of a pair that meet at once.
+PAIR_BLOCK = 4096
 
 
 def embed(rows: DataFrame, column: str = "text", encoder: Callable[[list[str]], np.ndarray] | None = None, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -67,8 +70,82 @@ def semantic_search(index: DataFrame, queries: DataFrame, k: int = 10, where: di
 def article_candidates(left: DataFrame, right: DataFrame, k: int = 3) -> DataFrame:
     """pair_id, left_no, rank, chunk_id, article_number, article_title, distance, similarity:
     for each v1 article (pair_id, left_no, embedding) the k nearest v2 rows of its pair
-    (pair_id, chunk_id, article_number, article_title, embedding). No texts are moved."""
-    r = right.withColumnRenamed("embedding", "_right")
-    scored = left.join(r, "pair_id").withColumn("distance", squared_distance(F.col("embedding"), F.col("_right"))).drop("embedding", "_right")
+    (pair_id, chunk_id, article_number, article_title, embedding). No texts are moved.
+
+    Both sides of a pair meet in one task as blocks of at most PAIR_BLOCK rows; a matrix product
+    leaves the rows that may be among the k nearest, and their distances are then summed exactly."""
+    names = ("pair_id", "left_no", "chunk_id", "article_number", "article_title")
+    kind = {f.name: f.dataType.simpleString() for f in (*left.schema.fields, *right.schema.fields)}
+    blocks = lambda df, name: df.groupBy("pair_id").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias(name))
+    large = blocks(left, "lefts").join(blocks(right, "rights"), "pair_id").where("lefts > 1 or rights > 1")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    part = lambda c, of: F.pmod(F.xxhash64(of), one(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), one(c) - 1))
+    null = lambda c: F.lit(None).cast(kind[c]).alias(c)
+    lefts = left.where("embedding is not null").join(large, "pair_id", "left").select(
+        "pair_id", part("lefts", "left_no").alias("lb"), every("rights").alias("rb"), F.lit(0).alias("side"), "left_no", *map(null, names[2:]), "embedding"
+    )
+    rights = right.where("embedding is not null").join(large, "pair_id", "left").select(
+        "pair_id", every("lefts").alias("lb"), part("rights", "chunk_id").alias("rb"), F.lit(1).alias("side"), null("left_no"), *names[2:], "embedding"
+    )
+    key = ["pair_id", "lb", "rb"]
+    met = lefts.unionByName(rights).repartition(*key).sortWithinPartitions(*key, "side")
+
+    def nearest(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= PAIR_BLOCK:
+                table = pa.Table.from_batches(held).combine_chunks()
+                cuts = _group_starts(table)
+                yield from _near_rows(table.slice(0, cuts[-1]), cuts[:-1], k, names)
+                held = table.slice(cuts[-1]).to_batches()
+                size = table.num_rows - cuts[-1]
+        if size:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from _near_rows(table, _group_starts(table), k, names)
+
+    scored = met.mapInArrow(nearest, ", ".join(f"{c} {kind[c]}" for c in names) + ", distance double")
     best = top_k(scored, ["pair_id", "left_no"], k)
     return best.withColumn("similarity", distance_similarity(F.col("distance")))
+
+
+def _group_starts(table: pa.Table) -> np.ndarray:
+    """First rows of runs of equal pair and blocks."""
+    keys = [table.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+    new = np.ones(table.num_rows, bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
+    return np.flatnonzero(new)
+
+
+def _near_rows(table: pa.Table, starts: np.ndarray, k: int, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    if not len(starts):
+        return
+    side = table.column(3).to_numpy()
+    vectors = table.column("embedding").combine_chunks()
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+    squares = (flat * flat).sum(axis=1)
+    lefts, rights, distances = [], [], []
+    for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
+        mid = a + int(np.searchsorted(side[a:b], 1))
+        if mid in (a, b):
+            continue
+        for at in range(a, mid, 256):
+            to = min(mid, at + 256)
+            near = squares[at:to, None] + squares[None, mid:b] - 2 * flat[at:to] @ flat[mid:b].T
+            if b - mid > k:
+                slack = 1e-9 * (squares[at:to, None] + squares[mid:b].max())
+                near = near <= np.partition(near, k - 1, axis=1)[:, k - 1, None] + slack
+            else:
+                near = np.ones(near.shape, bool)
+            i, j = np.nonzero(near)
+            i, j = i + at, j + mid
+            lefts.append(i)
+            rights.append(j)
+            for x in range(0, len(i), 8192):  # summed in the order of components
+                distances.append(np.add.accumulate((flat[i[x : x + 8192]] - flat[j[x : x + 8192]]) ** 2, axis=1)[:, -1])
+    if lefts:
+        i, j = (pa.array(np.concatenate(x)) for x in (lefts, rights))
+        columns = [table.column(c).take(i if c in ("pair_id", "left_no") else j).combine_chunks() for c in names]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(distances))], [*names, "distance"])

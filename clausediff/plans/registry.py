@@ -278,7 +278,22 @@ def chunk_plain_text(spark, sf_dir):
     return fixture.chunks(spark, sf_dir).select(*_CHUNK_COLUMNS.split(", "))
 
 
-QUERIES["build_chunks"], ORACLES["build_chunks"] = QUERIES["chunk_plain_text"], ORACLES["chunk_plain_text"]
+@query(with_sql(CHUNKS_SQL, "select doc_id, version, count(*) as chunks, sum(length(text))::bigint as characters, min(chunk_id) as first_id, max(chunk_idx)::int as last_idx from chunks group by doc_id, version"))
+def build_chunks(spark, sf_dir):
+    by = fixture.chunks(spark, sf_dir).groupBy("doc_id", "version")
+    return by.agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"), F.min("chunk_id").alias("first_id"), F.max("chunk_idx").alias("last_idx"))
+
+
+@query(with_sql(CHUNKS_SQL, "select count(*) as written, count(*) as read, true as left_out from chunks"))
+def export_chunks(spark, sf_dir):
+    return index.export_chunks(fixture.chunks(spark, sf_dir), files.scratch(spark, "chunks"))
+
+
+@query(with_sql(CHUNKS_SQL, "select chunk_id, doc_id, version, article_number, article_title, text from chunks"))
+def load_chunks(spark, sf_dir):
+    path = files.scratch(spark, "chunks")
+    index.export_chunks(fixture.chunks(spark, sf_dir), path)
+    return index.load_chunks(spark, path).select("chunk_id", "doc_id", "version", "article_number", "article_title", "text")
 
 
 @query(_NUMBERED_SQL + r""", art as (select *, sum((ilvl = 0)::int) over (partition by doc_id order by idx rows between unbounded preceding and current row) as grp from p left join labels using (doc_id, idx)),
@@ -310,10 +325,10 @@ def corpus_to_chunks(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    return fixture.chunks(spark, sf_dir).where("version = 'v1'")
+    return fixture.chunks(spark, sf_dir)
 
 
-_V1 = with_sql(CHUNKS_SQL + ", ix as (select * from chunks where version = 'v1')", "")
+_IX = with_sql(CHUNKS_SQL + ", ix as (select * from chunks)", "")
 
 
 @query()
@@ -328,22 +343,22 @@ def index_upsert(spark, sf_dir):
     return index.index_upsert(c.where("version = 'v1'"), new).select("chunk_id", "version", "text")
 
 
-@query(_V1 + "select chunk_id, doc_id, article_number, text from ix where version = 'v1' and chuong_so = '1' order by chunk_id limit 200")
+@query(_IX + "select chunk_id, doc_id, article_number, text from ix where version = 'v1' and chuong_so = '1' order by chunk_id limit 200")
 def filter_lookup(spark, sf_dir):
     return index.filter_lookup(_index(spark, sf_dir), {"$and": [{"version": "v1"}, {"chuong_so": "1"}]}).select("chunk_id", "doc_id", "article_number", "text")
 
 
-@query(_V1 + "select chunk_id, doc_id, text from ix where article_number = '5'")
+@query(_IX + "select chunk_id, doc_id, text from ix where article_number = '5'")
 def lookup_article(spark, sf_dir):
     return index.lookup_article(_index(spark, sf_dir), "5").select("chunk_id", "doc_id", "text")
 
 
-@query(_V1 + "select chunk_id, doc_id, article_title, row_number() over (partition by doc_id order by chunk_id)::int as place from ix where chuong_so = '1'")
+@query(_IX + "select chunk_id, doc_id, article_title, row_number() over (partition by doc_id, version order by chunk_id)::int as place from ix where chuong_so = '1'")
 def lookup_chapter(spark, sf_dir):
     return index.lookup_chapter(_index(spark, sf_dir), "1").select("chunk_id", "doc_id", "article_title", "place")
 
 
-@query(_V1 + "select chunk_id, doc_id, version, article_title, chunk_id = (select min(chunk_id) from ix where article_number = '1') as shown, case when chunk_id = (select min(chunk_id) from ix where article_number = '1') then text end as text from ix where article_number = '1'")
+@query(_IX + "select chunk_id, doc_id, version, article_title, chunk_id = (select min(chunk_id) from ix where article_number = '1') as shown, case when chunk_id = (select min(chunk_id) from ix where article_number = '1') then text end as text from ix where article_number = '1'")
 def view_article(spark, sf_dir):
     return index.view_article(_index(spark, sf_dir), "1")
 
@@ -353,17 +368,17 @@ def sample_per_type(spark, sf_dir):
     return index.sample_per_type(fixture.chunks(spark, sf_dir)).select("chunk_type", "chunk_id")
 
 
-@query(_V1 + "select 'all' as scope, null::varchar as name, count(*) as n from ix union all select 'document', doc_id, count(*) from ix group by doc_id union all select 'chapter', chuong_so, count(*) from ix group by chuong_so")
+@query(_IX + "select 'all' as scope, null::varchar as name, count(*) as n from ix union all select 'document', doc_id, count(*) from ix group by doc_id union all select 'chapter', chuong_so, count(*) from ix group by chuong_so")
 def index_counts(spark, sf_dir):
     return index.index_counts(_index(spark, sf_dir))
 
 
-@query(_V1 + "select min(length(text))::int as shortest, max(length(text))::int as longest, (sum(length(text)) // count(*))::bigint as average from ix")
+@query(_IX + "select min(length(text))::int as shortest, max(length(text))::int as longest, (sum(length(text)) // count(*))::bigint as average from ix")
 def chunk_lengths(spark, sf_dir):
     return index.chunk_lengths(_index(spark, sf_dir))
 
 
-@query(_V1 + "select doc_id, chuong_so, count(*) as articles from ix group by grouping sets ((doc_id, chuong_so), (doc_id))")
+@query(_IX + "select doc_id, chuong_so, count(*) as articles from ix group by grouping sets ((doc_id, chuong_so), (doc_id))")
 def structure_map(spark, sf_dir):
     return index.structure_map(_index(spark, sf_dir))
 
@@ -387,7 +402,7 @@ def chunk_quality(spark, sf_dir):
     return index.chunk_quality(_documents(spark, sf_dir), odd.unionByName(c.where("chunk_idx = 1")))
 
 
-@query(_V1 + "select chunk_id, array_to_string(list_filter([case when chunk_idx % 5 = 0 then 'muc_so' end, case when chunk_idx % 7 = 0 then 'article_title' end], lambda x: x is not null), ',') as missing from ix where chunk_idx % 5 = 0 or chunk_idx % 7 = 0")
+@query(_IX + "select chunk_id, array_to_string(list_filter([case when chunk_idx % 5 = 0 then 'muc_so' end, case when chunk_idx % 7 = 0 then 'article_title' end], lambda x: x is not null), ',') as missing from ix where chunk_idx % 5 = 0 or chunk_idx % 7 = 0")
 def missing_metadata(spark, sf_dir):
     c = _index(spark, sf_dir).withColumn("muc_so", F.when(F.col("chunk_idx") % 5 != 0, F.col("muc_so"))).withColumn("article_title", F.when(F.col("chunk_idx") % 7 != 0, F.col("article_title")))
     return index.missing_metadata(c).select("chunk_id", F.array_join("missing", ",").alias("missing"))

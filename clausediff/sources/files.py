@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +38,14 @@ def file_identity(files: DataFrame) -> DataFrame:
     low = F.lower(name)
     version = F.when(low.contains("v1"), "v1").when(low.contains("v2"), "v2").otherwise("v1")
     return files.withColumn("doc_id", F.regexp_replace(name, r"(?<=.)\.[^.]*\z", "")).withColumn("version", version)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir, which all executors share. Only in local
+    mode, and where the setting is missing, a temporary folder stands in for it."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="clausediff-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -39,7 +39,7 @@ def stored(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     with text_batches(spark) if texts else nullcontext():
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausediff.schemas import CHUNKS_JSONL, INDEX_METADATA
+from clausediff.sources.files import scratch
 
 CHUNK_TYPES = ("article", "definition", "header")
 
@@ -96,21 +97,39 @@ def type_counts(chunks: DataFrame) -> DataFrame:
 
 
 def chunk_quality(docs: DataFrame, chunks: DataFrame, short: int = 30) -> DataFrame:
-    """check, n and names (sorted) for: documents (doc_id) without chunk, repeated ids, short texts, wrong types; and the chapters."""
-    def check(name, rows, column, n=None):
-        names = F.array_sort(F.collect_set(column))
-        return rows.agg((n if n is not None else F.count("*")).alias("n"), names.alias("names")).select(F.lit(name).alias("check"), "n", "names")
-
+    """check, name and n, a row for each name and how many rows bear it: documents (doc_id)
+    without chunk, repeated ids, short texts, wrong types; and the chapters."""
+    fault = lambda check, name: F.struct(F.lit(check).alias("check"), F.col(name).alias("name"))
+    found = F.array_compact(F.array(
+        F.when(F.col("char_len") <= short, fault("short_text", "clause_id")),
+        F.when(~F.coalesce(F.col("chunk_type").isin(*CHUNK_TYPES), F.lit(False)), fault("invalid_type", "chunk_id")),
+        F.when(F.col("chuong_so").isNotNull(), fault("chapters", "chuong_so")),
+    ))
+    counted = chunks.select(F.inline(found)).groupBy("check", "name").agg(F.count("*").alias("n"))
+    twice = chunks.groupBy(F.lit("duplicate_id").alias("check"), F.col("chunk_id").alias("name")).agg(F.count("*").alias("n")).where("n > 1")
     empty = docs.select(F.col("doc_id").cast("string")).join(chunks, "doc_id", "left_anti")
-    twice = chunks.groupBy("chunk_id").agg(F.count("*").alias("c")).where("c > 1")
-    checks = [
-        check("no_chunks", empty, "doc_id"),
-        check("duplicate_id", twice, "chunk_id"),
-        check("short_text", chunks.where(F.col("char_len") <= short), "clause_id"),
-        check("invalid_type", chunks.where(~F.coalesce(F.col("chunk_type").isin(*CHUNK_TYPES), F.lit(False))), "chunk_id"),
-        check("chapters", chunks, "chuong_so", F.count_distinct("chuong_so")),
-    ]
-    return reduce(DataFrame.unionByName, checks)
+    empty = empty.groupBy(F.lit("no_chunks").alias("check"), F.col("doc_id").alias("name")).agg(F.count("*").alias("n"))
+    return counted.unionByName(twice).unionByName(empty)
+
+
+def quality_counts(found: DataFrame) -> DataFrame:
+    """check, names and n: how many names and rows chunk_quality() found."""
+    return found.groupBy("check").agg(F.count("*").alias("names"), F.sum("n").alias("n"))
+
+
+def placed(rows: DataFrame, *order, name: str = "place") -> DataFrame:
+    """rows with their place, from 1, in an order that leaves no ties. Rows are sorted in ranges,
+    stored, and numbered inside a range; only one count a range is summed in one task."""
+    spark = rows.sparkSession
+    path = scratch(spark, name)
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranges.write.parquet(path)
+    part = F.shiftright("_at", 33)
+    numbered = spark.read.schema(ranges.schema).parquet(path).withColumn("_range", part)
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = numbered.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_at") - F.shiftleft("_range", 33) + 1
+    return numbered.join(F.broadcast(starts), "_range").select(*rows.columns, place.alias(name))  # starts: one row a range
 
 
 def missing_metadata(index: DataFrame, required=INDEX_METADATA) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,24 +30,31 @@ def compare_by_clause(v1: DataFrame, v2: DataFrame) -> DataFrame:
 def greedy_match(candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """pair_id, left_no, right_no, chunk_id, title, similarity: each left article, in the
     order of article numbers, takes its nearest candidate that is still free and similar
-    enough. One fold over a pair's candidate keys and scores."""
-    cand = F.struct("rank", F.col("article_number").alias("no"), "similarity", "chunk_id", "article_title")
-    lefts = candidates.groupBy("pair_id", "left_no").agg(F.array_sort(F.collect_list(cand)).alias("cands"))
-    rows = lefts.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct(article_sort_key(F.col("left_no")).alias("key"), "left_no", "cands"))).alias("arr"))
-    out_type = "array<struct<left_no:string,right_no:string,chunk_id:string,title:string,similarity:double>>"
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(out_type).alias("out"))
-
-    def step(acc, x):
-        free = F.filter(x["cands"], lambda c: (c["no"] != "") & ~F.array_contains(acc["used"], c["no"]) & (c["similarity"] >= threshold))
-        return F.aggregate(
-            F.slice(free, 1, 1), acc,
-            lambda a, c: F.struct(
-                F.array_append(a["used"], c["no"]).alias("used"),
-                F.array_append(a["out"], F.struct(x["left_no"].alias("left_no"), c["no"].alias("right_no"), c["chunk_id"].alias("chunk_id"), c["article_title"].alias("title"), c["similarity"].alias("similarity"))).alias("out"),
-            ),
-        )
-
-    return rows.select("pair_id", F.inline(F.aggregate("arr", start, step).getField("out")))
+    enough. A pair's candidates stream through one task in that order; what is held of a pair
+    is the numbers taken. candidates: pair_id, left_no, rank, article_number, chunk_id,
+    article_title, similarity; rows without a number take no part."""
+    fit = candidates.where((F.col("article_number") != "") & (F.col("similarity") >= threshold))
+    names = ("left_no", "article_number", "chunk_id", "article_title", "similarity")
+    rows = fit.repartition("pair_id").sortWithinPartitions("pair_id", article_sort_key(F.col("left_no")), "left_no", "rank", "article_number")
+    rows = rows.select("pair_id", *names)
+
+    def free(batches):
+        pair = left = start = object()
+        used = set()
+        for batch in batches:
+            kept = []
+            columns = (batch.column(i).to_pylist() for i in range(3))
+            for i, (p, l, no) in enumerate(zip(*columns, strict=True)):
+                if p != pair:
+                    pair, left, used = p, start, set()
+                if l != left and no not in used:
+                    left = l
+                    used.add(no)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    taken = rows.mapInArrow(free, rows.schema)
+    return taken.select("pair_id", "left_no", F.col("article_number").alias("right_no"), "chunk_id", F.col("article_title").alias("title"), "similarity")
 
 
 def matched_pairs(matches: DataFrame, left: DataFrame, right: DataFrame, chunks: DataFrame | None = None) -> DataFrame:

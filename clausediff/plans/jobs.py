@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausediff.operators import chunking, grounding, index, matching, numbering, reporting, vectors
+from clausediff.sources import files
 
 
 def corpus_to_chunks(paragraphs: DataFrame, styles: DataFrame | None = None, levels: DataFrame | None = None) -> DataFrame:
@@ -23,14 +24,19 @@ def pair_chunks(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def matched_rows(chunks: DataFrame, encoder=None, k: int = 3, threshold: float = matching.THRESHOLD) -> DataFrame:
     """compared_articles() of chunks with pair_id; vectors are made once for each chunk. The
-    chunks are read several times, so they are kept (and recomputed if an executor is lost)."""
-    chunks = chunks.select("pair_id", "version", "chunk_id", "chunk_idx", "article_number", "article_title", "text").persist()
+    chunks are read several times, so they are stored as a table, which outlives an executor."""
+    chunks = chunks.select("pair_id", "version", "chunk_id", "chunk_idx", "article_number", "article_title", "text")
+    path = files.scratch(chunks.sparkSession, "pair-chunks")
+    chunks.write.parquet(path)
+    chunks = chunks.sparkSession.read.schema(chunks.schema).parquet(path)
     articles = index.build_articles(chunks, ("pair_id", "version"))
     left, right = (articles.where(F.col("version") == v).drop("version") for v in ("v1", "v2"))
     v1 = vectors.embed(left, "full_text", encoder).select("pair_id", F.col("article_number").alias("left_no"), "embedding")
     rows = vectors.embed(chunks.where("version = 'v2'"), "text", encoder).select("pair_id", "chunk_id", "article_number", "article_title", "embedding")
     matches = matching.greedy_match(vectors.article_candidates(v1, rows, k), threshold)
-    return matching.compared_articles(left, right, matches, chunks.where("version = 'v2'").select("chunk_id", "text").dropDuplicates(["chunk_id"]))
+    # articles bear trimmed numbers, so only numbers with blanks around them are not among a pair's own
+    other = chunks.where("version = 'v2' and article_number <> trim(article_number)").select("chunk_id", "text").dropDuplicates(["chunk_id"])
+    return matching.compared_articles(left, right, matches, other)
 
 
 def compare_corpus(chunks: DataFrame, encoder=None, responses: DataFrame | None = None, k: int = 3, threshold: float = matching.THRESHOLD) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausediff.functions import predicates as P
@@ -140,7 +140,7 @@ def article_sort_key(spark, sf_dir):
     i = F.col("doc_id")
     no = F.when(i % 4 == 0, i.cast("string")).when(i % 4 == 1, F.concat(i % 30, F.lit("a"))).when(i % 4 == 2, F.concat(F.lit("II"), i)).otherwise((i % 30).cast("string"))
     d = _documents(spark, sf_dir).select("doc_id", no.alias("no"))
-    return d.withColumn("place", F.row_number().over(Window.orderBy(X.article_sort_key(F.col("no")), "doc_id")))
+    return index.placed(d, X.article_sort_key(F.col("no")), F.col("doc_id")).withColumn("place", F.col("place").cast("int"))
 
 
 @query("select vec_id, d as distance, case when d is null then 0.0::double else 1.0::double / (1.0::double + d) end as similarity, 1.0::double - d as score from (select vec_id, case when vec_id % 9 = 0 then null else (vec_id % 100)::double / 50.0::double end as d from embeddings)")
@@ -153,7 +153,7 @@ def similarity(spark, sf_dir):
 @query("select doc_id, case when doc_id % 4 = 3 then null when doc_id % 4 = 2 then 'lone' else 'changed' end as status from documents")
 def parse_json_object(spark, sf_dir):
     i = F.col("doc_id")
-    good = F.to_json(F.struct(F.lit("changed").alias("status"), F.substring("text", 1, 50).alias("conclusion")))
+    good = F.to_json(F.struct(F.lit("changed").alias("status"), F.col("text").alias("conclusion")))
     raw = F.when(i % 4 == 0, good).when(i % 4 == 1, F.concat(F.lit("Answer:\n"), good, F.lit("\ndone"))).when(i % 4 == 2, ' {"status": "lone"} ').otherwise("{broken")
     v = X.first_json_object(raw)
     return _documents(spark, sf_dir).select("doc_id", F.try_variant_get(v, "$.status", "string").alias("status"))
@@ -175,7 +175,7 @@ def line_refs(spark, sf_dir):
 
 @query("select doc_id, case when doc_id % 3 = 0 then 'definition' else 'article' end as chunk_type from documents")
 def chunk_type(spark, sf_dir):
-    title = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("GIẢI THÍCH từ ngữ "), F.substring("text", 1, 20))).otherwise(F.substring("text", 1, 40))
+    title = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("GIẢI THÍCH từ ngữ "), "text")).otherwise(F.col("text"))
     return _documents(spark, sf_dir).select("doc_id", X.chunk_type(title).alias("chunk_type"))
 
 
@@ -388,18 +388,35 @@ def type_counts(spark, sf_dir):
     return index.type_counts(fixture.chunks(spark, sf_dir))
 
 
-_BAD = ", q as (select chunk_id, doc_id, clause_id, chuong_so, char_len, case when chunk_idx % 50 = 0 then 'odd' else chunk_type end as chunk_type from chunks where doc_id::bigint % 10 <> 0 union all select chunk_id, doc_id, clause_id, chuong_so, char_len, chunk_type from chunks where doc_id::bigint % 10 <> 0 and chunk_idx = 1)"
+# Faults are added to whole tables: a document without chunks, a repeated first chunk and, of
+# every fiftieth chunk, one more of an odd type.
+_BAD = ", q as (select chunk_id, doc_id, clause_id, chuong_so, char_len, chunk_type from chunks union all select chunk_id, doc_id, clause_id, chuong_so, char_len, chunk_type from chunks where chunk_idx = 1 union all select 'odd ' || chunk_id, doc_id, clause_id, chuong_so, char_len, 'odd' from chunks where chunk_idx % 50 = 0), d as (select doc_id::varchar as doc_id from documents union all select 'empty ' || doc_id from documents)"
+_QUALITY_SQL = _BAD + """, found as (select 'no_chunks' as "check", doc_id as name, count(*) as n from d where doc_id not in (select doc_id from q) group by doc_id
+union all select 'duplicate_id', chunk_id, count(*) from q group by chunk_id having count(*) > 1
+union all select 'short_text', clause_id, count(*) from q where char_len <= 30 group by clause_id
+union all select 'invalid_type', chunk_id, count(*) from q where chunk_type not in ('article', 'definition', 'header') group by chunk_id
+union all select 'chapters', chuong_so, count(*) from q where chuong_so is not null group by chuong_so)
+"""
 
 
-@query(with_sql(CHUNKS_SQL + _BAD, """select 'no_chunks' as "check", count(*) as n, coalesce(list_sort(list(doc_id::varchar)), []) as names from documents where doc_id::varchar not in (select doc_id from q)
-union all select 'duplicate_id', count(*), list_sort(list(chunk_id)) from (select chunk_id from q group by chunk_id having count(*) > 1)
-union all select 'short_text', count(*), coalesce(list_sort(list(distinct clause_id)), []) from q where char_len <= 30
-union all select 'invalid_type', count(*), coalesce(list_sort(list(distinct chunk_id)), []) from q where chunk_type not in ('article', 'definition', 'header')
-union all select 'chapters', count(distinct chuong_so), list_sort(list(distinct chuong_so)) from q"""))
+def _quality(spark, sf_dir):
+    path = files.scratch(spark, "quality")
+    fixture.chunks(spark, sf_dir).select("chunk_id", "doc_id", "clause_id", "chuong_so", "char_len", "chunk_type", "chunk_idx").write.parquet(path)
+    c = spark.read.parquet(path)
+    odd = c.where("chunk_idx % 50 = 0").withColumn("chunk_type", F.lit("odd")).withColumn("chunk_id", F.concat(F.lit("odd "), "chunk_id"))
+    ids = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"))
+    docs = ids.unionByName(ids.select(F.concat(F.lit("empty "), "doc_id").alias("doc_id")))
+    return index.chunk_quality(docs, c.unionByName(c.where("chunk_idx = 1")).unionByName(odd))
+
+
+@query(with_sql(CHUNKS_SQL + _QUALITY_SQL, 'select "check", name, n from found'))
 def chunk_quality(spark, sf_dir):
-    c = fixture.chunks(spark, sf_dir).where(F.col("doc_id").cast("long") % 10 != 0)
-    odd = c.withColumn("chunk_type", F.when(F.col("chunk_idx") % 50 == 0, "odd").otherwise(F.col("chunk_type")))
-    return index.chunk_quality(_documents(spark, sf_dir), odd.unionByName(c.where("chunk_idx = 1")))
+    return _quality(spark, sf_dir)
+
+
+@query(with_sql(CHUNKS_SQL + _QUALITY_SQL, 'select "check", count(*) as names, sum(n)::bigint as n from found group by "check"'))
+def quality_counts(spark, sf_dir):
+    return index.quality_counts(_quality(spark, sf_dir))
 
 
 @query(_IX + "select chunk_id, array_to_string(list_filter([case when chunk_idx % 5 = 0 then 'muc_so' end, case when chunk_idx % 7 = 0 then 'article_title' end], lambda x: x is not null), ',') as missing from ix where chunk_idx % 5 = 0 or chunk_idx % 7 = 0")

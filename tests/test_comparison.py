@@ -171,3 +171,50 @@ def test_registry_is_complete():
 
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 60
+
+
+def test_greedy_match_against_a_fold(spark):
+    import random
+
+    from clausediff.operators import matching
+
+    rng = random.Random(5)
+    rows = [
+        (p, str(left), rank, rng.choice(["", *map(str, range(1, 9))]), f"c{p}-{left}-{rank}", "t", rng.choice([0.3, 0.5, 0.9, None]))
+        for p in (None, "a", "b", "c") for left in range(1, 14) for rank in (1, 2, 3)
+    ]
+    names = "pair_id string, left_no string, rank int, article_number string, chunk_id string, article_title string, similarity double"
+    want, used, done = set(), set(), set()
+    for p, left, _, no, chunk, _, s in sorted(rows, key=lambda r: (r[0] or "", int(r[1]), r[2])):
+        if no and s is not None and s >= 0.5 and (p, no) not in used and (p, left) not in done:
+            used.add((p, no))
+            done.add((p, left))
+            want.add((p, left, no, chunk))
+    got = matching.greedy_match(spark.createDataFrame(rows, names).repartition(7)).collect()
+    assert {(r.pair_id, r.left_no, r.right_no, r.chunk_id) for r in got} == want and len(got) == len(want)
+    assert matching.greedy_match(spark.createDataFrame([], names)).count() == 0
+
+
+def test_placed_numbers_over_ranges(spark):
+    from clausediff.operators import index
+
+    rows = spark.range(0, 5000, 1, 9).select("id", (F.col("id") * 7919 % 13).alias("k"))
+    got = index.placed(rows, F.col("k"), F.col("id")).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 5001))
+    assert [(r.k, r.id) for r in got] == sorted((r.k, r.id) for r in got)
+    assert index.placed(rows.where("id < 0"), F.col("k"), F.col("id")).count() == 0
+
+
+def test_chunk_quality_rows(spark):
+    from clausediff.operators import index
+
+    chunks = spark.createDataFrame(
+        [("1", "x1", "c1", "I", 10, "article"), ("1", "x1", "c1", "I", 99, "article"), ("2", "x2", "c2", None, 30, None)],
+        "doc_id string, chunk_id string, clause_id string, chuong_so string, char_len int, chunk_type string",
+    )
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    found = index.chunk_quality(docs, chunks)
+    assert {tuple(r) for r in found.collect()} == {
+        ("no_chunks", "3", 1), ("duplicate_id", "x1", 2), ("short_text", "c1", 1), ("short_text", "c2", 1), ("invalid_type", "x2", 1), ("chapters", "I", 2),
+    }
+    assert ("short_text", 2, 2) in {tuple(r) for r in index.quality_counts(found).collect()}

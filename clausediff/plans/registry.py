@@ -12,7 +12,7 @@ from clausediff.functions import text as X
 from clausediff.operators import chunking, diffing, grounding, index, matching, numbering, reporting, vectors
 from clausediff.plans import fixture, jobs
 from clausediff.plans.fixture import CHUNKS_SQL, PAIRS_SQL, RESULTS_SQL, V_SQL, with_sql
-from clausediff.sources import files, lines
+from clausediff.sources import docx, files, lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,13 @@ def text_paragraphs(spark, sf_dir):
     return lines.text_paragraphs(_texts(spark, sf_dir)).select("doc_id", "version", "idx", "text", "display_text")
 
 
+@query(r"""select doc_id::varchar as doc_id, 'v1' as version, (i - 1)::int as idx, trim(s) as text, case (i - 1) % 10 when 0 then 'heading 1' when 5 then 'heading 2' else 'Normal' end as style_name,
+  case (i - 1) % 10 when 0 then 'H1' when 5 then 'H2' else 'Normal' end as style_id, case when (i - 1) % 10 = 7 then 7 end::int as num_id, case when (i - 1) % 10 = 7 then 1 end::int as ilvl
+from (select doc_id, unnest(a) as s, generate_subscripts(a, 1) as i from (select doc_id, string_split(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), chr(10)) as a from documents)) where trim(s) <> ''""")
+def docx_paragraphs(spark, sf_dir):
+    return docx.docx_tables(fixture.docx_files(spark, sf_dir))[0]
+
+
 # ---------------------------------------------------------------- texts
 
 

@@ -6,7 +6,7 @@ import io
 import xml.etree.ElementTree as ET
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,15 +65,16 @@ def parts_of(content: bytes):
 
 def docx_parts(files: DataFrame) -> DataFrame:
     """doc_id, version and a row for each part of files (doc_id, version, content)."""
-    columns = [c.split()[0] for c in _PARTS.split(", ")]
+    columns = "doc_id string, version string, " + _PARTS
+    types = pa.schema([(c, pa.int32() if kind == "int" else pa.string()) for c, kind in map(str.split, columns.split(", "))])
 
     def run(batches):
-        for pdf in batches:
-            rows = [{"doc_id": f.doc_id, "version": f.version} | part for f in pdf.itertuples() for part in parts_of(f.content)]
-            out = pd.DataFrame(rows, columns=["doc_id", "version", *columns])
-            yield out.astype({c: "Int64" for c in ("idx", "num_id", "ilvl", "level", "start")})
+        for batch in batches:
+            for doc_id, version, content in zip(*batch.columns, strict=True):
+                rows = [{"doc_id": doc_id.as_py(), "version": version.as_py()} | part for part in parts_of(content.as_py())]
+                yield pa.RecordBatch.from_pylist(rows, types)
 
-    return files.select(F.col("doc_id").cast("string"), "version", "content").mapInPandas(run, "doc_id string, version string, " + _PARTS)
+    return files.select(F.col("doc_id").cast("string"), "version", "content").mapInArrow(run, columns)
 
 
 def docx_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

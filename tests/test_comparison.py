@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clausediff.functions import predicates as P
 from clausediff.functions import text as X
 from clausediff.operators import chunking, diffing, grounding, index, matching, numbering, reporting, vectors
-from clausediff.plans import jobs
+from clausediff.plans import fixture, jobs
 from clausediff.sources import docx, files, lines
 
 
@@ -123,6 +123,15 @@ def test_docx(spark, tmp_path):
     assert got[0].khoan_items[0].khoan_number == "I.1" and got[1].khoan_items[0].title == ""
 
 
+def test_docx_of_documents(spark, tmp_path):
+    texts = ["one\n\n  two & <three>\x07\r\nfour", None, "", "\n" * 7 + "seven"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = docx.docx_tables(fixture.docx_files(spark, str(tmp_path)))[0].orderBy("doc_id", "idx").collect()
+    assert [(r.doc_id, r.idx, r.text, r.style_id, r.num_id, r.ilvl) for r in got] == [
+        ("0", 0, "one", "H1", None, None), ("0", 2, "two & <three>", "Normal", None, None), ("0", 3, "four", "Normal", None, None), ("3", 7, "seven", "Normal", 7, 1),
+    ]
+
+
 def test_matching_diffs_and_reports(spark):
     v1 = {"1": "a b c d", "2": "one two three", "3": "gone entirely"}
     v2 = {"1": "a b c x", "2": "one two three", "9": "brand new words"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausediff.llm import mixing, url_filter
+from clausediff.llm import centroids, conversations, mixing, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,20 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(_table(spark, sf_dir, "conversations"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausediff.llm.licenses import license_spans
+
+    return license_spans(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op10_nearest": op10_nearest,
@@ -90,9 +104,14 @@ QUERIES = {
     "op3_line_rules": op3_line_rules,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
+    "op11_centroids": op11_centroids,
+    "op12_conversations": op12_conversations,
+    "op13_licenses": op13_licenses,
 }
 
 ORACLES: dict[str, str] = {
     "op7_mixing": mixing.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
+    "op11_centroids": centroids.ORACLE,
+    "op12_conversations": conversations.ORACLE,
 }

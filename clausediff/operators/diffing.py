@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from clausediff.functions.text import normalize_ws
 from clausediff.schemas import DIFF_BLOCK, DIFF_ROW, EVIDENCE
+from clausediff.sources.lines import LINE_END
 
 _BLOCK_TAGS = {"delete": "removed", "insert": "added", "replace": "changed"}
 _EVIDENCE_TAGS = {"delete": "delete", "insert": "insert", "replace": "changed"}
@@ -102,6 +103,29 @@ def extract_evidence(pairs: DataFrame, max_items: int = 3) -> DataFrame:
     return changed.select("pair_id", "seq", F.posexplode(run("v1_text", "v2_text")).alias("item", "e")).select("pair_id", "seq", "item", "e.*")
 
 
+def _lines(text: Column) -> Column:
+    """A text's lines as Python's splitlines() gives them."""
+    parts = F.split(F.coalesce(text, F.lit("")), LINE_END)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def line_diff_rows(pairs: DataFrame) -> DataFrame:
+    """pair_id, seq, row, op, block_id, v1_no, v2_no, v1_text, v2_text: both texts side by side.
+    Equal texts are laid out by Spark; only others go to Python."""
     run = _udf(side_by_side, DIFF_ROW)
-    return pairs.select("pair_id", "seq", F.posexplode(run("v1_text", "v2_text")).alias("row", "d")).select("pair_id", "seq", "row", "d.*")
+    same = F.coalesce("v1_text", F.lit("")) == F.coalesce("v2_text", F.lit(""))
+    none = F.lit(None).cast("string")
+    equal = pairs.where(same).select("pair_id", "seq", F.posexplode(_lines(F.col("v1_text"))).alias("row", "line"))
+    no = (F.col("row") + 1).cast("int")
+    equal = equal.select("pair_id", "seq", "row", F.lit("equal").alias("op"), none.alias("block_id"), no.alias("v1_no"), no.alias("v2_no"), F.col("line").alias("v1_text"), F.col("line").alias("v2_text"))
+    others = pairs.where(~same).select("pair_id", "seq", F.posexplode(run("v1_text", "v2_text")).alias("row", "d")).select("pair_id", "seq", "row", "d.*")
+    return equal.unionByName(others)
+
+
+def rebuilt_texts(rows: DataFrame) -> DataFrame:
+    """pair_id, seq, blocks, v1_text, v2_text: both texts put together again from line_diff_rows(),
+    in the order of their line numbers, with how many blocks they differ in. A text without lines is empty."""
+    side = lambda n: F.array_sort(F.collect_list(F.when(F.col(f"{n}_no").isNotNull(), F.struct(f"{n}_no", f"{n}_text"))))
+    text = lambda n: F.array_join(F.transform(n, lambda x: x[f"{n}_text"]), "\n").alias(f"{n}_text")
+    found = rows.groupBy("pair_id", "seq").agg(F.count_distinct("block_id").alias("blocks"), side("v1").alias("v1"), side("v2").alias("v2"))
+    return found.select("pair_id", "seq", "blocks", text("v1"), text("v2"))

@@ -21,11 +21,19 @@ DEFAULTS = {
 UNGROUNDED = "Khong du bang chung de ket luan; can kiem tra thu cong."
 NO_MODEL, NO_MODEL_REASON = "Khong goi duoc LLM (missing ollama package).", "missing_ollama_package"
 BAD_RESPONSE, BAD_REASON = "LLM fail (ValueError), fallback rule-based.", "LLM output is not valid JSON"
-#: Task given with each prompt; {no}, {title}, {v1}, {v2} and {blocks} are put in.
+#: Task given with each prompt, in front of the article's own parts.
 PROMPT = (
-    "So sanh hai phien ban cua cung mot dieu. Chi dung van ban da cho; trich dan bang chung.\n"
-    'Tra ve JSON: {"status": "unchanged|changed|added|removed", "conclusion": "", "evidence": [{"tag": "", "before": "", "after": ""}], '
-    '"diff_annotations": [{"block_id": "", "summary": "", "legal_effect": "", "severity": "low|medium|high|unknown"}]}\n'
+    "Nhiem vu: doi chieu hai ban v1 va v2 cua cung mot dieu trong hop dong.\n"
+    "Can co: trang thai, ket luan ngan, trich dan lam bang chung, va y nghia cua tung block trong DIFF_BLOCKS.\n\n"
+    "Dieu kien:\n"
+    "1) Can cu duy nhat la hai van ban ben duoi; khong dung hieu biet khac.\n"
+    "2) status la mot trong bon gia tri: unchanged, changed, added, removed.\n"
+    "3) Khong trich duoc bang chung thi evidence la [] va conclusion noi rang khong du bang chung de ket luan.\n"
+    "4) block_id trong diff_annotations phai lay tu DIFF_BLOCKS; khong dat ma moi.\n"
+    "5) severity la mot trong: low, medium, high, unknown.\n"
+    "6) Chi tra ve mot doi tuong JSON theo mau duoi day, khong kem chu nao khac.\n\n"
+    'Mau JSON: {"status": "...", "conclusion": "...", "evidence": [{"tag": "changed|added|removed", "before": "...", "after": "..."}], '
+    '"diff_annotations": [{"block_id": "B1", "summary": "noi dung thay doi", "legal_effect": "anh huong den quyen, nghia vu; khong ro thi unknown", "severity": "..."}]}\n'
 )
 
 

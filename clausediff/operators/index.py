@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausediff.schemas import CHUNKS_JSONL, INDEX_METADATA
-from clausediff.sources.files import scratch
+from clausediff.sources.files import scratch, stored
 
 CHUNK_TYPES = ("article", "definition", "header")
+#: Folders and row group bytes of a stored index, and ids that are broadcast at most.
+PARTS, GROUP_BYTES, BROADCAST_ROWS = 16, 8 << 20, 1_000_000
 
 
 def build_articles(chunks: DataFrame, keys=("doc_id", "version")) -> DataFrame:
@@ -24,18 +26,81 @@ def index_rows(embedded: DataFrame) -> DataFrame:
     return embedded.select("chunk_id", "text", *INDEX_METADATA, "embedding")
 
 
-def index_upsert(old: DataFrame, new: DataFrame, replace_docs: bool = False) -> DataFrame:
+def latest(new: DataFrame, order: Column | None = None) -> DataFrame:
+    """Of each chunk_id the row that was loaded last: with the largest `order` (a column of new),
+    or else the last in the batch."""
+    at = F.monotonically_increasing_id() if order is None else order
+    return new.withColumn("_at", at).groupBy("chunk_id").agg(F.max_by(F.struct(*new.columns), "_at").alias("r")).select("r.*")
+
+
+def index_upsert(old: DataFrame, new: DataFrame, replace_docs: bool = False, order: Column | None = None) -> DataFrame:
     """The index after new rows come in: of each chunk_id the new row. With replace_docs the
     old rows of incoming (doc_id, version) go first, so a shortened document leaves none."""
     if replace_docs:
         old = old.join(new.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_anti")
-    both = old.withColumn("_load", F.lit(0)).unionByName(new.withColumn("_load", F.lit(1)))
-    latest = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("_load")))
-    return both.withColumn("_n", latest).where("_n = 1").drop("_n", "_load")
+    new = latest(new, order)
+    return old.join(new.select("chunk_id"), "chunk_id", "left_anti").select(*old.columns).unionByName(new)
+
+
+def part_of(doc_id: Column, parts: int) -> Column:
+    """The part of a stored index that a document's chunks lie in, of both versions."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(parts)).cast("int")
+
+
+def _laid_out(rows: DataFrame, parts: int) -> DataFrame:
+    """rows by ranges of part and article number: a large part is split over tasks, and each file
+    has a narrow range of numbers."""
+    rows = rows.withColumn("parts", F.lit(parts)).withColumn("part", part_of(F.col("doc_id"), parts))
+    order = [c for c in ("part", "article_number", "doc_id", "chunk_id") if c in rows.columns]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _write(rows: DataFrame, path: str, group_bytes: int) -> None:
+    out = rows.write.mode("overwrite").partitionBy("parts", "part").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", group_bytes)
+    for c in ("doc_id", "chunk_id"):
+        out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    out.parquet(path)
+
 
+def save_index(index: DataFrame, path: str, parts: int = PARTS, group_bytes: int = GROUP_BYTES) -> None:
+    """Stores an index that lookups prune and merge_index() changes in place.
 
-def save_index(index: DataFrame, path: str) -> None:
-    index.write.mode("overwrite").partitionBy("version").parquet(path)
+    A chunk lies in the part of its doc_id's hash, which is a folder. Files are sorted by article
+    number, so row groups have narrow ranges of it in their statistics; doc_id and chunk_id have
+    bloom filters. parts: about one for each 256 MB that the index is to hold."""
+    _write(_laid_out(index, parts), path, group_bytes)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """A stored index, with `parts` and `part` after its own columns."""
+    return spark.read.parquet(path)
+
+
+def merge_index(new: DataFrame, path: str, replace_docs: bool = False, order: Column | None = None, group_bytes: int = GROUP_BYTES) -> int:
+    """Puts new rows into a stored index in place of those with their chunk_id; returns how many.
+
+    Only the parts of the batch's documents are read and rewritten (dynamic partition
+    overwrite); of the old index only ids are compared, with the batch's ids as a broadcast of
+    counted size, so old vectors stay in their tasks. A larger batch is met by a shuffled join. Of
+    equal ids in the batch the last wins (see latest()). With replace_docs all old rows of the
+    batch's (doc_id, version) go. A chunk_id belongs to one doc_id. Merging a batch again changes
+    nothing, so a job that was cut off is simply run again."""
+    spark = new.sparkSession
+    old = load_index(spark, path)
+    parts = old.select("parts").first()
+    parts = parts[0] if parts else PARTS
+    new = stored(_laid_out(latest(new, order), parts), "batch")
+    touched = [r.part for r in new.select("part").distinct().collect()]  # parts at most
+    if not touched:
+        return 0
+    count = new.count()
+    ids = new.select(*(["doc_id", "version"] if replace_docs else ["chunk_id"])).distinct()
+    stay = old.where(F.col("part").isin(touched)).join(F.broadcast(ids) if count <= BROADCAST_ROWS else ids, ids.columns, "left_anti")
+    if replace_docs:
+        again = new.select("chunk_id")
+        stay = stay.join(F.broadcast(again) if count <= BROADCAST_ROWS else again, "chunk_id", "left_anti")
+    _write(stay.select(*old.columns).unionByName(new), path, group_bytes)
+    return count
 
 
 def where_all(where: dict | None) -> Column:
@@ -48,8 +113,16 @@ def filter_lookup(index: DataFrame, where: dict | None = None, limit: int = 200)
     return index.where(where_all(where)).orderBy("chunk_id").limit(limit)
 
 
+def in_part(index: DataFrame, doc_id: str) -> Column:
+    """Whether a row of a stored index lies in a document's part; Spark prunes the other folders."""
+    parts = index.select("parts").first()
+    part = index.sparkSession.range(1).select(part_of(F.lit(doc_id), parts[0] if parts else 1)).first()[0]
+    return F.col("part") == part
+
+
 def lookup_article(index: DataFrame, article_number: str, doc_id: str | None = None) -> DataFrame:
-    return index.where(where_all({"$and": [{"article_number": article_number}, *([{"doc_id": doc_id}] if doc_id else [])]}))
+    rows = index.where(where_all({"$and": [{"article_number": article_number}, *([{"doc_id": doc_id}] if doc_id else [])]}))
+    return rows.where(in_part(index, doc_id)) if doc_id and "part" in index.columns else rows
 
 
 def lookup_chapter(index: DataFrame, chuong_so: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausediff.functions.text import format_counter, heading_level, normalize_text, normalize_ws, strip
+from clausediff.sources.files import stored
 
 KEY = ["doc_id", "version"]
 LEVELS = 9
@@ -13,17 +14,23 @@ LEVELS = 9
 
 def resolve_styles(styles: DataFrame) -> DataFrame:
     """doc_id, version, style_id, num_id, ilvl: each style's own numbering or the nearest
-    one up its basedOn chain (level 0 where that has none). Chains of any length are followed; one
-    with a cycle ends where it would close."""
-    own = styles.select(*KEY, "style_id", "based_on", "num_id", F.coalesce("ilvl", F.lit(0)).alias("ilvl")).dropDuplicates([*KEY, "style_id"])
-    up = own.select(*KEY, F.col("style_id").alias("at"), F.col("based_on").alias("next"), F.col("num_id").alias("n"), F.col("ilvl").alias("l"))
-    found = own.where("num_id is not null").select(*KEY, "style_id", "num_id", "ilvl")
-    walk = own.where("num_id is null and based_on is not null").select(*KEY, "style_id", F.col("based_on").alias("at"), F.array("style_id").alias("seen"))
-    while not walk.isEmpty():
-        step = walk.where(~F.array_contains("seen", F.col("at"))).join(up, [*KEY, "at"])
-        found = found.unionByName(step.where("n is not null").select(*KEY, "style_id", F.col("n").alias("num_id"), F.col("l").alias("ilvl")))
-        walk = step.where("n is null and next is not null").select(*KEY, "style_id", F.col("next").alias("at"), F.array_append("seen", F.col("at")).alias("seen"))
-    return found
+    one up its basedOn chain (level 0 where that has none).
+
+    Pointer doubling: after a round each open style has seen twice as many of its ancestors, and
+    what it hasn't found yet it asks the last of them. A chain of n styles takes log2(n)
+    rounds, each stored as a table. No chain is longer than its document has styles, so one that
+    closes a cycle ends, without numbering, when that many ancestors are seen."""
+    own = styles.dropDuplicates([*KEY, "style_id"])
+    up = F.when(F.col("num_id").isNull(), F.col("based_on"))
+    state = stored(own.select(*KEY, "style_id", up.alias("up"), "num_id", F.when(F.col("num_id").isNotNull(), F.coalesce("ilvl", F.lit(0))).alias("ilvl")), "styles")
+    most = state.groupBy(*KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    seen = 1
+    while seen < most and not state.where("up is not null").isEmpty():
+        asked = state.select(*KEY, F.col("style_id").alias("up"), F.col("up").alias("a_up"), F.col("num_id").alias("a_num"), F.col("ilvl").alias("a_lvl"))
+        met = state.join(asked, [*KEY, "up"], "left")
+        state = stored(met.select(*KEY, "style_id", F.col("a_up").alias("up"), F.coalesce("num_id", "a_num").alias("num_id"), F.coalesce("ilvl", "a_lvl").alias("ilvl")), "styles")
+        seen *= 2
+    return state.where("num_id is not null").select(*KEY, "style_id", "num_id", "ilvl")
 
 
 def style_numbering(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:

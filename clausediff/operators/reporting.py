@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausediff.functions.text import STATUS_ICONS, STATUS_LABELS, from_map, shorten
@@ -74,6 +76,32 @@ def report_documents(results: DataFrame, config: dict | None = None) -> DataFram
     return parts.select("pair_id", F.to_json(F.struct("config", "article_level_results"), {"ignoreNullFields": "false"}).alias("report"))
 
 
+def _prefix(name: str):
+    return F.substring(F.md5(name), 1, 2)
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
-    """A folder for each pair with its JSON report (a large corpus keeps the results table instead)."""
-    reports.select("pair_id", F.col("report").alias("value")).write.mode("overwrite").partitionBy("pair_id").text(path)
+    """Writes reports (pair_id, report_name, report) as JSON lines, a line for each report, in
+    at most 256 folders by the hash of report_name. Spark's committer puts files in place once their
+    task has succeeded, so a repeated task leaves nothing behind. Of a pair_id that repeats all
+    reports are kept."""
+    rows = reports.select("report_name", F.col("pair_id").cast("string"), "report").withColumn("prefix", _prefix("report_name"))
+    rows.repartition("prefix", F.pmod(F.xxhash64("report_name"), F.lit(8))).sortWithinPartitions("prefix", "report_name").write.mode("overwrite").partitionBy("prefix").json(path)
+
+
+def read_reports(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """report_name, pair_id, report of written reports; of the named ones only their folders are read."""
+    rows = spark.read.schema("report_name string, pair_id string, report string, prefix string").json(path)
+    if names:
+        rows = rows.where(F.col("prefix").isin(*{hashlib.md5(n.encode()).hexdigest()[:2] for n in names}) & F.col("report_name").isin(*names))
+    return rows.drop("prefix")
+
+
+def report_counts(reports: DataFrame) -> DataFrame:
+    """report_name, pair_id, total (as the report's head says), listed (articles in the report) and
+    statuses (of those, by status), parsed from reports (report_name, pair_id, report)."""
+    kind = "config struct<total_articles:long>, article_level_results array<struct<status:string>>"
+    r = reports.withColumn("r", F.from_json("report", kind))
+    status = F.transform("r.article_level_results", lambda x: x["status"])
+    counted = F.array_sort(F.transform(F.array_distinct(status), lambda s: F.concat_ws("=", s, F.size(F.filter(status, lambda x: x == s)).cast("string"))))
+    return r.select("report_name", "pair_id", F.col("r.config.total_articles").alias("total"), F.size(status).alias("listed"), F.array_join(counted, ",").alias("statuses"))

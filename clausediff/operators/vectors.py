@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +17,12 @@ from clausediff.functions.text import distance_similarity, search_score
 from clausediff.operators.index import where_all
 
 DIMENSIONS = 256
-#: Queries that are broadcast at a time.
-QUERY_BLOCK = 1024
+#: Queries and index rows of one block.
+QUERY_BLOCK, INDEX_BLOCK = 1024, 4096
+#: Queries are broadcast up to so many bytes of vectors.
+QUERY_BYTES = 64 << 20
+#: Queries of which one task keeps its nearest rows at a time.
+HELD = 100_000
 #: Most rows of one side of a pair that meet at once.
 PAIR_BLOCK = 4096
 
@@ -53,18 +57,124 @@ def top_k(scored: DataFrame, by: list[str], k: int, tie: str = "chunk_id") -> Da
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _packed(df: DataFrame, number: str, vector: str, block: int) -> DataFrame:
+    """Runs of rows of a task as blocks: dims, n rows, their `number` and their vectors (doubles,
+    packed), and all other columns as lists. Vectors of another length start another block;
+    rows without a vector are left out. A column named qb parts blocks too."""
+    rows = df.where(F.col(vector).isNotNull()).withColumn("dims", F.size(vector)).withColumnRenamed(vector, "_vector")
+    keys = ["dims", *(c for c in ("qb",) if c in df.columns)]
+    rows = rows.select(*keys, "_vector", F.col(number).alias("_name"))
+    schema = ", ".join(f"{c} int" for c in keys) + f", names array<{rows.schema['_name'].dataType.simpleString()}>, vectors binary"
+
+    def pack(batches):
+        for batch in batches:
+            at, n = 0, batch.num_rows
+            values = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
+            ends = [*(np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1), n] if n else []
+            for end in ends:
+                while at < end:
+                    part = batch.slice(at, min(block, end - at))
+                    flat = part.column("_vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    names = part.column("_name")
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([int(v[at])], pa.int32()) for v in values), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), names), pa.array([flat.tobytes()], pa.binary())],
+                        [*keys, "names", "vectors"],
+                    )
+                    at += part.num_rows
+
+    return rows.mapInArrow(pack, schema)
+
+
+class _Nearest:
+    """The k nearest index rows so far of each query of one block, kept as arrays."""
+
+    def __init__(self, queries: pa.Array, vectors: np.ndarray, k: int):
+        self.queries, self.vectors, self.k = queries, vectors, k
+        self.squares = (vectors * vectors).sum(axis=1)
+        self.far = np.full(len(queries), np.inf)  # of the k-th nearest so far
+        self.rows: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []  # query, name, distance
+        self.size = 0
+
+    def meet(self, names: pa.Array, x: np.ndarray) -> None:
+        """Takes in a block of index rows: a matrix product rules most of them out, the distances
+        of the others are summed exactly, in the order of components."""
+        squares = (x * x).sum(axis=1)
+        near = self.squares[:, None] + squares[None] - 2 * self.vectors @ x.T
+        slack = 1e-9 * (self.squares[:, None] + squares.max())
+        bound = self.far[:, None]
+        if len(x) > self.k:
+            bound = np.minimum(bound, np.partition(near, self.k - 1, axis=1)[:, self.k - 1, None])
+        i, j = np.nonzero(near <= bound + slack)
+        for at in range(0, len(i), 65536):
+            q, r = i[at : at + 65536], j[at : at + 65536]
+            distance = np.zeros(len(q))
+            for c in range(x.shape[1]):
+                distance += (self.vectors[q, c] - x[r, c]) ** 2
+            self.rows.append((q, names.take(pa.array(r)), distance))
+            self.size += len(q)
+            if self.size > 4 * self.k * len(self.queries) + 65536:
+                self.cut()
+
+    def cut(self) -> None:
+        """Keeps of each query the k nearest, ties by name."""
+        if not self.rows:
+            return
+        q, distance = np.concatenate([r[0] for r in self.rows]), np.concatenate([r[2] for r in self.rows])
+        names = pa.concat_arrays([r[1] for r in self.rows])
+        order = pa.compute.sort_indices(pa.table({"q": q, "d": distance, "n": names}), [("q", "ascending"), ("d", "ascending"), ("n", "ascending")])
+        order = order.to_numpy()
+        q = q[order]
+        first = np.searchsorted(q, q)
+        keep = np.flatnonzero(np.arange(len(q)) - first < self.k)
+        last = keep[np.arange(len(q))[keep] - first[keep] == self.k - 1]
+        distance = distance[order]
+        self.far[q[last]] = distance[last]
+        self.rows = [(q[keep], names.take(pa.array(order[keep])), distance[keep])]
+        self.size = len(keep)
+
+    def result(self) -> pa.RecordBatch:
+        self.cut()
+        q, names, distance = self.rows[0]
+        return pa.RecordBatch.from_arrays([self.queries.take(pa.array(q)), names, pa.array(distance)], ["query_id", "chunk_id", "distance"])
+
+
 def semantic_search(index: DataFrame, queries: DataFrame, k: int = 10, where: dict | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, chunk_id, distance, score: the k nearest index rows of each query
-    (query_id, embedding). Queries are broadcast in blocks of about `block`; each index
-    partition keeps its own k nearest per query before anything is shuffled."""
-    rows = index.where(where_all(where)).select("chunk_id", F.col("embedding").alias("_x"))
-    blocks = max(1, -(-queries.count() // block))
-    found = []
-    for i in range(blocks):
-        part = queries.select("query_id", "embedding").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        met = rows.crossJoin(F.broadcast(part)).select("query_id", "chunk_id", squared_distance(F.col("embedding"), F.col("_x")).alias("distance"))
-        found.append(top_k(met, ["query_id"], k))
-    return reduce(DataFrame.unionByName, found).withColumn("score", search_score(F.col("distance")))
+    (query_id, embedding), ties by chunk_id. Rows without a vector, or with one of another
+    length than a query's, aren't near it.
+
+    Both sides are packed into blocks of rows, and an index block meets a query block as one
+    matrix product. The index is scanned once whatever the number of queries: query blocks are
+    broadcast up to QUERY_BYTES in all, and beyond that index blocks go to them by a shuffle. Each task
+    keeps k rows a query of the query blocks it is at, HELD at most, before anything is merged."""
+    count, dims = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-count // block))
+    q = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"))
+    q = _packed(q.repartition("qb").sortWithinPartitions("qb") if blocks > 1 else q, "query_id", "embedding", block)
+    q = q.select("dims", "qb", F.col("names").alias("queries"), F.col("vectors").alias("asked"))
+    q = F.broadcast(q) if count * (dims or 0) * 8 <= QUERY_BYTES else q
+    rows = _packed(index.where(where_all(where)), "chunk_id", "embedding", INDEX_BLOCK)
+    met = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, ["dims", "qb"])
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {index.schema['chunk_id'].dataType.simpleString()}, distance double"
+
+    def nearest(batches):
+        held: dict[tuple, _Nearest] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dims, asked = batch.column("dims")[row].as_py(), batch.column("asked")[row].as_buffer()
+                names = batch.column("queries").slice(row, 1).flatten()
+                key = (batch.column("qb")[row].as_py(), dims, len(names), hash(asked.to_pybytes()))
+                if key not in held:
+                    if sum(len(h.queries) for h in held.values()) >= HELD:
+                        yield from (h.result() for h in held.values())
+                        held.clear()
+                    held[key] = _Nearest(names, np.frombuffer(asked, np.float64).reshape(-1, dims), k)
+                x = np.frombuffer(batch.column("vectors")[row].as_buffer(), np.float64).reshape(-1, dims)
+                held[key].meet(batch.column("names").slice(row, 1).flatten(), x)
+        yield from (h.result() for h in held.values())
+
+    found = met.select("dims", "qb", "queries", "asked", "names", "vectors").mapInArrow(nearest, kinds)
+    return top_k(found, ["query_id"], k).withColumn("score", search_score(F.col("distance")))
 
 
 def article_candidates(left: DataFrame, right: DataFrame, k: int = 3) -> DataFrame:

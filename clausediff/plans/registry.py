@@ -12,6 +12,7 @@ from clausediff.functions import text as X
 from clausediff.operators import chunking, diffing, grounding, index, matching, numbering, reporting, vectors
 from clausediff.plans import fixture, jobs
 from clausediff.plans.fixture import CHUNKS_SQL, PAIRS_SQL, RESULTS_SQL, V_SQL, with_sql
+from clausediff.schemas import INDEX_METADATA
 from clausediff.sources import docx, files, lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -335,6 +336,12 @@ def _index(spark, sf_dir):
     return fixture.chunks(spark, sf_dir)
 
 
+def _stored_index(spark, sf_dir):
+    path = files.scratch(spark, "index")
+    index.save_index(fixture.chunks(spark, sf_dir).select("chunk_id", "text", *INDEX_METADATA), path)
+    return index.load_index(spark, path)
+
+
 _IX = with_sql(CHUNKS_SQL + ", ix as (select * from chunks)", "")
 
 
@@ -345,29 +352,33 @@ def embed_chunks(spark, sf_dir):
 
 @query(with_sql(CHUNKS_SQL, "select chunk_id, version, case when version = 'v1' and chunk_idx % 2 = 0 then 'new ' || text else text end as text from chunks"))
 def index_upsert(spark, sf_dir):
-    c = fixture.chunks(spark, sf_dir).select("chunk_id", "doc_id", "version", "chunk_idx", "text")
+    c = files.stored(fixture.chunks(spark, sf_dir).select("chunk_id", "doc_id", "version", "chunk_idx", "article_number", "text"), "chunks")
+    path = files.scratch(spark, "index")
+    index.save_index(c.where("version = 'v1'"), path)
     new = c.where("version = 'v2' or chunk_idx % 2 = 0").withColumn("text", F.when(F.col("version") == "v1", F.concat(F.lit("new "), "text")).otherwise(F.col("text")))
-    return index.index_upsert(c.where("version = 'v1'"), new).select("chunk_id", "version", "text")
+    twice = new.where("version = 'v1'").withColumn("text", F.lit("an earlier row of the batch"))
+    index.merge_index(twice.unionByName(new), path)
+    return index.load_index(spark, path).select("chunk_id", "version", "text")
 
 
 @query(_IX + "select chunk_id, doc_id, article_number, text from ix where version = 'v1' and chuong_so = '1' order by chunk_id limit 200")
 def filter_lookup(spark, sf_dir):
-    return index.filter_lookup(_index(spark, sf_dir), {"$and": [{"version": "v1"}, {"chuong_so": "1"}]}).select("chunk_id", "doc_id", "article_number", "text")
+    return index.filter_lookup(_stored_index(spark, sf_dir), {"$and": [{"version": "v1"}, {"chuong_so": "1"}]}).select("chunk_id", "doc_id", "article_number", "text")
 
 
 @query(_IX + "select chunk_id, doc_id, text from ix where article_number = '5'")
 def lookup_article(spark, sf_dir):
-    return index.lookup_article(_index(spark, sf_dir), "5").select("chunk_id", "doc_id", "text")
+    return index.lookup_article(_stored_index(spark, sf_dir), "5").select("chunk_id", "doc_id", "text")
 
 
 @query(_IX + "select chunk_id, doc_id, article_title, row_number() over (partition by doc_id, version order by chunk_id)::int as place from ix where chuong_so = '1'")
 def lookup_chapter(spark, sf_dir):
-    return index.lookup_chapter(_index(spark, sf_dir), "1").select("chunk_id", "doc_id", "article_title", "place")
+    return index.lookup_chapter(_stored_index(spark, sf_dir), "1").select("chunk_id", "doc_id", "article_title", "place")
 
 
 @query(_IX + "select chunk_id, doc_id, version, article_title, chunk_id = (select min(chunk_id) from ix where article_number = '1') as shown, case when chunk_id = (select min(chunk_id) from ix where article_number = '1') then text end as text from ix where article_number = '1'")
 def view_article(spark, sf_dir):
-    return index.view_article(_index(spark, sf_dir), "1")
+    return index.view_article(_stored_index(spark, sf_dir), "1")
 
 
 @query(with_sql(CHUNKS_SQL, "select chunk_type, min(chunk_id) as chunk_id from chunks group by chunk_type"))
@@ -541,21 +552,45 @@ def _pairs(spark, sf_dir):
     return r.select("pair_id", "seq", "article_number", "article_title", "matched_article_v2", "match_score", "v1_text", "v2_text")
 
 
-@query()
+# An article of the derived corpus has two lines, of which v2 lengthens the second: what differs
+# is one block, and of the characters one insertion at the end.
+_SIDES_SQL = """, d as (select *, case status when 'changed' then string_split(v1_text, chr(10))[2] else v1_text end as b, case status when 'changed' then string_split(v2_text, chr(10))[2] else v2_text end as a,
+  case status when 'changed' then '2' when 'removed' then '1, 2' else '-' end as v1_lines, case status when 'changed' then '2' when 'added' then '1, 2' else '-' end as v2_lines from results)"""
+_BLOCK_WS = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
+
+
+def _short_sql(text: str, most: int) -> str:
+    return f"case when length({text}) <= {most} then {text} else rtrim(substring({text}, 1, {most} - 3)) || '...' end"
+
+
+@query(with_sql(RESULTS_SQL + _SIDES_SQL, f"select pair_id, seq, 'B1' as block_id, status as tag, v1_lines, v2_lines, {_short_sql(_BLOCK_WS.format('b'), 900)} as before, {_short_sql(_BLOCK_WS.format('a'), 900)} as after from d where status <> 'unchanged'"))
 def diff_blocks(spark, sf_dir):
-    return diffing.diff_blocks(_pairs(spark, sf_dir))
+    b = diffing.diff_blocks(_pairs(spark, sf_dir))
+    return b.select("pair_id", "seq", "block_id", "tag", X.line_refs(F.col("v1_lines")).alias("v1_lines"), X.line_refs(F.col("v2_lines")).alias("v2_lines"), "before", "after")
 
 
-@query()
+@query(with_sql(RESULTS_SQL, f"""select pair_id, seq, 0 as item, case status when 'changed' then 'insert' else status end as tag,
+  case status when 'changed' then {_short_sql("trim(substring(n1, greatest(0, length(n1) - 120) + 1))", 300)} else {_short_sql("n1", 300)} end as before,
+  case status when 'changed' then {_short_sql("trim(substring(n2, greatest(0, length(n1) - 120) + 1))", 300)} else {_short_sql("n2", 300)} end as after from results where status <> 'unchanged'"""))
 def extract_evidence(spark, sf_dir):
     return diffing.extract_evidence(_pairs(spark, sf_dir))
 
 
-@query()
+@query(with_sql(RESULTS_SQL, """select pair_id, seq, i as row, case status when 'removed' then 'delete' when 'added' then 'insert' when 'changed' then case when i = 0 then 'equal' else 'replace' end else 'equal' end as op,
+  case when status = 'unchanged' or status = 'changed' and i = 0 then null else 'B1' end as block_id, case when status <> 'added' then i + 1 end as v1_no, case when status <> 'removed' then i + 1 end as v2_no,
+  coalesce(string_split(v1_text, chr(10))[i + 1], '') as v1_text, coalesce(string_split(v2_text, chr(10))[i + 1], '') as v2_text
+from results cross join (select unnest([0, 1])::int as i)"""))
 def line_diff_rows(spark, sf_dir):
     return diffing.line_diff_rows(_pairs(spark, sf_dir))
 
 
+@query(with_sql(RESULTS_SQL, "select pair_id, seq, case when status = 'unchanged' then 0 else 1 end::bigint as blocks, sha256(coalesce(v1_text, '')) as v1, sha256(coalesce(v2_text, '')) as v2 from results"))
+def rebuilt_texts(spark, sf_dir):
+    """Both texts of every pair, put together again from the rows of their difference."""
+    r = diffing.rebuilt_texts(diffing.line_diff_rows(_pairs(spark, sf_dir)))
+    return r.select("pair_id", "seq", "blocks", F.sha2("v1_text", 256).alias("v1"), F.sha2("v2_text", 256).alias("v2"))
+
+
 @query(with_sql(RESULTS_SQL, "select pair_id, seq, coalesce(tag, 'changed') as tag, ev_before as before, ev_after as after from results where status <> 'unchanged'"))
 def normalize_evidence(spark, sf_dir):
     r = fixture.results(spark, sf_dir)
@@ -577,7 +612,14 @@ def compare_rule_based(spark, sf_dir):
     return grounding.compare_rule_based(_pairs(spark, sf_dir)).select(*_COLUMNS)
 
 
-@query()
+_TEXT = grounding.PROMPT.replace("'", "''")
+
+
+@query(with_sql(RESULTS_SQL + _SIDES_SQL, f"""select pair_id, seq, '{_TEXT}' || chr(10) || 'article_number: ' || article_number || chr(10) || 'article_title: ' || article_title
+  || chr(10) || chr(10) || 'Dieu v1:' || chr(10) || coalesce(nullif(n1, ''), '(khong co)') || chr(10) || chr(10) || 'Dieu v2:' || chr(10) || coalesce(nullif(n2, ''), '(khong co)')
+  || chr(10) || chr(10) || 'DIFF_BLOCKS:' || chr(10) || '[' || to_json(struct_pack(block_id := 'B1', tag := status, v1_lines := case v1_lines when '2' then [2] when '-' then []::int[] else [1, 2] end,
+    v2_lines := case v2_lines when '2' then [2] when '-' then []::int[] else [1, 2] end, before := {_short_sql(_short_sql(_BLOCK_WS.format('b'), 900), 600)}, after := {_short_sql(_short_sql(_BLOCK_WS.format('a'), 900), 600)})) || ']' as prompt
+from d where status <> 'unchanged'"""))
 def prompt_rows(spark, sf_dir):
     return grounding.prompt_rows(diffing.with_diffs(_pairs(spark, sf_dir)))
 
@@ -597,11 +639,11 @@ def apply_responses(spark, sf_dir):
     return grounding.apply_responses(p, _responses(p)).select("pair_id", "seq", "article_number", "status", "llm_used", "fallback_reason", "conclusion", "grounded")
 
 
-@query()
+@query(with_sql(RESULTS_SQL + _SIDES_SQL, "select pair_id, seq, 'B1' as block_id, status as tag, v1_lines, v2_lines, 's' as summary, '' as legal_effect, 'high' as severity from d where status <> 'unchanged' and (seq + pair_id::bigint) % 5 in (0, 1)"))
 def annotate_blocks(spark, sf_dir):
     p = _pairs(spark, sf_dir)
-    r = grounding.apply_responses(p, _responses(p))
-    return r.select("pair_id", "seq", F.inline("diff_annotations"))
+    r = grounding.apply_responses(p, _responses(p)).select("pair_id", "seq", F.inline("diff_annotations"))
+    return r.withColumn("v1_lines", X.line_refs(F.col("v1_lines"))).withColumn("v2_lines", X.line_refs(F.col("v2_lines")))
 
 
 # ---------------------------------------------------------------- reports
@@ -643,9 +685,15 @@ def change_labels(spark, sf_dir):
     return reporting.change_labels(fixture.results(spark, sf_dir))
 
 
-@query()
+@query(with_sql(RESULTS_SQL, """select 'hd_' || pair_id || '_v1_vs_hd_' || pair_id || '_v2_report.json' as report_name, pair_id, sum(n)::bigint as total, sum(n)::int as listed, string_agg(status || '=' || n, ',' order by status) as statuses
+from (select pair_id, status, count(*) as n from results group by pair_id, status) group by pair_id"""))
 def write_reports(spark, sf_dir):
-    return reporting.report_documents(fixture.results(spark, sf_dir))
+    r = reporting.report_documents(fixture.results(spark, sf_dir))
+    file = lambda v: F.concat(F.lit("/in/hd_"), "pair_id", F.lit(f"_{v}.docx"))
+    r = r.withColumn("file_v1", file("v1")).withColumn("file_v2", file("v2"))
+    path = files.scratch(spark, "reports")
+    reporting.write_reports(r.withColumn("report_name", reporting.report_name("file_v1", "file_v2")), path)
+    return reporting.report_counts(reporting.read_reports(spark, path))
 
 
 @query()

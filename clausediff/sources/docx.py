@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausediff.schemas import NUM_LEVELS, STYLES
+from clausediff.sources.files import scratch
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _PARTS = "kind string, idx int, text string, style_name string, style_id string, num_id int, ilvl int, based_on string, level int, start int, num_fmt string, lvl_text string"
@@ -78,7 +79,13 @@ def docx_parts(files: DataFrame) -> DataFrame:
 
 
 def docx_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(paragraphs, styles, numbering levels) of files (doc_id, version, content)."""
-    parts = docx_parts(files)
+    """(paragraphs, styles, numbering levels) of files (doc_id, version, content).
+
+    Each file's bytes are read and parsed once: the parts go to a table in the shared scratch
+    folder, partitioned by their kind, and each result reads its own partition of it."""
+    parts, spark = docx_parts(files), files.sparkSession
+    path = scratch(spark, "docx-parts")
+    parts.write.partitionBy("kind").parquet(path)
+    parts = spark.read.schema(parts.schema).parquet(path)
     paragraphs = parts.where("kind = 'paragraph'").select("doc_id", "version", "idx", "text", "style_name", "style_id", "num_id", "ilvl")
     return paragraphs, parts.where("kind = 'style'").select(*STYLES.names), parts.where("kind = 'level'").select(*NUM_LEVELS.names)

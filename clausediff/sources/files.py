@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 MAX_BYTES = 10 * 1024 * 1024
 
+_own_dirs: dict[str, str] = {}
+
 
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)\z", 1)
@@ -47,5 +49,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="clausediff-")
+        if (app := spark.sparkContext.applicationId) not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="clausediff-")
+        base = _own_dirs[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in a new scratch folder, read again: cuts the lineage and outlives an executor."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

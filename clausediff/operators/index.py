@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausediff.schemas import CHUNKS_JSONL, INDEX_METADATA
 from clausediff.sources.files import scratch, stored
@@ -210,15 +211,25 @@ def missing_metadata(index: DataFrame, required=INDEX_METADATA) -> DataFrame:
     return index.select("chunk_id", missing.alias("missing")).where(F.size("missing") > 0)
 
 
+def export_metrics(short: int = 30, required=INDEX_METADATA) -> list[Column]:
+    """What an export counts while it writes: rows, short texts, wrong types and rows that lack metadata."""
+    wrong = ~F.coalesce(F.col("chunk_type").isin(*CHUNK_TYPES), F.lit(False))
+    lacks = reduce(Column.__or__, [F.col(c).isNull() for c in required])
+    return [F.count(F.lit(1)).alias("written"), F.count_if(F.col("char_len") <= short).alias("short_text"), F.count_if(wrong).alias("invalid_type"), F.count_if(lacks).alias("missing_metadata")]
+
+
 def export_chunks(chunks: DataFrame, path: str) -> DataFrame:
     """Writes chunks as JSON lines without chunk_type and clause_id, reads them back and
-    returns written, read and left_out (whether those columns are absent)."""
-    chunks.select(*CHUNKS_JSONL.names).write.mode("overwrite").json(path)
-    back = chunks.sparkSession.read.json(path, schema=CHUNKS_JSONL)
-    raw = chunks.sparkSession.read.text(path)
-    absent = ~F.col("value").rlike(r'"(chunk_type|clause_id)":')
-    counts = raw.agg(F.count("*").alias("written"), F.coalesce(F.bool_and(absent), F.lit(True)).alias("left_out"))
-    return back.agg(F.count("chunk_id").alias("read")).crossJoin(F.broadcast(counts))  # one row each
+    returns written, read and left_out (whether those columns are absent), with short_text,
+    invalid_type and missing_metadata. Those counts and `written` are observed in the tasks that
+    write, so the chunks are made and read once."""
+    seen = Observation("export")
+    chunks.observe(seen, *export_metrics()).select(*CHUNKS_JSONL.names).write.mode("overwrite").json(path)
+    spark = chunks.sparkSession
+    back = spark.read.json(path, schema=T.StructType([*CHUNKS_JSONL.fields, T.StructField("chunk_type", T.StringType()), T.StructField("clause_id", T.StringType())]))
+    absent = F.coalesce(F.bool_and(F.col("chunk_type").isNull() & F.col("clause_id").isNull()), F.lit(True))
+    counts = [F.lit(n).cast("long").alias(c) for c, n in seen.get.items()]
+    return back.agg(F.count("chunk_id").alias("read"), absent.alias("left_out")).select(counts[0], "read", "left_out", *counts[1:])
 
 
 def load_chunks(spark, path: str) -> DataFrame:

@@ -10,6 +10,8 @@ from clausediff.sources.files import stored
 
 KEY = ["doc_id", "version"]
 LEVELS = 9
+#: Positions of a document that are counted in one task.
+BLOCK = 65_536
 
 
 def resolve_styles(styles: DataFrame) -> DataFrame:
@@ -41,6 +43,32 @@ def style_numbering(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:
     return out.withColumn("num_id", F.coalesce("num_id", "s_num")).drop("s_num", "s_lvl")
 
 
+def _counted(paragraphs: DataFrame) -> DataFrame:
+    """paragraphs with _n0, _n1, …: how often each level of the paragraph's list has come since it was last reset.
+
+    A level is reset by each one above it, so what counts is how often it came in all less how often
+    it had come at its last reset, and both are running values of one order: one sort. A list is
+    counted in blocks of BLOCK positions, which may lie in different tasks; a block's totals and
+    its counts at the last resets combine associatively, so a running sum and a running maximum over a
+    list's blocks, a row each, give what comes before a block."""
+    list_key = [*KEY, "num_id"]
+    p = paragraphs.withColumn("_b", F.floor(F.col("idx") / BLOCK))
+    order = Window.partitionBy(*list_key, "_b").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    levels = range(LEVELS)
+    p = p.select("*", *[F.sum(F.when(F.col("ilvl") == i, 1).otherwise(0)).over(order).alias(f"_t{i}") for i in levels])
+    p = p.select("*", *[F.max(F.when(F.col("ilvl") < i, F.col(f"_t{i}"))).over(order).alias(f"_s{i}") for i in levels])
+    held = [F.lit(0)] * LEVELS
+    if not paragraphs.where(F.col("idx") >= BLOCK).isEmpty():
+        blocks = p.where("num_id is not null").groupBy(*list_key, "_b").agg(*[F.max(f"_{k}{i}").alias(f"_{k}{i}") for k in "ts" for i in levels])
+        before = Window.partitionBy(*list_key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.select(*list_key, "_b", *[f"_s{i}" for i in levels], *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_a{i}") for i in levels])
+        at_reset = [F.coalesce(F.max(F.col(f"_a{i}") + F.col(f"_s{i}")).over(before), F.lit(0)) for i in levels]
+        p = p.join(blocks.select(*list_key, "_b", *[(F.col(f"_a{i}") - r).alias(f"_h{i}") for i, r in enumerate(at_reset)]), [*list_key, "_b"], "left")
+        held = [F.coalesce(f"_h{i}", F.lit(0)) for i in levels]
+    counts = [F.when(F.col(f"_s{i}").isNull(), F.col(f"_t{i}") + held[i]).otherwise(F.col(f"_t{i}") - F.col(f"_s{i}")) for i in levels]
+    return p.select(*paragraphs.columns, *[c.alias(f"_n{i}") for i, c in enumerate(counts)])
+
+
 def numbering_labels(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
     """paragraphs (with num_id, ilvl) with numbering_label and numbering_path.
 
@@ -49,16 +77,11 @@ def numbering_labels(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
     spec = levels.groupBy(*KEY, "num_id").agg(
         F.map_from_entries(F.collect_list(F.struct("level", F.struct("start", "num_fmt", "lvl_text")))).alias("spec")
     )
-    p = paragraphs.join(spec, [*KEY, "num_id"], "left")
     listed = F.col("num_id").isNotNull() & F.col("ilvl").isNotNull()
-    order = Window.partitionBy(*KEY, "num_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    for i in range(LEVELS):
-        p = p.withColumn(f"_r{i}", F.sum(F.when(F.col("ilvl") < i, 1).otherwise(0)).over(order))
+    p = _counted(paragraphs).join(spec, [*KEY, "num_id"], "left")
     for i in range(LEVELS):
-        inside = Window.partitionBy(*KEY, "num_id", f"_r{i}").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-        n = F.sum(F.when(F.col("ilvl") == i, 1).otherwise(0)).over(inside)
         start = F.coalesce(F.col("spec")[i]["start"], F.lit(1))
-        p = p.withColumn(f"_c{i}", F.when(listed & (F.col("ilvl") >= i) & (n > 0), start - 1 + n))
+        p = p.withColumn(f"_c{i}", F.when(listed & (F.col("ilvl") >= i) & (F.col(f"_n{i}") > 0), start - 1 + F.col(f"_n{i}")))
     counters = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_c{i}").cast("long").alias("n"), F.col("spec")[i]["num_fmt"].alias("f")) for i in range(LEVELS)])
     texts = F.transform(
         F.filter(counters, lambda x: x["n"].isNotNull()),
@@ -69,7 +92,7 @@ def numbering_labels(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
     label = F.aggregate("_texts", start, lambda acc, x: F.replace(acc, x["mark"], x["text"]))
     p = p.withColumn("numbering_label", F.when(listed, normalize_ws(label)))
     p = p.withColumn("numbering_path", F.when(listed, F.transform("_texts", lambda x: x["text"])).otherwise(F.array().cast("array<string>")))
-    return p.drop("spec", "_texts", *[f"_{k}{i}" for k in "rc" for i in range(LEVELS)])
+    return p.drop("spec", "_texts", *[f"_{k}{i}" for k in "nc" for i in range(LEVELS)])
 
 
 def display_text(paragraphs: DataFrame) -> DataFrame:

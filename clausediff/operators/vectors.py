@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from clausediff.functions.text import distance_similarity, search_score
 from clausediff.operators.index import where_all
+from clausediff.sources.files import stored
 
 DIMENSIONS = 256
 #: Queries and index rows of one block.
@@ -46,6 +47,17 @@ def embed(rows: DataFrame, column: str = "text", encoder: Callable[[list[str]],
     return out.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_text", "_words", "_tf", "_unit")
 
 
+def embed_once(rows: DataFrame, column: str = "text", encoder: Callable[[list[str]], np.ndarray] | None = None, dimensions: int = DIMENSIONS) -> DataFrame:
+    """embed(), with each different text encoded once: texts meet by their SHA-256, one of each is
+    encoded into a stored table, and the vectors are joined back. An article that stands the same in
+    both versions, or in many documents, costs one call. Nulls count as empty texts."""
+    content = F.sha2(F.coalesce(column, F.lit("")), 256)
+    named = rows.withColumn("_content", content)
+    texts = named.groupBy("_content").agg(F.any_value(F.coalesce(column, F.lit(""))).alias("_once"))
+    known = stored(embed(texts, "_once", encoder, dimensions).select("_content", "embedding"), "vectors")
+    return named.join(known, "_content").select(*rows.columns, "embedding")
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     """Squared Euclidean distance, summed in order, in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)

@@ -23,16 +23,22 @@ def pair_chunks(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def matched_rows(chunks: DataFrame, encoder=None, k: int = 3, threshold: float = matching.THRESHOLD) -> DataFrame:
-    """compared_articles() of chunks with pair_id; vectors are made once for each chunk. The
+    """compared_articles() of chunks with pair_id; vectors are made once for each
+    chunk, by an encoder once for each different text. The
     chunks are read several times, so they are stored as a table, which outlives an executor."""
     chunks = chunks.select("pair_id", "version", "chunk_id", "chunk_idx", "article_number", "article_title", "text")
-    path = files.scratch(chunks.sparkSession, "pair-chunks")
-    chunks.write.parquet(path)
-    chunks = chunks.sparkSession.read.schema(chunks.schema).parquet(path)
+    chunks = files.stored(chunks, "pair-chunks")
     articles = index.build_articles(chunks, ("pair_id", "version"))
     left, right = (articles.where(F.col("version") == v).drop("version") for v in ("v1", "v2"))
-    v1 = vectors.embed(left, "full_text", encoder).select("pair_id", F.col("article_number").alias("left_no"), "embedding")
-    rows = vectors.embed(chunks.where("version = 'v2'"), "text", encoder).select("pair_id", "chunk_id", "article_number", "article_title", "embedding")
+    v2 = chunks.where("version = 'v2'")
+    if encoder is None:  # hashed words cost less than a shuffle of texts
+        v1, rows = vectors.embed(left, "full_text"), vectors.embed(v2)
+    else:
+        known = vectors.embed_once(left.select("pair_id", "article_number", F.col("full_text").alias("text"), F.lit("v1").alias("side")).unionByName(
+            v2.select("pair_id", "article_number", "text", F.lit("v2").alias("side"), "chunk_id", "article_title"), allowMissingColumns=True), "text", encoder)
+        v1, rows = known.where("side = 'v1'"), known.where("side = 'v2'")
+    v1 = v1.select("pair_id", F.col("article_number").alias("left_no"), "embedding")
+    rows = rows.select("pair_id", "chunk_id", "article_number", "article_title", "embedding")
     matches = matching.greedy_match(vectors.article_candidates(v1, rows, k), threshold)
     # articles bear trimmed numbers, so only numbers with blanks around them are not among a pair's own
     other = chunks.where("version = 'v2' and article_number <> trim(article_number)").select("chunk_id", "text").dropDuplicates(["chunk_id"])

@@ -292,9 +292,12 @@ def build_chunks(spark, sf_dir):
     return by.agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"), F.min("chunk_id").alias("first_id"), F.max("chunk_idx").alias("last_idx"))
 
 
-@query(with_sql(CHUNKS_SQL, "select count(*) as written, count(*) as read, true as left_out from chunks"))
+@query(with_sql(CHUNKS_SQL, """select count(*) as written, count(*) as read, true as left_out, count(*) filter (char_len <= 30 or chunk_idx % 9 = 0) as short_text,
+  count(*) filter (chunk_idx % 50 = 0) as invalid_type, count(*) filter (chunk_idx % 5 = 0) as missing_metadata from chunks"""))
 def export_chunks(spark, sf_dir):
-    return index.export_chunks(fixture.chunks(spark, sf_dir), files.scratch(spark, "chunks"))
+    i = F.col("chunk_idx")
+    faulty = {"char_len": F.when(i % 9 == 0, 1).otherwise(F.col("char_len")), "chunk_type": F.when(i % 50 != 0, F.col("chunk_type")), "muc_so": F.when(i % 5 != 0, F.col("muc_so"))}
+    return index.export_chunks(fixture.chunks(spark, sf_dir).withColumns(faulty), files.scratch(spark, "chunks"))
 
 
 @query(with_sql(CHUNKS_SQL, "select chunk_id, doc_id, version, article_number, article_title, text from chunks"))
@@ -345,9 +348,39 @@ def _stored_index(spark, sf_dir):
 _IX = with_sql(CHUNKS_SQL + ", ix as (select * from chunks)", "")
 
 
-@query()
+# A word's place in the vector: 32-bit MurmurHash3 of its UTF-8 bytes with seed 42, modulo the dimensions.
+_U32 = 4294967295
+
+
+def _rotated(x: str, n: int) -> str:
+    return f"(((({x}) << {n}) & {_U32}) | (({x}) >> {32 - n}))"
+
+
+def _mixed(k: str) -> str:
+    return f"(({_rotated(f'(({k}) * 3432918353 & {_U32})', 15)}) * 461845907 & {_U32})"
+
+
+_HASH_SQL = f"""w as (select distinct unnest(words) as word from t),
+wb as (select word, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || hex(encode(word))[2 * i + 1:2 * i + 2])::ubigint) as b from w),
+wk as (select word, len(b) as n, list_transform(range(len(b) // 4), lambda i: b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216) as blocks,
+  coalesce(list_sum(list_transform(range(len(b) % 4), lambda i: b[(len(b) // 4) * 4 + i + 1] * (256 ** i)::ubigint)), 0)::ubigint as rest from wb),
+h1 as (select word, n, rest, list_reduce(blocks, lambda h, k: ({_rotated(f"xor(h, {_mixed('k')})", 13)} * 5 + 3864292196) & {_U32}, 42::ubigint) as h from wk),
+h2 as (select word, xor(case when n % 4 > 0 then xor(h, {_mixed('rest')}) else h end, n::ubigint) as h from h1),
+h3 as (select word, xor(h, h >> 16) * 2246822507 & {_U32} as h from h2),
+h4 as (select word, xor(h, h >> 13) * 3266489909 & {_U32} as h from h3),
+h5 as (select word, xor(h, h >> 16)::bigint as h from h4),
+places as (select word, (((case when h > 2147483647 then h - 4294967296 else h end) % {vectors.DIMENSIONS} + {vectors.DIMENSIONS}) % {vectors.DIMENSIONS})::int as place from h5)"""
+_VECTORS_SQL = f""", t as (select chunk_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as words from chunks), {_HASH_SQL},
+tf as (select chunk_id, place, count(*)::double as n from (select chunk_id, unnest(words) as word from t) join places using (word) group by chunk_id, place),
+unit as (select *, sqrt(sum(n * n) over (partition by chunk_id)) as length from tf)"""
+
+
+@query(with_sql(CHUNKS_SQL + _VECTORS_SQL, "select chunk_id, string_agg(place || ':' || round((n / length)::float::double * 10000)::int, ' ' order by place) as vector from unit group by chunk_id"))
 def embed_chunks(spark, sf_dir):
-    return vectors.embed(_index(spark, sf_dir)).select("chunk_id", "embedding")
+    """Vectors as their non-zero places, in order: place:value in ten-thousandths."""
+    v = vectors.embed(_index(spark, sf_dir))
+    places = F.transform("embedding", lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), F.round(x.cast("double") * 10000).cast("int").cast("string"))))
+    return v.select("chunk_id", F.array_join(F.array_compact(places), " ").alias("vector"))
 
 
 @query(with_sql(CHUNKS_SQL, "select chunk_id, version, case when version = 'v1' and chunk_idx % 2 = 0 then 'new ' || text else text end as text from chunks"))

@@ -4,7 +4,7 @@ Documents are sets of distinct k-word shingles; two link when their Jaccard simi
 reaches a threshold. The join is exact for the sets of 64-bit shingle hashes:
 
 * Documents with the same set fall into one class first; only its smallest id goes on.
-* All shingles have one global order (frequent ones, of a list of bounded size, come last).
+* All shingles have one global order, frequent ones last.
   A set's prefix for `l` matches is its first `n - ceil(t n) + l` shingles: two sets that
   link share at least `l` of their prefixes for `l`, and at least min(l, m) when the one
   has the prefix for l and the other that for m.
@@ -26,26 +26,35 @@ reaches a threshold. The join is exact for the sets of 64-bit shingle hashes:
 What comes out are components, each document with its own, not the links: pairs inside one
 component are mostly never compared, so neither the links nor their number are known.
 
-The global order is counted over all documents, but only from shingles that come up twice
-within one stretch of text (FREQUENT_BYTES, or a task if that is shorter). A shingle met
-once in every stretch stays among the rare ones. That changes only the cost, never the result.
+The global order is counted over all documents: every shingle of every set adds one to a counter
+of its hash, of which there are 2 ** COUNTER_BITS whatever the input, and a shingle's place is
+its counter's logarithm in 256 levels, then its hash. Any such order is exact; what counters that
+are shared by rare shingles cost is time. Where prefixes are still hot, though their documents
+aren't copies (they share passages and more of their own), the documents that have such tokens are
+counted once more, whole and exactly: shingles that several of them share go to the last level,
+and all prefixes are made again.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausediff.llm.common import components, discard, most_frequent, shingle_sets, small_or_not, stored, text_pieces
+from clausediff.llm.common import components, discard, shingle_sets, small_or_not, stored, text_pieces
 
-#: Frequent shingles that get a place at the end of the order; 4 MB when broadcast.
-FREQUENT_MOST = 1 << 18
-#: They are told by coming up twice within so many bytes of text.
-FREQUENT_BYTES = 10 << 20
+#: Counters of shingles for the global order, a byte each when broadcast; and how they travel.
+COUNTER_BITS, COUNTER_BLOCKS = 22, 64
+#: Shingles that a task gathers before it counts them.
+COUNTED = 1 << 20
+#: The order is counted anew where hot tokens of documents that are no copies would join more rows a document.
+JOINED = 4
+#: A document whose prefix is hot beyond this share is taken for a copy.
+COPY_SHARE = 0.8
 #: Prefix tokens of so many documents are hot: their documents are compared by cells.
 HOT = 8
 #: Sets of centers are broadcast up to so many bytes, and joined by a shuffle beyond.
@@ -70,47 +79,92 @@ def shingle_rows(docs: DataFrame, k: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, shingles binary")
 
 
-def frequent_shingles(docs: DataFrame, k: int = 5, most: int = FREQUENT_MOST) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found in several documents of one stretch of text somewhere, with those counts summed
-    over all documents: the most frequent ones, `most` at most, sorted by hash."""
+def _place(tokens: np.ndarray) -> np.ndarray:
+    """The counters of shingles."""
+    return (tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
-    def several(held):
-        tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        keep = n >= 2
-        return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["token", "n"])
 
-    def run(batches):
-        held, size = [], 0
+def order_levels(docs: DataFrame, k: int = 5) -> np.ndarray:
+    """A level (0 to 254) for each counter: the logarithm of how many shingles of all sets fell on it.
+
+    A task counts what it reads in one array and gives it out in blocks, packed; each block is
+    summed in one task. The driver gets a byte for each counter."""
+    size = (1 << COUNTER_BITS) // COUNTER_BLOCKS
+
+    def count(batches):
+        counts, held, n = np.zeros(1 << COUNTER_BITS, np.uint32), [], 0
         for batch in batches:
             for _, data, offs in text_pieces(batch.column(0)):
                 held += shingle_sets(data, offs, k)
-                size += len(data)
-                if size >= FREQUENT_BYTES:
-                    yield several(held)
-                    held, size = [], 0
-        if held:
-            yield several(held)
-
-    counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counted = stored(counted.where("n >= 3"), "frequent", texts=True)
-    top = most_frequent(counted, most)
+                n += sum(map(len, held[-(len(offs) - 1) :]))
+                if n >= COUNTED:
+                    counts += np.bincount(_place(np.concatenate(held)), minlength=len(counts)).astype(np.uint32)
+                    held, n = [], 0
+        if n:
+            np.add.at(counts, _place(np.concatenate(held)), 1)
+        for block in range(COUNTER_BLOCKS):
+            if (part := counts[block * size : (block + 1) * size]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint32)
+                sums[block] = sums[block] + part if block in sums else part.astype(np.int64)
+        for block, n in sums.items():
+            levels = np.minimum(254, np.rint(8 * np.log2(n + 1))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(levels.tobytes(), 1)], pa.binary())], ["block", "levels"])
+
+    counted = stored(docs.select("text").mapInArrow(count, "block int, counts binary"), "counters", texts=True)
+    summed = counted.repartition(COUNTER_BLOCKS, "block").mapInArrow(add, "block int, levels binary").toArrow()
     discard(counted)
-    tokens = top["token"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], top["n"].to_numpy().astype(np.int64)[order]
+    out = np.zeros(1 << COUNTER_BITS, np.uint8)
+    for block, levels in zip(summed["block"].to_pylist(), summed["levels"].to_pylist(), strict=True):
+        out[block * size : (block + 1) * size] = np.frombuffer(zlib.decompress(levels), np.uint8)
+    return out
+
+
+def hot_counters(docs: DataFrame, shared: DataFrame, num: int, den: int, k: int) -> np.ndarray | None:
+    """The counters of shingles that documents share which have hot prefix tokens and are no
+    copies; None where the tokens would join few rows. shared: token, doc_id, n, df, pos of all prefixes."""
+    hot = shared.where(F.col("df") >= HOT)
+    length = F.least(F.col("n"), F.col("n") - _needed(F.col("n"), num, den) + MATCHES)
+    share = hot.groupBy("doc_id").agg((F.count("*") / F.first(length)).alias("share")).where(F.col("share") <= COPY_SHARE)
+    share = stored(share.select("doc_id"), "no_copies")
+    n = share.count()
+    if not n:
+        return None
+    met = hot.join(small_or_not(share), "doc_id", "left_semi").groupBy("token").agg(F.count("*").alias("c"))
+    rows = met.agg(F.sum(F.col("c") * (F.col("c") - 1.0) / 2)).first()[0] or 0
+    if rows <= JOINED * n:
+        discard(share)
+        return None
+    wanted = docs.join(small_or_not(share), "doc_id", "left_semi").select("doc_id", "text")
+
+    def run(batches):
+        for batch in batches:
+            for _, data, offs in text_pieces(batch.column(0)):
+                for s in shingle_sets(data, offs, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["token"])
+
+    tokens = wanted.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= HOT)
+    places = tokens.select(F.shiftrightunsigned("token", 64 - COUNTER_BITS).alias("place")).distinct().toArrow()["place"].to_numpy()  # one for each counter at most
+    discard(share)
+    return places.astype(np.int64) if len(places) else None
 
 
 def _needed(n: Column, num: int, den: int) -> Column:
     return F.floor((n * num + (den - 1)) / den).cast("long")
 
 
-def prefix_rows(docs: DataFrame, num: int, den: int, k: int, frequent) -> DataFrame:
+def prefix_rows(docs: DataFrame, num: int, den: int, k: int, levels: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, two fingerprints of the set, and its longest prefix in the global order."""
     sc = docs.sparkSession.sparkContext
-    order = sc.broadcast(frequent)
+    order = sc.broadcast(levels)
 
     def run(batches):
-        tokens, counts = order.value
+        levels = order.value
         for batch in batches:
             ids = batch.column(0)
             for at, data, offs in text_pieces(batch.column(1)):
@@ -121,12 +175,8 @@ def prefix_rows(docs: DataFrame, num: int, den: int, k: int, frequent) -> DataFr
                         f1.append(int((s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) if n else 0)
                         f2.append(int(np.bitwise_xor.reduce(s * s | np.uint64(1)).view(np.int64)) if n else 0)
                     p = min(n, n - (n * num + den - 1) // den + MATCHES)
-                    if len(tokens) and n:
-                        i = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                        often = np.where(tokens[i] == s, counts[i], 0)
-                        s = np.concatenate([s[often == 0], s[often > 0][np.argsort(often[often > 0], kind="stable")]])
                     ns.append(n)
-                    prefixes.append(s[:p].view(np.int64))
+                    prefixes.append(s[np.argsort(levels[_place(s)], kind="stable")[:p]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, len(ns)), pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
@@ -245,6 +295,23 @@ def cell_links(deltas: DataFrame, num: int, den: int) -> DataFrame:
     return links
 
 
+def _classes_and_postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, rep for each document with shingles, rep being the smallest id with the same set; and
+    token, doc_id, n, pos, df for the prefix tokens that several reps have. Both stored."""
+    some = rows.where("n_shingles > 0 and doc_id is not null")
+    key = ["f1", "f2", "n_shingles"]
+    classes = stored(some.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
+    member = stored(some.select("doc_id", *key).join(classes, key).select("doc_id", "rep"), "members")
+    discard(classes)
+    lone = small_or_not(member.where("doc_id <> rep").select("doc_id"))
+    reps = some.join(lone, "doc_id", "left_anti")
+    postings = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    shared = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    postings = postings.select("token", "doc_id", (F.col("n") * (1 << 31) + F.col("pos")).alias("at"))
+    shared = postings.join(shared, "token").withColumn("n", F.shiftright("at", 31)).withColumn("pos", F.col("at").bitwiseAND((1 << 31) - 1))
+    return member, stored(shared.drop("at"), "shared")
+
+
 def _one_each(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     """docs with one row for each doc_id: the longest text, of those the one with the smallest
     hash. None if no doc_id repeats; rows: a stored table with docs' ids."""
@@ -267,23 +334,15 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int
     text is the one that links. A null doc_id is returned with a null component_id.
     """
     docs = docs.select("doc_id", "text")
-    frequent = frequent_shingles(docs, k)
-    rows = counted = stored(prefix_rows(docs, num, den, k, frequent), "prefixes", texts=True)
+    levels = order_levels(docs, k)
+    rows = counted = stored(prefix_rows(docs, num, den, k, levels), "prefixes", texts=True)
     if (one := _one_each(docs, rows)) is not None:
-        docs, rows = one, stored(prefix_rows(one, num, den, k, frequent), "prefixes", texts=True)
-    some = rows.where("n_shingles > 0 and doc_id is not null")
-    key = ["f1", "f2", "n_shingles"]
-    classes = some.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes, "classes")
-    member = stored(some.select("doc_id", *key).join(classes, key).select("doc_id", "rep"), "members")
-
-    lone = small_or_not(member.where("doc_id <> rep").select("doc_id"))
-    reps = some.join(lone, "doc_id", "left_anti")
-    postings = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    postings = postings.select("token", "doc_id", (F.col("n") * (1 << 31) + F.col("pos")).alias("at"))
-    shared = postings.join(shared, "token").withColumn("n", F.shiftright("at", 31)).withColumn("pos", F.col("at").bitwiseAND((1 << 31) - 1))
-    shared = stored(shared.drop("at"), "shared")
+        docs, rows = one, stored(prefix_rows(one, num, den, k, levels), "prefixes", texts=True)
+    member, shared = _classes_and_postings(rows)
+    if (hot := hot_counters(docs, shared, num, den, k)) is not None:
+        levels[hot] = 255
+        discard(shared, member)
+        member, shared = _classes_and_postings(stored(prefix_rows(docs, num, den, k, levels), "prefixes", texts=True))
 
     # the prefix of least estimated cost: postings met, and candidates left, each of which costs the set's length
     base = F.col("n") - _needed(F.col("n"), num, den)
@@ -320,7 +379,7 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int
     pairs = stored(pairs.select("a", "b"), "candidates")
     more = verified(docs, pairs, num, den, k)
     comp = components(more.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    discard(classes, used, deltas, edges, token, pairs, more)
+    discard(used, deltas, edges, token, pairs, more)
     named = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return counted.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(

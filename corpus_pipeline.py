@@ -1,26 +1,44 @@
 """From raw documents to packed training sequences, in five stored stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and
-read again as the next stage's docs. All but the last return the columns of documents.
+read again as the next stage's docs. All but the last return the columns of documents, in their
+order; further columns, whatever their names, are carried along unchanged by all but the last.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The columns that stages work with.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _own_columns_apart(stage):
+    """A stage whose docs may have any further columns: while it runs they bear names that it
+    doesn't use, so none is taken for one of its own, lost or overwritten."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in DOCUMENT else f"own_column_{i}_of_docs" for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*names), sf_dir)
+        return out.toDF(*docs.columns) if out.columns == names else out
+
+    return run
+
 
+@_own_columns_apart
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that score under 0.3 go. Null and empty texts have the
-    model's bias for a score; repeated rows share their fate; an own column `score` stays as it is."""
+    model's bias for a score; repeated rows share their fate; further columns stay as they are."""
     from clausediff.llm.common import stored
     from clausediff.llm.quality import KEEP_SCORE, scored, trained
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    own = "_own_score" if "score" in docs.columns else "score"
-    given = docs.withColumnRenamed("score", own) if own != "score" else docs
-    kept = scored(given, trained(docs, labels)).where(F.col("score") >= KEEP_SCORE)
-    return stored(kept.select(*[F.col(own if c == "score" else c).alias(c) for c in docs.columns]), "kept", texts=True)
+    kept = scored(docs, trained(docs, labels)).where(F.col("score") >= KEEP_SCORE)
+    return stored(kept.select(*docs.columns), "kept", texts=True)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -45,6 +63,7 @@ def _one_row_each(docs: DataFrame) -> DataFrame:
     return rows.join(small_or_not(others), "_row", "left_anti").select(*docs.columns)
 
 
+@_own_columns_apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group the document with the smallest id stays.
 
@@ -59,6 +78,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(small_or_not(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
+@_own_columns_apart
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix dedup: bytes of 100-byte strings that also start earlier are cut out; a
     document of which nothing is left goes. Null and empty texts stay; rows of one doc_id don't
@@ -73,6 +93,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return stored(out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns), "cut", texts=True)
 
 
+@_own_columns_apart
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each row as often as its source's target asks for, whether its doc_id is null,
     repeated or its own."""
@@ -86,6 +107,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@_own_columns_apart
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: every token of every document placed in a sequence of 2048. A null or empty text
     is its end token alone, and each of several equal rows is packed."""

@@ -276,3 +276,64 @@ def test_license_notices():
     for n in (licenses.PIECE - 9, licenses.PIECE - 3, licenses.PIECE):
         found = scanner.scan("y" * n + " released under the MIT license " + "z " * licenses.PIECE)
         assert (found.n_words, found.n_base, found.first) == (6 + licenses.PIECE, 1, 4) and len(found.spans) == 1
+
+
+# ---------------------------------------------------------------- pipeline and n-gram join
+
+#: Every name that stages or their operators add to a table of documents, and more.
+ADDED = (
+    "_row score _own_score kept_text n_bytes n_removed n_spans kept_sha256 _copies copies size taken target source_size row before _part _o_row s place runs runs_ "
+    "component_id n_shingles prefix f1 f2 h n z x i turn shard quality label twice first kept weights c l count own_column_5_of_docs a.b SCORE_"
+).split()
+
+
+def test_stages_keep_own_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(12)] + [None, "", "x " * 20]
+    texts += [texts[0], texts[1] + " " + texts[2], " ".join(word() for _ in range(400_000))]  # a copy, passages, 2.4 MB
+    rows = [(i, t, "en", f"s{i % 2}", 1, *(f"{c}{i}" for c in ADDED)) for i, t in enumerate(texts)]
+    rows += [(None, texts[3], "en", None, 1, *(f"{c}n" for c in ADDED)), rows[4]]
+    from pyspark.sql import types as T
+
+    kinds = {"doc_id": T.LongType(), "n_chars": T.LongType()}
+    schema = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in (*corpus_pipeline.DOCUMENT, *ADDED)])
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            own = {c: r[c] for c in ADDED}
+            end = "n" if r.doc_id is None else str(r.doc_id)
+            assert own == {c: f"{c}{end}" for c in ADDED}, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    packed = corpus_pipeline.packing(spark, docs, str(tmp_path))
+    assert packed.columns[:3] == ["doc_id", "start", "length"] and packed.select("doc_id").distinct().count() == len(texts) + 1
+
+
+@pytest.mark.parametrize("order", ["counted", "flat"])
+def test_ngram_join_of_shared_passages(spark, monkeypatch, order):
+    """Documents that share 45 % of their text and link with nothing meet on few rows, also
+    where the counters tell nothing; two copies among them are found."""
+    from clausediff.llm import ngram_join
+
+    met = {}
+    stored = ngram_join.stored
+
+    def counting(df, name, texts=False):
+        out = stored(df, name, texts)
+        met[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counting)
+    if order == "flat":
+        monkeypatch.setattr(ngram_join, "order_levels", lambda docs, k=5: np.zeros(1 << ngram_join.COUNTER_BITS, np.uint8))
+    passage = [f"s{i}" for i in range(140)]
+    rows = [(i, " ".join(passage + [f"u{i}x{j}" for j in range(170)])) for i in range(400)]
+    rows += [(400, rows[7][1] + " more"), (401, rows[9][1])]
+    got = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {(r.doc_id, r.component_id) for r in got.where("component_id <> doc_id").collect()} == {(400, 7), (401, 9)}
+    assert met["used"] < 10 * len(rows) and met["open"] < len(rows) and met["candidates"] < 10

@@ -3,9 +3,9 @@
 Pages are written as WARC 1.1 records, a gzip member each, into files in the shared folder;
 equal payloads of some size are stored once, as the response with the largest id, and the
 others revisit it. The archives are read back file by file, each reader giving sorted runs
-of captures, cut at common range boundaries. A range's runs then meet in one task, where a
-loser tree merges them by URL key and timestamp, so that the ranges in turn hold all capture
-histories in order. Files that a lost or repeated task leaves are never read: only the
+of captures, cut at common range boundaries. A range's runs then meet in one task as blocks, which
+Spark sorts by their first keys, and a loser tree merges them by URL key and timestamp while it holds
+about a block of each run, so that the ranges in turn hold all capture histories in order. Files that a lost or repeated task leaves are never read: only the
 manifest rows of tasks that ended well name files.
 """
 
@@ -32,8 +32,8 @@ FILE_BYTES = 64 << 20
 RUN_ROWS, BLOCK_ROWS, RANGE_ROWS = 50_000, 1024, 200_000
 #: Tasks that read archives back; beyond so many archives a task reads several.
 MOST_READERS = 100_000
-#: Keys that place the range boundaries; only the balance depends on them.
-BOUNDARY_SAMPLE = 4096
+#: Keys that place the range boundaries: so many, or so many a range, and at most. Only the balance depends on them.
+BOUNDARY_SAMPLE, RANGE_SAMPLE, MOST_SAMPLE = 4096, 16, 1 << 20
 #: Capture time of page 0 where the pages have none; page n follows n seconds later.
 FIRST_CAPTURE = 1_704_067_200
 #: Most revisit decisions that are broadcast: a row of them, with its digest, is about six times an id.
@@ -165,8 +165,8 @@ class LoserTree:
     """Merges sorted lists: inner nodes hold the losers of their matches, so the next row
     costs one match on each level above the list that it came from."""
 
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs, self.at = runs, [0] * len(runs)
+    def __init__(self, runs: list[list[tuple]], at: list[int] | None = None):
+        self.runs, self.at = runs, at or [0] * len(runs)
         self.k = len(runs)
         self.loser = [-1] * max(1, self.k)
         for leaf in range(self.k):
@@ -193,15 +193,41 @@ class LoserTree:
         self.loser[0] = winner
 
     def __iter__(self):
+        return self.until()
+
+    def until(self, key: bytes | None = None):
+        """The rows that are left, or those before a key."""
         while self.k:
             w = self.loser[0]
-            if self.at[w] == len(self.runs[w]):
+            if self.at[w] == len(self.runs[w]) or key is not None and self.runs[w][self.at[w]][0] >= key:
                 return
             yield self.runs[w][self.at[w]]
             self.at[w] += 1
             self._replay(w)
 
 
+class BlockMerge:
+    """External merge of sorted runs whose blocks come in the order of their first keys.
+
+    All rows before a new block's first key are in the blocks that came before it, so they can go
+    out when it comes. A run's next block comes only when its last one is used up, or down to rows
+    of that very key: what is held is about one block of each run that has rows around the key."""
+
+    def __init__(self):
+        self.tree, self.most = LoserTree([]), 0
+
+    def add(self, rows: list[tuple]):
+        """Takes in a block; gives the rows before its first."""
+        yield from self.tree.until(rows[0][0])
+        left = [(r, at) for r, at in zip(self.tree.runs, self.tree.at) if at < len(r)] + [(rows, 0)]
+        self.most = max(self.most, len(left))
+        self.tree = LoserTree([r for r, _ in left], [at for _, at in left])
+
+    def rest(self):
+        yield from self.tree.until()
+        self.tree = LoserTree([])
+
+
 def merged_index(manifest: DataFrame, boundaries: list[bytes]) -> DataFrame:
     """All captures of the manifest's archives; (range_id, place) is their global order by
     URL key, timestamp and id."""
@@ -224,10 +250,10 @@ def merged_index(manifest: DataFrame, boundaries: list[bytes]) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, CAPTURE) as w:
                     w.write_batch(table)
-                out.append((r, task + run, at, sink.getvalue().to_pybytes()))
+                out.append((r, rows[at][0], task + run, at, sink.getvalue().to_pybytes()))
                 at = to
             run += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["range_id", "run", "seq", "block"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["range_id", "first", "run", "seq", "block"])
 
         rows = []
         for batch in batches:
@@ -241,32 +267,38 @@ def merged_index(manifest: DataFrame, boundaries: list[bytes]) -> DataFrame:
             yield blocks(rows)
 
     files = min(max(1, manifest.count()), MOST_READERS)  # a number, or the few rows would be put together into one task
-    found = manifest.select("archive").repartition(files, "archive").mapInArrow(runs, "range_id long, run long, seq long, block binary")
-    dealt = found.repartition(len(boundaries) + 1, "range_id").sortWithinPartitions("range_id", "run", "seq")
+    found = manifest.select("archive").repartition(files, "archive").mapInArrow(runs, "range_id long, first binary, run long, seq long, block binary")
+    dealt = found.repartition(len(boundaries) + 1, "range_id").sortWithinPartitions("range_id", "first", "run", "seq").select("range_id", "block")
 
     def merge(batches):
-        now, lists, last = None, [], None
+        now, merging, place, held = None, BlockMerge(), 0, []
 
-        def done():
-            rows = list(LoserTree(lists))
-            columns = [pa.array(c, t) for c, t in list(zip(zip(*rows, strict=True), CAPTURE.types, strict=True))[1:]]
-            return pa.RecordBatch.from_arrays(
-                [*columns, pa.array([now] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64())], [*CAPTURE.names[1:], "range_id", "place"]
-            )
+        def out(least: int):
+            """Rows held for output as a batch, once there are `least`."""
+            nonlocal held, place
+            if len(held) < least:
+                return
+            columns = [pa.array(c, t) for c, t in list(zip(zip(*held, strict=True), CAPTURE.types, strict=True))[1:]]
+            places = pa.array(range(place, place + len(held)), pa.int64())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([now] * len(held), pa.int64()), places], [*CAPTURE.names[1:], "range_id", "place"])
+            place, held = place + len(held), []
 
         for batch in batches:
-            for r, run, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
-                if r != now and lists:
-                    yield done()
-                    lists, last = [], None
-                now = r
-                if run != last:
-                    lists.append([])
-                    last = run
+            for r, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if r != now:
+                    for row in merging.rest():
+                        held.append(row)
+                        yield from out(BLOCK_ROWS)
+                    yield from out(1)
+                    now, place = r, 0
                 table = pa.ipc.open_stream(block.as_buffer()).read_all()
-                lists[-1].extend(zip(*(c.to_pylist() for c in table.columns), strict=True))
-        if lists:
-            yield done()
+                for row in merging.add(list(zip(*(c.to_pylist() for c in table.columns), strict=True))):
+                    held.append(row)
+                    yield from out(BLOCK_ROWS)
+        for row in merging.rest():
+            held.append(row)
+            yield from out(BLOCK_ROWS)
+        yield from out(1)
 
     types = {"int64": "long", "string": "string"}
     columns = ", ".join(f"{f.name} {types[str(f.type)]}" for f in CAPTURE if f.name != "sort_key")
@@ -283,8 +315,9 @@ def archived(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
     total = manifest.agg(F.sum("records")).first()[0] or 0
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, min(parts, total // 1000), total // RANGE_ROWS)
-    some = F.pmod(F.xxhash64("page_id", "url"), F.lit(max(1, total // BOUNDARY_SAMPLE))) == 0
-    sample = pages.select("url", "page_id").where(some).distinct().limit(8 * BOUNDARY_SAMPLE).collect()
+    sample = min(MOST_SAMPLE, max(BOUNDARY_SAMPLE, RANGE_SAMPLE * ranges))
+    some = F.pmod(F.xxhash64("page_id", "url"), F.lit(max(1, total // sample))) == 0
+    sample = pages.select("url", "page_id").where(some).distinct().limit(2 * sample).collect()
     keys = sorted({sort_key(r.url, f"{_stamp(r.page_id):%Y%m%d%H%M%S}", r.page_id) for r in sample})
     ranges = min(ranges, len(keys) or 1)
     return merged_index(manifest, sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}))

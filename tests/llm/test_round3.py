@@ -337,3 +337,45 @@ def test_ngram_join_of_shared_passages(spark, monkeypatch, order):
     got = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert {(r.doc_id, r.component_id) for r in got.where("component_id <> doc_id").collect()} == {(400, 7), (401, 9)}
     assert met["used"] < 10 * len(rows) and met["open"] < len(rows) and met["candidates"] < 10
+
+
+# ---------------------------------------------------------------- archives
+
+
+def test_blocks_merge_externally():
+    """Many more blocks than are held at a time; ties; empty runs."""
+    from clausediff.llm.warc import BlockMerge
+
+    rng = random.Random(5)
+    runs = [sorted((b"%05d" % rng.randrange(20_000), r, i) for i in range(rng.randrange(400, 900))) for r in range(12)]
+    runs += [[(b"00007", 12, i) for i in range(300)], []]
+    blocks = [(run[at][0], r, at, run[at : at + 16]) for r, run in enumerate(runs) for at in range(0, len(run), 16)]
+    merge, out = BlockMerge(), []
+    for _, _, _, rows in sorted(blocks, key=lambda b: b[:3]):
+        out += merge.add(rows)
+    out += merge.rest()
+    assert [r[0] for r in out] == sorted(r[0] for run in runs for r in run) and sorted(out) == sorted(r for run in runs for r in run)
+    assert len(blocks) > 400 and merge.most <= len(runs) + 300 // 16 + 2
+    one = BlockMerge()
+    assert list(one.add([(b"a",)])) == [] and list(one.rest()) == [(b"a",)] and list(BlockMerge().rest()) == []
+
+
+def test_captures_in_order(spark, monkeypatch):
+    """Small runs, blocks and ranges, with columns that clash."""
+    from clausediff.llm import warc
+
+    monkeypatch.setattr(warc, "RUN_ROWS", 40)
+    monkeypatch.setattr(warc, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 60)
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["http://a.org/x", f"https://b.org/{rng.randrange(30)}", None, f"http://c.{i % 3}.org/"]), "p" * (i % 9) * 300, "own", "own", "own") for i in range(400)]
+    rows += [(None, "http://a.org/x", None, "own", "own", "own"), rows[3], rows[3]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, range_id string, place string, record_type string").repartition(5)
+    got = warc.archived(df).orderBy("range_id", "place").collect()
+    assert len(got) == len(rows) and len({r.range_id for r in got}) > 2
+    keys = [(r.url_key, r.captured_at) for r in got]
+    assert keys == sorted(keys)
+    by = {}
+    for r in got:
+        by.setdefault(r.range_id, []).append(r.place)
+    assert all(p == list(range(len(p))) for p in by.values())

@@ -572,7 +572,27 @@ def compare_by_clause(spark, sf_dir):
     return matching.compare_by_clause(c.where("version = 'v1'"), c.where("version = 'v2'"))
 
 
-@query()
+# The matching of articles by their vectors: the three nearest v2 chunks of each v1 article, then
+# each article in order of number takes the nearest that is free and similar enough.
+_MATCHED_SQL = CHUNKS_SQL + _VECTORS_SQL + f""",
+dense as (select chunk_id, list(coalesce((n / length)::float::double, 0) order by place) as v from (select chunk_id, unnest(range({vectors.DIMENSIONS}))::int as place from chunks) left join unit using (chunk_id, place) group by chunk_id),
+a1 as (select c.doc_id as pair_id, article_number as no, article_number::int as k, article_title as title, text, v from chunks c join dense using (chunk_id) where version = 'v1'),
+a2 as (select c.doc_id as pair_id, article_number as no, article_number::int as k, article_title as title, text, chunk_id, v from chunks c join dense using (chunk_id) where version = 'v2'),
+near as (select a1.pair_id, a1.no as left_no, a1.k, a2.no as right_no, chunk_id, list_sum(list_transform(list_zip(a1.v, a2.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from a1 join a2 using (pair_id)),
+ranked as (select *, row_number() over (partition by pair_id, left_no order by d, chunk_id) as rank from near),
+fit as (select * from ranked where rank <= 3 and 1 / (1 + d) >= 0.5),
+ls as (select pair_id, left_no, row_number() over (partition by pair_id order by k, left_no) as n from (select distinct pair_id, left_no, k from fit)),
+step(pair_id, n, used, left_no, pick) as (select pair_id, 0::bigint, []::varchar[], null::varchar, null::varchar from (select distinct pair_id from fit)
+ union all select s.pair_id, l.n, case when p.pick is null then s.used else list_append(s.used, p.pick) end, l.left_no, p.pick
+ from step s join ls l on l.pair_id = s.pair_id and l.n = s.n + 1 left join lateral (select arg_min(right_no, rank) as pick from fit c where c.pair_id = l.pair_id and c.left_no = l.left_no and not list_contains(s.used, c.right_no)) p on true),
+m as (select s.pair_id, s.left_no, s.pick as right_no, round(1 / (1 + f.d), 4) as score from step s join fit f on f.pair_id = s.pair_id and f.left_no = s.left_no and f.right_no = s.pick),
+compared as (select a1.pair_id, 0 as part, a1.k, a1.no as article_number, coalesce(a2.title, a1.title) as article_title, m.right_no as matched_article_v2, coalesce(m.score, 0)::double as match_score, a1.text as v1_text, a2.text as v2_text
+   from a1 left join m on m.pair_id = a1.pair_id and m.left_no = a1.no left join a2 on a2.pair_id = m.pair_id and a2.no = m.right_no
+ union all select a2.pair_id, 1, a2.k, a2.no, a2.title, a2.no, 0::double, null, a2.text from a2 where not exists (select 1 from m where m.pair_id = a2.pair_id and m.right_no = a2.no)),
+numbered as (select *, row_number() over (partition by pair_id order by part, k)::int as seq, {_WS.format('v1_text')} as n1, {_WS.format('v2_text')} as n2 from compared)"""
+
+
+@query("with recursive " + _MATCHED_SQL + " select pair_id, seq, article_number, article_title, matched_article_v2, match_score, v1_text, v2_text from numbered")
 def compare_articles(spark, sf_dir):
     return jobs.matched_rows(fixture.chunks(spark, sf_dir))
 
@@ -729,6 +749,12 @@ def write_reports(spark, sf_dir):
     return reporting.report_counts(reporting.read_reports(spark, path))
 
 
-@query()
+@query("with recursive " + _MATCHED_SQL + """ select pair_id, seq, article_number, article_title, matched_article_v2, match_score, v1_text, v2_text, status, grounded, llm_used,
+  case when status = 'unchanged' then 'texts_equal' else 'missing_ollama_package' end as fallback_reason, status <> 'unchanged' as quoted, status <> 'unchanged' as blocks,
+  case when status = 'unchanged' then 'Khong ghi nhan khac biet ve mat van ban.' else 'Khong goi duoc LLM (missing ollama package).' end as conclusion
+from (select *, true as grounded, false as llm_used, case when n1 = n2 then 'unchanged' when n1 <> '' and n2 <> '' then 'changed' when n1 <> '' then 'removed' else 'added' end as status from numbered)""")
 def compare_corpus(spark, sf_dir):
-    return jobs.compare_corpus(fixture.chunks(spark, sf_dir))
+    """Whole results; of the quotations and difference blocks, whether there are any (extract_evidence and diff_blocks show them)."""
+    r = jobs.compare_corpus(fixture.chunks(spark, sf_dir))
+    columns = ("pair_id", "seq", "article_number", "article_title", "matched_article_v2", "match_score", "v1_text", "v2_text", "status", "grounded", "llm_used", "fallback_reason", "conclusion")
+    return r.select(*columns, (F.size("evidence") > 0).alias("quoted"), (F.size("diff_blocks") > 0).alias("blocks"))

@@ -11,6 +11,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,21 +101,45 @@ def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", "")
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("v1").alias("version"), text.alias("text"))
 
-    def file_of(text: str) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("word/styles.xml", _STYLES_XML)
-            z.writestr("word/document.xml", f"<w:document {_W}><w:body>" + "".join(_paragraph_xml(i, s) for i, s in enumerate(text.split("\n"))) + "</w:body></w:document>")
-        return out.getvalue()
-
     def run(batches):
         for rows in batches:
-            content = pa.array([file_of(t.as_py()) for t in rows.column(2)], pa.binary())
+            content = pa.array([_file_of(t.as_py()) for t in rows.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), content], ["doc_id", "version", "content"])
 
     return texts.mapInArrow(run, "doc_id string, version string, content binary")
 
 
+def _file_of(text: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/styles.xml", _STYLES_XML)
+        z.writestr("word/document.xml", f"<w:document {_W}><w:body>" + "".join(_paragraph_xml(i, s) for i, s in enumerate(text.split("\n"))) + "</w:body></w:document>")
+    return out.getvalue()
+
+
+def docx_folder(spark: SparkSession, sf_dir: str, path: str) -> int:
+    """Writes each document as a file of its own below path, as an inbox would hold them: contracts
+    of both versions, change notes, lock files and files of other kinds. A repeated task writes
+    the same bytes under the same names. Returns how many files there are."""
+    i = F.col("doc_id").cast("long")
+    name = F.concat(
+        F.when(i % 13 == 0, "~$").otherwise(""), F.lit("hd_"), "doc_id", F.when(i % 2 == 0, "_V1").otherwise("_v2"), F.when(i % 7 == 0, "_Changes").otherwise(""),
+        F.when(i % 5 == 0, ".txt").otherwise(".docx"),
+    )
+    folder = F.concat(F.lit("in"), i % 3)
+
+    def write(batches):
+        files, root = pafs.FileSystem.from_uri(path)
+        for rows in batches:
+            for name, content in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                files.create_dir(f"{root}/{name.rpartition('/')[0]}", recursive=True)
+                with files.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([rows.num_rows], pa.int64())], ["n"])
+
+    return docx_files(spark, sf_dir).select(F.concat_ws("/", folder, name).alias("name"), "content").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausediff.operators.chunking import chunk_plain_text
 

@@ -14,7 +14,9 @@ position whose K-byte gram has the smallest hash.
    neighbours with equal prefixes are repeats, but for the first.
 
 Work in step 3 is limited to the ends of repeated passages, since inner blocks have one name.
-Grams with many names are dealt out by their suffixes' names, so no gram gathers in one task.
+Grams with many names are dealt out by their suffixes' names, so no gram gathers in one task: those
+that stretches of text tell beforehand, and of the others all that have more than KEY_BLOCKS
+blocks left when they are counted.
 Names are 64-bit hashes; two must agree (gram and block) for a false match.
 """
 
@@ -34,6 +36,8 @@ LENGTH, GRAM = 100, 32
 #: Grams with so many names in one stretch of text, or so many added up over all stretches (of those
 #: with four or more), are dealt out by their suffixes; at most HOT_MOST are listed (0.5 MB).
 HOT_NAMES, HOT_TOTAL, HOT_MOST = 24, 20_000, 1 << 16
+#: Blocks of one gram that may meet in one task; those of a gram with more are dealt out by their suffixes.
+KEY_BLOCKS = 20_000
 #: Positions that a worker groups at a time, and rows that it takes from a sorted stream.
 STRETCH, ROWS = 500_000, 100_000
 #: Bits of the filter that tells which names may be needed again (8 MB); what passes is joined exactly.
@@ -251,6 +255,11 @@ def repeat_runs(docs: DataFrame, hot_names: int = HOT_NAMES) -> DataFrame:
         seen.where("not settled").join(twice, ["key", "block"]).where(later).select("doc_id", "x")
     )
 
+    def suffixes(h, d, s):
+        """Suffixes by their names; of those with one name all but the first are settled here."""
+        o, first = _firsts(h, d, s, of=1)
+        return _batch(["key", "doc_id", "x", "bytes", "done"], h[o].view(np.int64), d[o], s[o] * 256, pa.nulls(len(o), pa.binary()), ~first)
+
     def ends_of(parts):
         doc, gram, block, lo, hi, text, own = _joined(parts)
         order, new = _firsts(gram, block, doc, lo, of=2)
@@ -261,9 +270,7 @@ def repeat_runs(docs: DataFrame, hot_names: int = HOT_NAMES) -> DataFrame:
         if len(w):
             n = (hi - lo)[w] + 1
             h = mix(np.concatenate(list(own[w])))
-            d, s = np.repeat(doc[w], n), np.concatenate([np.arange(a, a + m) for a, m in zip(lo[w], n, strict=True)])
-            o, first = _firsts(h, d, s, of=1)
-            yield _batch(["key", "doc_id", "x", "bytes", "done"], h[o], d[o], s[o] * 256, pa.nulls(len(o), pa.binary()), ~first)
+            yield suffixes(h, np.repeat(doc[w], n), np.concatenate([np.arange(a, a + m) for a, m in zip(lo[w], n, strict=True)]))
 
     def remaining(batches):
         """Blocks of grams with several names, one of a name; of hot grams their suffixes, one of a name."""
@@ -288,6 +295,27 @@ def repeat_runs(docs: DataFrame, hot_names: int = HOT_NAMES) -> DataFrame:
 
     left = docs.mapInArrow(remaining, "key long, doc_id long, x long, bytes binary, done boolean")
     left = stored(left, "remaining", texts=True)
+    blocks = left.where("bytes is not null").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > KEY_BLOCKS)
+    heavy = stored(blocks.select("key"), "heavy")
+
+    def split(batches):
+        """Blocks as their suffixes."""
+        for batch in batches:
+            for at in range(0, len(batch), 5000):
+                doc, x = (batch.column(c).slice(at, 5000).to_numpy() for c in (0, 1))
+                data = np.frombuffer(b"".join(batch.column(2).slice(at, 5000).to_pylist()), np.uint8)
+                n = (x & 255) + 1
+                start = np.concatenate([[0], np.cumsum(n + LENGTH - 1)[:-1]])
+                step = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+                a = np.repeat(start, n) + step
+                yield suffixes(mix(_spans(_sums(data), a, a + LENGTH)), np.repeat(doc, n), np.repeat(x >> 8, n) + step)
+
+    if heavy.count():
+        whole_blocks = left.where("bytes is not null")
+        dealt = whole_blocks.join(small_or_not(heavy), "key", "left_semi").select("doc_id", "x", "bytes").mapInArrow(split, left.schema)
+        others = whole_blocks.join(small_or_not(heavy), "key", "left_anti").select(*left.columns)
+        before, left = left, stored(left.where("bytes is null").unionByName(others).unionByName(dealt), "remaining", texts=True)
+        discard(before)
 
     def merge(batches):
         """Rows in the order of their key: neighbours with equal prefixes."""

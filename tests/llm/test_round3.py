@@ -379,3 +379,25 @@ def test_captures_in_order(spark, monkeypatch):
     for r in got:
         by.setdefault(r.range_id, []).append(r.place)
     assert all(p == list(range(len(p))) for p in by.values())
+
+
+# ---------------------------------------------------------------- suffix dedup
+
+
+def test_heavy_grams_are_dealt_out(spark, monkeypatch):
+    """Grams with more blocks than may meet in one task, against brute force."""
+    from clausediff.llm import suffix_dedup
+    from test_operators import brute_repeats
+
+    monkeypatch.setattr(suffix_dedup, "KEY_BLOCKS", 2)
+    met = []
+    stored = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name, texts=False: met.append(name) or stored(df, name, texts))
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    shared = [word(130) for _ in range(4)]
+    rows = [(i, word(rng.randrange(50)) + rng.choice(shared) + word(rng.randrange(80)) + rng.choice(shared)[: rng.randrange(90, 130)] + word(9)) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, shared[0][:99]), (103, "ab" * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(df).collect()}
+    assert got == brute_repeats(rows) and met.count("remaining") == 2

@@ -23,9 +23,19 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-_ATTR = r"""\s*=\s*["']?\s*"""
-_LINK = rf"(?is)<link\b(?=[^>]*\brel{_ATTR}canonical\b)[^>]*?\shref{_ATTR}([^\s\"'>]+)"
-_META = rf"(?is)<meta\b(?=[^>]*\bhttp-equiv{_ATTR}refresh\b)[^>]*?\scontent{_ATTR}\d*\s*[;,]?\s*url\s*=\s*[\"']?([^\s\"'>]+)"
+#: Patterns of links, the same for Spark and SQL: a tag, what tells that it names an alias, and the target.
+LINK = (r"(?is)<link\b[^>]*>", r"""(?is)\srel\s*=\s*["']?\s*canonical["'\s/>]""", r"""(?is)\shref\s*=\s*["']?\s*([^\s"'>]+)""")
+META = (
+    r"(?is)<meta\b[^>]*>", r"""(?is)\shttp-equiv\s*=\s*["']?\s*refresh["'\s/>]""",
+    r"""(?is)\scontent\s*=\s*["']?\s*[0-9.]*\s*[;,]?\s*url\s*=\s*["']?\s*([^\s"'>]+)""",
+)
+
+
+def _target(html: Column, patterns: tuple[str, str, str]) -> Column:
+    """The target of the first such tag; '' without one."""
+    tag, alias, target = patterns
+    first = F.get(F.filter(F.regexp_extract_all(html, F.lit(tag), 0), lambda x: x.rlike(alias)), 0)
+    return F.coalesce(F.regexp_extract(first, target, 1), F.lit(""))
 
 
 def host_of(url: Column) -> Column:
@@ -53,7 +63,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     """a (the page's URL) and b (the canonical link's or meta refresh's target), without
     fragments; relative targets are resolved against the page."""
     bare = lambda c: F.regexp_replace(c, r"(?s)#.*$", "")
-    found = pages.select("url", F.explode(F.array(F.regexp_extract("html", _LINK, 1), F.regexp_extract("html", _META, 1))).alias("to"))
+    found = pages.select("url", F.explode(F.array(_target(F.col("html"), LINK), _target(F.col("html"), META))).alias("to"))
     found = found.where("to <> '' and url is not null")
     site = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
     scheme = F.regexp_extract("url", r"(?s)^(.*?:)//", 1)
@@ -87,15 +97,21 @@ def judged(pages: DataFrame, edges: DataFrame | None = None, rules=RULES) -> Dat
     return out.select("page_id", "host", "path", "rule", F.coalesce("decision", "spread", F.lit("allow")).alias("verdict"))
 
 
-ORACLE = r"""
+def _sql_target(patterns: tuple[str, str, str]) -> str:
+    tag, alias, target = (p.replace("'", "''") for p in patterns)
+    return f"coalesce(regexp_extract(list_filter(regexp_extract_all(html, '{tag}'), lambda x: regexp_matches(x, '{alias}'))[1], '{target}', 1), '')"
+
+
+ORACLE = rf"""
 with recursive p as (
   select page_id, url, html, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) as h0,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
-rules(verdict, rhost, rpath) as (values ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')),
-e as (select distinct regexp_replace(url, '(?s)#.*$', '') as a, regexp_replace(t, '(?s)#.*$', '') as b from (
-  select url, unnest([regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*\shref\s*=\s*["'']?([^\s"''>]+)', 1),
-                      regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*\scontent\s*=\s*["'']?\d*\s*;?\s*url\s*=\s*([^\s"''>]+)', 1)]) as t from pages) where t like '%://%'),
-both_ways as (select a, b from e union select b, a from e),
+rules(verdict, rhost, rpath) as (values {", ".join(f"('{v}','{h}','{x}')" for v, h, x in RULES)}),
+t as (select url, unnest([{_sql_target(LINK)}, {_sql_target(META)}]) as t from pages where url is not null),
+e as (select distinct regexp_replace(url, '(?s)#.*$', '') as a, regexp_replace(case when contains(t, '://') then t when starts_with(t, '//') then regexp_extract(url, '(?s)^(.*?:)//', 1) || t
+    when starts_with(t, '/') then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t
+    else regexp_replace(regexp_extract(regexp_replace(url, '(?s)[?#].*$', ''), '(?s)^(.*?://[^/]*(?:/.*/)?)', 1), '([^/:])$', '/') || t end, '(?s)#.*$', '') as b from t where t <> ''),
+both_ways as (select a, b from e where a <> b union select b, a from e where a <> b),
 reach(a, b) as (select a, a from both_ways union select r.a, w.b from reach r join both_ways w on r.b = w.a),
 u as (select distinct b as url, regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1) as h0, regexp_extract(b, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from reach),
 ud as (select url, arg_max(verdict, length(rhost || rpath)) as decision from u join rules

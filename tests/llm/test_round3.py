@@ -401,3 +401,59 @@ def test_heavy_grams_are_dealt_out(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(df).collect()}
     assert got == brute_repeats(rows) and met.count("remaining") == 2
+
+
+# ---------------------------------------------------------------- URL filter
+
+
+def test_aliases_of_pages(spark):
+    """Canonical links and refreshes in html, against brute force and against the query's own SQL;
+    own columns that clash."""
+    import duckdb
+
+    from clausediff.llm import url_filter
+
+    rng = random.Random(4)
+    urls = [f"http://{h}/{p}/{i}" for i, (h, p) in enumerate((h, p) for h in ("A.net", "example.org", "b.com", "c.example.org") for p in ("es", "en", "de", "fr", "x") for _ in range(6))]
+    written = [
+        '<link rel="canonical" href="{}">', "<LINK href='{}' data-x=1 rel=canonical>", '<link rel="stylesheet" href="no.css"><link\nrel="canonical"\nhref="{}"/>',
+        '<meta http-equiv="refresh" content="0; url={}">', "<meta content='5;URL={}' http-equiv='Refresh'>", '<link rel="canonicals" href="http://b.com/de/0">',
+    ]
+    rows, edges = [], []
+    for i, u in enumerate(urls):
+        html = "<html>"
+        if rng.random() < 0.5:
+            to, how = rng.choice(urls), rng.choice(written)
+            kind = rng.randrange(3)
+            host, path = to[7:].split("/", 1)
+            said = to if kind else ("//" + to[7:] if rng.random() < 0.5 else f"/{path}")
+            if not kind and not said.startswith("//"):
+                to = u[:7] + u[7:].split("/", 1)[0] + f"/{path}"
+            html += how.format(said + rng.choice(["", "#part"]))
+            if "canonicals" not in how:
+                edges.append((u, to))
+        rows.append((i, u + rng.choice(["", "#top"]), html, "own", "own", "own"))
+    rows += [(500, None, '<link rel="canonical" href="http://b.com/de/1">', "own", "own", "own"), (501, "no scheme", None, "own", "own", "own"), (502, "", "", "own", "own", "own"), rows[3]]
+    schema = "page_id long, url string, html string, verdict string, u string, component string"
+    got = sorted((tuple(r) for r in url_filter.judged(spark.createDataFrame(rows, schema).repartition(3)).collect()), key=str)
+    group = {}
+    for a, b in edges:
+        whole = group.get(a, {a}) | group.get(b, {b})
+        for x in whole:
+            group[x] = whole
+
+    def decide(url):
+        host, _, path = url.partition("://")[2].partition("/")
+        fits = [(len(h + p), v) for v, h, p in url_filter.RULES if (host.lower() == h or host.lower().endswith("." + h)) and f"/{path}".startswith(p)] if "://" in url else []
+        return max(fits)[1] if fits else None
+
+    want = {}
+    for i, u, *_ in rows:
+        bare = (u or "").split("#")[0]
+        votes = {decide(x) for x in group.get(bare, {bare})} - {None}
+        want[i] = decide(bare) or min(votes, default="allow")
+    assert {r[0]: r[4] for r in got} == want and len(got) == len(rows) and sum(v == "block" for v in want.values()) > 15
+    con = duckdb.connect()
+    con.execute("create table pages(page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", [r[:3] for r in rows[:-1]])
+    assert sorted(con.sql(url_filter.ORACLE).fetchall(), key=str) == sorted(set(got), key=str)

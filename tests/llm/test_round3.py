@@ -457,3 +457,51 @@ def test_aliases_of_pages(spark):
     con.execute("create table pages(page_id bigint, url varchar, html varchar)")
     con.executemany("insert into pages values (?, ?, ?)", [r[:3] for r in rows[:-1]])
     assert sorted(con.sql(url_filter.ORACLE).fetchall(), key=str) == sorted(set(got), key=str)
+
+
+# ---------------------------------------------------------------- line rules
+
+
+def brute_kept(text, phrases, keep_share, symbol_share, notice_share):
+    """The verdict by a loop over lines."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    hit = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)}
+    if len(words) < 10 or 100 * len(hit) > 20 * len(words):
+        return False
+    solid = lambda t: sum(c not in " \t\n\x0b\x0c\r" for c in t)
+    seen, stays = set(), 0
+    for line in text.split("\n"):
+        if not solid(line) or line in seen:
+            continue
+        seen.add(line)
+        n = len(line)
+        symbols, bars = sum(c in "#*$%&|<>" for c in line), sum(c in "|»›·" for c in line)
+        low = line.lower()
+        notice = n - len(re.sub(phrases, "", low))
+        loud = n >= 12 and line.upper() == line and low != line
+        stub = n < 30 and bars >= 1 and not re.search(r"[.!?…:;。！？]", line)
+        if not (loud or symbols > symbol_share * n or bars >= 2 and bars * 40 > n or stub or notice and notice >= notice_share * n):
+            stays += solid(line)
+    return stays >= keep_share * solid(text)
+
+
+def test_line_rules_verdict(spark):
+    from clausediff.llm import line_rules as rules
+
+    rng = random.Random(13)
+    lines = [
+        "Home | News | Sports | Weather", "HOME PAGE OF ALL THINGS", "Read » more", "Please accept all cookies", "We set the cookie policy out at some length here, and it says what it says to all who read on.",
+        "### $$$ ***", "", "  \t", "A plain line of words that goes on for a while, then ends.", "Short one", "Tous droits réservés", "x", "ÉTÉ ÉTÉ ÉTÉ ÉTÉ", "café | thé",
+    ]
+    texts = [None, "", "\n\n", "one two", "LOUD WORDS IN ONE LINE, TEN OF THEM OR MORE HERE NOW"]
+    for _ in range(400):
+        made = [rng.choice(lines) if rng.random() < 0.5 else " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(1, 14))) for _ in range(rng.randrange(1, 9))]
+        texts.append("\n".join(made))
+    texts.append("\n".join(f"Line{i} of{i} a{i} long text{i}, with{i} words{i}." for i in range(20_000)))
+    rows = [(i, t, "own", "own", "own") for i, t in enumerate(texts)] + [(None, texts[40], "own", "own", "own"), (40, texts[40], "own", "own", "own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, lines string, s string").repartition(3)
+    got = {r.doc_id: r.kept for r in rules.line_cleaned(df).collect()}
+    slow = lambda t: True if t is not None and len(t) > 500_000 else brute_kept(t, rules.BOILERPLATE, rules.KEEP_SHARE, rules.SYMBOL_SHARE, rules.NOTICE_SHARE)
+    want = {i: slow(t) for i, t, *_ in rows}
+    assert got == want and 100 < sum(want.values()) < 390

@@ -31,6 +31,8 @@ from clausediff.llm.common import mix, small_or_not, stored
 TABLES, HASHES, WIDTH, PROBES, SEED = 5, 6, 2.0, 64, 11
 #: Most members, and queries, of one block.
 BLOCK = 20_000
+#: Vectors of queries are broadcast up to so many bytes; beyond, they are joined to the probes.
+ASKED_BYTES = 64 << 20
 #: Norm ranges in each doubling of the norm.
 RANGES = 4
 
@@ -98,7 +100,7 @@ def longest_norms(df: DataFrame) -> np.ndarray:
 
 
 def _hashed(df: DataFrame, lengths: np.ndarray, queries: bool) -> DataFrame:
-    """bucket, vec_id, vec for each table (and probe)."""
+    """bucket, vec_id, vec for each table, or bucket, vec_id for each table and probe of queries."""
 
     def run(batches):
         for batch in batches:
@@ -125,10 +127,22 @@ def _hashed(df: DataFrame, lengths: np.ndarray, queries: bool) -> DataFrame:
                         rows.append(np.arange(len(x)))
                         names.append(_names(np.floor(place), t))
                 rows, names = np.concatenate(rows), np.concatenate(names)
-                raw = _packed(x)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids[rows]), raw.take(pa.array(rows))], ["bucket", "vec_id", "vec"])
+                named = [pa.array(names), pa.array(ids[rows])]
+                yield pa.RecordBatch.from_arrays(named, ["bucket", "vec_id"]) if queries else pa.RecordBatch.from_arrays([*named, _packed(x).take(pa.array(rows))], ["bucket", "vec_id", "vec"])
 
-    return df.select("vec_id", "embedding").mapInArrow(run, "bucket long, vec_id long, vec binary")
+    return df.select("vec_id", "embedding").mapInArrow(run, "bucket long, vec_id long" + ("" if queries else ", vec binary"))
+
+
+def _asked(q: DataFrame):
+    """The queries' ids, sorted, and vectors, to be found by id where probes meet members: a
+    broadcast of checked size; None beyond that."""
+    n, dims = q.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if n * (dims or 0) * 8 > ASKED_BYTES:
+        return None
+    rows = q.select("vec_id", "embedding").toArrow()
+    ids = rows["vec_id"].to_numpy().astype(np.int64)
+    order = np.argsort(ids)
+    return q.sparkSession.sparkContext.broadcast((ids[order], _matrix(rows["embedding"].combine_chunks())[order] if n else np.zeros((0, 1))))
 
 
 def _best(q, v, s, k):
@@ -155,7 +169,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     x = stored(usable(vectors), "vectors")
     first = x.select(F.size("embedding")).first()
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = usable(queries, first[0] if first else 0).dropDuplicates(["vec_id"]).repartition(tasks, "vec_id")  # a query has many probes
+    q = stored(usable(queries, first[0] if first else 0).dropDuplicates(["vec_id"]).repartition(tasks, "vec_id"), "queries")  # a query has many probes
+    asked = _asked(q)
     lengths = longest_norms(x)
     alike = Window.partitionBy("embedding").orderBy("vec_id")
     x = x.dropDuplicates(["vec_id"]).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k + 1).drop("_n")
@@ -212,15 +227,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                     if (out := close()) is not None:
                         yield out
                     now, qs, xs = group, [], []
-                v = np.frombuffer(b"".join(vecs.slice(a, b - a).to_pylist()), np.float64).reshape(b - a, -1)
+                if keys[a, 3] or asked is None:
+                    v = np.frombuffer(b"".join(vecs.slice(a, b - a).to_pylist()), np.float64).reshape(b - a, -1)
+                else:
+                    v = asked.value[1][np.searchsorted(asked.value[0], ids[a:b])]
                 (xs if keys[a, 3] else qs).append((ids[a:b], v))
         if (out := close()) is not None:
             yield out
         if found:
             yield batch_of(_best(*(np.concatenate(c) for c in zip(*found, strict=True)), k))
 
+    def packed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(_matrix(batch.column(1)))], ["vec_id", "vec"])
+
     def met(probes, members, sizes):
         """query_id, vec_id, score of the queries and members that share a bucket: each task's k nearest of a query."""
+        if asked is None:
+            probes = probes.join(q.select("vec_id", "embedding").mapInArrow(packed, "vec_id long, vec binary"), "vec_id")
+        else:
+            probes = probes.withColumn("vec", F.lit(None).cast("binary"))
         left = probes.join(sizes, "bucket", "left").select("bucket", part("ps").alias("pb"), all_of("ms").alias("mb"), F.lit(0).alias("kind"), "vec_id", "vec")
         right = members.join(sizes, "bucket", "left").select("bucket", all_of("ps").alias("pb"), part("ms").alias("mb"), F.lit(1).alias("kind"), "vec_id", "vec")
         key = ["bucket", "pb", "mb"]

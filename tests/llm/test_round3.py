@@ -505,3 +505,29 @@ def test_line_rules_verdict(spark):
     slow = lambda t: True if t is not None and len(t) > 500_000 else brute_kept(t, rules.BOILERPLATE, rules.KEEP_SHARE, rules.SYMBOL_SHARE, rules.NOTICE_SHARE)
     want = {i: slow(t) for i, t, *_ in rows}
     assert got == want and 100 < sum(want.values()) < 390
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_query_vectors_by_id(spark, monkeypatch, most):
+    """Probes carry ids; query vectors are found by broadcast, or by a join beyond its bound; own columns."""
+    from clausediff.llm import ann
+
+    monkeypatch.setattr(ann, "ASKED_BYTES", most)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=12).tolist(), "own", "own", "own") for i in range(240)]
+    rows += [(i + 1000, rows[i][1], "own", "own", "own") for i in range(0, 60, 3)] + [(7, rows[7][1], "own", "own", "own"), (None, rows[1][1], "own", "own", "own"), (2000, None, "own", "own", "own"), (2001, [0.0] * 12, "own", "own", "own")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, bucket string, vec string, score string").repartition(3)
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), 5).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    vectors = {i: np.array(v, np.float32).astype(float) for i, v, *_ in rows if i is not None and v is not None and any(v)}
+    hits = 0
+    for q in [i for i in vectors if i % 20 == 0]:
+        want = sorted(((-float((vectors[q] * v).sum()), i) for i, v in vectors.items() if i != q))[:5]
+        assert [s for _, s in got[q]] == sorted((s for _, s in got[q]), reverse=True) and len(got[q]) == 5
+        assert all(abs(s - float((vectors[q] * vectors[v]).sum())) < 1e-12 for v, s in got[q])
+        hits += len({v for v, _ in got[q]} & {i for _, i in want})
+    assert hits >= 0.9 * 5 * len(got) and set(got) == {i for i in vectors if i % 20 == 0}

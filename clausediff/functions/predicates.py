@@ -12,6 +12,15 @@ DIEU = r"(?Ud)^(?:Điều|ĐIỀU|dieu|DIEU)\s+((?:\d+[A-Za-z]?|[IVXLCDM]+))[\.:
 KHOAN = r"(?Ud)^(\d+)[\.)]\s*(.*)$"
 DIEM = r"(?iUd)^([a-zđ])[\.)]\s*(.*)$"
 DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]"
+#: A heading doesn't end so, has so many words, and is no longer than this.
+NO_HEADING_END = r"[.;,:]\z"
+HEADING_WORDS, HEADING_CHARS = (2, 14), 120
+#: The share of capitals among the letters of a heading in capitals.
+CAPITALS = 0.8
+#: What a title-case heading doesn't hold, what its words consist of, and how one doesn't begin.
+NO_TITLE = "[\"'()\\-•*]"
+NO_WORD_CHAR = r"[^\p{L}\p{N}_À-ỹĐđ-]"
+NO_HEADING_START = "^[(\\-•*\"“]"
 KINDS = (("chuong", CHUONG), ("muc", MUC), ("dieu", DIEU), ("khoan", KHOAN), ("diem", DIEM))
 
 
@@ -43,22 +52,20 @@ def _words(c: Column) -> Column:
 
 
 def _possible(c: Column) -> Column:
-    return (c != "") & ~c.rlike(r"[.;,:]\z") & ~c.rlike(DIGIT)
+    return (c != "") & ~c.rlike(NO_HEADING_END) & ~c.rlike(DIGIT)
 
 
 def upper_heading(c: Column) -> Column:
     letters = F.length(F.regexp_replace(c, r"\P{L}", ""))
     capitals = F.length(F.regexp_replace(c, r"\P{Lu}", ""))
-    return _possible(c) & F.size(_words(c)).between(2, 14) & (letters > 0) & (capitals >= 0.8 * letters)
+    return _possible(c) & F.size(_words(c)).between(*HEADING_WORDS) & (letters > 0) & (capitals >= CAPITALS * letters)
 
 
 def title_heading(c: Column) -> Column:
-    words = F.filter(F.transform(_words(c), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_À-ỹĐđ-]", "")), lambda w: w != "")
+    words = F.filter(F.transform(_words(c), lambda w: F.regexp_replace(w, NO_WORD_CHAR, "")), lambda w: w != "")
     capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    return _possible(c) & ~c.rlike("[\"'()\\-•*]") & F.size(words).between(2, 14) & (capital >= F.greatest(F.lit(2), F.size(words) - 1))
+    return _possible(c) & ~c.rlike(NO_TITLE) & F.size(words).between(*HEADING_WORDS) & (capital >= F.greatest(F.lit(HEADING_WORDS[0]), F.size(words) - 1))
 
 
 def contract_heading(c: Column) -> Column:
-    return (
-        (line_kind(c) == "text") & ~c.rlike("^[(\\-•*\"“]") & (F.length(c) <= 120) & (upper_heading(c) | title_heading(c))
-    )
+    return (line_kind(c) == "text") & ~c.rlike(NO_HEADING_START) & (F.length(c) <= HEADING_CHARS) & (upper_heading(c) | title_heading(c))

@@ -15,6 +15,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausediff.operators.grounding import NO_MODEL, UNCHANGED
+
 _LINES_SPARK = r"""l as (select doc_id, i, s from (select doc_id, posexplode(split(text, '\n')) as (i, s) from {documents}) where trim(s) <> '')"""
 _LINES_DUCKDB = """l as (select doc_id, i - 1 as i, s from (select doc_id, unnest(a) as s, generate_subscripts(a, 1) as i
   from (select doc_id, string_split(text, chr(10)) as a from documents)) where trim(s) <> '')"""
@@ -69,7 +71,7 @@ RESULTS_SQL = (
    case when n1 = n2 then 'unchanged' when n1 <> '' and n2 <> '' then 'changed' when n1 <> '' then 'removed' else 'added' end as status from j),
 results as (select *, row_number() over (partition by pair_id order by v1_text is null, article_number::int)::int as seq, true as grounded, false as llm_used,
    case when status = 'unchanged' then null else status end as tag, {_CUT.format("n1", 300)} as ev_before, {_CUT.format("n2", 300)} as ev_after,
-   case status when 'unchanged' then 'Khong ghi nhan khac biet ve mat van ban.' else 'Khong goi duoc LLM (missing ollama package).' end as conclusion from r0)"""
+   case status when 'unchanged' then '{UNCHANGED}' else '{NO_MODEL}' end as conclusion from r0)"""
 )
 
 
@@ -149,7 +151,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of the comparison by clause, grounded by one quotation of both sides."""
     from clausediff.functions.text import article_sort_key, normalize_ws, shorten, status_from_texts
-    from clausediff.operators.grounding import NO_MODEL, ground_results
+    from clausediff.operators.grounding import ground_results
     from clausediff.operators.matching import compare_by_clause
     from pyspark.sql import Window
 

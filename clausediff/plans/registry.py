@@ -666,7 +666,7 @@ def normalize_evidence(spark, sf_dir):
 _COLUMNS = ("pair_id", "seq", "article_number", "status", "conclusion", "grounded")
 
 
-@query(with_sql(RESULTS_SQL, "select pair_id, seq, article_number, status, case status when 'unchanged' then 'Khong ghi nhan khac biet ve mat van ban.' when 'added' then 'Dieu khoan duoc bo sung trong v2.' when 'removed' then 'Dieu khoan bi loai bo so voi v1.' else 'Dieu khoan co thay doi noi dung giua v1 va v2.' end as conclusion, grounded from results"))
+@query(with_sql(RESULTS_SQL, "select pair_id, seq, article_number, status, case status when 'unchanged' then '" + grounding.UNCHANGED + "' when 'added' then '" + grounding.DEFAULTS["added"] + "' when 'removed' then '" + grounding.DEFAULTS["removed"] + "' else '" + grounding.DEFAULTS["changed"] + "' end as conclusion, grounded from results"))
 def ground_results(spark, sf_dir):
     r = fixture.results(spark, sf_dir).withColumn("raw_evidence", F.col("evidence")).withColumn("evidence", F.slice("evidence", 1, 0))
     return grounding.ground_results(r.withColumn("status", F.lit("unsure")).withColumn("conclusion", F.lit(" "))).select(*_COLUMNS)
@@ -697,8 +697,8 @@ def _responses(rows: DataFrame) -> DataFrame:
     return rows.where(i % 5 != 4).select("pair_id", "seq", raw.alias("raw_response"))
 
 
-@query(with_sql(RESULTS_SQL, """select pair_id, seq, article_number, case when u then 'changed' else status end as status, u as llm_used, case when status = 'unchanged' then 'texts_equal' when not u then 'LLM output is not valid JSON' end as fallback_reason,
- case when u then 'Model ' || article_number when status = 'unchanged' then 'Khong ghi nhan khac biet ve mat van ban.' else 'LLM fail (ValueError), fallback rule-based.' end as conclusion, grounded from (select *, status <> 'unchanged' and (seq + pair_id::bigint) % 5 in (0, 1) as u from results)"""))
+@query(with_sql(RESULTS_SQL, """select pair_id, seq, article_number, case when u then 'changed' else status end as status, u as llm_used, case when status = 'unchanged' then 'texts_equal' when not u then '""" + grounding.BAD_REASON + """' end as fallback_reason,
+ case when u then 'Model ' || article_number when status = 'unchanged' then '""" + grounding.UNCHANGED + """' else '""" + grounding.BAD_RESPONSE + """' end as conclusion, grounded from (select *, status <> 'unchanged' and (seq + pair_id::bigint) % 5 in (0, 1) as u from results)"""))
 def apply_responses(spark, sf_dir):
     p = _pairs(spark, sf_dir)
     return grounding.apply_responses(p, _responses(p)).select("pair_id", "seq", "article_number", "status", "llm_used", "fallback_reason", "conclusion", "grounded")
@@ -762,8 +762,8 @@ def write_reports(spark, sf_dir):
 
 
 @query("with recursive " + _MATCHED_SQL + """ select pair_id, seq, article_number, article_title, matched_article_v2, match_score, v1_text, v2_text, status, grounded, llm_used,
-  case when status = 'unchanged' then 'texts_equal' else 'missing_ollama_package' end as fallback_reason, status <> 'unchanged' as quoted, status <> 'unchanged' as blocks,
-  case when status = 'unchanged' then 'Khong ghi nhan khac biet ve mat van ban.' else 'Khong goi duoc LLM (missing ollama package).' end as conclusion
+  case when status = 'unchanged' then 'texts_equal' else '""" + grounding.NO_MODEL_REASON + """' end as fallback_reason, status <> 'unchanged' as quoted, status <> 'unchanged' as blocks,
+  case when status = 'unchanged' then '""" + grounding.UNCHANGED + """' else '""" + grounding.NO_MODEL + """' end as conclusion
 from (select *, true as grounded, false as llm_used, case when n1 = n2 then 'unchanged' when n1 <> '' and n2 <> '' then 'changed' when n1 <> '' then 'removed' else 'added' end as status from numbered)""")
 def compare_corpus(spark, sf_dir):
     """Whole results; of the quotations and difference blocks, whether there are any (extract_evidence and diff_blocks show them)."""

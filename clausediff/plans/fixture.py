@@ -97,11 +97,13 @@ def _paragraph_xml(i: int, line: str) -> str:
     return f'<w:p><w:pPr>{style}</w:pPr><w:r><w:t xml:space="preserve">{escape(line, {chr(13): "&#13;"})}</w:t></w:r></w:p>'
 
 
-def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, version, content: each document as the bytes of a DOCX file with a paragraph for
-    each line, without the characters that XML cannot hold."""
+def docx_files(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DataFrame:
+    """doc_id, version, content: each of texts (doc_id, version, text; else every document) as the
+    bytes of a DOCX file with a paragraph for each line, without the characters that XML cannot hold."""
+    if texts is None:
+        texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit("v1").alias("version"), "text")
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", "")
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("v1").alias("version"), text.alias("text"))
+    texts = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "version", text.alias("text"))
 
     def run(batches):
         for rows in batches:
@@ -111,6 +113,13 @@ def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.mapInArrow(run, "doc_id string, version string, content binary")
 
 
+def versioned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, version, content: the versioned corpus as DOCX files."""
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    texts = versioned_lines(spark, sf_dir).groupBy("doc_id", "version").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("text"))
+    return docx_files(spark, sf_dir, texts)
+
+
 def _file_of(text: str) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

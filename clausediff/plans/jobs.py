@@ -10,9 +10,10 @@ from clausediff.sources import files
 
 
 def corpus_to_chunks(paragraphs: DataFrame, styles: DataFrame | None = None, levels: DataFrame | None = None) -> DataFrame:
-    """Chunks of paragraphs; raw DOCX paragraphs come with their styles and numbering levels."""
+    """Chunks of paragraphs; raw DOCX paragraphs come with their styles and numbering levels, and are
+    stored once they are numbered, since documents with and without headings are chunked apart."""
     if styles is not None and levels is not None:
-        paragraphs = numbering.numbered_paragraphs(paragraphs, styles, levels)
+        paragraphs = files.stored(numbering.numbered_paragraphs(paragraphs, styles, levels), "paragraphs")
     return chunking.chunk_documents(paragraphs)
 
 

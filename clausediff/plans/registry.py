@@ -338,10 +338,9 @@ def khoan_items(spark, sf_dir):
 
 @query(with_sql(CHUNKS_SQL, f"select {_CHUNK_COLUMNS} from chunks"))
 def corpus_to_chunks(spark, sf_dir):
-    p = fixture.versioned_lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "version", F.col("line_no").cast("int").alias("idx"), F.col("line").alias("text"))
-    none = F.lit(None).cast("string")
-    p = p.withColumn("display_text", F.col("text")).withColumn("heading_level", F.lit(None).cast("int")).withColumn("numbering_label", none).withColumn("numbering_path", F.array().cast("array<string>"))
-    return jobs.corpus_to_chunks(p).select(*_CHUNK_COLUMNS.split(", "))
+    """From the bytes of DOCX files of both versions to chunks: parts, numbering, mode and splitting."""
+    tables = docx.docx_tables(fixture.versioned_files(spark, sf_dir))
+    return jobs.corpus_to_chunks(*tables).select(*_CHUNK_COLUMNS.split(", "))
 
 
 # ---------------------------------------------------------------- index

@@ -31,8 +31,8 @@ of its hash, of which there are 2 ** COUNTER_BITS whatever the input, and a shin
 its counter's logarithm in 256 levels, then its hash. Any such order is exact; what counters that
 are shared by rare shingles cost is time. Where prefixes are still hot, though their documents
 aren't copies (they share passages and more of their own), the documents that have such tokens are
-counted once more, whole and exactly: shingles that several of them share go to the last level,
-and all prefixes are made again.
+counted once more, whole and apart from all others, in counters of another hash: their level comes
+first in the order then, and all prefixes are made again.
 """
 
 from __future__ import annotations
@@ -49,10 +49,12 @@ from clausediff.llm.common import components, discard, shingle_sets, small_or_no
 
 #: Counters of shingles for the global order, a byte each when broadcast; and how they travel.
 COUNTER_BITS, COUNTER_BLOCKS = 22, 64
+#: The other hash of counters.
+SALT = 0x9E3779B97F4A7C15
 #: Shingles that a task gathers before it counts them.
 COUNTED = 1 << 20
 #: The order is counted anew where hot tokens of documents that are no copies would join more rows a document.
-JOINED = 4
+JOINED = 8
 #: A document whose prefix is hot beyond this share is taken for a copy.
 COPY_SHARE = 0.8
 #: Prefix tokens of so many documents are hot: their documents are compared by cells.
@@ -79,13 +81,14 @@ def shingle_rows(docs: DataFrame, k: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, shingles binary")
 
 
-def _place(tokens: np.ndarray) -> np.ndarray:
-    """The counters of shingles."""
-    return (tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+def _place(tokens: np.ndarray, salt: int = 1) -> np.ndarray:
+    """The counters of shingles; an odd salt gives another hash."""
+    with np.errstate(over="ignore"):
+        return (tokens * np.uint64(salt) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def order_levels(docs: DataFrame, k: int = 5) -> np.ndarray:
-    """A level (0 to 254) for each counter: the logarithm of how many shingles of all sets fell on it.
+def order_levels(docs: DataFrame, k: int = 5, salt: int = 1) -> np.ndarray:
+    """A level (0 to 255) for each counter: the logarithm of how many shingles of all sets fell on it.
 
     A task counts what it reads in one array and gives it out in blocks, packed; each block is
     summed in one task. The driver gets a byte for each counter."""
@@ -98,10 +101,10 @@ def order_levels(docs: DataFrame, k: int = 5) -> np.ndarray:
                 held += shingle_sets(data, offs, k)
                 n += sum(map(len, held[-(len(offs) - 1) :]))
                 if n >= COUNTED:
-                    counts += np.bincount(_place(np.concatenate(held)), minlength=len(counts)).astype(np.uint32)
+                    counts += np.bincount(_place(np.concatenate(held), salt), minlength=len(counts)).astype(np.uint32)
                     held, n = [], 0
         if n:
-            np.add.at(counts, _place(np.concatenate(held)), 1)
+            np.add.at(counts, _place(np.concatenate(held), salt), 1)
         for block in range(COUNTER_BLOCKS):
             if (part := counts[block * size : (block + 1) * size]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
@@ -113,7 +116,7 @@ def order_levels(docs: DataFrame, k: int = 5) -> np.ndarray:
                 part = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint32)
                 sums[block] = sums[block] + part if block in sums else part.astype(np.int64)
         for block, n in sums.items():
-            levels = np.minimum(254, np.rint(8 * np.log2(n + 1))).astype(np.uint8)
+            levels = np.minimum(255, np.rint(8 * np.log2(n + 1))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(levels.tobytes(), 1)], pa.binary())], ["block", "levels"])
 
     counted = stored(docs.select("text").mapInArrow(count, "block int, counts binary"), "counters", texts=True)
@@ -125,46 +128,33 @@ def order_levels(docs: DataFrame, k: int = 5) -> np.ndarray:
     return out
 
 
-def hot_counters(docs: DataFrame, shared: DataFrame, num: int, den: int, k: int) -> np.ndarray | None:
-    """The counters of shingles that documents share which have hot prefix tokens and are no
-    copies; None where the tokens would join few rows. shared: token, doc_id, n, df, pos of all prefixes."""
+def hot_levels(docs: DataFrame, shared: DataFrame, num: int, den: int, k: int) -> np.ndarray | None:
+    """Levels by the documents alone that have hot prefix tokens and are no copies; None where
+    those tokens would join few rows. shared: token, doc_id, n, df, pos of all prefixes."""
     hot = shared.where(F.col("df") >= HOT)
     length = F.least(F.col("n"), F.col("n") - _needed(F.col("n"), num, den) + MATCHES)
     share = hot.groupBy("doc_id").agg((F.count("*") / F.first(length)).alias("share")).where(F.col("share") <= COPY_SHARE)
     share = stored(share.select("doc_id"), "no_copies")
     n = share.count()
-    if not n:
-        return None
     met = hot.join(small_or_not(share), "doc_id", "left_semi").groupBy("token").agg(F.count("*").alias("c"))
-    rows = met.agg(F.sum(F.col("c") * (F.col("c") - 1.0) / 2)).first()[0] or 0
-    if rows <= JOINED * n:
-        discard(share)
-        return None
-    wanted = docs.join(small_or_not(share), "doc_id", "left_semi").select("doc_id", "text")
-
-    def run(batches):
-        for batch in batches:
-            for _, data, offs in text_pieces(batch.column(0)):
-                for s in shingle_sets(data, offs, k):
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["token"])
-
-    tokens = wanted.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= HOT)
-    places = tokens.select(F.shiftrightunsigned("token", 64 - COUNTER_BITS).alias("place")).distinct().toArrow()["place"].to_numpy()  # one for each counter at most
+    rows = (met.agg(F.sum(F.col("c") * (F.col("c") - 1.0) / 2)).first()[0] or 0) if n else 0
+    levels = order_levels(docs.join(small_or_not(share), "doc_id", "left_semi"), k, SALT) if rows > JOINED * n else None
     discard(share)
-    return places.astype(np.int64) if len(places) else None
+    return levels
 
 
 def _needed(n: Column, num: int, den: int) -> Column:
     return F.floor((n * num + (den - 1)) / den).cast("long")
 
 
-def prefix_rows(docs: DataFrame, num: int, den: int, k: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, and its longest prefix in the global order."""
+def prefix_rows(docs: DataFrame, num: int, den: int, k: int, levels: np.ndarray, first: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n_shingles, two fingerprints of the set, and its longest prefix in the global
+    order: by the levels in `first` (counters of SALT), if given, then by levels, then by hash."""
     sc = docs.sparkSession.sparkContext
-    order = sc.broadcast(levels)
+    order = sc.broadcast((levels, first))
 
     def run(batches):
-        levels = order.value
+        levels, first = order.value
         for batch in batches:
             ids = batch.column(0)
             for at, data, offs in text_pieces(batch.column(1)):
@@ -176,7 +166,10 @@ def prefix_rows(docs: DataFrame, num: int, den: int, k: int, levels: np.ndarray)
                         f2.append(int(np.bitwise_xor.reduce(s * s | np.uint64(1)).view(np.int64)) if n else 0)
                     p = min(n, n - (n * num + den - 1) // den + MATCHES)
                     ns.append(n)
-                    prefixes.append(s[np.argsort(levels[_place(s)], kind="stable")[:p]].view(np.int64))
+                    level = levels[_place(s)]
+                    if first is not None:
+                        level = first[_place(s, SALT)].astype(np.uint16) * np.uint16(256) + level
+                    prefixes.append(s[np.argsort(level, kind="stable")[:p]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, len(ns)), pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
@@ -339,10 +332,9 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int
     if (one := _one_each(docs, rows)) is not None:
         docs, rows = one, stored(prefix_rows(one, num, den, k, levels), "prefixes", texts=True)
     member, shared = _classes_and_postings(rows)
-    if (hot := hot_counters(docs, shared, num, den, k)) is not None:
-        levels[hot] = 255
+    if (first := hot_levels(docs, shared, num, den, k)) is not None:
         discard(shared, member)
-        member, shared = _classes_and_postings(stored(prefix_rows(docs, num, den, k, levels), "prefixes", texts=True))
+        member, shared = _classes_and_postings(stored(prefix_rows(docs, num, den, k, levels, first), "prefixes", texts=True))
 
     # the prefix of least estimated cost: postings met, and candidates left, each of which costs the set's length
     base = F.col("n") - _needed(F.col("n"), num, den)

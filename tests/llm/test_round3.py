@@ -330,7 +330,9 @@ def test_ngram_join_of_shared_passages(spark, monkeypatch, order):
 
     monkeypatch.setattr(ngram_join, "stored", counting)
     if order == "flat":
-        monkeypatch.setattr(ngram_join, "order_levels", lambda docs, k=5: np.zeros(1 << ngram_join.COUNTER_BITS, np.uint8))
+        levels = ngram_join.order_levels
+        flat = np.zeros(1 << ngram_join.COUNTER_BITS, np.uint8)
+        monkeypatch.setattr(ngram_join, "order_levels", lambda docs, k=5, salt=1: levels(docs, k, salt) if salt > 1 else flat)
     passage = [f"s{i}" for i in range(140)]
     rows = [(i, " ".join(passage + [f"u{i}x{j}" for j in range(170)])) for i in range(400)]
     rows += [(400, rows[7][1] + " more"), (401, rows[9][1])]

@@ -7,8 +7,8 @@ middle of the data. For given centroids, lookup tables (dimension, cell) -> leas
 product give an interval of every vector's distance to every centroid, from the cells alone.
 A centroid whose interval starts beyond the end of another's can't be the nearest. Only where
 intervals overlap, or where the nearest centroid is another than in the round before, is the
-whole vector fetched: by a join of two tables bucketed by one row number, which needs no
-shuffle. What it then adds to or takes from the centroids' exact sums leaves each task as one
+whole vector fetched: by a join on row numbers with a table bucketed by them, which shuffles what
+is left of the cells (a row number and a bit for each centroid), never the vectors. What it then adds to or takes from the centroids' exact sums leaves each task as one
 row a centroid, so the driver holds k centroids and nothing that grows with the data.
 
 Edges: vectors that are null, of another length, or hold null or non-finite components take no
@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausediff.llm.common import shared_dir, stored
@@ -131,7 +132,7 @@ def _settler(before: Lookup | None, now: Lookup, dims: int, bits: int, every: bo
             out += [None if s else m.tobytes() for s, m in zip(same, masks)]
         return pa.array(out, pa.binary())
 
-    return settle
+    return settle.asNondeterministic()  # or a filter on its result would make Spark work it out twice
 
 
 def nearest_of(v: np.ndarray, centroids: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,6 +186,19 @@ def _ends(now: np.ndarray):
     return ended
 
 
+@contextmanager
+def bucketed_scans(spark: SparkSession):
+    """Jobs that start inside read bucketed tables by their buckets, also where Spark's own rule
+    doesn't see the use of it, because Python stands between a scan and its join."""
+    name = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _bucketed(df: DataFrame, n: int, name: str) -> tuple[str, DataFrame]:
     """df as a table bucketed by row, with one file a bucket."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
@@ -212,10 +226,8 @@ def clustered(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, dims
     around = F.array(*[F.lit(int(m)) for m in middle])
     length = F.aggregate(F.zip_with("v", around, lambda x, m: (x - m).cast("long") * (x - m)), F.lit(0).cast("long"), lambda a, x: a + x)
     buckets = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_ROWS))
-    names, tables = zip(
-        _bucketed(numbered, buckets, "vectors"), _bucketed(numbered.select("row", cells("v").alias("cells"), length.alias("length")), buckets, "cells")
-    )
-    whole, compressed = tables
+    compressed = stored(numbered.select("row", cells("v").alias("cells"), length.alias("length")), "cells")
+    table, whole = _bucketed(numbered, buckets, "vectors")
 
     def fetched(before: np.ndarray | None, now: np.ndarray, every: bool = False) -> DataFrame:
         """The whole vectors of the rows that the cells leave open, with the centroids left."""
@@ -228,13 +240,15 @@ def clustered(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, dims
     for _ in range(rounds):
         changes = fetched(before, centroids, before is None).select("v", "left").mapInArrow(_changes(before, centroids), "cluster int, n long, s array<long>")
         each = [F.sum(F.col("s")[d]).alias(f"s{d}") for d in range(dims)]
-        for r in changes.groupBy("cluster").agg(F.sum("n").alias("n"), F.array(*each).alias("s")).collect():
+        with bucketed_scans(spark):
+            changed = changes.groupBy("cluster").agg(F.sum("n").alias("n"), F.array(*each).alias("s")).collect()
+        for r in changed:
             sums[r.cluster] = [a + b for a, b in zip(sums[r.cluster], r.s)]
             counts[r.cluster] += r.n
         before, centroids = centroids, np.array([[x // n for x in s] if n else c.tolist() for s, n, c in zip(sums, counts, centroids)], np.int64)
-    out = stored(fetched(None, centroids, True).select("vec_id", "v", "left").mapInArrow(_ends(centroids), RESULT), "clustered")
-    for name in names:
-        spark.sql(f"drop table {name}")
+    with bucketed_scans(spark):
+        out = stored(fetched(None, centroids, True).select("vec_id", "v", "left").mapInArrow(_ends(centroids), RESULT), "clustered")
+    spark.sql(f"drop table {table}")
     capped = F.least(F.sum(F.col("distance").cast("decimal(38,0)")), F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long")
     found = out.groupBy("cluster").agg(capped.alias("inertia")).collect()
     whole_sum = min(sum(r.inertia for r in found), (1 << 63) - 1)

@@ -95,3 +95,25 @@ def line_cleaned(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
     d = d.withColumn("kept", kept).drop("text")
     # one row out of one: a filter on the result stays above it, and doesn't repeat the work of each step
     return d.select(F.inline(F.array(F.struct(*d.columns))))
+
+
+_N = "length(regexp_replace({0}, '[^{1}]', '', 'g'))"
+_SOLID = r"length(regexp_replace({0}, '[\x20\x09-\x0D]', '', 'g'))"
+#: The same in SQL: one row a document, one a window of words, one a line.
+ORACLE = rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+token as (select r, unnest(words) as x, generate_subscripts(words, 1) as i from w),
+windows as (select r, i, x, lead(x, 1) over o as x1, lead(x, 2) over o as x2, lead(x, 3) over o as x3, lead(x, 4) over o as x4 from token window o as (partition by r order by i)),
+found as (select r, i, count(*) over (partition by r, x, x1, x2, x3, x4) as times from windows where x4 is not null),
+covered as (select r, sum(least(5, i - before)) as n from (select r, i, coalesce(lag(i) over (partition by r order by i), i - 5) as before from found where times > 1) group by r),
+line as (select r, x, length(x) as n, lower(x) as low, {_N.format('x', '|»›·')} as bars, {_N.format('x', '#*$%&|<>')} as symbols from (select r, unnest(list_distinct(lines)) as x from w)),
+stays as (select r, sum({_SOLID.format('x')}) as chars from line where not (
+    (n >= 12 and upper(x) = x and low <> x) or symbols > {SYMBOL_SHARE} * n or (bars >= 2 and bars * 40 > n) or (n < 30 and bars >= 1 and not regexp_matches(x, '[.!?…:;。！？]'))
+    or (regexp_matches(low, '{BOILERPLATE}') and n - length(regexp_replace(low, '{BOILERPLATE}', '', 'g')) >= {NOTICE_SHARE} * n)) group by r),
+base as (select doc_id, len(words)::bigint as n_words, {_SOLID.format('t')} as word_chars, {_N.format('t', '#*$%&|<>')} as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+    coalesce(covered.n, 0)::bigint as n_repeat_words, coalesce(chars, 0) as chars from w left join covered using (r) left join stays using (r))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+    not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and chars >= {KEEP_SHARE} * word_chars as kept
+from base
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausediff.llm import centroids, conversations, mixing, url_filter
+from clausediff.llm import centroids, conversations, line_rules, mixing, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_line_rules": line_rules.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op11_centroids": centroids.ORACLE,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausediff.llm import centroids, conversations, line_rules, mixing, url_filter
+from clausediff.llm import centroids, conversations, line_rules, mixing, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausediff.llm.warc import archived
 
-    return archived(_table(spark, sf_dir, "pages"))
+    index = archived(_table(spark, sf_dir, "pages"))
+    return index.drop("archive", "record_offset", "range_id", "place")  # where a record lies, which SQL can't know
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +111,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": warc.ORACLE,
     "op3_line_rules": line_rules.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op8_url_filter": url_filter.ORACLE,

@@ -321,3 +321,17 @@ def archived(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
     keys = sorted({sort_key(r.url, f"{_stamp(r.page_id):%Y%m%d%H%M%S}", r.page_id) for r in sample})
     ranges = min(ranges, len(keys) or 1)
     return merged_index(manifest, sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}))
+
+
+#: The index in SQL, without where its records lie (archive, record_offset, range_id, place).
+ORACLE = rf"""
+with p as (select page_id, url, coalesce(html, '') as html from pages),
+q as (select page_id, url, octet_length(encode(html)) as payload_bytes, sha1(encode(html)) as payload_digest, max(page_id) over (partition by html) as last,
+    regexp_extract(coalesce(url, ''), '(?s)^[^:/?#]*://(?:[^@/?#]*@)?([^/?#:]*)(?::\d*)?([^#]*)', ['host', 'rest']) as m,
+    regexp_matches(coalesce(url, ''), '(?s)^[^:/?#]*://') as absolute from p)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest, case when payload_bytes >= {REVISIT_BYTES} and page_id <> last then 'revisit' else 'response' end as record_type,
+    case when payload_bytes >= {REVISIT_BYTES} and page_id <> last then last end as refers_to,
+    case when absolute then array_to_string(list_reverse(string_split(lower(m.host), '.')), ',') || ')' || coalesce(nullif(m.rest, ''), '/') else coalesce(url, '') end as url_key,
+    strftime(make_timestamp(({FIRST_CAPTURE} + page_id % 1000000000) * 1000000), '%Y%m%d%H%M%S') as captured_at
+from q
+"""

@@ -389,3 +389,20 @@ def _may_link(n_a: str, l_a: str, n_b: str, l_b: str, num: int, den: int) -> Col
 
 def _close(n_a: str, n_b: str, num: int, den: int) -> Column:
     return (F.col(n_a) * den >= F.col(n_b) * num) & (F.col(n_b) * den >= F.col(n_a) * num)
+
+
+#: The same in SQL, by all pairs that share a shingle: for small tables with one row an id.
+ORACLE = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+token as (select doc_id, unnest(words) as x, generate_subscripts(words, 1) as i from w where len(words) >= 5),
+windows as (select doc_id, x, lead(x, 1) over o as x1, lead(x, 2) over o as x2, lead(x, 3) over o as x3, lead(x, 4) over o as x4 from token window o as (partition by doc_id order by i)),
+shingles as (select distinct doc_id, concat_ws(' ', x, x1, x2, x3, x4) as s from windows where x4 is not null
+    union all select doc_id, array_to_string(words, ' ') from w where len(words) between 1 and 4),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(a, b) as (select distinct a, a from both_ways union select r.a, l.b from reach r join both_ways l on l.a = r.b)
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(least, w.doc_id) as component_id
+from w left join sizes on sizes.doc_id = w.doc_id left join (select a, min(b) as least from reach group by a) c on c.a = w.doc_id
+"""

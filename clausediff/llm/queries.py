@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausediff.llm import centroids, conversations, line_rules, mixing, url_filter, warc
+from clausediff.llm import centroids, conversations, line_rules, mixing, ngram_join, suffix_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,8 +111,10 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": ngram_join.ORACLE,
     "op2_warc": warc.ORACLE,
     "op3_line_rules": line_rules.ORACLE,
+    "op5_suffix_dedup": suffix_dedup.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op11_centroids": centroids.ORACLE,

@@ -438,3 +438,20 @@ def without_repeats(docs: DataFrame, hot_names: int = HOT_NAMES) -> DataFrame:
     return docs.select(*names).join(runs, "doc_id", "left").select(*names, own).mapInArrow(
         run, columns + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     )
+
+
+#: The same in SQL, by a row for each string of LENGTH bytes: for small tables with one row an id.
+ORACLE = f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+pieces as (select doc_id, piece, substring(h, 512 * piece + 1, 512 + 2 * {LENGTH}) as p from (select doc_id, h, unnest(range(length(h) // 512 + 1)) as piece from d)),
+starts as (select doc_id, piece, p, unnest(range(least(256, length(p) // 2 - {LENGTH} + 1))) as pos from pieces where length(p) >= 2 * {LENGTH}),
+strings as (select doc_id, 256 * piece + pos as pos, substring(p, 2 * pos + 1, 2 * {LENGTH}) as s from starts),
+again as (select doc_id, pos from (select doc_id, pos, row_number() over (partition by s order by doc_id, pos) as n from strings) where n > 1),
+marked as (select doc_id, pos, coalesce(lag(pos) over o, -{LENGTH} - 1) as before from again window o as (partition by doc_id order by pos)),
+spans as (select doc_id, min(pos) as a, max(pos) + {LENGTH} as b from (select *, sum((pos > before + {LENGTH})::int) over (partition by doc_id order by pos) as span from marked) group by doc_id, span),
+cuts as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed, list(a order by a) as a_s, list(b order by a) as b_s from spans group by doc_id)
+select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+    sha256(unhex(case when a_s is null then h else array_to_string(list_transform(range(len(a_s) + 1),
+        lambda i: substring(h, 2 * (case when i = 0 then 0 else b_s[i] end) + 1, 2 * ((case when i = len(a_s) then length(h) // 2 else a_s[i + 1] end) - (case when i = 0 then 0 else b_s[i] end)))), '') end)) as kept_sha256
+from d left join cuts using (doc_id)
+"""

@@ -9,6 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
+#: The same characters one by one, as trim() takes them: a pattern would be tried at every character of a text.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+#: Those but the space. Runs that are no single space are what changes when white space is normalised.
+_ODD = "".join(c for c in BLANKS if c < "\u0100" and c != " ") + "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = f"[{_ODD}][ {_ODD}]*| [ {_ODD}]+"
 # Fixed value: titles that make an article a definition.
 DEFINITION = r"(?iu)giải thích từ ngữ|định nghĩa|diễn giải"
 # Texts shown for a status.
@@ -17,12 +22,12 @@ STATUS_ICONS = {"unchanged": "🟢", "changed": "🟡", "added": "🔵", "remove
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def normalize_ws(c: Column) -> Column:
     """White space runs to one space, ends cut; '' for null."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _RUN, " "))
 
 
 def normalize_text(c: Column) -> Column:
@@ -44,7 +49,7 @@ def diff_excerpt(c: Column, start: Column, end: Column, window: int = 120) -> Co
 
 
 def clean_heading(c: Column) -> Column:
-    return F.regexp_replace(strip(c), r"(?U)[:\s\x1c-\x1f]+\z", "")
+    return F.rtrim(strip(c), F.lit(BLANKS + ":"))
 
 
 def heading_level(style_name: Column, style_id: Column) -> Column:

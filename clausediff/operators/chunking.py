@@ -35,42 +35,52 @@ def classify_lines(lines: DataFrame) -> DataFrame:
 
 
 def article_lines(lines: DataFrame) -> DataFrame:
-    """The lines (doc_id, version, line_no, line) that belong to articles, with grp (the
+    """The lines (doc_id, version, line_no, line, kind) that belong to articles, with grp (the
     article within the document), is_head, section (its number where headings make the
-    articles), chuong_so and muc_so."""
+    articles), chuong_so and muc_so. All are running values of one order, so one sort."""
     w = Window.partitionBy(*KEY).orderBy("line_no")
-    p = classify_lines(lines)
+    running, whole = w.rowsBetween(*_RUNNING), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     is_ = lambda kind: F.col("kind") == kind
-    p = p.withColumn("explicit", F.max(is_("dieu")).over(Window.partitionBy(*KEY)))
-    p = p.withColumn("opened", F.max(is_("chuong") | is_("muc")).over(w.rowsBetween(*_RUNNING)))
-    p = p.withColumn("heading", ~F.col("explicit") & F.col("opened") & contract_heading(F.col("line")))
+    p = lines.select(*KEY, "line_no", "line", line_kind(F.col("line")).alias("kind"))
+    p = p.select("*", F.max(is_("dieu")).over(whole).alias("explicit"), F.max(is_("chuong") | is_("muc")).over(running).alias("opened"))
+    p = p.withColumn("heading", F.when(~F.col("explicit") & F.col("opened") & is_("text"), contract_heading(F.col("line"))).otherwise(False))
     p = p.withColumn("section_start", F.col("heading") & ~F.coalesce(F.lag("heading").over(w), F.lit(False)))
-    breaks = is_("chuong") | is_("muc") | is_("dieu") | F.col("section_start")
-    p = p.withColumn("grp", _running(breaks, w)).withColumn("section", _running(F.col("section_start"), w))
-    last = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(w.rowsBetween(*_RUNNING)), F.lit("0"))
-    p = p.withColumn("chuong_so", last(F.when(is_("chuong"), F.col("number"))))
-    p = p.withColumn("muc_so", last(F.when(is_("chuong"), "0").when(is_("muc"), F.col("number"))))
-    g = Window.partitionBy(*KEY, "grp")
-    p = p.withColumn("_first", F.min("line_no").over(g) == F.col("line_no"))
-    p = p.withColumn("_apart", F.max(F.col("_first") & (is_("chuong") | is_("muc"))).over(g))
-    p = p.where("grp > 0 and not _apart").withColumn("is_head", F.when(F.col("explicit"), F.col("_first")).otherwise(F.col("heading")))
-    return p.drop("_first", "_apart", "opened", "section_start")
-
-
-def khoan_items(body: DataFrame, group: list[str]) -> DataFrame:
-    """The clauses of each group of body lines (…group, line_no, line, kind, number, rest): khoan_items."""
-    w = Window.partitionBy(*group).orderBy("line_no")
-    p = body.withColumn("kg", _running(F.col("kind") == "khoan", w)).where("kg > 0")
-    p = p.withColumn("part", F.nullif(F.when(F.col("kind") == "khoan", strip(F.col("rest"))).otherwise(F.col("line")), F.lit("")))
-    p = p.withColumn("diem", F.when(F.col("kind") == "diem", F.struct(F.col("number").alias("diem_number"), F.col("number").alias("diem_key"), strip(F.col("rest")).alias("text"))))
-    k = p.groupBy(*group, "kg").agg(
-        F.first(F.when(F.col("kind") == "khoan", F.col("number")), ignorenulls=True).alias("khoan_number"),
-        strip(F.array_join(_in_order("part"), "\n")).alias("text"),
-        _in_order("diem").alias("diem_items"),
-    )
-    title, none = F.lit(None).cast("string").alias("title"), F.array().cast(KHOAN["tieu_muc_items"].dataType).alias("tieu_muc_items")
-    k = k.withColumn("item", F.struct("khoan_number", title, "text", "diem_items", none))
-    return k.groupBy(*group).agg(_in_order("item", "kg").alias("khoan_items"))
+    part, first = is_("chuong") | is_("muc"), is_("chuong") | is_("muc") | is_("dieu") | F.col("section_start")
+    number = F.when(part, line_number(F.col("line"), F.col("kind")))
+    p = p.withColumn("number", number).withColumn("_first", first)
+    last = lambda c: F.last(c, ignorenulls=True).over(running)
+    p = p.select(
+        *KEY, "line_no", "line", "kind", "explicit", _running(F.col("_first"), w).alias("grp"), _running(F.col("section_start"), w).alias("section"),
+        F.coalesce(last(F.when(is_("chuong"), F.col("number"))), F.lit("0")).alias("chuong_so"),
+        F.coalesce(last(F.when(is_("chuong"), "0").when(is_("muc"), F.col("number"))), F.lit("0")).alias("muc_so"),
+        last(F.when(F.col("_first"), part)).alias("_apart"),
+        F.when(F.col("explicit"), F.col("_first")).otherwise(F.col("heading")).alias("is_head"),
+    )
+    return p.where("grp > 0 and not _apart").drop("_apart")
+
+
+def khoan_items(rows: Column, starts: Column) -> Column:
+    """The clauses in an article's rows (array of line, kind, in order), which begin at `starts`
+    (from 1): khoan_items. A clause goes up to the next one's start, and what stands before the
+    first is in none."""
+    spans = F.transform(starts, lambda s, j: F.struct(s.alias("s"), (F.coalesce(F.get(starts, j + 1), F.size(rows) + 1) - s).alias("n")))
+    none = F.array().cast(KHOAN["tieu_muc_items"].dataType)
+
+    def item(span: Column) -> Column:
+        first, more = F.get(rows, span["s"] - 1)["line"], F.slice(rows, span["s"] + 1, span["n"] - 1)
+        parts = F.concat(F.array(strip(line_rest(first, F.lit("khoan")))), F.transform(more, lambda x: x["line"]))
+        points = F.transform(F.filter(more, lambda x: x["kind"] == "diem"), lambda x: _point(x["line"]))
+        return F.struct(
+            line_number(first, F.lit("khoan")).alias("khoan_number"), F.lit(None).cast("string").alias("title"),
+            strip(F.array_join(F.filter(parts, lambda x: x != ""), "\n")).alias("text"), points.alias("diem_items"), none.alias("tieu_muc_items"),
+        )
+
+    return F.transform(spans, item)
+
+
+def _point(line: Column) -> Column:
+    number = line_number(line, F.lit("diem"))
+    return F.struct(number.alias("diem_number"), number.alias("diem_key"), strip(line_rest(line, F.lit("diem"))).alias("text"))
 
 
 def build_chunks(articles: DataFrame) -> DataFrame:
@@ -87,22 +97,25 @@ def build_chunks(articles: DataFrame) -> DataFrame:
 
 
 def chunk_plain_text(lines: DataFrame) -> DataFrame:
-    """CHUNKS rows of plain-text documents, given as lines (doc_id, version, line_no, line)."""
-    p = article_lines(lines)
-    group = [*KEY, "grp"]
-    p = p.withColumn("head", F.when(F.col("is_head"), F.when(F.col("explicit"), F.coalesce(F.nullif(strip(F.col("rest")), F.lit("")), F.concat(F.lit("Điều "), "number"))).otherwise(F.col("line"))))
-    p = p.withColumn("title", F.nullif(clean_heading(F.col("head")), F.lit(""))).withColumn("head_line", F.when(F.col("is_head"), clean_heading(F.col("line"))))
-    a = p.groupBy(*group).agg(
-        F.first("explicit").alias("explicit"), F.min("section").alias("section"), F.min("chuong_so").alias("chuong_so"), F.min("muc_so").alias("muc_so"),
-        F.max(F.when(F.col("is_head"), F.col("number"))).alias("number"), F.sum((~F.col("is_head")).cast("int")).alias("body"),
-        F.array_join(_in_order("title"), " - ").alias("title"), F.array_join(_in_order("head_line"), " - ").alias("head_lines"),
-        strip(F.array_join(_in_order("line"), "\n")).alias("text"),
-    )
-    a = a.where("explicit or body > 0")
+    """CHUNKS rows of plain-text documents, given as lines (doc_id, version, line_no, line).
+
+    An article's lines are gathered once; its title, clauses and text come from that list."""
+    same = ["explicit", "section", "chuong_so", "muc_so"]
+    rows = F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line_no", "line", "kind", "is_head"))))
+    a = article_lines(lines).groupBy(*KEY, "grp").agg(*[F.first(c).alias(c) for c in same], rows.alias("rows"))
+    a = a.withColumn("heads", F.transform(F.filter("rows", lambda x: x["is_head"]), lambda x: x["line"]))
+    a = a.where(F.col("explicit") | (F.size("rows") > F.size("heads")))
+    a = a.withColumn("starts", F.filter(F.sequence(F.lit(1), F.size("rows")), lambda i: F.get("rows", i - 1)["kind"] == "khoan"))
+    head, dieu = F.get("heads", 0), F.lit("dieu")
+    a = a.withColumn("number", F.when(F.col("explicit"), line_number(head, dieu)))
+    own = F.coalesce(F.nullif(strip(line_rest(head, dieu)), F.lit("")), F.concat(F.lit("Điều "), "number"))
+    titles = F.filter(F.transform(F.when(F.col("explicit"), F.array(own)).otherwise(F.col("heads")), clean_heading), lambda x: x != "")
+    a = a.withColumn("title", F.array_join(titles, " - "))
+    a = a.withColumn("article_title", F.when(F.col("title") != "", F.col("title")).otherwise(F.array_join(F.transform("heads", clean_heading), " - ")))
     a = a.withColumn("article_number", F.when(F.col("explicit"), F.col("number")).otherwise(F.col("section").cast("string")))
     a = a.withColumn("clause_id", F.when(F.col("explicit"), F.concat(F.lit("article_"), "number")).otherwise(F.format_string("section_%03d", "section")))
-    a = a.withColumn("article_title", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("head_lines")))
-    return build_chunks(a.join(khoan_items(p.where("not is_head"), group), group, "left"))
+    a = a.withColumn("text", strip(F.array_join(F.transform("rows", lambda x: x["line"]), "\n")))
+    return build_chunks(a.withColumn("khoan_items", khoan_items(F.col("rows"), F.col("starts"))))
 
 
 def chunk_mode(paragraphs: DataFrame) -> DataFrame:

@@ -12,13 +12,18 @@ THRESHOLD = 0.50
 
 
 def compare_by_clause(v1: DataFrame, v2: DataFrame) -> DataFrame:
-    """pair_id, clause_id, status, title, v1_text, v2_text over chunks of both versions
-    (pair_id, clause_id, chunk_idx, article_title, text); of a clause's chunks the last one counts."""
-    def last(chunks, name):
-        a = chunks.groupBy("pair_id", "clause_id").agg(F.max_by(F.struct("article_title", "text"), "chunk_idx").alias(name))
-        return a
-
-    both = last(v1, "a").join(last(v2, "b"), ["pair_id", "clause_id"], "full")
+    """compare_versions() of the chunks of two tables (pair_id, clause_id, chunk_idx, article_title, text)."""
+    names = ("pair_id", "clause_id", "chunk_idx", "article_title", "text")
+    return compare_versions(v1.select(*names, F.lit("v1").alias("version")).unionByName(v2.select(*names, F.lit("v2").alias("version"))))
+
+
+def compare_versions(chunks: DataFrame) -> DataFrame:
+    """pair_id, clause_id, status, title, v1_text, v2_text over chunks of both versions (pair_id,
+    version, clause_id, chunk_idx, article_title, text); of a clause's chunks the last one counts.
+    Both versions meet in one grouping, so what makes the chunks runs once."""
+    last = lambda v: F.max_by(F.struct("article_title", "text"), F.when(F.col("version") == v, F.col("chunk_idx")))
+    alone = F.when(F.col("pair_id").isNull() | F.col("clause_id").isNull(), F.col("version"))  # nulls equal nothing
+    both = chunks.where("version in ('v1', 'v2')").groupBy("pair_id", "clause_id", alone.alias("_alone")).agg(last("v1").alias("a"), last("v2").alias("b"))
     same = normalize_ws(F.col("a.text")) == normalize_ws(F.col("b.text"))
     status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(same, "unchanged").otherwise("modified")
     return both.select(

@@ -181,8 +181,7 @@ def parse_json_object(spark, sf_dir):
 
 @query(with_sql(PAIRS_SQL, "select pair_id, clause_id, case when n1 = n2 then 'unchanged' when n1 <> '' and n2 <> '' then 'changed' when n1 <> '' then 'removed' else 'added' end as status from j"))
 def status_from_texts(spark, sf_dir):
-    c = fixture.chunks(spark, sf_dir)
-    r = matching.compare_by_clause(c.where("version = 'v1'"), c.where("version = 'v2'"))
+    r = matching.compare_versions(fixture.chunks(spark, sf_dir))
     return r.select("pair_id", "clause_id", X.status_from_texts(X.normalize_ws(F.col("v1_text")), X.normalize_ws(F.col("v2_text"))).alias("status"))
 
 
@@ -579,8 +578,7 @@ def added_articles(spark, sf_dir):
 
 @query(with_sql(PAIRS_SQL, "select pair_id, clause_id, case when v1_text is null then 'added' when v2_text is null then 'removed' when n1 = n2 then 'unchanged' else 'modified' end as status, title, v1_text, v2_text from j"))
 def compare_by_clause(spark, sf_dir):
-    c = fixture.chunks(spark, sf_dir)
-    return matching.compare_by_clause(c.where("version = 'v1'"), c.where("version = 'v2'"))
+    return matching.compare_versions(fixture.chunks(spark, sf_dir))
 
 
 # The matching of articles by their vectors: the three nearest v2 chunks of each v1 article, then

@@ -30,6 +30,11 @@ def normalize_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _RUN, " "))
 
 
+def same_text(a: Column, b: Column) -> Column:
+    """Whether two texts, null as empty, agree but for white space; equal ones aren't normalised."""
+    return F.when(F.coalesce(a, F.lit("")) == F.coalesce(b, F.lit("")), True).otherwise(normalize_ws(a) == normalize_ws(b))
+
+
 def normalize_text(c: Column) -> Column:
     """No-break spaces, line ends, blanks and empty lines normalised; ends cut."""
     steps = (("\u00a0", " "), (r"\r\n|\r", "\n"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"))
@@ -37,7 +42,11 @@ def normalize_text(c: Column) -> Column:
 
 
 def shorten(c: Column, most: int = 240) -> Column:
-    t = normalize_ws(c)
+    return cut(normalize_ws(c), most)
+
+
+def cut(t: Column, most: int = 240) -> Column:
+    """shorten() of a text whose white space is normalised."""
     return F.when(F.length(t) <= most, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, most - 3)), F.lit("...")))
 
 
@@ -120,6 +129,12 @@ def status_from_texts(before: Column, after: Column) -> Column:
     )
 
 
+def status_of_pair(before: Column, after: Column) -> Column:
+    """status_from_texts() of both texts with white space normalised; only differing ones are, and only to see if they are blank."""
+    has = lambda c: F.coalesce(F.btrim(c, F.lit(BLANKS)), F.lit("")) != ""
+    return F.when(same_text(before, after), "unchanged").when(has(before) & has(after), "changed").when(has(before), "removed").otherwise("added")
+
+
 def line_refs(lines: Column) -> Column:
     return F.when(F.size(lines) > 0, F.array_join(F.transform(lines, lambda x: x.cast("string")), ", ")).otherwise("-")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausediff.functions.text import normalize_ws
+from clausediff.functions.text import same_text
 from clausediff.schemas import DIFF_BLOCK, DIFF_ROW, EVIDENCE
 from clausediff.sources.lines import LINE_END
 
@@ -29,6 +29,14 @@ def _short(text: str | None, most: int) -> str:
 
 
 def _ops(a, b):
+    """difflib's opcodes. Where one side goes on after the other has ended they are known without
+    its quadratic search: a run of the shorter side's items stands at the same place in the longer
+    one, and is found there first, so the longest match starts at 0 and takes in all the shorter side."""
+    n, m = len(a), len(b)
+    if 0 < n < m and b[:n] == a:
+        return [("equal", 0, n, 0, n), ("insert", n, n, n, m)]
+    if 0 < m < n and a[:m] == b:
+        return [("equal", 0, m, 0, m), ("delete", m, n, m, m)]
     return difflib.SequenceMatcher(None, a, b).get_opcodes()
 
 
@@ -74,7 +82,7 @@ def _udf(function, item: T.StructType):
 
 
 def differs(before: Column, after: Column) -> Column:
-    return normalize_ws(before) != normalize_ws(after)
+    return ~same_text(before, after)
 
 
 def with_diffs(pairs: DataFrame, max_items: int = 2) -> DataFrame:
@@ -88,8 +96,9 @@ def with_diffs(pairs: DataFrame, max_items: int = 2) -> DataFrame:
         return pd.DataFrame({"diff_blocks": [line_blocks(a, b) for a, b in texts], "raw_evidence": [evidence_items(a, b, max_items) for a, b in texts]})
 
     d = differs(F.col("v1_text"), F.col("v2_text"))
-    out = pairs.withColumn("_x", both(F.when(d, F.col("v1_text")), F.when(d, F.col("v2_text"))))  # nulls give empty lists
-    return out.select("*", "_x.*").drop("_x")
+    out = pairs.withColumn("_d", d)
+    out = out.withColumn("_x", both(F.when(F.col("_d"), F.col("v1_text")), F.when(F.col("_d"), F.col("v2_text"))))  # nulls give empty lists
+    return out.select("*", "_x.*").drop("_x", "_d")
 
 
 def diff_blocks(pairs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausediff.functions.text import first_json_object, normalize_ws, shorten, status_from_texts, strip
+from clausediff.functions.text import cut, first_json_object, normalize_ws, same_text, shorten, status_of_pair, strip
 from clausediff.operators.diffing import with_diffs
 from clausediff.schemas import ANNOTATION, EVIDENCE
 
@@ -38,17 +38,17 @@ PROMPT = (
 
 
 def normalize_evidence(items: Column, most: int = 3) -> Column:
-    cut = F.transform(
-        F.coalesce(items, F.array().cast(f"array<{EVIDENCE.simpleString()}>")),
-        lambda x: F.struct(F.coalesce(F.nullif(x["tag"], F.lit("")), F.lit("changed")).alias("tag"), shorten(x["before"], 300).alias("before"), shorten(x["after"], 300).alias("after")),
-    )
-    return F.slice(F.filter(cut, lambda x: (x["before"] != "") | (x["after"] != "")), 1, most)
+    none = F.array().cast(f"array<{EVIDENCE.simpleString()}>")
+    tag = lambda x: F.coalesce(F.nullif(x["tag"], F.lit("")), F.lit("changed"))
+    plain = F.transform(F.coalesce(items, none), lambda x: F.struct(tag(x).alias("tag"), normalize_ws(x["before"]).alias("before"), normalize_ws(x["after"]).alias("after")))
+    said = F.slice(F.filter(plain, lambda x: (x["before"] != "") | (x["after"] != "")), 1, most)
+    return F.transform(said, lambda x: F.struct(x["tag"].alias("tag"), cut(x["before"], 300).alias("before"), cut(x["after"], 300).alias("after")))
 
 
 def ground_results(rows: DataFrame) -> DataFrame:
     """rows (status, conclusion, evidence, raw_evidence, v1_text, v2_text, …) with final
     status, conclusion and evidence, and grounded. raw_evidence stands in for missing evidence."""
-    own = status_from_texts(normalize_ws(F.col("v1_text")), normalize_ws(F.col("v2_text")))
+    own = status_of_pair(F.col("v1_text"), F.col("v2_text"))
     r = rows.withColumn("status", F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise(own))
     r = r.withColumn("evidence", normalize_evidence(F.col("evidence")))
     lacking = (F.col("status") != "unchanged") & (F.size("evidence") == 0)
@@ -65,7 +65,7 @@ def _no_annotations() -> Column:
 
 
 def _rule_based(rows: DataFrame, conclusion: Column, reason: Column, model: Column) -> DataFrame:
-    same = normalize_ws(F.col("v1_text")) == normalize_ws(F.col("v2_text"))
+    same = same_text(F.col("v1_text"), F.col("v2_text"))
     r = rows.withColumn("status", F.lit(None).cast("string")).withColumn("evidence", F.col("raw_evidence")).withColumn("conclusion", conclusion)
     r = ground_results(r).withColumn("diff_annotations", _no_annotations()).withColumn("llm_used", F.lit(False))
     return r.withColumn("fallback_reason", F.when(same, "texts_equal").otherwise(reason)).withColumn("llm_model", F.when(~same, model))
@@ -117,7 +117,7 @@ def apply_responses(pairs: DataFrame, responses: DataFrame, model: str = "model"
     """Results of pairs with a model's answers (pair_id, seq, raw_response). An answer that is
     missing, no JSON object or empty leads to the rule-based result."""
     d = with_diffs(pairs).join(responses, ["pair_id", "seq"], "left")
-    same = normalize_ws(F.col("v1_text")) == normalize_ws(F.col("v2_text"))
+    same = same_text(F.col("v1_text"), F.col("v2_text"))
     d = d.withColumn("_v", F.when(~same, first_json_object(F.col("raw_response"))))
     kind = F.schema_of_variant("_v")
     good = F.coalesce(kind.startswith("OBJECT<") & (kind != "OBJECT<>"), F.lit(False))

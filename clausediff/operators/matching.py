@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausediff.functions.text import article_sort_key, normalize_ws
+from clausediff.functions.text import article_sort_key, same_text
 
 THRESHOLD = 0.50
 
@@ -24,7 +24,7 @@ def compare_versions(chunks: DataFrame) -> DataFrame:
     last = lambda v: F.max_by(F.struct("article_title", "text"), F.when(F.col("version") == v, F.col("chunk_idx")))
     alone = F.when(F.col("pair_id").isNull() | F.col("clause_id").isNull(), F.col("version"))  # nulls equal nothing
     both = chunks.where("version in ('v1', 'v2')").groupBy("pair_id", "clause_id", alone.alias("_alone")).agg(last("v1").alias("a"), last("v2").alias("b"))
-    same = normalize_ws(F.col("a.text")) == normalize_ws(F.col("b.text"))
+    same = same_text(F.col("a.text"), F.col("b.text"))
     status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(same, "unchanged").otherwise("modified")
     return both.select(
         "pair_id", "clause_id", status.alias("status"),

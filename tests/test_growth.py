@@ -1,12 +1,13 @@
 """How often a job reads and moves its input: figures that grow with it."""
 
+import difflib
 import random
 import re
 
 from pyspark.sql import functions as F
 
 from clausediff.functions import text as X
-from clausediff.operators import chunking, matching
+from clausediff.operators import chunking, diffing, matching
 from clausediff.plans import fixture
 
 
@@ -58,3 +59,25 @@ def test_versions_meet_in_one_grouping(spark, tmp_path):
     expected = {("a", "unchanged", "U", "x  y", "x y"), ("b", "removed", "B", "b", None), ("c", "added", "C", None, "c"), (None, "removed", "N", "n", None), (None, "added", "N", None, "n")}
     for found in (one, two):
         assert {tuple(r)[1:] for r in found.collect()} == expected and found.count() == 5
+
+
+def test_a_text_that_goes_on_needs_no_search(monkeypatch):
+    """difflib's own opcodes, for lines and characters, rare and frequent ones; no search where one side goes on."""
+    rng = random.Random(8)
+    for trial in range(1500):
+        letters = "ab" if trial % 3 else "abcdefghijklmnopqrstuvwxyz0123456789" * 8
+        a = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 320)))
+        b = a + "".join(rng.choice(letters) for _ in range(rng.randrange(1, 320)))
+        for x, y in ((a, b), (b, a), (list(a), list(b)), (list(b), list(a)), ("", a), (a, ""), (a, a), (a, b[1:])) if trial < 300 else ((a, b), (b, a)):
+            assert [tuple(op) for op in diffing._ops(x, y)] == difflib.SequenceMatcher(None, x, y).get_opcodes()
+    monkeypatch.setattr(diffing.difflib, "SequenceMatcher", None)
+    assert diffing.evidence_items("x" * 90000, "x" * 90000 + " more")[0]["tag"] == "insert"
+
+
+def test_equal_texts_but_for_white_space(spark):
+    given = [("a b", "a b"), ("a  b", " a b"), (None, " \t"), (None, None), ("", None), ("a", " "), (" ", "b"), ("a", "b"), (None, "b")]
+    rows = spark.createDataFrame(given, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    n = X.normalize_ws
+    for r in rows.select(X.same_text(a, b).alias("s"), (n(a) == n(b)).alias("t"), X.status_of_pair(a, b).alias("u"), X.status_from_texts(n(a), n(b)).alias("v")).collect():
+        assert (r.s, r.u) == (r.t, r.v)

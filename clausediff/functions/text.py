@@ -38,7 +38,9 @@ def same_text(a: Column, b: Column) -> Column:
 def normalize_text(c: Column) -> Column:
     """No-break spaces, line ends, blanks and empty lines normalised; ends cut."""
     steps = (("\u00a0", " "), (r"\r\n|\r", "\n"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"))
-    return strip(reduce(lambda x, step: F.regexp_replace(x, *step), steps, c))
+    marks = ("\u00a0", "\r", "\t", "  ", "\n\n\n")  # without any of them no step changes a text
+    odd = reduce(Column.__or__, [F.contains(c, F.lit(m)) for m in marks])
+    return strip(F.when(~odd, c).otherwise(reduce(lambda x, step: F.regexp_replace(x, *step), steps, c)))
 
 
 def shorten(c: Column, most: int = 240) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clausediff.functions.predicates import contract_heading, line_kind, line_number, line_rest
 from clausediff.functions.text import chunk_type, clean_heading, strip
-from clausediff.operators.numbering import normalize_document, normalize_paragraphs
+from clausediff.operators.numbering import document_texts, normalize_paragraphs
 from clausediff.schemas import CHUNKS, KHOAN
 
 KEY = ["doc_id", "version"]
@@ -24,7 +24,7 @@ def _running(cond: Column, w) -> Column:
 
 def _in_order(column: str, key: str = "line_no") -> Column:
     """The group's values of a column in line order, nulls left out."""
-    rows = F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct(key, column))))
+    rows = F.sort_array(F.collect_list(F.when(F.col(column).isNotNull(), F.struct(key, column))))
     return F.transform(rows, lambda x: x[column])
 
 
@@ -159,10 +159,19 @@ def chunk_docx_headings(paragraphs: DataFrame) -> DataFrame:
     return build_chunks(a.join(k, group, "left"))
 
 
+def prepared_paragraphs(paragraphs: DataFrame) -> DataFrame:
+    """paragraphs normalised, with headings (chunk_mode()): what chunk_prepared() reads several times."""
+    return chunk_mode(normalize_paragraphs(paragraphs))
+
+
 def chunk_documents(paragraphs: DataFrame) -> DataFrame:
     """CHUNKS rows of paragraphs: by headings where a document has labelled ones, else by its text's lines."""
-    p = chunk_mode(normalize_paragraphs(paragraphs))
-    plain = normalize_document(p.where("not headings"))
+    return chunk_prepared(prepared_paragraphs(paragraphs))
+
+
+def chunk_prepared(p: DataFrame) -> DataFrame:
+    """chunk_documents() of prepared_paragraphs()."""
+    plain = document_texts(p.where("not headings"))
     lines = plain.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.withColumn("line", strip(F.col("line"))).where("line <> ''")
     return chunk_docx_headings(p.where("headings")).unionByName(chunk_plain_text(lines))

@@ -114,6 +114,10 @@ def normalize_paragraphs(paragraphs: DataFrame) -> DataFrame:
 
 def normalize_document(paragraphs: DataFrame) -> DataFrame:
     """doc_id, version, text: the normalised paragraphs' display texts, a line each."""
-    p = normalize_paragraphs(paragraphs)
-    rows = F.array_sort(F.collect_list(F.struct("idx", "display_text")))
-    return p.groupBy(*KEY).agg(F.array_join(F.transform(rows, lambda x: x["display_text"]), "\n").alias("text"))
+    return document_texts(normalize_paragraphs(paragraphs))
+
+
+def document_texts(normalized: DataFrame) -> DataFrame:
+    """normalize_document() of paragraphs that are normalised."""
+    rows = F.sort_array(F.collect_list(F.struct("idx", "display_text")))
+    return normalized.groupBy(*KEY).agg(F.array_join(F.transform(rows, lambda x: x["display_text"]), "\n").alias("text"))

@@ -10,11 +10,12 @@ from clausediff.sources import files
 
 
 def corpus_to_chunks(paragraphs: DataFrame, styles: DataFrame | None = None, levels: DataFrame | None = None) -> DataFrame:
-    """Chunks of paragraphs; raw DOCX paragraphs come with their styles and numbering levels, and are
-    stored once they are numbered, since documents with and without headings are chunked apart."""
+    """Chunks of paragraphs; raw DOCX paragraphs come with their styles and numbering levels. What is
+    read several times, since documents with and without headings are chunked apart and headings
+    make three levels, is numbered and normalised once and stored, apart by headings."""
     if styles is not None and levels is not None:
-        paragraphs = files.stored(numbering.numbered_paragraphs(paragraphs, styles, levels), "paragraphs")
-    return chunking.chunk_documents(paragraphs)
+        paragraphs = numbering.numbered_paragraphs(paragraphs, styles, levels)
+    return chunking.chunk_prepared(files.stored(chunking.prepared_paragraphs(paragraphs), "paragraphs", "headings"))
 
 
 def pair_chunks(chunks: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clausediff.functions import text as X
 from clausediff.operators import chunking, diffing, matching
-from clausediff.plans import fixture
+from clausediff.plans import fixture, jobs
 
 
 def plan(df):
@@ -81,3 +81,27 @@ def test_equal_texts_but_for_white_space(spark):
     n = X.normalize_ws
     for r in rows.select(X.same_text(a, b).alias("s"), (n(a) == n(b)).alias("t"), X.status_of_pair(a, b).alias("u"), X.status_from_texts(n(a), n(b)).alias("v")).collect():
         assert (r.s, r.u) == (r.t, r.v)
+
+
+def test_normalised_text_with_and_without_marks(spark):
+    rng = random.Random(5)
+    given = ["".join(rng.choice(["a", "b", " ", "\n", "\t", "\r", " ", " "][: rng.choice([4, 8])]) for _ in range(rng.randrange(12))) for _ in range(2000)] + [None]
+    rows = spark.createDataFrame([(v,) for v in given], "v string")
+
+    def slow(t):
+        t = re.sub(r"[ \t]+", " ", re.sub(r"\r\n|\r", "\n", t.replace(" ", " ")))
+        return re.sub(r"\n{3,}", "\n\n", t).strip()
+
+    got = [r.t for r in rows.select(X.normalize_text(F.col("v")).alias("t")).collect()]
+    assert got == [None if v is None else slow(v) for v in given]
+
+
+def test_paragraphs_are_numbered_once(spark, tmp_path):
+    """The chunks of paragraphs are made from a stored table, not from what numbered them."""
+    rows = [("d", "v1", 0, "One", "heading 1", "1."), ("d", "v1", 1, "a  b", "Normal", None), ("e", "v1", 0, "Điều 1. X", "Normal", None), ("e", "v1", 1, "1. y", "Normal", None)]
+    p = spark.createDataFrame(rows, "doc_id string, version string, idx int, text string, style_name string, numbering_label string")
+    p = p.withColumns({"display_text": F.col("text"), "heading_level": F.when(F.col("style_name") == "heading 1", 1), "numbering_path": F.array().cast("array<string>")})
+    p.write.parquet(f"{tmp_path}/in")
+    chunks = jobs.corpus_to_chunks(spark.read.parquet(f"{tmp_path}/in"))
+    assert f"{tmp_path}/in" not in plan(chunks) and not any(f"{tmp_path}/in/" in f for f in chunks.inputFiles())
+    assert {(r.doc_id, r.article_title, r.text) for r in chunks.collect()} == {("d", "One", "One\na b"), ("e", "X", "Điều 1. X\n1. y")}

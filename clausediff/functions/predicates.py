@@ -11,6 +11,13 @@ MUC = r"(?iUd)^Mục\s+(\d+)[\.:]?\s*(.*)"
 DIEU = r"(?Ud)^(?:Điều|ĐIỀU|dieu|DIEU)\s+((?:\d+[A-Za-z]?|[IVXLCDM]+))[\.:]?\s*(.*)$"
 KHOAN = r"(?Ud)^(\d+)[\.)]\s*(.*)$"
 DIEM = r"(?iUd)^([a-zđ])[\.)]\s*(.*)$"
+# The same beginnings in a text of many lines, where white space must not run on into the next line.
+_GAP = r"[\s&&[^\n]]+"
+CHUONG_HEAD = rf"(?iU:Chương{_GAP}([IVXLCDM\d]+))"
+MUC_HEAD = rf"(?iU:Mục{_GAP}(\d+))"
+DIEU_HEAD = rf"(?U:(?:Điều|ĐIỀU|dieu|DIEU){_GAP}(?:\d+[A-Za-z]?|[IVXLCDM]+))"
+KHOAN_HEAD = r"(?U:\d+[\.)])"
+DIEM_HEAD = r"(?iU:[a-zđ][\.)])"
 DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]"
 #: A heading doesn't end so, has so many words, and is no longer than this.
 NO_HEADING_END = r"[.;,:]\z"
@@ -24,6 +31,11 @@ NO_HEADING_START = "^[(\\-•*\"“]"
 KINDS = (("chuong", CHUONG), ("muc", MUC), ("dieu", DIEU), ("khoan", KHOAN), ("diem", DIEM))
 
 
+def before_line(head: str) -> str:
+    """The line end before a line that begins so."""
+    return rf"\n(?={head})"
+
+
 def line_kind(c: Column) -> Column:
     """The first of KINDS that fits, else 'text'."""
     out = F.lit("text")

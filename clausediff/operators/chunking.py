@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausediff.functions.predicates import contract_heading, line_kind, line_number, line_rest
+from clausediff.functions.predicates import CHUONG_HEAD, DIEM, DIEM_HEAD, DIEU_HEAD, KHOAN_HEAD, MUC_HEAD, before_line, contract_heading, line_kind, line_number, line_rest
 from clausediff.functions.text import chunk_type, clean_heading, strip
 from clausediff.operators.numbering import document_texts, normalize_paragraphs
 from clausediff.schemas import CHUNKS, KHOAN
@@ -88,11 +88,15 @@ def build_chunks(articles: DataFrame) -> DataFrame:
     article_number, article_title, khoan_items, text): ids, counts, type and time."""
     order = F.row_number().over(Window.partitionBy(*KEY).orderBy("grp"))
     count = lambda c: F.aggregate("khoan_items", F.lit(0), lambda n, k: n + F.coalesce(F.size(k[c]), F.lit(0)))
-    c = articles.withColumn("khoan_items", F.coalesce("khoan_items", F.array().cast(CHUNKS["khoan_items"].dataType)))
-    c = c.withColumn("chunk_idx", order).withColumn("doc_id", F.col("doc_id").cast("string"))
+    c = articles.withColumn("khoan_items", F.coalesce("khoan_items", F.array().cast(CHUNKS["khoan_items"].dataType))).withColumn("chunk_idx", order)
+    c = c.withColumn("khoan_count", F.size("khoan_items")).withColumn("diem_count", count("diem_items")).withColumn("tieu_muc_count", count("tieu_muc_items"))
+    return _identified(c)
+
+
+def _identified(counted: DataFrame) -> DataFrame:
+    c = counted.withColumn("doc_id", F.col("doc_id").cast("string"))
     c = c.withColumn("chunk_id", F.format_string("%s_%s_%04d", "doc_id", "version", "chunk_idx"))
     c = c.withColumn("chunk_type", chunk_type(F.col("article_title"))).withColumn("char_len", F.length("text"))
-    c = c.withColumn("khoan_count", F.size("khoan_items")).withColumn("diem_count", count("diem_items")).withColumn("tieu_muc_count", count("tieu_muc_items"))
     return c.withColumn("created_at", F.current_timestamp()).select(*CHUNKS.names)
 
 
@@ -118,6 +122,96 @@ def chunk_plain_text(lines: DataFrame) -> DataFrame:
     return build_chunks(a.withColumn("khoan_items", khoan_items(F.col("rows"), F.col("starts"))))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), where the value is worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _parts(text: Column) -> Column:
+    """A text cut before its chapters and their sections: chuong_so, muc_so, whether a heading came
+    before (opened) and the text, which begins with that heading or else with a line end."""
+
+    def part(c: Column, i: Column):
+        chapter = F.when(i > 0, F.regexp_extract(c, CHUONG_HEAD, 1)).otherwise("0")
+        return lambda m, j: F.struct(
+            chapter.alias("chuong_so"), F.when(j > 0, F.regexp_extract(m, MUC_HEAD, 1)).otherwise("0").alias("muc_so"), ((i > 0) | (j > 0)).alias("opened"), m.alias("text")
+        )
+
+    return F.flatten(F.transform(F.split(text, before_line(CHUONG_HEAD)), lambda c, i: F.transform(F.split(c, before_line(MUC_HEAD)), part(c, i))))
+
+
+def _article(part: Column, heads: Column, text: Column, bare: Column) -> Column:
+    return F.struct(part["chuong_so"].alias("chuong_so"), part["muc_so"].alias("muc_so"), heads.alias("heads"), text.alias("text"), bare.alias("bare"))
+
+
+def _labelled(part: Column) -> Column:
+    """A part's articles, each from its "Điều" line on."""
+    pieces = F.filter(F.split(part["text"], before_line(DIEU_HEAD)), lambda _, i: i > 0)
+    return F.transform(pieces, lambda a: _article(part, F.array(F.substring_index(a, "\n", 1)), a, F.lit(False)))
+
+
+def _sections(part: Column) -> Column:
+    """A part's articles where no line is labelled: each from a run of headings on. Bare ones have no other line."""
+
+    def cut(lines: Column, is_head: Column, starts: Column) -> Column:
+        def article(s: Column, k: Column) -> Column:
+            rows = F.slice(lines, s + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - s)
+            heads = F.filter(rows, lambda _, i: F.get(is_head, s + i))
+            return _article(part, heads, F.array_join(rows, "\n"), F.size(heads) == F.size(rows))
+
+        return F.transform(starts, article)
+
+    def found(lines: Column) -> Column:
+        flags = F.transform(lines, lambda x, i: (i > 0) & contract_heading(x))
+        begins = lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.get(h, i) & ~F.get(h, i - 1))
+        return _let(flags, lambda h: _let(begins(h), lambda starts: cut(lines, h, starts)))
+
+    return _let(F.split(part["text"], "\n"), found)
+
+
+def _clauses(tail: Column) -> Column:
+    """The clauses in an article's text from its first clause on (null without one): khoan_items."""
+    none = F.array().cast(KHOAN["tieu_muc_items"].dataType)
+
+    def item(clause: Column) -> Column:
+        first, more = F.substring_index(clause, "\n", 1), F.filter(F.split(clause, "\n"), lambda _, i: i > 0)
+        parts = F.concat(F.array(strip(line_rest(first, F.lit("khoan")))), more)
+        points = F.transform(F.filter(more, lambda x: x.rlike(DIEM)), _point)
+        return F.struct(
+            line_number(first, F.lit("khoan")).alias("khoan_number"), F.lit(None).cast("string").alias("title"),
+            strip(F.array_join(F.filter(parts, lambda x: x != ""), "\n")).alias("text"), points.alias("diem_items"), none.alias("tieu_muc_items"),
+        )
+
+    return F.coalesce(F.transform(F.split(tail, before_line(KHOAN_HEAD)), item), F.array().cast(CHUNKS["khoan_items"].dataType))
+
+
+def chunk_texts(texts: DataFrame) -> DataFrame:
+    """CHUNKS rows of plain-text documents, given as whole texts (doc_id, version, text) of stripped
+    non-blank lines; the same rows as chunk_plain_text() of the lines. A text is cut before its headings
+    where it lies, so nothing is shuffled, and counts come from line beginnings, so khoan_items are made
+    only where they are read. For rows that are sorted by range afterwards, or exported with
+    their khoan_items, chunk_plain_text() took less time."""
+    t = texts.where("text is not null").select(*KEY, F.concat(F.lit("\n"), "text").alias("text"))
+    t = t.withColumn("explicit", F.col("text").rlike(before_line(DIEU_HEAD)))
+    opened = F.filter(_parts(F.col("text")), lambda p: p["opened"])
+    found = F.when(F.col("explicit"), F.flatten(F.transform(_parts(F.col("text")), _labelled))).otherwise(F.flatten(F.transform(opened, _sections)))
+    numbered = F.transform(found, lambda a, i: F.struct(a.alias("a"), (i + 1).alias("section")))
+    t = t.select(*KEY, "explicit", F.posexplode(F.filter(numbered, lambda x: ~x["a"]["bare"])).alias("at", "x"))
+    a = t.select(*KEY, "explicit", (F.col("at") + 1).alias("chunk_idx"), "x.section", "x.a.chuong_so", "x.a.muc_so", "x.a.heads", F.col("x.a.text").alias("rows"))
+    head, dieu = F.get("heads", 0), F.lit("dieu")
+    a = a.withColumn("number", F.when(F.col("explicit"), line_number(head, dieu)))
+    own = F.coalesce(F.nullif(strip(line_rest(head, dieu)), F.lit("")), F.concat(F.lit("Điều "), "number"))
+    titles = F.filter(F.transform(F.when(F.col("explicit"), F.array(own)).otherwise(F.col("heads")), clean_heading), lambda x: x != "")
+    a = a.withColumn("title", F.array_join(titles, " - "))
+    a = a.withColumn("article_title", F.when(F.col("title") != "", F.col("title")).otherwise(F.array_join(F.transform("heads", clean_heading), " - ")))
+    a = a.withColumn("article_number", F.when(F.col("explicit"), F.col("number")).otherwise(F.col("section").cast("string")))
+    a = a.withColumn("clause_id", F.when(F.col("explicit"), F.concat(F.lit("article_"), "number")).otherwise(F.format_string("section_%03d", "section")))
+    a = a.withColumn("text", strip(F.col("rows"))).withColumn("tail", F.get(F.split("rows", before_line(KHOAN_HEAD), 2), 1))
+    count = lambda head: F.regexp_count("tail", F.lit(before_line(head)))
+    a = a.withColumn("khoan_count", F.coalesce(count(KHOAN_HEAD) + 1, F.lit(0))).withColumn("diem_count", F.coalesce(count(DIEM_HEAD), F.lit(0)))
+    return _identified(a.withColumn("tieu_muc_count", F.lit(0)).withColumn("khoan_items", _clauses(F.col("tail"))))
+
+
 def chunk_mode(paragraphs: DataFrame) -> DataFrame:
     """paragraphs with headings: whether the document has a labelled first-level heading."""
     labelled = (F.col("heading_level") == 1) & (F.coalesce("numbering_label", F.lit("")) != "")

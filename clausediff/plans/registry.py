@@ -482,7 +482,7 @@ def quality_counts(spark, sf_dir):
 
 @query(_IX + "select chunk_id, array_to_string(list_filter([case when chunk_idx % 5 = 0 then 'muc_so' end, case when chunk_idx % 7 = 0 then 'article_title' end], lambda x: x is not null), ',') as missing from ix where chunk_idx % 5 = 0 or chunk_idx % 7 = 0")
 def missing_metadata(spark, sf_dir):
-    c = _index(spark, sf_dir).withColumn("muc_so", F.when(F.col("chunk_idx") % 5 != 0, F.col("muc_so"))).withColumn("article_title", F.when(F.col("chunk_idx") % 7 != 0, F.col("article_title")))
+    c = fixture.text_chunks(spark, sf_dir).withColumn("muc_so", F.when(F.col("chunk_idx") % 5 != 0, F.col("muc_so"))).withColumn("article_title", F.when(F.col("chunk_idx") % 7 != 0, F.col("article_title")))
     return index.missing_metadata(c).select("chunk_id", F.array_join("missing", ",").alias("missing"))
 
 

@@ -105,3 +105,26 @@ def test_paragraphs_are_numbered_once(spark, tmp_path):
     chunks = jobs.corpus_to_chunks(spark.read.parquet(f"{tmp_path}/in"))
     assert f"{tmp_path}/in" not in plan(chunks) and not any(f"{tmp_path}/in/" in f for f in chunks.inputFiles())
     assert {(r.doc_id, r.article_title, r.text) for r in chunks.collect()} == {("d", "One", "One\na b"), ("e", "X", "Điều 1. X\n1. y")}
+
+
+def test_texts_are_cut_where_they_lie(spark, tmp_path):
+    """The rows of whole texts are those of their lines, odd white space and unlabelled headings included, and nothing is shuffled."""
+    rng = random.Random(11)
+    gaps = [" ", "\t", "\x0b", "\x85", "\u2028", " \r ", "\x1c", ""]
+    pool = ["Chương_II. A", "CHƯƠNG_3", "Chương_", "Mục_3 b", "MỤC_٣", "Điều_4. Tên_", "ĐIỀU_XII_z", "Điều_", "Điều 9._: ", "QUYỀN VÀ_NGHĨA VỤ", "QUYỀN CỦA_BÊN", "1._khoản.", "12)_", "1.1._x", "a)_điểm.", "Đ._z", "thường_thôi.", "5"]
+    made = lambda i: [re.sub("_", lambda _: rng.choice(gaps), rng.choice([k for k in pool if i % 2 or k[:2] not in ("Đi", "ĐI")])).strip() for _ in range(rng.randrange(24))]
+    texts = [(str(i), "v1", "\n".join(x for x in made(i) if x)) for i in range(400)] + [("n", "v1", None)]
+    spark.createDataFrame(texts, "doc_id string, version string, text string").write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    by_line = chunking.chunk_plain_text(t.select("doc_id", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("line <> ''"))
+    by_text = chunking.chunk_texts(t)
+    found = [sorted(r.j for r in c.drop("created_at").select(F.to_json(F.struct("*")).alias("j")).collect()) for c in (by_line, by_text)]
+    assert found[0] == found[1] and len(found[0]) > 400
+    assert "Exchange" not in plan(by_text)
+
+
+def test_chunks_of_texts_without_a_shuffle(spark):
+    from clausediff.plans import registry
+
+    for name in ("missing_metadata",):
+        assert "Exchange" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))

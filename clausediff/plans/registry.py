@@ -388,7 +388,7 @@ unit as (select *, sqrt(sum(n * n) over (partition by chunk_id)) as length from
 @query(with_sql(CHUNKS_SQL + _VECTORS_SQL, "select chunk_id, string_agg(place || ':' || round((n / length)::float::double * 10000)::int, ' ' order by place) as vector from unit group by chunk_id"))
 def embed_chunks(spark, sf_dir):
     """Vectors as their non-zero places, in order: place:value in ten-thousandths."""
-    v = vectors.embed(_index(spark, sf_dir))
+    v = vectors.embed(fixture.text_chunks(spark, sf_dir))
     places = F.transform("embedding", lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), F.round(x.cast("double") * 10000).cast("int").cast("string"))))
     return v.select("chunk_id", F.array_join(F.array_compact(places), " ").alias("vector"))
 

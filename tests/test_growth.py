@@ -126,5 +126,5 @@ def test_texts_are_cut_where_they_lie(spark, tmp_path):
 def test_chunks_of_texts_without_a_shuffle(spark):
     from clausediff.plans import registry
 
-    for name in ("missing_metadata",):
+    for name in ("missing_metadata", "embed_chunks"):
         assert "Exchange" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))

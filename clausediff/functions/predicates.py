@@ -17,6 +17,7 @@ CHUONG_HEAD = rf"(?iU:Chương{_GAP}([IVXLCDM\d]+))"
 MUC_HEAD = rf"(?iU:Mục{_GAP}(\d+))"
 DIEU_HEAD = rf"(?U:(?:Điều|ĐIỀU|dieu|DIEU){_GAP}(?:\d+[A-Za-z]?|[IVXLCDM]+))"
 KHOAN_HEAD = r"(?U:\d+[\.)])"
+KHOAN_NUMBER = r"(?U)^(\d+)"
 DIEM_HEAD = r"(?iU:[a-zđ][\.)])"
 DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]"
 #: A heading doesn't end so, has so many words, and is no longer than this.

@@ -14,6 +14,7 @@ BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Those but the space. Runs that are no single space are what changes when white space is normalised.
 _ODD = "".join(c for c in BLANKS if c < "\u0100" and c != " ") + "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = f"[{_ODD}][ {_ODD}]*| [ {_ODD}]+"
+_SOLID = "".join(map(chr, range(0x21, 0x7F)))
 # Fixed value: titles that make an article a definition.
 DEFINITION = r"(?iu)giải thích từ ngữ|định nghĩa|diễn giải"
 # Texts shown for a status.
@@ -25,6 +26,13 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def strip_value(c: Column) -> Column:
+    """strip() of a column that may be read several times: most texts begin and end with a printable
+    ASCII character, and then there is nothing to cut. btrim() walks the whole text to see that."""
+    solid = lambda x: F.contains(F.lit(_SOLID), x)
+    return F.when(solid(F.left(c, F.lit(1))) & solid(F.right(c, F.lit(1))), c).otherwise(strip(c))
+
+
 def normalize_ws(c: Column) -> Column:
     """White space runs to one space, ends cut; '' for null."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _RUN, " "))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausediff.functions.predicates import CHUONG_HEAD, DIEM, DIEM_HEAD, DIEU_HEAD, KHOAN_HEAD, MUC_HEAD, before_line, contract_heading, line_kind, line_number, line_rest
-from clausediff.functions.text import chunk_type, clean_heading, strip
+from clausediff.functions.predicates import CHUONG_HEAD, DIEM, DIEM_HEAD, DIEU_HEAD, KHOAN_HEAD, KHOAN_NUMBER, MUC_HEAD, before_line, contract_heading, line_kind, line_number, line_rest
+from clausediff.functions.text import chunk_type, clean_heading, strip, strip_value
 from clausediff.operators.numbering import document_texts, normalize_paragraphs
 from clausediff.schemas import CHUNKS, KHOAN
 
@@ -66,14 +66,18 @@ def khoan_items(rows: Column, starts: Column) -> Column:
     spans = F.transform(starts, lambda s, j: F.struct(s.alias("s"), (F.coalesce(F.get(starts, j + 1), F.size(rows) + 1) - s).alias("n")))
     none = F.array().cast(KHOAN["tieu_muc_items"].dataType)
 
+    def several(first: Column, more: Column) -> Column:
+        parts = F.concat(F.array(_clause_rest(first)), F.transform(more, lambda x: x["line"]))
+        points = F.transform(F.filter(more, lambda x: x["kind"] == "diem"), lambda x: _point(x["line"]))
+        return F.struct(strip(F.array_join(F.filter(parts, lambda x: x != ""), "\n")).alias("text"), points.alias("points"))
+
     def item(span: Column) -> Column:
         first, more = F.get(rows, span["s"] - 1)["line"], F.slice(rows, span["s"] + 1, span["n"] - 1)
-        parts = F.concat(F.array(strip(line_rest(first, F.lit("khoan")))), F.transform(more, lambda x: x["line"]))
-        points = F.transform(F.filter(more, lambda x: x["kind"] == "diem"), lambda x: _point(x["line"]))
-        return F.struct(
-            line_number(first, F.lit("khoan")).alias("khoan_number"), F.lit(None).cast("string").alias("title"),
-            strip(F.array_join(F.filter(parts, lambda x: x != ""), "\n")).alias("text"), points.alias("diem_items"), none.alias("tieu_muc_items"),
-        )
+        one = F.struct(_clause_rest(first).alias("text"), F.array().cast(KHOAN["diem_items"].dataType).alias("points"))
+        return _let(F.when(span["n"] == 1, one).otherwise(several(first, more)), lambda r: F.struct(
+            F.regexp_extract(first, KHOAN_NUMBER, 1).alias("khoan_number"), F.lit(None).cast("string").alias("title"),
+            r["text"].alias("text"), r["points"].alias("diem_items"), none.alias("tieu_muc_items"),
+        ))
 
     return F.transform(spans, item)
 
@@ -137,7 +141,8 @@ def _parts(text: Column) -> Column:
             chapter.alias("chuong_so"), F.when(j > 0, F.regexp_extract(m, MUC_HEAD, 1)).otherwise("0").alias("muc_so"), ((i > 0) | (j > 0)).alias("opened"), m.alias("text")
         )
 
-    return F.flatten(F.transform(F.split(text, before_line(CHUONG_HEAD)), lambda c, i: F.transform(F.split(c, before_line(MUC_HEAD)), part(c, i))))
+    sections = lambda c: F.when(c.rlike(before_line(MUC_HEAD)), F.split(c, before_line(MUC_HEAD))).otherwise(F.array(c))
+    return F.flatten(F.transform(F.split(text, before_line(CHUONG_HEAD)), lambda c, i: F.transform(sections(c), part(c, i))))
 
 
 def _article(part: Column, heads: Column, text: Column, bare: Column) -> Column:
@@ -169,28 +174,41 @@ def _sections(part: Column) -> Column:
     return _let(F.split(part["text"], "\n"), found)
 
 
-def _clauses(tail: Column) -> Column:
-    """The clauses in an article's text from its first clause on (null without one): khoan_items."""
+def _clauses(tail: Column, count: Column) -> Column:
+    """The clauses in an article's text from its first clause on (null without one), of which there
+    are `count`: khoan_items. split() compiles its pattern for every text, so a single one isn't split."""
     none = F.array().cast(KHOAN["tieu_muc_items"].dataType)
 
-    def item(clause: Column) -> Column:
-        first, more = F.substring_index(clause, "\n", 1), F.filter(F.split(clause, "\n"), lambda _, i: i > 0)
-        parts = F.concat(F.array(strip(line_rest(first, F.lit("khoan")))), more)
+    def several(clause: Column) -> Column:
+        more = F.filter(F.split(clause, "\n"), lambda _, i: i > 0)
+        parts = F.concat(F.array(_clause_rest(F.substring_index(clause, "\n", 1))), more)
         points = F.transform(F.filter(more, lambda x: x.rlike(DIEM)), _point)
-        return F.struct(
-            line_number(first, F.lit("khoan")).alias("khoan_number"), F.lit(None).cast("string").alias("title"),
-            strip(F.array_join(F.filter(parts, lambda x: x != ""), "\n")).alias("text"), points.alias("diem_items"), none.alias("tieu_muc_items"),
-        )
+        return F.struct(strip(F.array_join(F.filter(parts, lambda x: x != ""), "\n")).alias("text"), points.alias("points"))
+
+    def item(clause: Column) -> Column:
+        no_points = F.array().cast(KHOAN["diem_items"].dataType)
+        one = F.struct(_clause_rest(clause).alias("text"), no_points.alias("points"))
+        read = F.when(F.contains(clause, F.lit("\n")), several(clause)).otherwise(one)
+        return _let(read, lambda r: F.struct(
+            F.regexp_extract(clause, KHOAN_NUMBER, 1).alias("khoan_number"), F.lit(None).cast("string").alias("title"),
+            r["text"].alias("text"), r["points"].alias("diem_items"), none.alias("tieu_muc_items"),
+        ))
+
+    clauses = F.when(count == 1, F.array(tail)).otherwise(F.split(tail, before_line(KHOAN_HEAD)))
+    return F.coalesce(F.transform(F.when(count > 0, clauses), item), F.array().cast(CHUNKS["khoan_items"].dataType))
+
 
-    return F.coalesce(F.transform(F.split(tail, before_line(KHOAN_HEAD)), item), F.array().cast(CHUNKS["khoan_items"].dataType))
+def _clause_rest(line: Column) -> Column:
+    """What a clause's first line holds after its number and the sign behind it, stripped."""
+    number = F.length(F.regexp_extract(line, KHOAN_NUMBER, 1))
+    return _let(F.substring(line, number + 2, F.length(line)), strip_value)
 
 
 def chunk_texts(texts: DataFrame) -> DataFrame:
     """CHUNKS rows of plain-text documents, given as whole texts (doc_id, version, text) of stripped
     non-blank lines; the same rows as chunk_plain_text() of the lines. A text is cut before its headings
     where it lies, so nothing is shuffled, and counts come from line beginnings, so khoan_items are made
-    only where they are read. For rows that are sorted by range afterwards, or exported with
-    their khoan_items, chunk_plain_text() took less time."""
+    only where they are read. What reads the rows twice, as sorting by range does, should store them first."""
     t = texts.where("text is not null").select(*KEY, F.concat(F.lit("\n"), "text").alias("text"))
     t = t.withColumn("explicit", F.col("text").rlike(before_line(DIEU_HEAD)))
     opened = F.filter(_parts(F.col("text")), lambda p: p["opened"])
@@ -206,10 +224,10 @@ def chunk_texts(texts: DataFrame) -> DataFrame:
     a = a.withColumn("article_title", F.when(F.col("title") != "", F.col("title")).otherwise(F.array_join(F.transform("heads", clean_heading), " - ")))
     a = a.withColumn("article_number", F.when(F.col("explicit"), F.col("number")).otherwise(F.col("section").cast("string")))
     a = a.withColumn("clause_id", F.when(F.col("explicit"), F.concat(F.lit("article_"), "number")).otherwise(F.format_string("section_%03d", "section")))
-    a = a.withColumn("text", strip(F.col("rows"))).withColumn("tail", F.get(F.split("rows", before_line(KHOAN_HEAD), 2), 1))
+    a = a.withColumn("text", strip_value(F.col("rows"))).withColumn("tail", F.nullif(F.regexp_extract("rows", rf"(?s)\n({KHOAN_HEAD}.*)", 1), F.lit("")))
     count = lambda head: F.regexp_count("tail", F.lit(before_line(head)))
     a = a.withColumn("khoan_count", F.coalesce(count(KHOAN_HEAD) + 1, F.lit(0))).withColumn("diem_count", F.coalesce(count(DIEM_HEAD), F.lit(0)))
-    return _identified(a.withColumn("tieu_muc_count", F.lit(0)).withColumn("khoan_items", _clauses(F.col("tail"))))
+    return _identified(a.withColumn("tieu_muc_count", F.lit(0)).withColumn("khoan_items", _clauses(F.col("tail"), F.col("khoan_count"))))
 
 
 def chunk_mode(paragraphs: DataFrame) -> DataFrame:

@@ -68,7 +68,8 @@ def save_index(index: DataFrame, path: str, parts: int = PARTS, group_bytes: int
 
     A chunk lies in the part of its doc_id's hash, which is a folder. Files are sorted by article
     number, so row groups have narrow ranges of it in their statistics; doc_id and chunk_id have
-    bloom filters. parts: about one for each 256 MB that the index is to hold."""
+    bloom filters. parts: about one for each 256 MB that the index is to hold. The rows are read twice,
+    once to sample the ranges, so rows that are costly to make should be stored first."""
     _write(_laid_out(index, parts), path, group_bytes)
 
 

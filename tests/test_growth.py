@@ -7,8 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from clausediff.functions import text as X
-from clausediff.operators import chunking, diffing, matching
-from clausediff.plans import fixture, jobs
+from clausediff.operators import chunking, diffing, index, matching
+from clausediff.plans import fixture, jobs, registry
+from clausediff.sources import files
 
 
 def plan(df):
@@ -128,3 +129,29 @@ def test_chunks_of_texts_without_a_shuffle(spark):
 
     for name in ("missing_metadata", "embed_chunks"):
         assert "Exchange" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_strip_value_is_strip(spark):
+    odd = [chr(i) for i in range(0x3100) if not 0xD800 <= i < 0xE000]
+    given = [v for c in odd for v in (c, c + "x", "x" + c, c + "x" + c + "y" + c)] + ["", None, "a b", "\U0001f600"]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, v string")
+    assert [r.s for r in rows.select(X.strip_value(F.col("v")).alias("s")).collect()] == [v if v is None else v.strip() for v in given]
+
+
+def test_clauses_of_one_line_and_more(spark):
+    """Numbers of other scripts, blanks behind the sign, a blank rest, points: the same from lines and from texts."""
+    rng = random.Random(5)
+    starts = ["1. ", "23) ", "٣.", "1.\t", "2.  ", "9.\x1f", "0" * 40 + ".", "3)"]
+    texts, expected = [], {}
+    for n in range(120):
+        items = []
+        for _ in range(rng.randrange(4)):
+            start, rest, more = rng.choice(starts), rng.choice(["", "a", "a  b", "câu"]), rng.choices(["a) p", "tail", "đ. q"], k=rng.randrange(3))
+            items.append(((start + rest).strip(), rest, more))
+        texts.append((str(n), "v1", "\n".join(["Điều 1. T", *[x for first, _, more in items for x in (first, *more)]])))
+        expected[str(n)] = [(re.match(r"\d+", first)[0], "\n".join(filter(None, [rest, *more])), len([m for m in more if m != "tail"])) for first, rest, more in items]
+    frame = spark.createDataFrame(texts, "doc_id string, version string, text string")
+    lines = frame.select("doc_id", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    for chunks in (chunking.chunk_plain_text(lines), chunking.chunk_texts(frame)):
+        found = {r.doc_id: [(k.khoan_number, k.text, len(k.diem_items)) for k in r.khoan_items] for r in chunks.collect()}
+        assert found == expected

@@ -351,7 +351,7 @@ def _index(spark, sf_dir):
 
 def _stored_index(spark, sf_dir):
     path = files.scratch(spark, "index")
-    index.save_index(fixture.chunks(spark, sf_dir).select("chunk_id", "text", *INDEX_METADATA), path)
+    index.save_index(files.stored(fixture.text_chunks(spark, sf_dir).select("chunk_id", "text", *INDEX_METADATA), "chunks"), path)
     return index.load_index(spark, path)
 
 

@@ -131,6 +131,21 @@ def test_chunks_of_texts_without_a_shuffle(spark):
         assert "Exchange" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
 
 
+def test_chunks_are_stored_before_ranges_are_sampled(spark, tmp_path, monkeypatch):
+    """save_index() reads its rows twice, so lookups give it a table; chunks reach it, the upsert and
+    the export without a shuffle."""
+    spark.createDataFrame([(1, "a\nb. c\n"), (2, None), (3, "x\n1. y\na) z\n \nMục 2\nw")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    given, save, kept, export = [], index.save_index, files.stored, index.export_chunks
+    monkeypatch.setattr(index, "save_index", lambda rows, path: (given.append(("index", plan(rows))), save(rows, path)))
+    monkeypatch.setattr(files, "stored", lambda rows, *a: (given.append(("stored", plan(rows))), kept(rows, *a))[1])
+    monkeypatch.setattr(index, "export_chunks", lambda rows, path: (given.append(("export", plan(rows))), export(rows, path))[1])
+    for name in ("lookup_chapter",):
+        given.clear()
+        assert registry.QUERIES[name](spark, str(tmp_path)).count() > 0
+        assert given and all("Exchange" not in p and "Window" not in p for _, p in given)
+        assert all("Generate" not in p for k, p in given if k == "index")
+
+
 def test_strip_value_is_strip(spark):
     odd = [chr(i) for i in range(0x3100) if not 0xD800 <= i < 0xE000]
     given = [v for c in odd for v in (c, c + "x", "x" + c, c + "x" + c + "y" + c)] + ["", None, "a b", "\U0001f600"]

@@ -395,7 +395,7 @@ def embed_chunks(spark, sf_dir):
 
 @query(with_sql(CHUNKS_SQL, "select chunk_id, version, case when version = 'v1' and chunk_idx % 2 = 0 then 'new ' || text else text end as text from chunks"))
 def index_upsert(spark, sf_dir):
-    c = files.stored(fixture.chunks(spark, sf_dir).select("chunk_id", "doc_id", "version", "chunk_idx", "article_number", "text"), "chunks")
+    c = files.stored(fixture.text_chunks(spark, sf_dir).select("chunk_id", "doc_id", "version", "chunk_idx", "article_number", "text"), "chunks")
     path = files.scratch(spark, "index")
     index.save_index(c.where("version = 'v1'"), path)
     new = c.where("version = 'v2' or chunk_idx % 2 = 0").withColumn("text", F.when(F.col("version") == "v1", F.concat(F.lit("new "), "text")).otherwise(F.col("text")))

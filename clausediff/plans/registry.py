@@ -314,7 +314,7 @@ def export_chunks(spark, sf_dir):
 @query(with_sql(CHUNKS_SQL, "select chunk_id, doc_id, version, article_number, article_title, text from chunks"))
 def load_chunks(spark, sf_dir):
     path = files.scratch(spark, "chunks")
-    index.export_chunks(fixture.chunks(spark, sf_dir), path)
+    index.export_chunks(fixture.text_chunks(spark, sf_dir), path)
     return index.load_chunks(spark, path).select("chunk_id", "doc_id", "version", "article_number", "article_title", "text")
 
 

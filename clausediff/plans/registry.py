@@ -308,7 +308,7 @@ def build_chunks(spark, sf_dir):
 def export_chunks(spark, sf_dir):
     i = F.col("chunk_idx")
     faulty = {"char_len": F.when(i % 9 == 0, 1).otherwise(F.col("char_len")), "chunk_type": F.when(i % 50 != 0, F.col("chunk_type")), "muc_so": F.when(i % 5 != 0, F.col("muc_so"))}
-    return index.export_chunks(fixture.chunks(spark, sf_dir).withColumns(faulty), files.scratch(spark, "chunks"))
+    return index.export_chunks(fixture.text_chunks(spark, sf_dir).withColumns(faulty), files.scratch(spark, "chunks"))
 
 
 @query(with_sql(CHUNKS_SQL, "select chunk_id, doc_id, version, article_number, article_title, text from chunks"))

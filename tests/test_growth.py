@@ -139,7 +139,7 @@ def test_chunks_are_stored_before_ranges_are_sampled(spark, tmp_path, monkeypatc
     monkeypatch.setattr(index, "save_index", lambda rows, path: (given.append(("index", plan(rows))), save(rows, path)))
     monkeypatch.setattr(files, "stored", lambda rows, *a: (given.append(("stored", plan(rows))), kept(rows, *a))[1])
     monkeypatch.setattr(index, "export_chunks", lambda rows, path: (given.append(("export", plan(rows))), export(rows, path))[1])
-    for name in ("lookup_chapter", "index_upsert", "load_chunks"):
+    for name in ("lookup_chapter", "index_upsert", "load_chunks", "export_chunks"):
         given.clear()
         assert registry.QUERIES[name](spark, str(tmp_path)).count() > 0
         assert given and all("Exchange" not in p and "Window" not in p for _, p in given)

@@ -88,13 +88,15 @@ def docx_paragraphs(spark, sf_dir):
 @query("""select 'hd_' || doc_id || case when doc_id % 2 = 0 then '_V1' else '_v2' end as doc_id, case when doc_id % 2 = 0 then 'v1' else 'v2' end as version,
   len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> ''))::bigint as paragraphs, true as valid from documents where doc_id % 13 <> 0 and doc_id % 7 <> 0 and doc_id % 5 <> 0""")
 def read_folder(spark, sf_dir):
-    """A folder of files: which are contracts, of which version, acceptable, and with how many paragraphs."""
-    path = files.scratch(spark, "inbox")
-    fixture.docx_folder(spark, sf_dir, path)
-    found = files.file_identity(files.validate_files(files.discover_files(spark, f"{path}/*")))
-    paragraphs = docx.docx_tables(found.where("valid"))[0].groupBy("doc_id", "version").agg(F.count("*").alias("paragraphs"))
-    out = found.select("doc_id", "version", "valid").join(paragraphs, ["doc_id", "version"], "left")
-    return out.select("doc_id", "version", F.coalesce("paragraphs", F.lit(0)).cast("long").alias("paragraphs"), "valid")
+    """A folder of files: which are contracts, of which version, acceptable, and with how many paragraphs.
+
+    Each file is read once; the driver holds the listing of one inbox at a time."""
+    out = files.scratch(spark, "found")
+    for inbox in fixture.docx_folders(spark, sf_dir, files.scratch(spark, "inbox")):
+        found = files.file_identity(files.validate_files(files.discover_files(spark, f"{inbox}/*")))
+        found = docx.paragraph_counts(found.select("doc_id", "version", "valid", F.when(F.col("valid"), F.col("content")).alias("content")))
+        found.write.mode("append").parquet(out)
+    return spark.read.schema(found.schema).parquet(out).select("doc_id", "version", "paragraphs", "valid")
 
 
 # ---------------------------------------------------------------- texts

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BYTES = 10 * 1024 * 1024
+#: Splits that a task reads: a split holds few small files, as Spark counts 4 MB for opening each.
+TASK_SPLITS = 16
 
 _own_dirs: dict[str, str] = {}
 
@@ -19,8 +21,8 @@ def file_name(path: Column) -> Column:
 
 def discover_files(spark: SparkSession, *folders: str) -> DataFrame:
     """path, modificationTime, length, content of the DOCX and PDF files in the folders, without change notes and lock files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,pdf}").load(list(folders))
-    return wanted(files)
+    files = wanted(spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,pdf}").load(list(folders)))
+    return files.coalesce(max(4 * spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // TASK_SPLITS))
 
 
 def wanted(files: DataFrame) -> DataFrame:

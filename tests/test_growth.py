@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from clausediff.functions import text as X
 from clausediff.operators import chunking, diffing, index, matching
 from clausediff.plans import fixture, jobs, registry
-from clausediff.sources import files
+from clausediff.sources import docx, files
 
 
 def plan(df):
@@ -170,3 +170,38 @@ def test_clauses_of_one_line_and_more(spark):
     for chunks in (chunking.chunk_plain_text(lines), chunking.chunk_texts(frame)):
         found = {r.doc_id: [(k.khoan_number, k.text, len(k.diem_items)) for k in r.khoan_items] for r in chunks.collect()}
         assert found == expected
+
+
+def test_many_small_files_make_few_tasks(spark, tmp_path):
+    """A task reads many small files: Spark's own splits hold 32 of them."""
+    for i in range(1500):
+        (tmp_path / f"a{i}.docx").write_bytes(b"%d" % i)
+    found = files.discover_files(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 16
+    assert sorted(int(r.content) for r in found.select("content").collect()) == list(range(1500))
+
+
+def test_folder_is_listed_in_parts_and_read_once(spark, tmp_path, monkeypatch):
+    """Files are listed an inbox at a time; their paragraphs are counted where they are read, without
+    a second scan, a stored table of paragraphs or a shuffle."""
+    texts = {i: ["a\n \nb", None, "", "\x07", "x\r\n\n<y>&\tz"][i % 5] if i % 4 else "p\n" * i for i in range(200)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(fixture, "INBOX_FILES", 50)
+    listed, counted, discover, count = [], [], files.discover_files, docx.paragraph_counts
+    monkeypatch.setattr(files, "discover_files", lambda s, *folders: (listed.append(folders), discover(s, *folders))[1])
+    monkeypatch.setattr(docx, "paragraph_counts", lambda rows: (counted.append(count(rows)), counted[-1])[1])
+    monkeypatch.setattr(docx, "docx_tables", None)
+    got = registry.QUERIES["read_folder"](spark, str(tmp_path))
+    assert len(listed) == len(counted) == 5
+    assert all("Exchange" not in plan(c) and plan(c).count("FileScan binaryFile") == 1 for c in counted) and "binaryFile" not in plan(got)
+    paragraphs = lambda t: sum(bool(re.sub(r"[\x00-\x08]", "", x).strip()) for x in (t or "").split("\n"))
+    assert sorted(map(tuple, got.collect())) == sorted(
+        (f"hd_{i}_V1" if i % 2 == 0 else f"hd_{i}_v2", "v1" if i % 2 == 0 else "v2", paragraphs(t), True) for i, t in texts.items() if i % 13 and i % 7 and i % 5
+    )
+
+
+def test_file_without_content_counts_none(spark):
+    """Files that are not accepted stay as rows."""
+    given = [("a", False, None), ("b", True, fixture._file_of("one\n\ntwo")), ("c", True, fixture._file_of(""))]
+    rows = docx.paragraph_counts(spark.createDataFrame(given, "doc_id string, valid boolean, content binary"))
+    assert sorted(map(tuple, rows.collect())) == [("a", False, 0), ("b", True, 2), ("c", True, 0)]

@@ -272,8 +272,11 @@ def chunk_docx_headings(paragraphs: DataFrame) -> DataFrame:
 
 
 def prepared_paragraphs(paragraphs: DataFrame) -> DataFrame:
-    """paragraphs normalised, with headings (chunk_mode()): what chunk_prepared() reads several times."""
-    return chunk_mode(normalize_paragraphs(paragraphs))
+    """paragraphs normalised, with headings (chunk_mode()): what chunk_prepared() reads. Beside
+    display_text, text is only kept where it names a heading that is chunked by."""
+    p = chunk_mode(normalize_paragraphs(paragraphs))
+    named = F.col("headings") & F.col("heading_level").isNotNull() & (F.coalesce("numbering_label", F.lit("")) != "")
+    return p.withColumn("text", F.when(named, F.col("text")))
 
 
 def chunk_documents(paragraphs: DataFrame) -> DataFrame:
@@ -284,6 +287,6 @@ def chunk_documents(paragraphs: DataFrame) -> DataFrame:
 def chunk_prepared(p: DataFrame) -> DataFrame:
     """chunk_documents() of prepared_paragraphs()."""
     plain = document_texts(p.where("not headings"))
-    lines = plain.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", strip(F.col("line"))).where("line <> ''")
-    return chunk_docx_headings(p.where("headings")).unionByName(chunk_plain_text(lines))
+    lines = F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")
+    texts = plain.select(*KEY, F.array_join(lines, "\n").alias("text")).where("text <> ''")
+    return chunk_docx_headings(p.where("headings")).unionByName(chunk_texts(texts))

@@ -36,14 +36,23 @@ def resolve_styles(styles: DataFrame) -> DataFrame:
 
 
 def style_numbering(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:
-    """paragraphs with num_id and ilvl from their style where they have no num_id of their own."""
-    given = resolve_styles(styles).withColumnRenamed("num_id", "s_num").withColumnRenamed("ilvl", "s_lvl")
-    out = paragraphs.join(given, [*KEY, "style_id"], "left")
-    out = out.withColumn("ilvl", F.when(F.col("num_id").isNull(), F.col("s_lvl")).otherwise(F.col("ilvl")))
-    return out.withColumn("num_id", F.coalesce("num_id", "s_num")).drop("s_num", "s_lvl")
+    """paragraphs with num_id and ilvl from their style where they have no num_id of their own. A document's
+    styles meet its paragraphs as one map, so paragraphs that lie by document stay where they are."""
+    given = resolve_styles(styles).where("style_id is not null")
+    given = given.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("style_id", F.struct("num_id", "ilvl")))).alias("_styles"))
+    out = paragraphs.join(given, KEY, "left").withColumn("_s", F.col("_styles")[F.col("style_id")])
+    out = out.withColumn("ilvl", F.when(F.col("num_id").isNull(), F.col("_s.ilvl")).otherwise(F.col("ilvl")))
+    return out.withColumn("num_id", F.coalesce("num_id", "_s.num_id")).drop("_styles", "_s")
 
 
-def _counted(paragraphs: DataFrame) -> DataFrame:
+def _by_document(paragraphs: DataFrame) -> tuple[DataFrame, bool]:
+    """paragraphs, where no document is longer than BLOCK positions dealt by document, so that all
+    steps that follow find them in place and texts move once; and whether one is longer."""
+    long = not paragraphs.where(F.col("idx") >= BLOCK).isEmpty()
+    return paragraphs if long else paragraphs.repartition(*KEY), long
+
+
+def _counted(paragraphs: DataFrame, long: bool) -> DataFrame:
     """paragraphs with _n0, _n1, …: how often each level of the paragraph's list has come since it was last reset.
 
     A level is reset by each one above it, so what counts is how often it came in all less how often
@@ -58,7 +67,7 @@ def _counted(paragraphs: DataFrame) -> DataFrame:
     p = p.select("*", *[F.sum(F.when(F.col("ilvl") == i, 1).otherwise(0)).over(order).alias(f"_t{i}") for i in levels])
     p = p.select("*", *[F.max(F.when(F.col("ilvl") < i, F.col(f"_t{i}"))).over(order).alias(f"_s{i}") for i in levels])
     held = [F.lit(0)] * LEVELS
-    if not paragraphs.where(F.col("idx") >= BLOCK).isEmpty():
+    if long:
         blocks = p.where("num_id is not null").groupBy(*list_key, "_b").agg(*[F.max(f"_{k}{i}").alias(f"_{k}{i}") for k in "ts" for i in levels])
         before = Window.partitionBy(*list_key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         blocks = blocks.select(*list_key, "_b", *[f"_s{i}" for i in levels], *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_a{i}") for i in levels])
@@ -74,11 +83,16 @@ def numbering_labels(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
 
     A paragraph of level i counts up the counter i of its list and resets the deeper ones;
     its label is the level's text with the counters put in."""
-    spec = levels.groupBy(*KEY, "num_id").agg(
+    return _labelled(*_by_document(paragraphs), levels)
+
+
+def _labelled(paragraphs: DataFrame, long: bool, levels: DataFrame) -> DataFrame:
+    spec = levels.where("num_id is not null").groupBy(*KEY, "num_id").agg(
         F.map_from_entries(F.collect_list(F.struct("level", F.struct("start", "num_fmt", "lvl_text")))).alias("spec")
     )
+    spec = spec.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("num_id", "spec"))).alias("_specs"))
     listed = F.col("num_id").isNotNull() & F.col("ilvl").isNotNull()
-    p = _counted(paragraphs).join(spec, [*KEY, "num_id"], "left")
+    p = _counted(paragraphs, long).join(spec, KEY, "left").withColumn("spec", F.col("_specs")[F.col("num_id")]).drop("_specs")
     for i in range(LEVELS):
         start = F.coalesce(F.col("spec")[i]["start"], F.lit(1))
         p = p.withColumn(f"_c{i}", F.when(listed & (F.col("ilvl") >= i) & (F.col(f"_n{i}") > 0), start - 1 + F.col(f"_n{i}")))
@@ -103,7 +117,8 @@ def display_text(paragraphs: DataFrame) -> DataFrame:
 
 
 def numbered_paragraphs(paragraphs: DataFrame, styles: DataFrame, levels: DataFrame) -> DataFrame:
-    return display_text(numbering_labels(style_numbering(paragraphs, styles), levels))
+    p, long = _by_document(paragraphs)
+    return display_text(_labelled(style_numbering(p, styles), long, levels))
 
 
 def normalize_paragraphs(paragraphs: DataFrame) -> DataFrame:

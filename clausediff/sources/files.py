@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +58,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Of jobs that run inside, shuffle files go as soon as the job ends. Else they stay until the driver
+    happens to collect its garbage, and those of all steps of a query lie on the disk together."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
     """df as a table in a new scratch folder, in folders by the columns `parts`, read again: cuts
-    the lineage and outlives an executor."""
+    the lineage and outlives an executor. What was shuffled to make it is freed."""
     path = scratch(df.sparkSession, name)
-    df.write.partitionBy(*parts).parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -23,6 +23,14 @@ def build_articles(chunks: DataFrame, keys=("doc_id", "version")) -> DataFrame:
     return last.select(*keys, "article_number", "a.*")
 
 
+def with_articles(chunks: DataFrame, keys=("doc_id", "version")) -> DataFrame:
+    """chunks with number, their article_number without blanks around it, and is_article: whether a
+    chunk is the one that build_articles() takes, the last of its number."""
+    c = chunks.withColumn("number", F.trim(F.coalesce("article_number", F.lit(""))))
+    last = F.row_number().over(Window.partitionBy(*keys, "number").orderBy(F.desc("chunk_idx"))) == 1
+    return c.withColumn("is_article", (F.col("number") != "") & last)
+
+
 def index_rows(embedded: DataFrame) -> DataFrame:
     return embedded.select("chunk_id", "text", *INDEX_METADATA, "embedding")
 

@@ -89,8 +89,31 @@ def added_articles(right: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def compared_articles(left: DataFrame, right: DataFrame, matches: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    """All articles of all pairs in order (pair_id, seq): the v1 articles, matched or removed, then the added ones."""
-    v1 = matched_pairs(matches, left, right, chunks).unionByName(removed_articles(left, matches)).withColumn("_part", F.lit(0))
-    rows = v1.unionByName(added_articles(right, matches).withColumn("_part", F.lit(1)))
+    """All articles of all pairs in order (pair_id, seq): the v1 articles, matched or removed, then the
+    added ones; the rows of matched_pairs(), removed_articles() and added_articles(). left, right: one
+    article of a number; matches take a number once; chunks: pair_id, chunk_id, text.
+
+    Texts and matches are dealt by pair together, so one shuffle carries the texts. There each text meets
+    its match by its own number (or chunk_id), and then the other side's text by the v1 number."""
+    kind = "struct<no:string,right_no:string,title:string,similarity:double>"
+    text = lambda df, side, key, title, body: df.select("pair_id", F.lit(side).alias("side"), F.col(key).alias("key"), F.struct(title.alias("title"), F.col(body).alias("text")).alias("own"), F.lit(None).cast(kind).alias("m"))
+    match = F.struct(F.col("left_no").alias("no"), "right_no", "title", "similarity").cast(kind)
+    own = f"struct<title:{left.schema['article_title'].dataType.simpleString()},text:string>"
+    told = lambda side, key: matches.where("pair_id is not null").select("pair_id", F.lit(side).alias("side"), F.col(key).alias("key"), F.lit(None).cast(own).alias("own"), match.alias("m"))
+    rows = text(left, "l", "article_number", F.col("article_title"), "full_text").unionByName(text(right, "r", "article_number", F.col("article_title"), "full_text"))
+    rows = rows.unionByName(told("l", "left_no")).unionByName(told("r", "right_no"))
+    if chunks is not None:
+        rows = rows.unionByName(text(chunks, "c", "chunk_id", F.lit(None).cast("string"), "text")).unionByName(told("c", "chunk_id"))
+    some = lambda c: F.first(c, ignorenulls=True)
+    met = rows.repartition("pair_id").groupBy("pair_id", "side", "key").agg(some("own").alias("own"), some("m").alias("m"))
+    met = met.where("own is not null and (side <> 'c' or m is not null)")
+    part = F.when((F.col("side") == "r") & F.col("m").isNull(), 1).otherwise(0)
+    met = met.withColumn("_part", part).withColumn("article_number", F.when((F.col("side") == "l") | F.col("m").isNull(), F.col("key")).otherwise(F.col("m.no")))
+    side = lambda s: some(F.when(F.col("side") == s, F.col("own"))).alias(s)
+    both = met.groupBy("pair_id", "_part", "article_number").agg(side("l"), side("r"), side("c"), some("m").alias("m")).where("_part = 1 or l is not null")
     seq = F.row_number().over(Window.partitionBy("pair_id").orderBy("_part", article_sort_key(F.col("article_number"))))
-    return rows.withColumn("seq", seq).withColumn("match_score", F.round("match_score", 4)).drop("_part")
+    title = F.when(F.col("m").isNull(), F.coalesce("l.title", "r.title")).otherwise(F.coalesce("r.title", F.nullif("m.title", F.lit("")), "l.title"))
+    return both.select(
+        "pair_id", "article_number", title.alias("article_title"), F.when(F.col("_part") == 1, F.col("article_number")).otherwise(F.col("m.right_no")).alias("matched_article_v2"),
+        F.round(F.coalesce("m.similarity", F.lit(0.0)), 4).alias("match_score"), F.col("l.text").alias("v1_text"), F.coalesce("r.text", "c.text").alias("v2_text"), seq.alias("seq"),
+    )

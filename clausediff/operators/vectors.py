@@ -199,7 +199,8 @@ def article_candidates(left: DataFrame, right: DataFrame, k: int = 3) -> DataFra
     names = ("pair_id", "left_no", "chunk_id", "article_number", "article_title")
     kind = {f.name: f.dataType.simpleString() for f in (*left.schema.fields, *right.schema.fields)}
     blocks = lambda df, name: df.groupBy("pair_id").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias(name))
-    large = blocks(left, "lefts").join(blocks(right, "rights"), "pair_id").where("lefts > 1 or rights > 1")
+    # at most one large pair for each PAIR_BLOCK rows, so vectors need no shuffle to meet them
+    large = F.broadcast(blocks(left, "lefts").join(blocks(right, "rights"), "pair_id").where("lefts > 1 or rights > 1"))
     one = lambda c: F.coalesce(F.col(c), F.lit(1))
     part = lambda c, of: F.pmod(F.xxhash64(of), one(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), one(c) - 1))

@@ -26,11 +26,12 @@ def pair_chunks(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def matched_rows(chunks: DataFrame, encoder=None, k: int = 3, threshold: float = matching.THRESHOLD) -> DataFrame:
     """compared_articles() of chunks with pair_id; vectors are made once for each
-    chunk, by an encoder once for each different text. The
-    chunks are read several times, so they are stored as a table, which outlives an executor."""
+    chunk, by an encoder once for each different text. The chunks are read several times, so they are
+    stored as a table, which outlives an executor, and so are the matches: texts are shuffled once
+    on their way to the table and once beside the matches, and vectors in between."""
     chunks = chunks.select("pair_id", "version", "chunk_id", "chunk_idx", "article_number", "article_title", "text")
-    chunks = files.stored(chunks, "pair-chunks")
-    articles = index.build_articles(chunks, ("pair_id", "version"))
+    chunks = files.stored(index.with_articles(chunks.repartition("pair_id"), ("pair_id", "version")), "pair-chunks")
+    articles = chunks.where("is_article").select("pair_id", "version", F.col("number").alias("article_number"), "article_title", F.col("text").alias("full_text"))
     left, right = (articles.where(F.col("version") == v).drop("version") for v in ("v1", "v2"))
     v2 = chunks.where("version = 'v2'")
     if encoder is None:  # hashed words cost less than a shuffle of texts
@@ -41,10 +42,9 @@ def matched_rows(chunks: DataFrame, encoder=None, k: int = 3, threshold: float =
         v1, rows = known.where("side = 'v1'"), known.where("side = 'v2'")
     v1 = v1.select("pair_id", F.col("article_number").alias("left_no"), "embedding")
     rows = rows.select("pair_id", "chunk_id", "article_number", "article_title", "embedding")
-    matches = matching.greedy_match(vectors.article_candidates(v1, rows, k), threshold)
+    matches = files.stored(matching.greedy_match(vectors.article_candidates(v1, rows, k), threshold), "matches")
     # articles bear trimmed numbers, so only numbers with blanks around them are not among a pair's own
-    other = chunks.where("version = 'v2' and article_number <> trim(article_number)").select("chunk_id", "text").dropDuplicates(["chunk_id"])
-    return matching.compared_articles(left, right, matches, other)
+    return matching.compared_articles(left, right, matches, v2.where("article_number <> number").select("pair_id", "chunk_id", "text"))
 
 
 def compare_corpus(chunks: DataFrame, encoder=None, responses: DataFrame | None = None, k: int = 3, threshold: float = matching.THRESHOLD) -> DataFrame:

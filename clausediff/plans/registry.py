@@ -605,7 +605,7 @@ numbered as (select *, row_number() over (partition by pair_id order by part, k)
 
 @query("with recursive " + _MATCHED_SQL + " select pair_id, seq, article_number, article_title, matched_article_v2, match_score, v1_text, v2_text from numbered")
 def compare_articles(spark, sf_dir):
-    return jobs.matched_rows(fixture.chunks(spark, sf_dir))
+    return jobs.matched_rows(fixture.text_chunks(spark, sf_dir).withColumn("pair_id", F.col("doc_id")))
 
 
 # ---------------------------------------------------------------- differences and grounding
@@ -766,6 +766,6 @@ def write_reports(spark, sf_dir):
 from (select *, true as grounded, false as llm_used, case when n1 = n2 then 'unchanged' when n1 <> '' and n2 <> '' then 'changed' when n1 <> '' then 'removed' else 'added' end as status from numbered)""")
 def compare_corpus(spark, sf_dir):
     """Whole results; of the quotations and difference blocks, whether there are any (extract_evidence and diff_blocks show them)."""
-    r = jobs.compare_corpus(fixture.chunks(spark, sf_dir))
+    r = jobs.compare_corpus(fixture.text_chunks(spark, sf_dir).withColumn("pair_id", F.col("doc_id")))
     columns = ("pair_id", "seq", "article_number", "article_title", "matched_article_v2", "match_score", "v1_text", "v2_text", "status", "grounded", "llm_used", "fallback_reason", "conclusion")
     return r.select(*columns, (F.size("evidence") > 0).alias("quoted"), (F.size("diff_blocks") > 0).alias("blocks"))

@@ -1,10 +1,13 @@
 """What a job puts on the disk: how often texts are shuffled, and what stays when a step is done."""
 
+import random
 import time
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from clausediff.operators import chunking, numbering
+from clausediff.functions.text import article_sort_key
+from clausediff.operators import chunking, matching, numbering
 from clausediff.plans import fixture, jobs
 from clausediff.sources import docx, files
 
@@ -58,3 +61,36 @@ def test_styles_and_levels_of_one_document(spark):
     levels = spark.createDataFrame([("d", "v1", 4, 0, 3, "upperRoman", "(%1)"), ("d", "v1", None, 0, 1, "decimal", "?"), ("e", "v1", 4, 0, 1, "decimal", "%1")], "doc_id string, version string, num_id int, level int, start int, num_fmt string, lvl_text string")
     got = numbering.numbering_labels(numbering.style_numbering(p, styles), levels).collect()
     assert {(r.doc_id, r.idx): (r.num_id, r.ilvl, r.numbering_label) for r in got} == {("d", 0): (4, 0, "(III)"), ("d", 1): (9, 1, "1"), ("d", 2): (None, None, None), ("e", 0): (None, None, None)}
+
+
+def test_compared_articles_in_one_dealing(spark):
+    """The rows of matches, removed and added articles put together, which one shuffle by pair makes."""
+    rng = random.Random(8)
+    sides = [[(p, str(n), rng.choice([None, f"{s}{n}"]), f"{s} text {p} {n}") for p in ("a", "b", None) for n in rng.sample(range(1, 30), 18)] for s in "lr"]
+    left, right = (spark.createDataFrame(rows, "pair_id string, article_number string, article_title string, full_text string") for rows in sides)
+    matches, texts = [], []
+    for p in ("a", "b"):
+        l, r = ([row[1] for row in rows if row[0] == p] for rows in sides)
+        for i, (x, y) in enumerate(zip(rng.sample(l, 12), rng.sample(r, 10) + [" 7", "99"], strict=True)):
+            matches.append((p, x, y, f"{p}{i}", rng.choice(["", None, "near"]), rng.random()))
+        texts += [(p, f"{p}{i}", f"chunk {i}") for i in (10, 20)]
+    matches = spark.createDataFrame(matches, "pair_id string, left_no string, right_no string, chunk_id string, title string, similarity double")
+    chunks = spark.createDataFrame(texts, "pair_id string, chunk_id string, text string")
+    for c in (chunks, None):
+        old = matching.matched_pairs(matches, left, right, c).unionByName(matching.removed_articles(left, matches)).withColumn("_part", F.lit(0))
+        old = old.unionByName(matching.added_articles(right, matches).withColumn("_part", F.lit(1)))
+        old = old.withColumn("match_score", F.round("match_score", 4)).withColumn("seq", F.row_number().over(Window.partitionBy("pair_id").orderBy("_part", article_sort_key(F.col("article_number"))))).drop("_part")
+        new = matching.compared_articles(left, right, matches, c)
+        assert new.columns == old.columns and plan(new).count("Exchange") == 1
+        assert sorted(map(repr, new.collect())) == sorted(map(repr, old.collect())) and new.count() > 60
+
+
+def test_pairs_are_compared_from_stored_tables(spark, monkeypatch):
+    """Of a number's chunks the last one counts; what makes chunks and matches is not run again for the texts."""
+    rows = [("p", "v1", "a1", 1, "1", "t", "first try"), ("p", "v1", "a2", 2, " 1", "t", "one two three"), ("p", "v1", "a3", 3, "", "t", "no number"), ("p", "v2", "b1", 1, "4 ", "u", "one two three"), ("p", "v2", "b2", 2, None, "u", "one two three")]
+    chunks = spark.createDataFrame(rows, "pair_id string, version string, chunk_id string, chunk_idx int, article_number string, article_title string, text string")
+    names, kept = [], files.stored
+    monkeypatch.setattr(files, "stored", lambda df, name, *a: (names.append(name), kept(df, name, *a))[1])
+    got = jobs.matched_rows(chunks)
+    assert names == ["pair-chunks", "matches"] and plan(got).count("Exchange") == 1 and "MapInArrow" not in plan(got)
+    assert [tuple(r) for r in got.orderBy("seq").collect()] == [("p", "1", "u", "4 ", 1.0, "one two three", "one two three", 1), ("p", "4", "u", "4", 0.0, None, "one two three", 2)]

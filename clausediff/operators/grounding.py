@@ -116,16 +116,17 @@ def _items(v: Column, path: str, fields: tuple[str, ...]) -> Column:
 def apply_responses(pairs: DataFrame, responses: DataFrame, model: str = "model") -> DataFrame:
     """Results of pairs with a model's answers (pair_id, seq, raw_response). An answer that is
     missing, no JSON object or empty leads to the rule-based result."""
-    d = with_diffs(pairs).join(responses, ["pair_id", "seq"], "left")
+    d = pairs.join(responses, ["pair_id", "seq"], "left")  # differences would only be more to shuffle
     same = same_text(F.col("v1_text"), F.col("v2_text"))
     d = d.withColumn("_v", F.when(~same, first_json_object(F.col("raw_response"))))
     kind = F.schema_of_variant("_v")
-    good = F.coalesce(kind.startswith("OBJECT<") & (kind != "OBJECT<>"), F.lit(False))
-    d = d.withColumn("_good", good)
-    bad = _rule_based(d.where("not _good"), F.lit(BAD_RESPONSE), F.lit(BAD_REASON), F.lit(model))
-    ok = d.where("_good").withColumn("status", F.try_variant_get("_v", "$.status", "string")).withColumn("conclusion", F.try_variant_get("_v", "$.conclusion", "string"))
-    ok = ground_results(ok.withColumn("evidence", _items(F.col("_v"), "$.evidence", ("tag", "before", "after"))))
+    d = with_diffs(d.withColumn("_good", F.coalesce(kind.startswith("OBJECT<") & (kind != "OBJECT<>"), F.lit(False))))
+    by = lambda good, bad: F.when(F.col("_good"), good).otherwise(bad)
+    none = F.lit(None).cast("string")
+    r = d.withColumn("status", by(F.try_variant_get("_v", "$.status", "string"), none))
+    r = r.withColumn("evidence", by(_items(F.col("_v"), "$.evidence", ("tag", "before", "after")), F.col("raw_evidence")))
+    r = ground_results(r.withColumn("conclusion", by(F.try_variant_get("_v", "$.conclusion", "string"), F.lit(BAD_RESPONSE))))
     notes = _items(F.col("_v"), "$.diff_annotations", ("block_id", "summary", "legal_effect", "severity"))
-    ok = ok.withColumn("diff_annotations", annotate_blocks(notes, F.col("diff_blocks"))).withColumn("llm_used", F.lit(True))
-    ok = ok.withColumn("fallback_reason", F.lit(None).cast("string")).withColumn("llm_model", F.lit(model))
-    return bad.unionByName(ok).drop("raw_evidence", "raw_response", "_v", "_good")
+    r = r.withColumn("diff_annotations", by(annotate_blocks(notes, F.col("diff_blocks")), _no_annotations())).withColumn("llm_used", F.col("_good"))
+    r = r.withColumn("fallback_reason", by(none, F.when(same, "texts_equal").otherwise(BAD_REASON))).withColumn("llm_model", F.when(~same, F.lit(model)))
+    return r.drop("raw_evidence", "raw_response", "_v", "_good")

@@ -688,6 +688,11 @@ def prompt_rows(spark, sf_dir):
     return grounding.prompt_rows(diffing.with_diffs(_pairs(spark, sf_dir)))
 
 
+def _answered_pairs(spark, sf_dir) -> DataFrame:
+    """_pairs() as a table, since a model's answers come from what has been written for it."""
+    return files.stored(_pairs(spark, sf_dir), "pairs")
+
+
 def _responses(rows: DataFrame) -> DataFrame:
     i = F.col("seq") + F.col("pair_id").cast("long")
     note = F.array(F.struct(F.lit("B1").alias("block_id"), F.lit("s").alias("summary"), F.lit("").alias("legal_effect"), F.lit("HIGH").alias("severity")), F.struct(F.lit("B99").alias("block_id"), F.lit("s").alias("summary"), F.lit("").alias("legal_effect"), F.lit("low").alias("severity")))
@@ -699,7 +704,7 @@ def _responses(rows: DataFrame) -> DataFrame:
 @query(with_sql(RESULTS_SQL, """select pair_id, seq, article_number, case when u then 'changed' else status end as status, u as llm_used, case when status = 'unchanged' then 'texts_equal' when not u then '""" + grounding.BAD_REASON + """' end as fallback_reason,
  case when u then 'Model ' || article_number when status = 'unchanged' then '""" + grounding.UNCHANGED + """' else '""" + grounding.BAD_RESPONSE + """' end as conclusion, grounded from (select *, status <> 'unchanged' and (seq + pair_id::bigint) % 5 in (0, 1) as u from results)"""))
 def apply_responses(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
+    p = _answered_pairs(spark, sf_dir)
     return grounding.apply_responses(p, _responses(p)).select("pair_id", "seq", "article_number", "status", "llm_used", "fallback_reason", "conclusion", "grounded")
 
 

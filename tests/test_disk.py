@@ -1,5 +1,6 @@
 """What a job puts on the disk: how often texts are shuffled, and what stays when a step is done."""
 
+import json
 import random
 import time
 
@@ -7,10 +8,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clausediff.functions.text import article_sort_key
-from clausediff.operators import chunking, matching, numbering
-from clausediff.plans import fixture, jobs
+from clausediff.operators import chunking, grounding, matching, numbering, reporting
+from clausediff.plans import fixture, jobs, registry
 from clausediff.sources import docx, files
 
+DOCUMENT = "doc_id long, text string"
+TEXTS = [(1, "a\nb. c\nd\ne\nf\ng\nh\ni"), (2, None), (3, "x\n1. y\na) z\n \nMục 2\nw"), (4, " ")]
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -45,9 +49,9 @@ def test_docx_corpus_moves_texts_once_a_table(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     (paragraphs,) = given
-    assert paragraphs.count("REPARTITION_BY_COL") == 1 and "num_id" not in "".join(x for x in paragraphs.split("\n") if "Window [max(" in x and "headings" in x)
-    left = paragraphs[: paragraphs.index("REPARTITION_BY_COL")]
-    assert not any("display_text" in x or "style_name" in x for x in left.split("\n") if "Exchange" in x)
+    assert paragraphs.count("REPARTITION_BY_COL") == 1
+    above = paragraphs[: paragraphs.index("REPARTITION_BY_COL")].split("\n")  # and the joined styles and levels, which are aggregates
+    assert not any("Exchange" in x and "Aggregate" not in above[i + 1] and "Project" not in above[i + 1] for i, x in enumerate(above[:-1]))
     key = ("doc_id", "version", "chunk_idx", "text", "article_title")
     expected = chunking.chunk_texts(fixture.versioned_texts(spark, str(tmp_path))).withColumn("doc_id", F.col("doc_id").cast("string"))
     assert sorted(map(tuple, chunks.select(*key).collect())) == sorted(map(tuple, expected.select(*key).collect()))
@@ -94,3 +98,42 @@ def test_pairs_are_compared_from_stored_tables(spark, monkeypatch):
     got = jobs.matched_rows(chunks)
     assert names == ["pair-chunks", "matches"] and plan(got).count("Exchange") == 1 and "MapInArrow" not in plan(got)
     assert [tuple(r) for r in got.orderBy("seq").collect()] == [("p", "1", "u", "4 ", 1.0, "one two three", "one two three", 1), ("p", "4", "u", "4", 0.0, None, "one two three", 2)]
+
+
+DOCUMENT = "doc_id long, text string"
+TEXTS = [(1, "a\nb. c\nd\ne\nf\ng\nh\ni"), (2, None), (3, "x\n1. y\na) z\n \nMục 2\nw"), (4, " ")]
+
+
+def test_answers_need_one_pass(spark):
+    """Usable and unusable answers are told apart row by row, so pairs are read and compared once."""
+    texts = [("a b", "a c"), ("same", "same"), ("gone", None), (None, "new"), ("x y", "x z"), ("p q", "p r"), ("k", "l")]
+    pairs = spark.createDataFrame([("p", i, a, b) for i, (a, b) in enumerate(texts)], "pair_id string, seq int, v1_text string, v2_text string")
+    good = json.dumps({"status": "odd", "conclusion": " said  so ", "evidence": [{"tag": "", "before": "a b", "after": ""}, 7], "diff_annotations": [{"block_id": "B1", "summary": "s", "severity": "HIGH"}, {"block_id": "B9", "summary": "s"}]})
+    raw = [("p", 0, good), ("p", 1, good), ("p", 2, "so {\"status\": \"changed\"} it is"), ("p", 4, "[]"), ("p", 4, "{}"), ("p", 5, None), ("q", 6, good)]
+    r = grounding.apply_responses(pairs, spark.createDataFrame(raw, "pair_id string, seq int, raw_response string"), "m")
+    assert plan(r).count("ArrowEvalPython") == 1 and plan(r).count("Join") == 1
+    assert r.columns == ["pair_id", "seq", "v1_text", "v2_text", "diff_blocks", "status", "evidence", "conclusion", "grounded", "diff_annotations", "llm_used", "fallback_reason", "llm_model"]
+    got = sorted((x.seq, x.status, x.llm_used, x.fallback_reason, x.llm_model, x.conclusion, [e.before for e in x.evidence], [a.severity for a in x.diff_annotations], x.grounded) for x in r.collect())
+    bad = (False, grounding.BAD_REASON, "m", grounding.BAD_RESPONSE)
+    assert got == [
+        (0, "changed", True, None, "m", "said so", ["a b"], ["high"], True), (1, "unchanged", False, "texts_equal", None, grounding.UNCHANGED, [], [], True),
+        (2, "changed", True, None, "m", grounding.DEFAULTS["changed"], ["gone"], [], True), (3, "added", *bad, [""], [], True), (4, "changed", *bad, ["x y"], [], True),
+        (4, "changed", *bad, ["x y"], [], True), (5, "changed", *bad, ["p q"], [], True), (6, "changed", *bad, ["k"], [], True),
+    ]
+
+
+def test_answered_pairs_are_made_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(TEXTS, DOCUMENT).write.parquet(f"{tmp_path}/documents.parquet")
+    given, kept = [], files.stored
+    monkeypatch.setattr(files, "stored", lambda rows, *a: (given.append(plan(rows)), kept(rows, *a))[1])
+    for name in ("apply_responses",):
+        given.clear()
+        out = registry.QUERIES[name](spark, str(tmp_path))
+        assert [p.count("Exchange") for p in given] == [1] and f"{tmp_path}/documents" not in plan(out)
+        assert out.count() > 0
+
+
+def test_results_move_texts_once(spark, tmp_path):
+    spark.createDataFrame(TEXTS, DOCUMENT).write.parquet(f"{tmp_path}/documents.parquet")
+    found = plan(fixture.results(spark, str(tmp_path)))
+    assert found.count("Exchange") == 1 and found.count("Scan parquet") == 1

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausediff.functions.text import STATUS_ICONS, STATUS_LABELS, from_map, shorten
+from clausediff.sources.files import freed_shuffles
 
 NOT_FOUND = "(khong tim thay)"
 PRINCIPLE = "Khong bang chung -> khong ket luan"
@@ -26,7 +27,11 @@ def build_report(results: DataFrame, config: dict | None = None) -> DataFrame:
         F.sum("m").alias("llm_used_count"), (F.sum("n") - F.sum("m")).alias("fallback_count"),
         F.sum("g").alias("grounded_count"), (F.sum("n") - F.sum("g")).alias("ungrounded_count"),
     )
-    return r.withColumns({k: F.lit(v) for k, v in (config or {}).items()} | {"principle": F.lit(PRINCIPLE)})
+    return r.withColumns(_settings(config))
+
+
+def _settings(config: dict | None) -> dict[str, Column]:
+    return {k: F.lit(v) for k, v in (config or {}).items()} | {"principle": F.lit(PRINCIPLE)}
 
 
 def status_metrics(results: DataFrame) -> DataFrame:
@@ -69,11 +74,24 @@ def report_name(v1: str, v2: str):
 
 def report_documents(results: DataFrame, config: dict | None = None) -> DataFrame:
     """pair_id and report: the whole report of a pair as JSON text."""
-    head = build_report(results, config)
     rows = F.array_sort(F.collect_list(F.struct(F.col("seq"), F.struct(*[c for c in results.columns if c != "pair_id"]).alias("r"))))
     body = results.groupBy("pair_id").agg(F.transform(rows, lambda x: x["r"]).alias("article_level_results"))
-    parts = head.select("pair_id", F.struct(*[c for c in head.columns if c != "pair_id"]).alias("config")).join(body, "pair_id")
-    return parts.select("pair_id", F.to_json(F.struct("config", "article_level_results"), {"ignoreNullFields": "false"}).alias("report"))
+    # the head is counted from the same rows, so results are made and grouped once
+    head = body.withColumns(_counts(F.col("article_level_results")) | _settings(config))
+    names = [c for c in head.columns if c not in body.columns]
+    return head.select("pair_id", F.to_json(F.struct(F.struct(*names).alias("config"), "article_level_results"), {"ignoreNullFields": "false"}).alias("report"))
+
+
+def _counts(rows: Column) -> dict[str, Column]:
+    """The counts of build_report() of an array of results."""
+    status = F.transform(rows, lambda x: x["status"])
+    of = lambda rows, is_: F.size(F.filter(rows, is_)).cast("long")
+    total, model, grounded = F.size(rows).cast("long"), of(rows, lambda x: x["llm_used"]), of(rows, lambda x: x["grounded"])
+    by_status = F.transform(F.array_sort(F.array_distinct(status)), lambda s: F.struct(s, of(status, lambda x: x.eqNullSafe(s))))
+    return {
+        "total_articles": total, "status_counts": F.map_from_entries(by_status), "llm_used_count": model, "fallback_count": total - model,
+        "grounded_count": grounded, "ungrounded_count": total - grounded,
+    }
 
 
 def _prefix(name: str):
@@ -81,12 +99,14 @@ def _prefix(name: str):
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Writes reports (pair_id, report_name, report) as JSON lines, a line for each report, in
+    """Writes reports (pair_id, report_name, report) as JSON lines in gzip, a line for each report, in
     at most 256 folders by the hash of report_name. Spark's committer puts files in place once their
     task has succeeded, so a repeated task leaves nothing behind. Of a pair_id that repeats all
     reports are kept."""
     rows = reports.select("report_name", F.col("pair_id").cast("string"), "report").withColumn("prefix", _prefix("report_name"))
-    rows.repartition("prefix", F.pmod(F.xxhash64("report_name"), F.lit(8))).sortWithinPartitions("prefix", "report_name").write.mode("overwrite").partitionBy("prefix").json(path)
+    rows = rows.repartition("prefix", F.pmod(F.xxhash64("report_name"), F.lit(8))).sortWithinPartitions("prefix", "report_name")
+    with freed_shuffles(reports.sparkSession):
+        rows.write.mode("overwrite").option("compression", "gzip").partitionBy("prefix").json(path)
 
 
 def read_reports(spark: SparkSession, path: str, *names: str) -> DataFrame:

@@ -133,6 +133,22 @@ def test_answered_pairs_are_made_once(spark, tmp_path, monkeypatch):
         assert out.count() > 0
 
 
+def test_reports_are_counted_from_their_rows(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(p, i, rng.choice(["added", "changed", "unchanged", "odd"]), rng.choice([True, False, None]), rng.choice([True, False, None])) for p in "abc" for i in range(9)]
+    results = spark.createDataFrame(rows, "pair_id string, seq int, status string, grounded boolean, llm_used boolean")
+    found = reporting.report_documents(results, {"k": 3})
+    assert plan(found).count("Exchange") == 1
+    head = {r.pair_id: r.h for r in reporting.build_report(results, {"k": 3}).select("pair_id", F.to_json(F.struct("total_articles", "status_counts", "llm_used_count", "fallback_count", "grounded_count", "ungrounded_count", "k", "principle"), {"ignoreNullFields": "false"}).alias("h")).collect()}
+    sums = {r.pair_id: json.loads(r.report) for r in found.collect()}
+    expected = {p: json.loads(h) for p, h in head.items()}
+    for p, config in expected.items():
+        assert sums[p]["config"] == config and [x["seq"] for x in sums[p]["article_level_results"]] == list(range(9))
+    reporting.write_reports(found.withColumn("report_name", F.concat("pair_id", F.lit("_report.json"))), f"{tmp_path}/r")
+    assert all(f.endswith(".json.gz") for f in spark.read.json(f"{tmp_path}/r").inputFiles())
+    assert sorted(map(tuple, reporting.read_reports(spark, f"{tmp_path}/r").select("pair_id", "report").collect())) == sorted(map(tuple, found.collect()))
+
+
 def test_results_move_texts_once(spark, tmp_path):
     spark.createDataFrame(TEXTS, DOCUMENT).write.parquet(f"{tmp_path}/documents.parquet")
     found = plan(fixture.results(spark, str(tmp_path)))

@@ -126,7 +126,7 @@ def test_answered_pairs_are_made_once(spark, tmp_path, monkeypatch):
     spark.createDataFrame(TEXTS, DOCUMENT).write.parquet(f"{tmp_path}/documents.parquet")
     given, kept = [], files.stored
     monkeypatch.setattr(files, "stored", lambda rows, *a: (given.append(plan(rows)), kept(rows, *a))[1])
-    for name in ("apply_responses",):
+    for name in ("apply_responses", "annotate_blocks"):
         given.clear()
         out = registry.QUERIES[name](spark, str(tmp_path))
         assert [p.count("Exchange") for p in given] == [1] and f"{tmp_path}/documents" not in plan(out)

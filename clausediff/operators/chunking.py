@@ -22,12 +22,6 @@ def _running(cond: Column, w) -> Column:
     return F.sum(cond.cast("int")).over(w.rowsBetween(*_RUNNING))
 
 
-def _in_order(column: str, key: str = "line_no") -> Column:
-    """The group's values of a column in line order, nulls left out."""
-    rows = F.sort_array(F.collect_list(F.when(F.col(column).isNotNull(), F.struct(key, column))))
-    return F.transform(rows, lambda x: x[column])
-
-
 def classify_lines(lines: DataFrame) -> DataFrame:
     """lines (…, line) with kind, number and rest."""
     k = lines.withColumn("kind", line_kind(F.col("line")))
@@ -63,7 +57,6 @@ def khoan_items(rows: Column, starts: Column) -> Column:
     """The clauses in an article's rows (array of line, kind, in order), which begin at `starts`
     (from 1): khoan_items. A clause goes up to the next one's start, and what stands before the
     first is in none."""
-    spans = F.transform(starts, lambda s, j: F.struct(s.alias("s"), (F.coalesce(F.get(starts, j + 1), F.size(rows) + 1) - s).alias("n")))
     none = F.array().cast(KHOAN["tieu_muc_items"].dataType)
 
     def several(first: Column, more: Column) -> Column:
@@ -79,7 +72,7 @@ def khoan_items(rows: Column, starts: Column) -> Column:
             r["text"].alias("text"), r["points"].alias("diem_items"), none.alias("tieu_muc_items"),
         ))
 
-    return F.transform(spans, item)
+    return F.transform(_spans(starts, F.size(rows)), item)
 
 
 def _point(line: Column) -> Column:
@@ -237,38 +230,56 @@ def chunk_mode(paragraphs: DataFrame) -> DataFrame:
 
 
 def chunk_docx_headings(paragraphs: DataFrame) -> DataFrame:
-    """CHUNKS rows of documents whose numbered headings are their articles (level 1), clauses (2) and sub-items (3)."""
+    """CHUNKS rows of documents whose numbered headings are their articles (level 1), clauses (2) and sub-items (3).
+
+    An article's paragraphs are gathered once; its number, clauses, sub-items and text come from that list."""
     p = paragraphs.withColumn("label", F.coalesce("numbering_label", F.lit(""))).withColumn("shown", strip(F.coalesce(F.nullif("display_text", F.lit("")), "text")))
     p = p.withColumn("h", F.when(F.col("label") != "", F.col("heading_level")))
-    is_h = lambda n: F.coalesce(F.col("h") == n, F.lit(False))
-    p = p.withColumn("grp", _running(is_h(1), Window.partitionBy(*KEY).orderBy("idx"))).where("grp > 0")
-    group = [*KEY, "grp"]
-    w = Window.partitionBy(*group).orderBy("idx")
-    earlier = F.coalesce(F.max(is_h(2) | is_h(3)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    p = p.withColumn("khoan_start", is_h(2) | (is_h(3) & ~earlier))
-    p = p.withColumn("kg", _running(F.col("khoan_start"), w))
-    p = p.withColumn("tg", _running(is_h(3), Window.partitionBy(*group, "kg").orderBy("idx")))
-    p = p.withColumn("path", F.coalesce("numbering_path", F.array().cast("array<string>"))).withColumn("bare", F.regexp_replace("label", r"\.+\z", ""))
-    p = p.withColumn("title", clean_heading(F.col("text"))).withColumn("shown", F.nullif("shown", F.lit("")))
-    joined = strip(F.array_join(_in_order("shown", "idx"), "\n"))
-    first = lambda c: F.min_by(c, "idx")
-
-    k = p.where("kg > 0")
-    t = k.where("tg > 0").groupBy(*group, "kg", "tg").agg(first("bare").alias("tieu_muc_number"), first("title").alias("title"), joined.alias("text"))
-    t = t.withColumn("item", F.struct("tieu_muc_number", "title", "text")).groupBy(*group, "kg").agg(_in_order("item", "tg").alias("tieu_muc_items"))
-    made = F.when(F.size("path") >= 2, F.concat_ws(".", F.slice("path", 1, 2))).otherwise(F.col("bare"))
-    k = k.withColumn("no", F.when(is_h(2), F.col("bare")).otherwise(made)).withColumn("name", F.when(is_h(2), F.col("title")).otherwise(""))
-    k = k.groupBy(*group, "kg").agg(first("no").alias("khoan_number"), first("name").alias("title"), joined.alias("text"))
-    k = k.join(t, [*group, "kg"], "left")
-    none = F.array().cast(KHOAN["diem_items"].dataType).alias("diem_items")
-    sub = F.coalesce("tieu_muc_items", F.array().cast(KHOAN["tieu_muc_items"].dataType)).alias("tieu_muc_items")
-    k = k.withColumn("item", F.struct("khoan_number", "title", "text", none, sub)).groupBy(*group).agg(_in_order("item", "kg").alias("khoan_items"))
-
-    p = p.withColumn("no", F.when(F.size("path") > 0, F.get("path", 0)).otherwise(F.col("bare")))
-    a = p.groupBy(*group).agg(first("no").alias("article_number"), first("title").alias("article_title"), joined.alias("text"))
-    a = a.where("text <> ''").withColumn("clause_id", F.concat(F.lit("article_"), "article_number"))
-    a = a.withColumn("chuong_so", F.lit("0")).withColumn("muc_so", F.lit("0"))
-    return build_chunks(a.join(k, group, "left"))
+    p = p.withColumn("grp", _running(F.coalesce(F.col("h") == 1, F.lit(False)), Window.partitionBy(*KEY).orderBy("idx"))).where("grp > 0")
+    path, bare = F.coalesce("numbering_path", F.array().cast("array<string>")), F.regexp_replace("label", r"\.+\z", "")
+    head = F.when(F.col("h").isin(1, 2, 3), F.struct("h", path.alias("path"), bare.alias("bare"), clean_heading(F.col("text")).alias("title")))
+    rows = F.sort_array(F.collect_list(F.struct("idx", F.nullif("shown", F.lit("")).alias("shown"), head.alias("head"))))
+    a = p.groupBy(*KEY, "grp").agg(rows.alias("rows")).withColumn("text", _shown(F.col("rows"))).where("text <> ''")
+    level = lambda i: F.get("rows", i - 1)["head"]["h"]
+    below = F.filter(F.sequence(F.lit(1), F.size("rows")), lambda i: level(i).isin(2, 3))
+    a = a.withColumn("below", below).withColumn("starts", F.filter("below", lambda i, j: (j == 0) | (level(i) == 2)))
+    a = a.withColumn("first", F.get("rows", 0)["head"])
+    a = a.withColumn("article_number", F.when(F.size("first.path") > 0, F.get("first.path", 0)).otherwise(F.col("first.bare"))).withColumn("article_title", F.col("first.title"))
+    a = a.withColumn("clause_id", F.concat(F.lit("article_"), F.col("article_number"))).withColumn("chuong_so", F.lit("0")).withColumn("muc_so", F.lit("0"))
+    return build_chunks(a.withColumn("khoan_items", _heading_clauses(F.col("rows"), F.col("starts"))))
+
+
+def _shown(rows: Column) -> Column:
+    return strip(F.array_join(F.transform(rows, lambda x: x["shown"]), "\n"))
+
+
+def _spans(starts: Column, size: Column) -> Column:
+    """From each start (from 1) up to the next one: s and n."""
+    return F.transform(starts, lambda s, j: F.struct(s.alias("s"), (F.coalesce(F.get(starts, j + 1), size + 1) - s).alias("n")))
+
+
+def _heading_clauses(rows: Column, starts: Column) -> Column:
+    """The clauses in an article's rows (array of shown and, of headings, head), which begin at `starts`:
+    khoan_items. A clause that begins with a sub-item bears the first two numbers of its path and no title."""
+    none = F.array().cast(KHOAN["diem_items"].dataType)
+
+    def sub_item(part: Column):
+        of = lambda s: F.get(part, s["s"] - 1)["head"]
+        return lambda s: F.struct(of(s)["bare"].alias("tieu_muc_number"), of(s)["title"].alias("title"), _shown(F.slice(part, s["s"], s["n"])).alias("text"))
+
+    def sub_items(part: Column) -> Column:
+        marks = F.filter(F.sequence(F.lit(1), F.size(part)), lambda i: F.get(part, i - 1)["head"]["h"] == 3)
+        return _let(marks, lambda m: F.transform(_spans(m, F.size(part)), sub_item(part)))
+
+    def item(part: Column) -> Column:
+        head = F.get(part, 0)["head"]
+        made = F.when(F.size(head["path"]) >= 2, F.concat_ws(".", F.slice(head["path"], 1, 2))).otherwise(head["bare"])
+        return F.struct(
+            F.when(head["h"] == 2, head["bare"]).otherwise(made).alias("khoan_number"), F.when(head["h"] == 2, head["title"]).otherwise("").alias("title"),
+            _shown(part).alias("text"), none.alias("diem_items"), sub_items(part).alias("tieu_muc_items"),
+        )
+
+    return F.transform(_spans(starts, F.size(rows)), lambda s: _let(F.slice(rows, s["s"], s["n"]), item))
 
 
 def prepared_paragraphs(paragraphs: DataFrame) -> DataFrame:

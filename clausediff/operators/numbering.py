@@ -38,18 +38,19 @@ def resolve_styles(styles: DataFrame) -> DataFrame:
 def style_numbering(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:
     """paragraphs with num_id and ilvl from their style where they have no num_id of their own. A document's
     styles meet its paragraphs as one map, so paragraphs that lie by document stay where they are."""
-    given = resolve_styles(styles).where("style_id is not null")
-    given = given.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("style_id", F.struct("num_id", "ilvl")))).alias("_styles"))
-    out = paragraphs.join(given, KEY, "left").withColumn("_s", F.col("_styles")[F.col("style_id")])
+    given = resolve_styles(styles).where("version is not null and style_id is not null")
+    given = given.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("version", "style_id"), F.struct("num_id", "ilvl")))).alias("_styles"))
+    out = paragraphs.join(given, "doc_id", "left").withColumn("_s", F.col("_styles")[F.struct("version", "style_id")])
     out = out.withColumn("ilvl", F.when(F.col("num_id").isNull(), F.col("_s.ilvl")).otherwise(F.col("ilvl")))
     return out.withColumn("num_id", F.coalesce("num_id", "_s.num_id")).drop("_styles", "_s")
 
 
 def _by_document(paragraphs: DataFrame) -> tuple[DataFrame, bool]:
     """paragraphs, where no document is longer than BLOCK positions dealt by document, so that all
-    steps that follow find them in place and texts move once; and whether one is longer."""
+    steps that follow find them in place and texts move once; and whether one is longer. Dealt by
+    doc_id alone, which holds for both versions and where a plan knows the only version."""
     long = not paragraphs.where(F.col("idx") >= BLOCK).isEmpty()
-    return paragraphs if long else paragraphs.repartition(*KEY), long
+    return paragraphs if long else paragraphs.repartition("doc_id"), long
 
 
 def _counted(paragraphs: DataFrame, long: bool) -> DataFrame:
@@ -87,12 +88,12 @@ def numbering_labels(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def _labelled(paragraphs: DataFrame, long: bool, levels: DataFrame) -> DataFrame:
-    spec = levels.where("num_id is not null").groupBy(*KEY, "num_id").agg(
+    spec = levels.where("version is not null and num_id is not null").groupBy(*KEY, "num_id").agg(
         F.map_from_entries(F.collect_list(F.struct("level", F.struct("start", "num_fmt", "lvl_text")))).alias("spec")
     )
-    spec = spec.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("num_id", "spec"))).alias("_specs"))
+    spec = spec.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("version", "num_id"), "spec"))).alias("_specs"))
     listed = F.col("num_id").isNotNull() & F.col("ilvl").isNotNull()
-    p = _counted(paragraphs, long).join(spec, KEY, "left").withColumn("spec", F.col("_specs")[F.col("num_id")]).drop("_specs")
+    p = _counted(paragraphs, long).join(spec, "doc_id", "left").withColumn("spec", F.col("_specs")[F.struct("version", "num_id")]).drop("_specs")
     for i in range(LEVELS):
         start = F.coalesce(F.col("spec")[i]["start"], F.lit(1))
         p = p.withColumn(f"_c{i}", F.when(listed & (F.col("ilvl") >= i) & (F.col(f"_n{i}") > 0), start - 1 + F.col(f"_n{i}")))

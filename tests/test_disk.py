@@ -153,3 +153,49 @@ def test_results_move_texts_once(spark, tmp_path):
     spark.createDataFrame(TEXTS, DOCUMENT).write.parquet(f"{tmp_path}/documents.parquet")
     found = plan(fixture.results(spark, str(tmp_path)))
     assert found.count("Exchange") == 1 and found.count("Scan parquet") == 1
+
+
+def test_heading_chunks_against_a_fold(spark):
+    """Articles, clauses and sub-items of random headings; one shuffle by document carries the paragraphs."""
+    rng = random.Random(12)
+    rows, want = [], []
+    for doc in map(str, range(40)):
+        articles = []
+        for i in range(rng.randrange(30)):
+            level, label = rng.choice([None, None, 1, 2, 3, 4]), rng.choice(["1.", "2.1", "", None, "x.."])
+            path, text = rng.choice([None, [], ["1"], ["1", "2", "3"]]), rng.choice(["Tên: ", "chữ", "b", ""])
+            rows.append((doc, "v1", i, text, f"{label} {text}".strip() if label else text, level, label, path))
+            shown, bare, title = (rows[-1][4] or text).strip(), (label or "").rstrip("."), text.strip().rstrip(": ")
+            h = level if label else None
+            if h == 1:
+                articles.append({"no": path[0] if path else bare, "title": title, "lines": [], "clauses": []})
+            if not articles:
+                continue
+            a = articles[-1]
+            if h == 2 or h == 3 and not a["clauses"]:
+                a["clauses"].append({"no": bare if h == 2 or len(path or []) < 2 else ".".join(path[:2]), "title": title if h == 2 else "", "lines": [], "subs": []})
+            for clause in a["clauses"][-1:]:
+                if h == 3:
+                    clause["subs"].append((bare, title, []))
+                for lines in [clause["lines"], *[s[2] for s in clause["subs"][-1:]]]:
+                    lines += [shown] if shown else []
+            a["lines"] += [shown] if shown else []
+        text = lambda lines: "\n".join(lines).strip()
+        kept = [a for a in articles if text(a["lines"])]
+        want += [(doc, n, a["no"], a["title"], text(a["lines"]), [(c["no"], c["title"], text(c["lines"]), [(x, y, text(z)) for x, y, z in c["subs"]]) for c in a["clauses"]]) for n, a in enumerate(kept, 1)]
+    p = spark.createDataFrame(rows, "doc_id string, version string, idx int, text string, display_text string, heading_level int, numbering_label string, numbering_path array<string>")
+    c = chunking.chunk_docx_headings(p.repartition(5))
+    got = [(r.doc_id, r.chunk_idx, r.article_number, r.article_title, r.text, [(k.khoan_number, k.title, k.text, [tuple(t) for t in k.tieu_muc_items]) for k in r.khoan_items]) for r in c.collect()]
+    assert sorted(got) == sorted(want) and len(got) > 50
+    assert plan(chunking.chunk_docx_headings(p)).count("Exchange") == 1
+
+
+def test_one_version_is_dealt_once(spark, tmp_path, monkeypatch):
+    """Also where the plan knows the version, which it then leaves out of its keys."""
+    spark.createDataFrame(TEXTS, DOCUMENT).write.parquet(f"{tmp_path}/documents.parquet")
+    given, kept = [], files.stored
+    monkeypatch.setattr(files, "stored", lambda rows, *a: (given.append(plan(rows)), kept(rows, *a))[1])
+    assert registry.QUERIES["chunk_docx_headings"](spark, str(tmp_path)).count() > 0
+    (paragraphs,) = given
+    above = paragraphs[: paragraphs.index("REPARTITION_BY_COL")]
+    assert "num_id" not in "".join(x for x in above.split("\n") if "Exchange hashpartitioning" in x) and above.count("Exchange hashpartitioning") == 1

@@ -757,7 +757,7 @@ def change_labels(spark, sf_dir):
 @query(with_sql(RESULTS_SQL, """select 'hd_' || pair_id || '_v1_vs_hd_' || pair_id || '_v2_report.json' as report_name, pair_id, sum(n)::bigint as total, sum(n)::int as listed, string_agg(status || '=' || n, ',' order by status) as statuses
 from (select pair_id, status, count(*) as n from results group by pair_id, status) group by pair_id"""))
 def write_reports(spark, sf_dir):
-    r = reporting.report_documents(fixture.results(spark, sf_dir))
+    r = files.stored(reporting.report_documents(fixture.results(spark, sf_dir)), "report-documents")  # frees what made them before they are dealt to folders
     file = lambda v: F.concat(F.lit("/in/hd_"), "pair_id", F.lit(f"_{v}.docx"))
     r = r.withColumn("file_v1", file("v1")).withColumn("file_v2", file("v2"))
     path = files.scratch(spark, "reports")
